@@ -33,15 +33,21 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: each whole round of a document's words is one row.
+    """Whole documents as often as the mix takes their words.
 
-    A document of which the mix takes fewer words than it has stays once if it takes any; clean documents
-    that it takes none of go, as do further copies beyond the rounded number of rounds.
+    A document of which the mix takes f times its words appears floor(f + u) times, where u in [0, 1) is a
+    hash of its id and text: rows by source come near the targets, reruns agree, and no text is cut.
+    Documents without words go.
     """
-    taken = mixing.mix(docs).select("doc_id", "size", "taken")
-    times = taken.where("taken > 0").select("doc_id", F.greatest(F.lit(1), F.round(F.col("taken") / F.col("size")).cast("int")).alias("times"))
-    rows = docs.join(times, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
-    return rows.select(*COLUMNS)
+    taken = mixing.mix(docs).where("size > 0")
+    u = F.pmod(F.xxhash64(F.lit(2), "doc_id", "text_hash"), F.lit(1 << 20)) / float(1 << 20)
+    times = (
+        taken.groupBy("doc_id", "text_hash").agg(F.avg(F.col("taken") / F.col("size")).alias("f"))
+        .select(F.col("doc_id").alias("id"), "text_hash", F.floor(F.col("f") + u).cast("int").alias("times")).where("times > 0")
+    )
+    keyed = docs.select(*COLUMNS).withColumn("h", F.xxhash64("text"))
+    rows = keyed.join(times, (keyed["h"] == times["text_hash"]) & keyed["doc_id"].eqNullSafe(times["id"]))
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -81,7 +81,7 @@ def mix(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     block_words: int = BLOCK_WORDS, shards: int = SHARDS, cap: int = CAP, seed: int = 1,
 ) -> DataFrame:
-    """(doc_id, size, source, source_size, target, taken) of every row."""
+    """(doc_id, size, source, source_size, target, text_hash, taken) of every row."""
     sized = df.select(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
@@ -130,6 +130,6 @@ def mix(
             * (least(upto, (k + 1) * cell_size div blocks) - greatest(from, k * cell_size div blocks)))
     """
     return at.join(plan, ["skey", "shard"]).select(
-        "doc_id", "size", "source", "source_size", "target",
+        "doc_id", "size", "source", "source_size", "target", F.col("th").alias("text_hash"),
         F.when(F.col("size") > 0, F.expr(f"(quota div blocks) * size + {picked}")).otherwise(F.lit(0).cast("long")).alias("taken"),
     )
