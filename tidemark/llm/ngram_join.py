@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,24 +96,26 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(_mix(h))
 
 
-def _pack(docs: list[tuple[int, int]], counts: np.ndarray, tokens: np.ndarray, extra: np.ndarray | None = None) -> bytes:
-    """Fingerprints, sizes, counts, and 40 bits a token (and a byte of ``extra``)."""
-    parts = [np.uint32(len(docs)).tobytes(), np.array([d[0] for d in docs], np.int64).tobytes(), np.array([d[1] for d in docs], np.int64).tobytes()]
-    parts += [counts.astype(np.uint32).tobytes(), (tokens & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), (tokens >> np.uint64(32)).astype(np.uint8).tobytes()]
+def _pack(fps: np.ndarray, counts: np.ndarray, tokens: np.ndarray, extra: np.ndarray | None = None) -> bytes:
+    """Fingerprints, counts (2 bytes each where they fit), and 40 bits a token (and a byte of ``extra``)."""
+    wide = int(counts.max(initial=0) > 65535)
+    parts = [np.uint32(len(fps) << 1 | wide).tobytes(), fps.tobytes(), counts.astype(np.uint32 if wide else np.uint16).tobytes()]
+    parts += [(tokens & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), (tokens >> np.uint64(32)).astype(np.uint8).tobytes()]
     return b"".join(parts + ([extra.astype(np.uint8).tobytes()] if extra is not None else []))
 
 
 def _unpack(blob: bytes, extra: bool = False) -> tuple[np.ndarray, ...]:
-    d = int(np.frombuffer(blob, np.uint32, 1)[0])
-    fps, ns = np.frombuffer(blob, np.int64, d, 4), np.frombuffer(blob, np.int64, d, 4 + 8 * d)
-    counts = np.frombuffer(blob, np.uint32, d, 4 + 16 * d)
-    at, t = 4 + 20 * d, int(counts.sum())
-    tokens = np.frombuffer(blob, np.uint32, t, at).astype(np.uint64) | (np.frombuffer(blob, np.uint8, t, at + 4 * t).astype(np.uint64) << np.uint64(32))
-    return (fps, ns, counts, tokens, np.frombuffer(blob, np.uint8, t, at + 5 * t)) if extra else (fps, ns, counts, tokens)
+    head = int(np.frombuffer(blob, np.uint32, 1)[0])
+    d, kind = head >> 1, np.uint32 if head & 1 else np.uint16
+    fps, counts = np.frombuffer(blob, np.int64, d, 4), np.frombuffer(blob, kind, d, 4 + 8 * d).astype(np.int64)
+    at, t = 4 + (8 + np.dtype(kind).itemsize) * d, int(counts.sum())
+    tokens = np.frombuffer(blob, np.uint32, t, at).astype(np.uint64)
+    tokens |= np.frombuffer(blob, np.uint8, t, at + 4 * t).astype(np.uint64) << np.uint64(32)
+    return (fps, counts, tokens, np.frombuffer(blob, np.uint8, t, at + 5 * t)) if extra else (fps, counts, tokens)
 
 
 def _runs(counts: np.ndarray) -> np.ndarray:
-    return np.repeat(np.arange(len(counts)), counts)
+    return np.repeat(np.arange(len(counts), dtype=np.int32), counts)
 
 
 _DEALT = "part int, doc_id bigint, fp bigint, n bigint, blob binary"
@@ -124,14 +127,15 @@ def _deal(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("blob", pa.binary())])
         seen: set[int] = set()
-        docs: list[tuple[int, int]] = []
+        docs: list[int] = []
         sets: list[np.ndarray] = []
-        held = 0
+        held = rows = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal docs, sets, held
             if sets:
                 tokens = np.concatenate(sets)
+                names = np.array(docs, np.int64)
                 part = ((tokens >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
                 owner = _runs(np.array([len(s) for s in sets]))
                 order = np.argsort(part, kind="stable")
@@ -142,7 +146,7 @@ def _deal(parts: int):
                     own = np.flatnonzero(counts[p])
                     if len(own):
                         where.append(p)
-                        blobs.append(_pack([docs[i] for i in own], counts[p][own], tokens[ends[p] - counts[p].sum() : ends[p]]))
+                        blobs.append(_pack(names[own], counts[p][own], tokens[ends[p] - counts[p].sum() : ends[p]]))
                 empty = pa.nulls(len(where), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), empty, empty, empty, pa.array(blobs, pa.binary())], schema=schema)
             docs, sets, held = [], [], 0
@@ -156,12 +160,13 @@ def _deal(parts: int):
                 ns.append(len(s))
                 if len(s) and fp not in seen:
                     seen.add(fp)
-                    docs.append((fp, len(s)))
+                    docs.append(fp)
                     sets.append(s)
                     held += len(s)
                     if held >= _FLUSH:
                         yield from flush()
-            where = pa.array([(fp >> 7) % parts for fp in fps], pa.int32())
+            where = pa.array((np.arange(rows, rows + len(fps)) % parts).astype(np.int32))
+            rows += len(fps)
             yield pa.RecordBatch.from_arrays(
                 [where, batch.column(0).cast(pa.int64()), pa.array(fps, pa.int64()), pa.array(ns, pa.int64()), pa.nulls(len(fps), pa.binary())], schema=schema
             )
@@ -178,17 +183,18 @@ def _find_shared(parts: int):
         got = [_unpack(b.as_py()) for b in table["blob"] if b.is_valid]
         out_part, out_blob = [], []
         if got:
-            fps, ns, counts, tokens = (np.concatenate([g[k] for g in got]) for k in range(4))
+            fps, counts, tokens = (np.concatenate([g[k] for g in got]) for k in range(3))
             first = np.zeros(len(fps), dtype=bool)
             first[np.unique(fps, return_index=True)[1]] = True
             owner, keep = _runs(counts), np.repeat(first, counts)
             owner, tokens = owner[keep], tokens[keep]
             order = np.argsort(tokens)
-            ranked = tokens[order]
-            heads = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
-            times = np.repeat(df := np.diff(np.append(heads, len(ranked))), df)
+            tokens, owner = tokens[order], owner[order]
+            heads = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
+            times = np.diff(np.append(heads, len(tokens)))
+            times = np.repeat(times, times).astype(np.int32)
             shared = times > 1
-            owner, tokens, times = owner[order][shared], ranked[shared], times[shared]
+            owner, tokens, times = owner[shared], tokens[shared], times[shared]
             bucket = ((fps >> 7) % parts)[owner]
             order = np.lexsort((owner, bucket))
             owner, tokens, bucket = owner[order], tokens[order], bucket[order]
@@ -197,7 +203,7 @@ def _find_shared(parts: int):
             for a, b in zip(cuts, [*cuts[1:], len(bucket)]):
                 own, counts = np.unique(owner[a:b], return_counts=True)
                 out_part.append(int(bucket[a]))
-                out_blob.append(_pack([(int(fps[i]), int(ns[i])) for i in own], counts, tokens[a:b], level[a:b]))
+                out_blob.append(_pack(fps[own], counts, tokens[a:b], level[a:b]))
         part = table["part"][0].as_py() if len(table) else 0
         found = pa.table({
             "part": pa.array(out_part, pa.int32()), "doc_id": pa.array([part] * len(out_part), pa.int64()),
@@ -210,14 +216,17 @@ def _find_shared(parts: int):
 
 def _assemble(table: pa.Table) -> pa.Table:
     """Texts with enough shared shingles: these in order, rarest first, and how many of them lead."""
-    got = [(p.as_py(), _unpack(b.as_py(), True)) for p, b in zip(table["doc_id"], table["blob"])]
-    fps = np.concatenate([g[0] for _, g in got])
-    ns = np.concatenate([g[1] for _, g in got])
-    counts = np.concatenate([g[2] for _, g in got])
-    tokens = np.concatenate([g[3] | np.uint64(p << 40) for p, g in got])
-    level = np.concatenate([g[4] for _, g in got])
-    names, first, inverse = np.unique(fps, return_index=True, return_inverse=True)
-    n, shared = ns[first], np.bincount(inverse, weights=counts).astype(np.int64)
+    got = [(p.as_py(), _unpack(b.as_py(), True)) for p, b in zip(table["doc_id"], table["blob"]) if b.is_valid]
+    known = table.filter(pa.compute.is_null(table["blob"]))
+    if not got:
+        got = [(0, (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint8)))]
+    fps, counts = (np.concatenate([g[k] for _, g in got]) for k in (0, 1))
+    tokens = np.concatenate([g[2] | np.uint64(p << 40) for p, g in got])
+    level = np.concatenate([g[3] for _, g in got])
+    names, inverse = np.unique(fps, return_inverse=True)
+    size = dict(zip(known["fp"].to_pylist(), known["n"].to_pylist()))
+    n = np.array([size[f] for f in names.tolist()], np.int64)
+    shared = np.bincount(inverse, weights=counts, minlength=len(names)).astype(np.int64)
     owner = np.repeat(inverse, counts)
     enough = 100 * shared >= PERCENT * n
     keep = enough[owner]
@@ -346,12 +355,16 @@ def _link(table: pa.Table) -> pa.Table:
 def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", piece: int = PIECE) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
     spark = df.sparkSession
-    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(_deal(parts), _DEALT)
     found = materialize(dealt.groupBy("part").applyInArrow(_find_shared(parts), _DEALT))
     docs = materialize(found.where(F.col("blob").isNull()).select("doc_id", "fp", "n"))
+    known = docs.where("n > 0").groupBy("fp").agg(F.first("n").alias("n")).select(
+        F.pmod(F.shiftright("fp", 7), F.lit(parts)).cast("int").alias("part"), F.lit(None).cast("long").alias("doc_id"), "fp", "n",
+        F.lit(None).cast("binary").alias("blob"),
+    )
     texts = materialize(
-        found.where(F.col("blob").isNotNull()).select("part", "doc_id", "blob").groupBy("part").applyInArrow(_assemble, "fp bigint, n bigint, lead bigint, tokens binary")
+        found.where(F.col("blob").isNotNull()).unionByName(known).groupBy("part").applyInArrow(_assemble, "fp bigint, n bigint, lead bigint, tokens binary")
     )
     discard(found)
 
