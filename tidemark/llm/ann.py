@@ -30,12 +30,20 @@ ETA = 4.0
 ROUNDS = 6
 
 
-def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
+def matrix(column: pa.ChunkedArray | pa.Array | list[bytes], kind: str = "f8") -> np.ndarray:
+    """Packed vectors as rows of doubles."""
+    blobs = column if isinstance(column, list) else column.to_pylist()
+    return np.frombuffer(b"".join(blobs), kind).reshape(len(blobs), -1).astype(np.float64)
+
+
+def packed_kind(df: DataFrame, vec_col: str) -> str:
+    """Vectors travel in their own precision: four bytes for floats, else doubles."""
+    return "f4" if df.schema[vec_col].dataType.elementType.typeName() == "float" else "f8"
 
 
 def packed(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(vec_id, vec, dims): usable vectors as packed doubles; vec is null for the others."""
+    """(vec_id, vec, dims): usable vectors packed in ``packed_kind``; vec is null for the others."""
+    kind = packed_kind(df, vec_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -43,7 +51,7 @@ def packed(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
             for v in batch.column(1):
                 x = None
                 if v.is_valid and len(v) and v.values.null_count == 0:
-                    x = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
+                    x = v.values.to_numpy(zero_copy_only=False).astype(kind)
                     x = x if np.isfinite(x).all() and x.any() else None
                 vecs.append(None if x is None else x.tobytes())
                 dims.append(None if x is None else len(x))
@@ -145,6 +153,7 @@ def search(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): each query row's k nearest other rows by inner product."""
     vectors = packed(df, id_col, vec_col).where(F.col("vec").isNotNull() & F.col("vec_id").isNotNull())
+    kind = packed_kind(df, vec_col)
     spark = df.sparkSession
     lengths = vectors.groupBy("dims").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dims").first()
     schema = "query_id bigint, rank int, vec_id bigint, score double"
@@ -152,7 +161,7 @@ def search(
         return spark.createDataFrame([], schema)
     vectors = vectors.where(F.col("dims") == lengths["dims"]).select("vec_id", "vec")
     drawn = vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "vec").limit(sample).collect()
-    shared = spark.sparkContext.broadcast(Quantiser(np.frombuffer(b"".join(r["vec"] for r in drawn), np.float64).reshape(len(drawn), -1)))
+    shared = spark.sparkContext.broadcast(Quantiser(matrix([r["vec"] for r in drawn], kind)))
     named = vectors.withColumnRenamed("vec_id", id_col)
     asked = named.where(is_query).select(F.col(id_col).alias("vec_id"), "vec")
     row_blocks = max(1, -(-lengths["n"] // rows))
@@ -164,7 +173,7 @@ def search(
 
     def run(table: pa.Table) -> pa.Table:
         asks = table["asks"].to_numpy()
-        ids, vecs = table["vec_id"].to_numpy(), matrix(table["vec"])
+        ids, vecs = table["vec_id"].to_numpy(), matrix(table["vec"], kind)
         if not asks.any() or asks.all():
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         i, j, score = search_block(shared.value, ids[~asks], vecs[~asks], ids[asks], vecs[asks], k, shortlist)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.ann import matrix, packed
+from tidemark.llm.ann import matrix, packed, packed_kind
 from tidemark.llm.common import connected_components, materialize
 
 BLOCKS = 4
@@ -34,7 +34,8 @@ SAMPLE = 20_000
 CELL = 8192
 PIECE = 8192
 TILE = 1024
-GRID = float(1 << 20)
+#: Grid units of a unit length: sums of squares stay below 2 ** 24, so single precision is exact.
+GRID = 1024.0
 
 
 class Plan:
@@ -49,13 +50,13 @@ class Plan:
         share = np.array([spread[c].sum() for c in self.cuts]) + 1e-3
         share /= share.sum()
         # rounding moves each coordinate difference by one grid unit at most
-        self.budget = [(np.sqrt((2 - 2 * threshold) * s) * GRID + np.sqrt(len(c)) + 2) ** 2 for s, c in zip(share, self.cuts)]
+        self.budget = [(np.sqrt((2 - 2 * threshold) * s) * GRID + np.sqrt(len(c)) + 0.1) ** 2 for s, c in zip(share, self.cuts)]
         self.depth = max(0, int(np.ceil(np.log2(max(1, rows) / cell))))
         grid = self.grid(unit)
         self.trees = [self._split(grid[:, c], self.depth) for c in self.cuts]
 
     def grid(self, unit: np.ndarray) -> np.ndarray:
-        return np.rint(unit @ self.axes * GRID)
+        return np.rint(unit @ self.axes * GRID).astype(np.float32)
 
     def _split(self, x: np.ndarray, depth: int):
         if depth == 0:
@@ -99,17 +100,24 @@ def join_tile(plan: Plan, block: int, ga: np.ndarray, gb: np.ndarray, ua: np.nda
     """Pairs of the tile that this block is the first to find and that truly link."""
 
     def within(b: int) -> np.ndarray:
-        c = plan.cuts[b]
-        x, y = ga[:, c], gb[:, c]
-        far = np.hstack([2 * x, plan.budget[b] // 1 - (x * x).sum(1, keepdims=True), np.full((len(x), 1), -1.0)])
-        return far @ np.hstack([y, np.ones((len(y), 1)), (y * y).sum(1, keepdims=True)]).T >= 0
+        x, y = ga[:, plan.cuts[b]], gb[:, plan.cuts[b]]
+        most = np.float32(plan.budget[b] // 1)
+        far = np.hstack([2 * x, most - (x * x).sum(1, keepdims=True), np.full((len(x), 1), -1, np.float32)])
+        return far @ np.hstack([y, np.ones((len(y), 1), np.float32), (y * y).sum(1, keepdims=True)]).T >= 0
 
     found = within(block)
     if not found.any():
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for b in range(block):
-        found &= ~within(b)
-    i, j = np.nonzero(found)
+    many = np.count_nonzero(found) * 64 > found.size
+    if many:
+        for b in range(block):
+            found &= ~within(b)
+    i, j = np.divmod(np.flatnonzero(found), found.shape[1])
+    if not many:
+        for b in range(block):
+            c = plan.cuts[b]
+            fresh = ((ga[i][:, c] - gb[j][:, c]) ** 2).sum(1) > plan.budget[b] // 1
+            i, j = i[fresh], j[fresh]
     if len(i) * 16 > found.size:
         cos = ua @ ub.T
         close = cos[i, j]
@@ -122,12 +130,12 @@ def join_tile(plan: Plan, block: int, ga: np.ndarray, gb: np.ndarray, ua: np.nda
     return i[keep], j[keep]
 
 
-def _join(plan_b, threshold: float):
+def _join(plan_b, threshold: float, kind: str):
     def run(table: pa.Table) -> pa.Table:
         plan, block = plan_b.value, table["block"][0].as_py()
         one = table["i"][0].as_py() == table["j"][0].as_py()
         side, rep, key, times = (table[c].to_numpy() for c in ("side", "rep", "key", "times"))
-        unit = _unit(matrix(table["vec"]))
+        unit = _unit(matrix(table["vec"], kind))
         grid = plan.grid(unit)
         left = np.flatnonzero(side == 0)
         right = left if one else np.flatnonzero(side == 1)
@@ -171,6 +179,7 @@ def near_duplicates(
 ) -> DataFrame:
     """(vec_id, n_links, component_id) of every row."""
     spark = df.sparkSession
+    kind = packed_kind(df, vec_col)
     rows = packed(df, id_col, vec_col)
     base = rows.select("vec_id", F.when(F.col("vec_id").isNotNull() & F.col("vec").isNotNull(), F.xxhash64("vec")).alias("key"))
     usable = rows.where("vec is not null and vec_id is not null")
@@ -179,8 +188,8 @@ def near_duplicates(
     for length in distinct.groupBy("dims").count().orderBy("dims").collect():
         own = distinct.where(F.col("dims") == length["dims"]).select("vec", "rep", "times", "key")
         drawn = own.orderBy("key", "vec").limit(sample).collect()
-        plan = Plan(np.frombuffer(b"".join(r["vec"] for r in drawn), np.float64).reshape(len(drawn), -1), length["count"], threshold, blocks, cell)
-        parts.append(_block_joins(own, spark.sparkContext.broadcast(plan), len(plan.cuts), threshold, piece))
+        plan = Plan(matrix([r["vec"] for r in drawn], kind), length["count"], threshold, blocks, cell)
+        parts.append(_block_joins(own, spark.sparkContext.broadcast(plan), len(plan.cuts), threshold, piece, kind))
     if not parts:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     found = parts[0]
@@ -200,12 +209,12 @@ def near_duplicates(
     )
 
 
-def _block_joins(own: DataFrame, plan, blocks: int, threshold: float, piece: int) -> DataFrame:
+def _block_joins(own: DataFrame, plan, blocks: int, threshold: float, piece: int, kind: str) -> DataFrame:
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
                 continue
-            grid = plan.value.grid(_unit(matrix(batch.column(0))))
+            grid = plan.value.grid(_unit(matrix(batch.column(0), kind)))
             for b in range(blocks):
                 row, cell, home = plan.value.cells(b, grid[:, plan.value.cuts[b]])
                 base = np.full(len(batch), -1)
@@ -235,5 +244,5 @@ def _block_joins(own: DataFrame, plan, blocks: int, threshold: float, piece: int
     return (
         placed.select("vec", "rep", "times", "key", "block", "cell", F.inline("meets"))
         .groupBy("block", "cell", "i", "j")
-        .applyInArrow(_join(plan, threshold), "key bigint, rep bigint, links bigint, root bigint")
+        .applyInArrow(_join(plan, threshold, kind), "key bigint, rep bigint, links bigint, root bigint")
     )
