@@ -5,7 +5,7 @@ flattened text, bottom up), pages are counted per (host, hash), and subtrees tha
 of a host are deleted before the text is taken. Rules of structure come first: elements and roles that
 never hold the article go, and if an ``article`` or ``main`` remains, only that is read. Paragraphs and
 headings of the article itself recur with copied articles, not with the site, so inside it a subtree
-goes only if it recurs on at least half of a host's pages.
+goes only if it recurs on at least half of a host's pages and is a container with links.
 
 The recurring hashes are broadcast if their measured number is within ``SMALL``; beyond it they join
 back by page. Defined cases: a null, empty or textless page gives an empty text; a null or hostless
@@ -43,6 +43,7 @@ ROLES = frozenset(
 MARK_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog menu menubar".split())
 #: A subtree recurs if it is on this many pages of a host, and on this share of them (inside the article: IN_ARTICLE).
 PAGES, SHARE, IN_ARTICLE = 3, 0.02, 0.5
+CONTAINERS = frozenset("div section ul ol dl table figure".split())
 SMALL = 200_000
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -142,6 +143,10 @@ def hashed(node: Node) -> int:
     return node.hash
 
 
+def has_link(node: Node) -> bool:
+    return any(isinstance(x, Node) and (x.tag == "a" or has_link(x)) for x in node.items)
+
+
 def subtrees(root: Node) -> set[int]:
     found, todo = set(), [root]
     while todo:
@@ -178,24 +183,27 @@ def blocks(root: Node, often: set[int], always: set[int]) -> list[str]:
             out.append(text)
         line.clear()
 
-    def visit(node: Node, template: set[int]) -> None:
+    def recurs(x: Node, inside: bool) -> bool:
+        return x.hash in always and x.tag in CONTAINERS and has_link(x) if inside else x.hash in often
+
+    def visit(node: Node, inside: bool) -> None:
         for x in node.items:
             if not isinstance(x, Node):
                 line.append(x)
-            elif x.tag in GONE or x.role or x.hash in template:
+            elif x.tag in GONE or x.role or recurs(x, inside):
                 if x.tag in BLOCK:
                     close()
             elif x.tag == "br":
                 line.append(" ")
             elif x.tag in BLOCK:
                 close()
-                visit(x, template)
+                visit(x, inside)
                 close()
             elif x.tag not in VOID and x.tag != "title":
-                visit(x, template)
+                visit(x, inside)
 
     for top in _articles(root):
-        visit(top, often if top is root else always)
+        visit(top, top is not root)
         close()
     return out
 
