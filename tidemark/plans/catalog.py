@@ -75,7 +75,7 @@ def _(s, d):
 
 def _scaled_sql(f: str) -> str:
     """estimated * f, half-even at 4 places, in integers."""
-    v = f"CAST(CAST(estimated AS DECIMAL(18,4)) * CAST({f} AS DECIMAL(10,4)) * 100000000 AS HUGEINT)"
+    v = f"(CAST(round(estimated * 10000) AS HUGEINT) * CAST(round({f} * 10000) AS HUGEINT))"
     up = f"CASE WHEN {v} % 10000 > 5000 OR ({v} % 10000 = 5000 AND ({v} // 10000) % 2 = 1) THEN 1 ELSE 0 END"
     return f"CASE WHEN factor IS NULL OR estimated <= 0 THEN estimated ELSE greatest(({v} // 10000 + {up})::DOUBLE / 10000, 0.0001) END"
 
