@@ -15,12 +15,15 @@ import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SPACE = "▁"
 #: Segments a worker remembers in each of two generations; the older one goes when the newer is full.
-REMEMBERED = 250_000
+REMEMBERED = 220_000
+#: Rows of an output batch.
+ROWS = 512
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -96,8 +99,9 @@ class MergeModel:
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == self.BYTE}
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self._segments = re.compile(self._safe_splits()).findall
-        self._known: dict[str, tuple[tuple[int, ...], str, str]] = {}
-        self._older: dict[str, tuple[tuple[int, ...], str, str]] = {}
+        self._known: dict[str, str] = {}
+        self._older: dict[str, str] = {}
+        self._odd: dict[str, str] = {}
         self._build_pairs()
 
     def _safe_splits(self) -> str:
@@ -180,13 +184,19 @@ class MergeModel:
                 out += self.output[s] if s >= 0 else self._own_ids(segment[at])
         return tuple(out)
 
-    def _known_segment(self, segment: str) -> tuple[tuple[int, ...], str, str]:
+    def _remember(self, segment: str) -> str:
+        """The segment's ids as decimal text; a segment that does not decode to itself is noted in ``_odd``."""
         entry = self._older.get(segment)
-        if entry is None:
-            ids = self._ids(segment)
-            entry = (ids, ",".join(map(str, ids)), self._text(ids))
         if len(self._known) >= REMEMBERED:
             self._older, self._known = self._known, {}
+        if entry is None:
+            ids = self._ids(segment)
+            entry = ",".join(map(str, ids))
+            text = self._text(ids)
+            if text != segment.replace(SPACE, " "):
+                if len(self._odd) >= REMEMBERED:
+                    self._odd, self._older, self._known = {}, {}, {}
+                self._odd[segment] = text
         self._known[segment] = entry
         return entry
 
@@ -210,15 +220,23 @@ class MergeModel:
             out.append(_utf8(bytes(run)))
         return "".join(out)
 
-    def entries(self, text: str | None) -> list[tuple[tuple[int, ...], str, str]]:
-        """(ids, ids as decimal text, decoded text) of each segment in order."""
+    def coded(self, text: str | None) -> tuple[str, str]:
+        """The ids of a text as decimals joined by commas, and the text they decode to."""
         if not text:
-            return []
-        known, make = self._known, self._known_segment
-        return [known.get(s) or make(s) for s in self._segments(self.prefix + text.replace(" ", SPACE))]
+            return "", ""
+        segments = self._segments(self.prefix + text.replace(" ", SPACE))
+        known, make = self._known.get, self._remember
+        ids = ",".join([known(s) or make(s) for s in segments])
+        odd = self._odd
+        if odd and not odd.keys().isdisjoint(segments):
+            decoded = "".join([odd[s] if s in odd else s.replace(SPACE, " ") for s in segments])
+        else:
+            decoded = "".join(segments).replace(SPACE, " ")
+        return ids, decoded[len(self.prefix) :]
 
     def encode(self, text: str | None) -> list[int]:
-        return [i for e in self.entries(text) for i in e[0]]
+        ids = self.coded(text)[0]
+        return [int(i) for i in ids.split(",")] if ids else []
 
     def decode(self, ids: list[int]) -> str:
         text = self._text(ids)
@@ -271,18 +289,18 @@ def encode_documents(
         from pyspark.sql.pandas.types import to_arrow_schema
 
         model, out = load(model_file), to_arrow_schema(schema)
-        strip = len(model.prefix)
-        for batch in batches:
-            rows = []
-            for text in batch.column(1):
-                entries = model.entries(text.as_py())
-                decoded = "".join([e[2] for e in entries])[strip if entries else 0 :]
+        for whole in batches:
+            for at in range(0, len(whole), ROWS):
+                batch = whole.slice(at, ROWS)
+                coded = [model.coded(t.as_py()) for t in batch.column(1)]
                 if derive:
-                    rows.append(derive(sum(len(e[0]) for e in entries), ",".join([e[1] for e in entries]), decoded))
+                    rows = [derive(ids.count(",") + 1 if ids else 0, ids, text) for ids, text in coded]
+                    cols = [pa.array([r[k] for r in rows], out.field(k + 1).type) for k in range(len(out) - 1)]
                 else:
-                    rows.append(([i for e in entries for i in e[0]], decoded))
-            cols = [batch.column(0).cast(out.field(0).type)]
-            cols += [pa.array([r[k] for r in rows], out.field(k + 1).type) for k in range(len(out) - 1)]
-            yield pa.RecordBatch.from_arrays(cols, schema=out)
+                    ids = [np.fromstring(i, dtype=np.int32, sep=",") for i, _ in coded]
+                    ends = np.cumsum([0] + [len(i) for i in ids]).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else [], pa.int32()))
+                    cols = [lists.cast(out.field(1).type), pa.array([t for _, t in coded], out.field(2).type)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).cast(out.field(0).type), *cols], schema=out)
 
     return df.select(id_col, text_col).mapInArrow(run, schema)
