@@ -40,7 +40,7 @@ PIECE = 2048
 LEAF = 32
 DIMS = 128
 _CHUNK = 4 << 20
-_FLUSH = 1 << 20
+_FLUSH = 1 << 19
 _RNG = np.random.default_rng(20)
 _BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _NEAR = np.array([pow(0xD1B54A32D192ED03, k, 1 << 64) for k in range(4096)], dtype=np.uint64)
