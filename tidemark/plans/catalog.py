@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars
-from tidemark.operators import blocking, calibration, graph, metrics, predicates, textops, versioned
+from tidemark.operators import blocking, calibration, graph, metrics, monitoring, predicates, textops, versioned
 from tidemark.plans.testviews import estimates, links, outcomes, table, traces, versions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -354,3 +354,75 @@ def _(s, d):
 @query("search_bm25")
 def _(s, d):
     return textops.bm25(table(s, d, "documents"), "doc_id", "text", ["license", "released", "benchmark"], 20)
+
+
+@query("expiry_fired", """SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN o_orderdate >= TIMESTAMP '1996-01-01' WHEN 1 THEN o_orderstatus = 'F' END AS fired FROM orders""")
+def _(s, d):
+    k = F.col("o_orderkey") % 3
+    condition = F.when(k == 0, 'after("1996-01-01 00:00:00")').when(k == 1, 'on_event("order  F")').otherwise("when(x > 1)")
+    seen = F.array(F.concat(F.lit("Order "), F.col("o_orderstatus")))
+    return table(s, d, "orders").select("o_orderkey", monitoring.fired(condition, F.col("o_orderdate").cast("timestamp"), seen).alias("fired"))
+
+
+@query("fusion_price", f"""WITH {_EST}, {_OUT}, {_HIST}, {_FACT} SELECT estimate_id, CASE WHEN work_class = 'unclassified' THEN 'unclassified_work' WHEN estimate_id % 10 = 0 THEN 'no_subject'
+    WHEN factor IS NULL THEN 'no_factor' WHEN (estimated <= 150000) = (estimated * factor <= 150000) THEN 'unchanged' WHEN estimated <= 150000 THEN 'flipped' ELSE 'relieved' END AS verdict
+    FROM est LEFT JOIN facs USING (owner, work_class)""")
+def _(s, d):
+    f = calibration.factors(_history(s, d)).select("owner", "work_class", "factor")
+    e = estimates(s, d).join(F.broadcast(f), ["owner", "work_class"], "left")
+    subject = F.when(F.col("estimate_id") % 10 != 0, F.lit("total"))
+    holds = lambda x: predicates.lower(predicates.parse("total <= 150000"), {"total": ("num", x)})
+    verdict = monitoring.moved(F.col("estimate_id"), F.col("work_class") == "unclassified", subject, F.col("factor"), holds(F.col("estimated")), holds(F.col("estimated") * F.col("factor")))
+    return e.select("estimate_id", verdict.alias("verdict"))
+
+
+_SHAPE = "p_brand || '|' || p_type || '|' || CAST(p_size AS VARCHAR)"
+
+
+@query("curator_duplicates", f"""WITH s AS (SELECT p_partkey AS id, {_SHAPE} AS shape FROM part), l AS (SELECT *, max(id) OVER (PARTITION BY shape) AS newer FROM s)
+    SELECT id AS older, newer FROM l WHERE id <> newer AND id % 11 <> 0""")
+def _(s, d):
+    shapes = table(s, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws("|", "p_brand", "p_type", F.col("p_size").cast("string")).alias("shape"), F.col("p_partkey").alias("created_at"))
+    done = monitoring.merges(shapes, shapes.select(F.col("id").alias("older"), F.col("id").alias("newer"))).where("older % 11 = 0")
+    return monitoring.merges(shapes, done)
+
+
+@query("breach_severity", """SELECT c_nationkey, CASE WHEN bool_or(c_mktsegment = 'BUILDING' AND c_acctbal > 9000) THEN 'critical' WHEN bool_or(c_mktsegment = 'BUILDING') THEN 'high'
+    WHEN bool_or(c_mktsegment = 'MACHINERY') THEN 'medium' ELSE 'low' END AS severity FROM customer GROUP BY 1""")
+def _(s, d):
+    impact = F.when(F.col("c_mktsegment") == "BUILDING", "high").when(F.col("c_mktsegment") == "MACHINERY", "medium").otherwise("low")
+    scope = F.when(F.col("c_acctbal") > 9000, "organisation").otherwise("team")
+    return monitoring.severity(table(s, d, "customer").select("c_nationkey", impact.alias("impact"), scope.alias("scope")), "c_nationkey")
+
+
+@query("finding_diff", """SELECT e.user_id, e.n, CASE WHEN o.n IS NULL THEN 'added' WHEN o.n <> e.n THEN 'revised' ELSE 'kept' END AS action
+    FROM (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1) e LEFT JOIN (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'error' AND event_id < 3000 GROUP BY 1) o USING (user_id)""")
+def _(s, d):
+    e = table(s, d, "events").where("event_type = 'error'")
+    count = lambda df: df.groupBy("user_id").agg(F.count("*").alias("n"))
+    return monitoring.finding_changes(count(e), count(e.where("event_id < 3000")), ["user_id"], "n")
+
+
+@query("quote_verify", """SELECT d.doc_id, b.item_id, CASE WHEN contains(d.text, b.text) THEN 'exact' ELSE 'absent' END AS verdict
+    FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id""")
+def _(s, d):
+    claims = table(s, d, "benchmark").select("item_id", F.col("text").alias("claim"))
+    pairs = table(s, d, "documents").join(claims, F.col("doc_id") % 40 == F.col("item_id"))
+    verdict = F.when(textops.quoted(F.col("text"), F.col("claim")) == "exact", "exact").otherwise("absent")
+    return pairs.select("doc_id", "item_id", verdict.alias("verdict"))
+
+
+@query("trace_determinism", f"WITH {_TR} SELECT agent, tokens, count(*) AS asked, count(DISTINCT cost) AS answers FROM t GROUP BY 1, 2 HAVING count(*) > 1")
+def _(s, d):
+    return traces(s, d).groupBy("agent", "tokens").agg(F.count("*").alias("asked"), F.countDistinct("cost").alias("answers")).where("asked > 1")
+
+
+@query("evidence_lists", "SELECT l_orderkey, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey) AS parts FROM lineitem GROUP BY 1")
+def _(s, d):
+    pairs = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey")))
+    return table(s, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(pairs, lambda p: p["l_partkey"].cast("string")), ",").alias("parts"))
+
+
+@query("orphan_edges", "SELECT l_orderkey, count(*) AS n FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey) GROUP BY 1")
+def _(s, d):
+    return table(s, d, "lineitem").join(table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"), "left_anti").groupBy("l_orderkey").agg(F.count("*").alias("n"))
