@@ -108,4 +108,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_REACH = """c(node, root) AS (SELECT id, id FROM nodes UNION SELECT l.b, c.root FROM c JOIN l ON l.a = c.node WHERE c.root < l.b),
+    m AS (SELECT node, min(root) AS component_id FROM c GROUP BY 1)"""
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_embedding_near_dedup": f"""WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+        nodes AS (SELECT vec_id AS id FROM v), {_REACH}, k AS (SELECT a, count(*) AS n FROM l GROUP BY 1)
+        SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN m ON node = vec_id LEFT JOIN k ON a = vec_id""",
+    "op10_ngram_jaccard": f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM s x JOIN s y USING (g) WHERE x.doc_id <> y.doc_id GROUP BY 1, 2),
+        l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 75 * (x.n + y.n - o)),
+        nodes AS (SELECT doc_id AS id FROM documents), {_REACH}
+        SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id FROM documents d JOIN m ON node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
+}
