@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars
-from tidemark.operators import blocking, calibration, graph, metrics, monitoring, predicates, textops, versioned
+from tidemark.operators import blocking, calibration, citation, graph, metrics, monitoring, predicates, textops, versioned
 from tidemark.plans.testviews import estimates, links, outcomes, table, traces, versions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -426,3 +426,31 @@ def _(s, d):
 @query("orphan_edges", "SELECT l_orderkey, count(*) AS n FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey) GROUP BY 1")
 def _(s, d):
     return table(s, d, "lineitem").join(table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"), "left_anti").groupBy("l_orderkey").agg(F.count("*").alias("n"))
+
+
+@query("citation_gate", """SELECT doc_id, CASE WHEN d.lang = 'de' THEN 'unoffered' WHEN b.item_id IS NULL THEN 'unresolvable' WHEN contains(d.text, b.text) THEN 'cited'
+    WHEN contains(d.text, substr(b.text, 1, 20)) THEN 'misattributed' ELSE 'fabricated' END AS verdict FROM documents d LEFT JOIN benchmark b ON d.doc_id % 50 = b.item_id""")
+def _(s, d):
+    claims = table(s, d, "benchmark").select("item_id", F.col("text").alias("claim"))
+    pairs = table(s, d, "documents").join(claims, F.col("doc_id") % 50 == F.col("item_id"), "left")
+    near = F.contains("text", F.substring("claim", 1, 20))
+    verdict = citation.gate(F.col("lang") != "de", F.col("item_id").isNotNull(), F.contains("text", F.col("claim")), near)
+    return pairs.select("doc_id", verdict.alias("verdict"))
+
+
+@query("decision_detail", f"""WITH {_EST}, {_OUT}, {_HIST}, li AS (SELECT l_orderkey, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey) AS parts, count(*) AS n FROM lineitem GROUP BY 1)
+    SELECT estimate_id, owner, work_class, coalesce(n, 0) AS lines, coalesce(parts, '') AS parts, actual IS NOT NULL AS resolved FROM hist LEFT JOIN li ON l_orderkey = estimate_id""")
+def _(s, d):
+    pairs = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey")))
+    parts = F.array_join(F.transform(pairs, lambda p: p["l_partkey"].cast("string")), ",")
+    lines = table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("estimate_id")).agg(parts.alias("parts"), F.count("*").alias("n"))
+    return _history(s, d).join(lines, "estimate_id", "left").select(
+        "estimate_id", "owner", "work_class", F.coalesce("n", F.lit(0)).alias("lines"), F.coalesce("parts", F.lit("")).alias("parts"), F.col("actual").isNotNull().alias("resolved")
+    )
+
+
+@query("overview", f"""WITH {_EST}, {_OUT}, {_HIST}, {_FACT} SELECT arg_max(owner || '/' || work_class, magnitude) AS loudest, count(*) AS factors,
+    count(*) FILTER (verdict = 'measured') AS measured FROM facs""")
+def _(s, d):
+    f = calibration.factors(_history(s, d))
+    return f.agg(F.max_by(F.concat_ws("/", "owner", "work_class"), "magnitude").alias("loudest"), F.count("*").alias("factors"), F.count_if(F.col("verdict") == "measured").alias("measured"))
