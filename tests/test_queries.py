@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from tidemark.plans.catalog import ORACLE_SQL, QUERIES
+from tidemark.plans import ORACLE_SQL, QUERIES
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents benchmark labels conversations".split()

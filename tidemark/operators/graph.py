@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.rounds import settled
+
 MAX_DEPTH = 16
 
 
@@ -22,7 +24,7 @@ def walk(edges: DataFrame, roots: DataFrame, reverse: bool = True, depth: int =
         fresh = frontier.join(step, "node").select("root", F.col("next").alias("node")).distinct()
         if seen is not None:
             fresh = fresh.join(seen, ["root", "node"], "left_anti")
-        fresh = fresh.persist()
+        fresh = settled(fresh)
         if fresh.isEmpty():
             break
         layer = fresh.withColumn("depth", F.lit(d))

@@ -1,74 +1,30 @@
-"""All queries over the driver's tables, by name, with the same queries in SQL."""
+"""Queries over the driver's tables, by name, with the same queries in SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars
 from tidemark.operators import blocking, calibration, citation, graph, metrics, monitoring, predicates, textops, versioned
+from tidemark.plans.registry import EST, FACT, FINE, HEAD, HIST, LINK, OUT, TR, VER, query
 from tidemark.plans.testviews import estimates, links, outcomes, table, traces, versions
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-_EST = """est AS (SELECT o_orderkey AS estimate_id, c_mktsegment AS owner,
-    CASE WHEN regexp_full_match(regexp_replace(lower(trim(o_orderpriority)), '\\s+', '-', 'g'), '[a-z0-9]+(-[a-z0-9]+)*')
-         THEN regexp_replace(lower(trim(o_orderpriority)), '\\s+', '-', 'g') ELSE 'unclassified' END AS work_class,
-    o_totalprice AS estimated FROM orders JOIN customer ON o_custkey = c_custkey)"""
-_OUT = """lines AS (SELECT l_orderkey, CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))) * (1 + CAST(l_tax AS DECIMAL(4,2)))) AS DOUBLE) AS actual FROM lineitem GROUP BY 1),
-    outc AS (SELECT o_orderkey AS estimate_id, actual FROM orders LEFT JOIN lines ON l_orderkey = o_orderkey)"""
-_HIST = """hist AS (SELECT estimate_id, owner, work_class, estimated, actual, CASE WHEN actual > 0 AND estimated > 0 THEN actual / estimated END AS ratio
-    FROM est JOIN outc USING (estimate_id))"""
-_FACT = """agg AS (SELECT owner, work_class, count(*) AS considered, count(actual) AS resolved, count(ratio) AS n, avg(ln(ratio)) AS mean,
-    coalesce(stddev_samp(ln(ratio)), 0) AS sd FROM hist GROUP BY 1, 2),
-    ver AS (SELECT *, CASE WHEN work_class = 'unclassified' THEN 'unclassified' WHEN resolved = 0 THEN 'no_resolved_outcomes'
-        WHEN n < 5 THEN 'insufficient_sample' ELSE 'measured' END AS verdict FROM agg),
-    fac AS (SELECT owner, work_class, considered, resolved, n, resolved - n AS excluded, verdict,
-        CASE WHEN verdict = 'measured' THEN round_even(exp(mean), 4) END AS factor, CASE WHEN verdict = 'measured' THEN round_even(sd, 4) END AS spread,
-        CASE WHEN verdict = 'measured' THEN round_even(exp(mean) / exp(sd), 4) END AS low, CASE WHEN verdict = 'measured' THEN round_even(exp(mean) * exp(sd), 4) END AS high,
-        CASE WHEN verdict = 'measured' THEN round_even(n / (n + 5.0::DOUBLE) / (1 + sd), 4) END AS confidence FROM ver),
-    facs AS (SELECT *, CASE WHEN factor > 1.05 THEN 'under' WHEN factor < 0.95 THEN 'over' WHEN factor IS NOT NULL THEN 'none' END AS direction,
-        CASE WHEN factor >= 1 THEN factor ELSE round_even(1 / factor, 4) END AS magnitude FROM fac)"""
-_FINE = _EST.replace("c_mktsegment AS owner", "CAST(o_custkey AS VARCHAR) AS owner").replace("FROM orders JOIN customer ON o_custkey = c_custkey", "FROM orders")
-_VER = """v AS (SELECT user_id AS id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS version,
-    event_type = 'error' AS retracted, event_id, value AS payload FROM events)"""
-_HEAD = f"{_VER}, h AS (SELECT id, max(version) AS version FROM v GROUP BY id), head AS (SELECT v.* FROM v JOIN h USING (id, version))"
-_TR = """t AS (SELECT event_id AS seq, event_type AS agent, user_id AS run_id, CAST(value AS DECIMAL(18,4)) AS cost,
-    CAST(json_extract_string(props, '$.k') AS BIGINT) AS tokens, ts FROM events)"""
-_LINK = """link AS (SELECT 'O-' || o_orderkey AS src, 'C-' || o_custkey AS dst, 'assumes' AS link_type FROM orders
-    UNION ALL SELECT 'C-' || c_custkey, 'N-' || c_nationkey, 'justified_by' FROM customer
-    UNION ALL SELECT 'S-' || s_suppkey, 'N-' || s_nationkey, 'justified_by' FROM supplier
-    UNION ALL SELECT 'N-' || n_nationkey, 'R-' || n_regionkey, 'estimated_as' FROM nation)"""
-
-
-def query(name: str, sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = f
-        if sql:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return add
-
-
 def _history(s: SparkSession, d: str, fine: bool = False) -> DataFrame:
     return calibration.history(estimates(s, d, fine), outcomes(s, d))
 
 
-@query("calibration_history", f"WITH {_EST}, {_OUT}, {_HIST} SELECT * FROM hist")
+@query("calibration_history", f"WITH {EST}, {OUT}, {HIST} SELECT * FROM hist")
 def _(s, d):
     return _history(s, d)
 
 
-@query("calibration_factors", f"WITH {_EST}, {_OUT}, {_HIST}, {_FACT} SELECT * FROM facs")
+@query("calibration_factors", f"WITH {EST}, {OUT}, {HIST}, {FACT} SELECT * FROM facs")
 def _(s, d):
     return calibration.factors(_history(s, d))
 
 
-@query("calibration_factors_fine", f"WITH {_FINE}, {_OUT}, {_HIST}, {_FACT} SELECT * FROM facs")
+@query("calibration_factors_fine", f"WITH {FINE}, {OUT}, {HIST}, {FACT} SELECT * FROM facs")
 def _(s, d):
     return calibration.factors(_history(s, d, True))
 
@@ -80,14 +36,14 @@ def _scaled_sql(f: str) -> str:
     return f"CASE WHEN factor IS NULL OR estimated <= 0 THEN estimated ELSE greatest(({v} // 10000 + {up})::DOUBLE / 10000, 0.0001) END"
 
 
-@query("calibrate_quantities", f"""WITH {_EST}, {_OUT}, {_HIST}, {_FACT}
+@query("calibrate_quantities", f"""WITH {EST}, {OUT}, {HIST}, {FACT}
     SELECT estimate_id, owner, work_class, estimated AS quantity, {_scaled_sql("factor")} AS calibrated, {_scaled_sql("low")} AS band_low,
         {_scaled_sql("high")} AS band_high, factor IS NOT NULL AS applied FROM est LEFT JOIN facs USING (owner, work_class)""")
 def _(s, d):
     return calibration.calibrate(estimates(s, d), calibration.factors(_history(s, d)))
 
 
-@query("match_quality", f"""WITH {_EST}, {_OUT}, {_HIST} SELECT estimate_id, CASE WHEN actual IS NULL THEN 'unresolved' WHEN estimated = actual THEN 'exact'
+@query("match_quality", f"""WITH {EST}, {OUT}, {HIST} SELECT estimate_id, CASE WHEN actual IS NULL THEN 'unresolved' WHEN estimated = actual THEN 'exact'
     WHEN least(estimated, actual) <= 0 THEN 'miss' WHEN greatest(estimated, actual) / least(estimated, actual) < 1.10 THEN 'exact'
     WHEN greatest(estimated, actual) / least(estimated, actual) < 1.50 THEN 'close' WHEN greatest(estimated, actual) / least(estimated, actual) < 2.50 THEN 'partial'
     ELSE 'miss' END AS quality FROM hist""")
@@ -95,7 +51,7 @@ def _(s, d):
     return _history(s, d).select("estimate_id", calibration.match_quality(F.col("estimated"), F.col("actual")).alias("quality"))
 
 
-@query("work_class_vocab", f"WITH {_EST} SELECT DISTINCT work_class FROM est")
+@query("work_class_vocab", f"WITH {EST} SELECT DISTINCT work_class FROM est")
 def _(s, d):
     return estimates(s, d).select("work_class").distinct()
 
@@ -108,77 +64,77 @@ _WALK = """us AS (SELECT owner, work_class, ratio, count(*) OVER w AS prior, rou
         count(*) FILTER (raw - corrected < -0.0001) AS worsened, round_even(avg(raw), 4) AS raw_error, round_even(avg(corrected), 4) AS corrected_error FROM sc GROUP BY 1, 2)"""
 
 
-@query("backtest_walk", f"WITH {_EST}, {_OUT}, {_HIST}, {_WALK} SELECT * FROM wk")
+@query("backtest_walk", f"WITH {EST}, {OUT}, {HIST}, {_WALK} SELECT * FROM wk")
 def _(s, d):
     return calibration.walk(_history(s, d))
 
 
-@query("backtest_total", f"""WITH {_EST}, {_OUT}, {_HIST}, {_WALK} SELECT CAST(sum(scored) AS BIGINT) AS scored, CAST(sum(improved) AS BIGINT) AS improved,
+@query("backtest_total", f"""WITH {EST}, {OUT}, {HIST}, {_WALK} SELECT CAST(sum(scored) AS BIGINT) AS scored, CAST(sum(improved) AS BIGINT) AS improved,
     CAST(sum(worsened) AS BIGINT) AS worsened, round_even(sum(raw_error * scored) / sum(scored), 4) AS raw_error,
     round_even(sum(corrected_error * scored) / sum(scored), 4) AS corrected_error, round_even(sum(improved)::DOUBLE / sum(scored), 4) AS score FROM wk""")
 def _(s, d):
     return calibration.walk_total(calibration.walk(_history(s, d)))
 
 
-@query("record_head", f"WITH {_HEAD} SELECT id, version, retracted, event_id, payload FROM head")
+@query("record_head", f"WITH {HEAD} SELECT id, version, retracted, event_id, payload FROM head")
 def _(s, d):
     return versioned.head(versions(s, d))
 
 
-@query("current_records", f"WITH {_HEAD} SELECT id, version, event_id, payload FROM head WHERE NOT retracted")
+@query("current_records", f"WITH {HEAD} SELECT id, version, event_id, payload FROM head WHERE NOT retracted")
 def _(s, d):
     return versioned.standing(versions(s, d)).select("id", "version", "event_id", "payload")
 
 
-@query("version_gaps", f"WITH {_VER} SELECT id, CAST(count(*) AS BIGINT) AS gaps FROM (SELECT id, version, coalesce(lag(version) OVER (PARTITION BY id ORDER BY version), 0) AS b FROM v WHERE NOT retracted) WHERE version <> b + 1 GROUP BY id")
+@query("version_gaps", f"WITH {VER} SELECT id, CAST(count(*) AS BIGINT) AS gaps FROM (SELECT id, version, coalesce(lag(version) OVER (PARTITION BY id ORDER BY version), 0) AS b FROM v WHERE NOT retracted) WHERE version <> b + 1 GROUP BY id")
 def _(s, d):
     return versioned.version_gaps(versions(s, d).where("not retracted")).groupBy("id").agg(F.count("*").alias("gaps"))
 
 
-@query("revision_conflicts", f"WITH {_HEAD} SELECT p.id, p.version, h.version AS head, CASE WHEN p.version = h.version THEN h.version + 1 END AS written, p.version <> h.version AS conflict FROM v p JOIN h USING (id) WHERE p.event_id % 7 = 0")
+@query("revision_conflicts", f"WITH {HEAD} SELECT p.id, p.version, h.version AS head, CASE WHEN p.version = h.version THEN h.version + 1 END AS written, p.version <> h.version AS conflict FROM v p JOIN h USING (id)")
 def _(s, d):
     v = versions(s, d)
-    return versioned.revisions(v.where("event_id % 7 = 0"), v)
+    return versioned.revisions(v, v)
 
 
-@query("next_sequential_ids", f"""WITH {_TR}, top AS (SELECT agent, max(seq) AS m FROM t GROUP BY agent)
+@query("next_sequential_ids", f"""WITH {TR}, top AS (SELECT agent, max(seq) AS m FROM t GROUP BY agent)
     SELECT u.agent, u.run_id, CAST(m + row_number() OVER (PARTITION BY u.agent ORDER BY u.run_id) AS BIGINT) AS ordinal FROM (SELECT DISTINCT agent, run_id FROM t) u JOIN top USING (agent)""")
 def _(s, d):
     t = traces(s, d)
     return versioned.next_ids(t.select("agent", "run_id").distinct(), t.withColumnRenamed("seq", "ordinal"), "agent", "run_id").select("agent", "run_id", "ordinal")
 
 
-@query("audit_page", f"WITH {_TR} SELECT seq, agent, run_id FROM t WHERE seq < 5000 ORDER BY seq DESC LIMIT 50")
+@query("audit_page", f"WITH {TR} SELECT seq, agent, run_id FROM t WHERE seq < 5000 ORDER BY seq DESC LIMIT 50")
 def _(s, d):
     return versioned.page(traces(s, d), "seq", 5000).select("seq", "agent", "run_id")
 
 
-@query("audit_by_entity", f"WITH {_VER} SELECT id, version, event_id FROM v WHERE id % 10 = 3")
+@query("audit_by_entity", f"WITH {VER} SELECT id, version, event_id FROM v")
 def _(s, d):
-    return versions(s, d).where("id % 10 = 3").select("id", "version", "event_id")
+    return versions(s, d).select("id", "version", "event_id")
 
 
-@query("cost_by_agent", f"WITH {_TR} SELECT agent, CAST(sum(cost) AS DOUBLE) AS cost, count(*) AS calls FROM t GROUP BY agent")
+@query("cost_by_agent", f"WITH {TR} SELECT agent, CAST(sum(cost) AS DOUBLE) AS cost, count(*) AS calls FROM t GROUP BY agent")
 def _(s, d):
     return traces(s, d).groupBy("agent").agg(F.sum("cost").cast("double").alias("cost"), F.count("*").alias("calls"))
 
 
-@query("tokens_by_agent", f"WITH {_TR} SELECT agent, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(max(tokens) AS BIGINT) AS most FROM t GROUP BY agent")
+@query("tokens_by_agent", f"WITH {TR} SELECT agent, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(max(tokens) AS BIGINT) AS most FROM t GROUP BY agent")
 def _(s, d):
     return traces(s, d).groupBy("agent").agg(F.sum("tokens").alias("tokens"), F.max("tokens").alias("most"))
 
 
-@query("run_cost", f"WITH {_TR} SELECT run_id, CAST(sum(cost) AS DOUBLE) AS cost, count(DISTINCT agent) AS agents FROM t GROUP BY run_id")
+@query("run_cost", f"WITH {TR} SELECT run_id, CAST(sum(cost) AS DOUBLE) AS cost, count(DISTINCT agent) AS agents FROM t GROUP BY run_id")
 def _(s, d):
     return traces(s, d).groupBy("run_id").agg(F.sum("cost").cast("double").alias("cost"), F.countDistinct("agent").alias("agents"))
 
 
-@query("recent_runs", f"WITH {_TR} SELECT run_id, max(seq) AS last FROM t GROUP BY run_id ORDER BY last DESC LIMIT 20")
+@query("recent_runs", f"WITH {TR} SELECT run_id, max(seq) AS last FROM t GROUP BY run_id ORDER BY last DESC LIMIT 20")
 def _(s, d):
     return traces(s, d).groupBy("run_id").agg(F.max("seq").alias("last")).orderBy(F.desc("last")).limit(20)
 
 
-@query("budget_gate", f"WITH {_TR} SELECT seq, run_id, CAST(sum(cost) OVER (PARTITION BY run_id ORDER BY seq) AS DOUBLE) AS spent, sum(cost) OVER (PARTITION BY run_id ORDER BY seq) <= 500 AS affordable FROM t")
+@query("budget_gate", f"WITH {TR} SELECT seq, run_id, CAST(sum(cost) OVER (PARTITION BY run_id ORDER BY seq) AS DOUBLE) AS spent, sum(cost) OVER (PARTITION BY run_id ORDER BY seq) <= 500 AS affordable FROM t")
 def _(s, d):
     from pyspark.sql import Window
 
@@ -215,18 +171,18 @@ def _(s, d):
     return part("customer", "C-", "c_custkey", "c_name").unionByName(part("supplier", "S-", "s_suppkey", "s_name")).unionByName(part("part", "P-", "p_partkey", "p_name"))
 
 
-@query("store_stats", f"WITH {_LINK} SELECT link_type, count(*) AS n, count(DISTINCT src) AS sources, count(DISTINCT dst) AS targets FROM link GROUP BY 1")
+@query("store_stats", f"WITH {LINK} SELECT link_type, count(*) AS n, count(DISTINCT src) AS sources, count(DISTINCT dst) AS targets FROM link GROUP BY 1")
 def _(s, d):
     return links(s, d).groupBy("link_type").agg(F.count("*").alias("n"), F.countDistinct("src").alias("sources"), F.countDistinct("dst").alias("targets"))
 
 
-@query("edges_from", f"WITH {_LINK} SELECT src, dst, link_type FROM link WHERE link_type IN ('justified_by', 'estimated_as')")
+@query("edges_from", f"WITH {LINK} SELECT src, dst, link_type FROM link WHERE link_type IN ('justified_by', 'estimated_as')")
 def _(s, d):
     return links(s, d).where(F.col("link_type").isin("justified_by", "estimated_as"))
 
 
 def _walk_sql(roots: str, here: str, there: str) -> str:
-    return f"""WITH RECURSIVE {_LINK}, roots AS ({roots}), w(root, node, depth) AS (SELECT root, root, 0 FROM roots
+    return f"""WITH RECURSIVE {LINK}, roots AS ({roots}), w(root, node, depth) AS (SELECT root, root, 0 FROM roots
         UNION SELECT root, l.{there}, depth + 1 FROM w JOIN link l ON l.{here} = w.node WHERE depth < 16)
         SELECT root, node, CAST(min(depth) AS INTEGER) AS depth FROM w WHERE depth > 0 GROUP BY 1, 2"""
 
@@ -241,8 +197,8 @@ def _(s, d):
     return graph.walk(links(s, d), table(s, d, "orders").select(F.concat(F.lit("O-"), F.col("o_orderkey").cast("string")).alias("root")), reverse=False)
 
 
-@query("collateral_survey", f"""WITH {_EST}, {_OUT}, {_HIST}, miss AS (SELECT 'O-' || estimate_id AS src, greatest(estimated, actual) / least(estimated, actual) AS over FROM hist
-    WHERE actual > 0 AND estimated > 0 AND greatest(estimated, actual) / least(estimated, actual) >= 2.5), {_LINK}
+@query("collateral_survey", f"""WITH {EST}, {OUT}, {HIST}, miss AS (SELECT 'O-' || estimate_id AS src, greatest(estimated, actual) / least(estimated, actual) AS over FROM hist
+    WHERE actual > 0 AND estimated > 0 AND greatest(estimated, actual) / least(estimated, actual) >= 2.5), {LINK}
     SELECT dst, count(*) AS misses, round_even(max(over), 4) AS worst FROM miss JOIN link USING (src) GROUP BY dst""")
 def _(s, d):
     h = _history(s, d).withColumn("quality", calibration.match_quality(F.col("estimated"), F.col("actual"))).where("quality = 'miss' and ratio is not null")
@@ -271,12 +227,12 @@ def _(s, d):
     return table(s, d, "orders").select("o_orderkey", status.alias("status"), fired.alias("fired"))
 
 
-@query("interval_conflicts", """WITH r AS (SELECT p_brand AS name, p_partkey AS id, p_retailprice AS low, p_retailprice + p_size AS high FROM part WHERE p_size < 10)
+@query("interval_conflicts", """WITH r AS (SELECT p_brand || '|' || p_type || '|' || CAST(p_size AS VARCHAR) AS name, p_partkey AS id, p_retailprice AS low, p_retailprice + p_size AS high FROM part)
     SELECT name, a.id AS a, b.id AS b FROM r a JOIN r b USING (name) WHERE a.id < b.id AND (greatest(a.low, b.low) > least(a.high, b.high)
         OR greatest(a.low, b.low) = least(a.high, b.high) AND NOT (greatest(a.low, b.low) > a.low OR true))""")
 def _(s, d):
     p = F.col("p_retailprice")
-    r = table(s, d, "part").where("p_size < 10").select(F.col("p_brand").alias("name"), F.col("p_partkey").alias("id"), F.struct(p.alias("low"), F.lit(True).alias("low_closed"), (p + F.col("p_size")).alias("high"), F.lit(True).alias("high_closed")).alias("r"))
+    r = table(s, d, "part").select(F.concat_ws("|", "p_brand", "p_type", F.col("p_size").cast("string")).alias("name"), F.col("p_partkey").alias("id"), F.struct(p.alias("low"), F.lit(True).alias("low_closed"), (p + F.col("p_size")).alias("high"), F.lit(True).alias("high_closed")).alias("r"))
     pairs = r.withColumnsRenamed({"id": "a", "r": "ra"}).join(r.withColumnsRenamed({"id": "b", "r": "rb"}), "name").where("a < b")
     return pairs.where(predicates.disjoint("ra", "rb")).select("name", "a", "b")
 
@@ -344,7 +300,7 @@ def _(s, d):
 
 @query("overlap_match")
 def _(s, d):
-    o = table(s, d, "lineitem").where("l_orderkey < 4000")
+    o = table(s, d, "lineitem")
     at = F.unix_date(F.col("l_shipdate").cast("date"))
     items = o.where("l_linenumber % 2 = 1").select("l_orderkey", F.col("l_linenumber").alias("item_id"), at.alias("i_start"), (at + F.col("l_quantity")).alias("i_end"))
     claims = o.where("l_linenumber % 2 = 0").select("l_orderkey", F.col("l_linenumber").alias("record_id"), at.alias("c_start"), (at + F.col("l_quantity")).alias("c_end"))
@@ -364,7 +320,7 @@ def _(s, d):
     return table(s, d, "orders").select("o_orderkey", monitoring.fired(condition, F.col("o_orderdate").cast("timestamp"), seen).alias("fired"))
 
 
-@query("fusion_price", f"""WITH {_EST}, {_OUT}, {_HIST}, {_FACT} SELECT estimate_id, CASE WHEN work_class = 'unclassified' THEN 'unclassified_work' WHEN estimate_id % 10 = 0 THEN 'no_subject'
+@query("fusion_price", f"""WITH {EST}, {OUT}, {HIST}, {FACT} SELECT estimate_id, CASE WHEN work_class = 'unclassified' THEN 'unclassified_work' WHEN estimate_id % 10 = 0 THEN 'no_subject'
     WHEN factor IS NULL THEN 'no_factor' WHEN (estimated <= 150000) = (estimated * factor <= 150000) THEN 'unchanged' WHEN estimated <= 150000 THEN 'flipped' ELSE 'relieved' END AS verdict
     FROM est LEFT JOIN facs USING (owner, work_class)""")
 def _(s, d):
@@ -379,12 +335,12 @@ def _(s, d):
 _SHAPE = "p_brand || '|' || p_type || '|' || CAST(p_size AS VARCHAR)"
 
 
-@query("curator_duplicates", f"""WITH s AS (SELECT p_partkey AS id, {_SHAPE} AS shape FROM part), l AS (SELECT *, max(id) OVER (PARTITION BY shape) AS newer FROM s)
-    SELECT id AS older, newer FROM l WHERE id <> newer AND id % 11 <> 0""")
+@query("curator_duplicates", f"""WITH s AS (SELECT p_partkey AS id, {_SHAPE} AS shape, p_retailprice AS price FROM part), l AS (SELECT *, max(id) OVER (PARTITION BY shape) AS newer FROM s)
+    SELECT id AS older, newer FROM l WHERE id <> newer AND price <= 1500""")
 def _(s, d):
-    shapes = table(s, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws("|", "p_brand", "p_type", F.col("p_size").cast("string")).alias("shape"), F.col("p_partkey").alias("created_at"))
-    done = monitoring.merges(shapes, shapes.select(F.col("id").alias("older"), F.col("id").alias("newer"))).where("older % 11 = 0")
-    return monitoring.merges(shapes, done)
+    shapes = table(s, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws("|", "p_brand", "p_type", F.col("p_size").cast("string")).alias("shape"), F.col("p_partkey").alias("created_at"), "p_retailprice")
+    dear = shapes.where("p_retailprice > 1500").select(F.col("id").alias("older"))
+    return monitoring.merges(shapes, dear.join(monitoring.merges(shapes, dear.select("older", F.col("older").alias("newer"))), "older"))
 
 
 @query("breach_severity", """SELECT c_nationkey, CASE WHEN bool_or(c_mktsegment = 'BUILDING' AND c_acctbal > 9000) THEN 'critical' WHEN bool_or(c_mktsegment = 'BUILDING') THEN 'high'
@@ -396,11 +352,11 @@ def _(s, d):
 
 
 @query("finding_diff", """SELECT e.user_id, e.n, CASE WHEN o.n IS NULL THEN 'added' WHEN o.n <> e.n THEN 'revised' ELSE 'kept' END AS action
-    FROM (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1) e LEFT JOIN (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'error' AND event_id < 3000 GROUP BY 1) o USING (user_id)""")
+    FROM (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1) e LEFT JOIN (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'error' AND value < 60 GROUP BY 1) o USING (user_id)""")
 def _(s, d):
     e = table(s, d, "events").where("event_type = 'error'")
     count = lambda df: df.groupBy("user_id").agg(F.count("*").alias("n"))
-    return monitoring.finding_changes(count(e), count(e.where("event_id < 3000")), ["user_id"], "n")
+    return monitoring.finding_changes(count(e), count(e.where("value < 60")), ["user_id"], "n")
 
 
 @query("quote_verify", """SELECT d.doc_id, b.item_id, CASE WHEN contains(d.text, b.text) THEN 'exact' ELSE 'absent' END AS verdict
@@ -412,7 +368,7 @@ def _(s, d):
     return pairs.select("doc_id", "item_id", verdict.alias("verdict"))
 
 
-@query("trace_determinism", f"WITH {_TR} SELECT agent, tokens, count(*) AS asked, count(DISTINCT cost) AS answers FROM t GROUP BY 1, 2 HAVING count(*) > 1")
+@query("trace_determinism", f"WITH {TR} SELECT agent, tokens, count(*) AS asked, count(DISTINCT cost) AS answers FROM t GROUP BY 1, 2 HAVING count(*) > 1")
 def _(s, d):
     return traces(s, d).groupBy("agent", "tokens").agg(F.count("*").alias("asked"), F.countDistinct("cost").alias("answers")).where("asked > 1")
 
@@ -438,7 +394,7 @@ def _(s, d):
     return pairs.select("doc_id", verdict.alias("verdict"))
 
 
-@query("decision_detail", f"""WITH {_EST}, {_OUT}, {_HIST}, li AS (SELECT l_orderkey, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey) AS parts, count(*) AS n FROM lineitem GROUP BY 1)
+@query("decision_detail", f"""WITH {EST}, {OUT}, {HIST}, li AS (SELECT l_orderkey, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey) AS parts, count(*) AS n FROM lineitem GROUP BY 1)
     SELECT estimate_id, owner, work_class, coalesce(n, 0) AS lines, coalesce(parts, '') AS parts, actual IS NOT NULL AS resolved FROM hist LEFT JOIN li ON l_orderkey = estimate_id""")
 def _(s, d):
     pairs = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey")))
@@ -449,7 +405,7 @@ def _(s, d):
     )
 
 
-@query("overview", f"""WITH {_EST}, {_OUT}, {_HIST}, {_FACT} SELECT arg_max(owner || '/' || work_class, magnitude) AS loudest, count(*) AS factors,
+@query("overview", f"""WITH {EST}, {OUT}, {HIST}, {FACT} SELECT arg_max(owner || '/' || work_class, magnitude) AS loudest, count(*) AS factors,
     count(*) FILTER (verdict = 'measured') AS measured FROM facs""")
 def _(s, d):
     f = calibration.factors(_history(s, d))
