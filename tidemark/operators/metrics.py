@@ -45,7 +45,7 @@ def unmatched(items: DataFrame, claims: DataFrame, matched: DataFrame, by: list[
 
 def field_matches(comparison: Column, expected: Column, actual: Column, tolerance: Column) -> Column:
     """exact, contains, set (parts between ``|``) or numeric (within the tolerance); never null."""
-    parts = lambda x: F.array_sort(F.array_distinct(F.filter(F.transform(F.split(F.lower(x), r"\|"), F.trim), lambda p: p != "")))
+    parts = lambda x: F.array_sort(F.array_distinct(F.filter(F.transform(F.split(F.lower(x), r"\|"), lambda p: F.trim(p)), lambda p: p != "")))
     number = lambda x: F.trim(x).try_cast("decimal(28,8)")
     same = (
         F.when(comparison == "exact", F.trim(actual) == F.trim(expected)).when(comparison == "contains", F.contains(F.lower(actual), F.lower(F.trim(expected))))

@@ -10,7 +10,8 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _LEX = re.compile(r'\s*(?:(?P<num>\d[\d_]*(?:\.\d+)?)|(?P<str>"(?:[^"\\]|\\.)*")|(?P<name>[A-Za-z_]\w*)|(?P<op><=|>=|==|!=|[<>+\-*/()]))')
@@ -219,3 +220,77 @@ def disjoint(a: str, b: str) -> Column:
     high = F.least(F.col(f"{a}.high"), F.col(f"{b}.high"))
     ends = lambda end, v: F.coalesce((F.col(f"{a}.{end}") != v) | F.col(f"{a}.{end}_closed"), F.lit(True)) & F.coalesce((F.col(f"{b}.{end}") != v) | F.col(f"{b}.{end}_closed"), F.lit(True))
     return F.coalesce((low > high) | ((low == high) & ~(ends("low", low) & ends("high", high))), F.lit(False))
+
+
+_TIGHT = {"or": 1, "and": 2, "not": 3, "+": 5, "-": 5, "*": 6, "/": 6}
+
+
+def _level(x) -> int:
+    return _TIGHT.get(x.op, 4) if isinstance(x, Op) else 7
+
+
+def render(x) -> str:
+    """The shortest text with that meaning: brackets only where a part binds looser than its place needs."""
+    if isinstance(x, Name):
+        return x.name
+    if isinstance(x, Lit):
+        v = x.value
+        if isinstance(v, bool):
+            return str(v).lower()
+        if isinstance(v, str):
+            return '"' + re.sub(r'(["\\])', r"\\\1", v) + '"'
+        return f"{int(v)}" if v == int(v) else repr(v)
+    here = _level(x)
+    parts = [f"({text})" if _level(a) < here + k else text for k, a in enumerate(x.args) for text in [render(a)]]
+    return f"not {parts[0]}" if x.op == "not" else f" {x.op} ".join(parts)
+
+
+def shape(x) -> list[str]:
+    """Sorted constraints of a conjunction of ranges; two predicates of one shape say the same."""
+    end = lambda v, closed: "" if v is None else f"{v:g}{'=' if closed else ''}"
+    return sorted(f"{r.name}:{end(r.low, r.low_closed)}:{end(r.high, r.high_closed)}" for r in ranges(x))
+
+
+def subject(x) -> str | None:
+    """The one name that a conjunction of ranges is about, if it is about one."""
+    about = {r.name for r in ranges(x)}
+    return about.pop() if len(about) == 1 else None
+
+
+_TOLD = "parses boolean, rendered string, names array<string>, subject string, shape array<string>, ranges array<struct<name:string,low:double,low_closed:boolean,high:double,high_closed:boolean>>"
+
+
+def _told(text: str | None) -> tuple:
+    try:
+        x = parse(text or "")
+    except PredicateError:
+        return False, None, [], None, [], []
+    return True, render(x), sorted(names(x)), subject(x), shape(x), [vars(r) for r in ranges(x)]
+
+
+def described(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with what its predicates say: parses, rendered, names, subject, shape, ranges. Each distinct text is parsed once."""
+    def batches(parts):
+        for b in parts:
+            yield pd.DataFrame([(t, *_told(t)) for t in b[column]], columns=[column, *fields])
+
+    fields = [f.split()[0] for f in _TOLD.split(", ")]
+    told = df.select(column).where(F.col(column).isNotNull()).distinct().mapInPandas(batches, f"`{column}` string, {_TOLD}")
+    return df.join(told, column, "left").withColumn("parses", F.coalesce("parses", F.lit(False)))
+
+
+def unbound(names_: Column, facts: Column) -> Column:
+    """Names that a map of facts does not hold."""
+    return F.array_except(names_, F.map_keys(facts))
+
+
+def conflicts(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(a_id, b_id, name): the first conflicting pair of ranges, in order of the left, then the right predicate.
+
+    Both sides have id and ranges; only ranges on the same name meet.
+    """
+    def side(df: DataFrame, p: str) -> DataFrame:
+        return df.select(F.col("id").alias(f"{p}_id"), F.posexplode("ranges").alias(f"{p}_pos", f"r{p}")).withColumn("name", F.col(f"r{p}.name"))
+
+    met = side(a, "a").join(side(b, "b"), "name").where((F.col("a_id") != F.col("b_id")) & disjoint("ra", "rb"))
+    return met.groupBy("a_id", "b_id").agg(F.min_by("name", F.struct("a_pos", "b_pos")).alias("name"))
