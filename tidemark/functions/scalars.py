@@ -44,3 +44,13 @@ def word_keys(text: Column) -> Column:
     """Distinct identifiers of four characters or more."""
     words = F.regexp_extract_all(F.lower(text), F.lit("([a-z][a-z0-9_]{2,})"), F.lit(1))
     return F.array_distinct(F.filter(words, lambda w: F.length(w) >= 4))
+
+
+def id_prefix(x: Column) -> Column:
+    return F.substring_index(x, "-", 1)
+
+
+def canonical_id(x: Column) -> Column:
+    """Whether an id is what rendering its own number gives back."""
+    number = F.regexp_extract(x, r"^[A-Z]+-([0-9]{1,18})$", 1)
+    return F.when(number == "", False).otherwise(x == F.format_string("%s-%04d", id_prefix(x), number.try_cast("bigint")))

@@ -49,3 +49,8 @@ def page(df: DataFrame, cursor: str, before: int | None, size: int | None = 50)
     wanted = min(500, max(1, 50 if size is None else size))
     rows = df if before is None else df.where(F.col(cursor) < before)
     return rows.orderBy(F.desc(cursor)).limit(wanted)
+
+
+def retract(versions: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """The next version of each listed standing record, flagged as retracted, its payload carried forward."""
+    return standing(versions, key).join(ids.select(key).distinct(), key, "left_semi").withColumns({"version": F.col("version") + 1, "retracted": F.lit(True)})
