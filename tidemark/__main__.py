@@ -6,7 +6,9 @@ import argparse
 import json
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark import passes
 from tidemark.operators import calibration
 from tidemark.store import Store
 
@@ -39,10 +41,21 @@ def _parser() -> argparse.ArgumentParser:
     command("get", "store", "kind", "id")
     command("impacted-by", "store", "id")
     command("depends-on", "store", "id")
+    command("monitor", "store", "facts")
+    for name in ("fuse", "govern"):
+        command(name, "store").add_argument("--dry-run", action="store_true")
     command("search", "store").add_argument("terms", nargs="+")
     return p
 
 
+def _monitor(spark: SparkSession, store: Store, path: str) -> DataFrame:
+    """One facts file: {"facts": {}, "events": [], "as_of": time}; it is small and read whole."""
+    (text,) = spark.read.text(path, wholetext=True).first()
+    world = json.loads(text)
+    now = F.lit(world["as_of"]).cast("timestamp") if world.get("as_of") else None
+    return passes.monitor(store, world.get("facts", {}), world.get("events", []), now)
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     a = _parser().parse_args(argv)
     from tidemark.plans import QUERIES
@@ -74,6 +87,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         "get": lambda: store.get(a.kind, a.id),
         "impacted-by": lambda: store.impacted_by(a.id),
         "depends-on": lambda: store.depends_on(a.id),
+        "monitor": lambda: _monitor(spark, store, a.facts),
+        "fuse": lambda: passes.fuse(store, a.dry_run),
+        "govern": lambda: passes.govern(store, a.dry_run),
         "search": lambda: store.search(a.terms, a.limit),
     }
     _show(views[a.command](), a.limit)

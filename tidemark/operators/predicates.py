@@ -7,6 +7,7 @@ of unlike kinds and failed arithmetic are unknown. Parsing happens once on the d
 
 from __future__ import annotations
 
+import operator
 import re
 from dataclasses import dataclass
 
@@ -294,3 +295,75 @@ def conflicts(a: DataFrame, b: DataFrame) -> DataFrame:
 
     met = side(a, "a").join(side(b, "b"), "name").where((F.col("a_id") != F.col("b_id")) & disjoint("ra", "rb"))
     return met.groupBy("a_id", "b_id").agg(F.min_by("name", F.struct("a_pos", "b_pos")).alias("name"))
+
+
+def _kind(v) -> str | None:
+    return None if v is None else "bool" if isinstance(v, bool) else "str" if isinstance(v, str) else "num"
+
+
+def _value(x, world: dict) -> tuple[object, str | None]:
+    if isinstance(x, Lit):
+        return x.value, None
+    if isinstance(x, Name):
+        return (world[x.name], None) if world.get(x.name) is not None else (None, f"{x.name} is not bound")
+    (a, why), (b, also) = (_value(arg, world) for arg in x.args)
+    if a is None or b is None:
+        return None, why or also
+    if _kind(a) != "num" or _kind(b) != "num":
+        return None, f"{x.op} takes numbers"
+    try:
+        return {"+": lambda: a + b, "-": lambda: a - b, "*": lambda: a * b, "/": lambda: a / b}[x.op](), None
+    except ArithmeticError:
+        return None, f"{render(x)} has no value"
+
+
+def evaluate(x, world: dict) -> tuple[bool | None, str | None]:
+    """(verdict, reason): the same three values as ``lower`` gives; of two unknown sides the left one's reason stands."""
+    if x.op in ("and", "or"):
+        (a, why), (b, also) = (evaluate(arg, world) for arg in x.args)
+        settles = x.op == "or"
+        if a is settles or b is settles:
+            return settles, None
+        return (None, why or also) if a is None or b is None else (not settles, None)
+    if x.op == "not":
+        v, why = evaluate(x.args[0], world)
+        return (None if v is None else not v), why
+    (a, why), (b, also) = (_value(arg, world) for arg in x.args)
+    if a is None or b is None:
+        return None, why or also
+    if _kind(a) != _kind(b):
+        return None, "values of unlike kinds"
+    if _kind(a) != "num" and x.op not in ("==", "!="):
+        return None, f"{x.op} takes numbers"
+    return _RELATIONS[x.op](a, b), None
+
+
+_RELATIONS = {"<=": operator.le, ">=": operator.ge, "==": operator.eq, "!=": operator.ne, "<": operator.lt, ">": operator.gt}
+
+
+def judged(df: DataFrame, column: str, bound: dict[str, str] | None = None, world: dict | None = None) -> DataFrame:
+    """``df`` (with a unique ``id``) plus ``verdict`` and ``reason`` of each row's own predicate.
+
+    ``world`` holds facts common to all rows, one file's worth; ``bound`` maps further names, told by a
+    column, to number columns. A text that does not parse is unknown.
+    """
+    bound, world = bound or {}, world or {}
+    names_, values = list(bound), list(bound.values())
+
+    def batches(parts):
+        trees: dict = {}
+        for b in parts:
+            out = []
+            for row in b.itertuples(index=False, name=None):
+                key, text, *rest = row
+                if text not in trees:
+                    trees[text] = parse(text) if text and parses(text) else None
+                if len(trees) > 10_000:
+                    trees = {text: trees[text]}
+                n = len(rest) // 2
+                here = dict(world) | {k: float(v) for k, v in zip(rest[:n], rest[n:]) if k is not None and v is not None and v == v}
+                out.append((key, *(evaluate(trees[text], here) if trees[text] is not None else (None, "not a predicate"))))
+            yield pd.DataFrame(out, columns=["id", "verdict", "reason"])
+
+    rows = df.select("id", column, *(F.col(n) for n in names_), *(F.col(v).cast("double").alias(f"_v{k}") for k, v in enumerate(values)))
+    return df.join(rows.mapInPandas(batches, "id string, verdict boolean, reason string"), "id")

@@ -101,3 +101,43 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines; a comment on the first line is skipped."""
     lines = spark.read.text(path).where(~F.col("value").startswith("#") & (F.trim("value") != ""))
     return lines.select(F.from_json("value", schema).alias("r")).select("r.*")
+
+
+def decision_tables(docs: DataFrame) -> DataFrame:
+    """(source_uri, title, chosen, rejected, assumptions) of Markdown decision records; null titles or choices are left out.
+
+    ``rejected`` are option and reason rows below their heading, ``assumptions`` numbered rows of claim, predicate
+    and expiry; code marks around a cell are dropped.
+    """
+    def cells(rows: Column) -> Column:
+        return F.transform(rows, lambda r: F.transform(F.slice(F.split(r, r"(?<!\\)\|"), 2, 20), lambda c: F.regexp_replace(F.trim(c), "^`(.*)`$", "$1")))
+
+    def section(name: str) -> Column:
+        return F.regexp_extract("content", rf"(?s)(?:^|\n)## {name}[^\n]*\n(.*?)(?=\n## |$)", 1)
+
+    rows = lambda text: F.filter(F.split(text, "\n"), lambda r: F.trim(r).startswith("|"))
+    bare = lambda c: F.regexp_replace(c, r"[\s:-]", "") == ""
+    options = F.filter(cells(rows(section("Rejected"))), lambda c: (F.size(c) >= 2) & ~bare(c[0]) & ~bare(c[1]) & (c[0] != "Option"))
+    numbered = F.filter(cells(rows(F.col("content"))), lambda c: (F.size(c) >= 4) & c[0].rlike("^[0-9]+$") & (c[1] != "") & (c[2] != ""))
+    chosen = F.trim(F.split_part(F.ltrim(section("Chosen")), F.lit("\n\n"), F.lit(1)))
+    out = docs.where("source_kind = 'markdown'").select(
+        "source_uri", F.nullif(F.trim(F.regexp_extract("content", r"(?m)^#\s+(.+?)\s*$", 1)), F.lit("")).alias("title"), F.nullif(chosen, F.lit("")).alias("chosen"),
+        F.transform(options, lambda c: F.struct(c[0].alias("option"), c[1].alias("reason"))).alias("rejected"),
+        F.transform(numbered, lambda c: F.struct(c[1].alias("claim"), c[2].alias("predicate"), c[3].alias("expiry"))).alias("assumptions"),
+    )
+    return out.where("title is not null and chosen is not null")
+
+
+@F.pandas_udf(StringType())
+def request_digest(requests: pd.Series) -> pd.Series:
+    """32 hex digits over a JSON request with sorted keys; null for text that is not JSON."""
+    import hashlib
+
+    def one(t: str) -> str | None:
+        try:
+            value = json.loads(t)
+        except ValueError:
+            return None
+        return hashlib.sha256(json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()[:32]
+
+    return requests.map(one, na_action="ignore")
