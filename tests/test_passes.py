@@ -82,3 +82,10 @@ def test_commands(spark, store, tmp_path, capsys):
     out = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
     assert out[0]["action"] == "added" and {r["new_status"] for r in out[1:]} == {"breached", "expired"}
     assert store.list_all("finding").count() == 2
+
+
+def test_retire(store):
+    at = F.current_timestamp() + F.make_dt_interval(F.lit(90))
+    assert passes.retire(store).where("refused = 'too_recent'").count() == 4
+    assert {(r.id, r.refused) for r in passes.retire(store, at).collect()} == {("A-0001", "still_in_use"), ("A-0002", None), ("A-0003", None), ("A-0004", None)}
+    assert [(r.id, r.refused) for r in passes.retire(store, at).collect()] == [("A-0001", "still_in_use")]

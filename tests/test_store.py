@@ -32,6 +32,7 @@ def test_walk_history_and_search(world):
     assert {r.node for r in world.depends_on("D-0001").collect()} == {"A-0001", "EST-0001"}
     assert [round(r.ratio, 4) for r in world.calibration_history().collect()] == [1.3846]
     assert [r.id for r in world.search(["Migration"]).collect()] == ["D-0002", "A-0001"]
+    assert [r.decision for r in world.why("Why not a longer migration?").collect()] == ["D-0002", "D-0001"] and world.why("why").count() == 0
     assert world.links("EST-0001").count() == 2 and world.links("EST-0001", types=[]).count() == 0
     assert {(r.what, r.name): r.n for r in world.stats().collect()}[("record", "decision")] == 2
 

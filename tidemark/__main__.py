@@ -42,8 +42,9 @@ def _parser() -> argparse.ArgumentParser:
     command("impacted-by", "store", "id")
     command("depends-on", "store", "id")
     command("monitor", "store", "facts")
-    for name in ("fuse", "govern"):
+    for name in ("fuse", "govern", "retire"):
         command(name, "store").add_argument("--dry-run", action="store_true")
+    command("why", "store").add_argument("question", nargs="+")
     command("search", "store").add_argument("terms", nargs="+")
     return p
 
@@ -90,6 +91,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         "monitor": lambda: _monitor(spark, store, a.facts),
         "fuse": lambda: passes.fuse(store, a.dry_run),
         "govern": lambda: passes.govern(store, a.dry_run),
+        "retire": lambda: passes.retire(store, dry=a.dry_run),
+        "why": lambda: store.why(" ".join(a.question)),
         "search": lambda: store.search(a.terms, a.limit),
     }
     _show(views[a.command](), a.limit)

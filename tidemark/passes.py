@@ -106,3 +106,16 @@ def govern(store: Store, dry: bool = False) -> DataFrame:
         store.link(merges.select(F.lit("supersedes").alias("link_type"), F.col("newer").alias("src"), kind.alias("src_kind"), F.col("older").alias("dst"), kind.alias("dst_kind")))
         store.retract("assumption", merges.select(F.col("older").alias("id")), "curator")
     return merges
+
+
+def retire(store: Store, at: Column | None = None, idle_days: int = 60, dry: bool = False) -> DataFrame:
+    """(id, refused): unverified assumptions never monitored, with the reason against retiring; the others are retracted."""
+    from tidemark.operators.rounds import settled
+
+    audit = store.records("assumption").select("id", F.col("created_at").alias("occurred_at"), F.col("created_by").alias("actor"))
+    decisions = store.list_all("decision").select(F.col("id").alias("decision"))
+    told = monitoring.retirements(_assumptions(store).select("id", "status"), audit, reviews.resting_on(store.dependencies(), decisions), F.current_timestamp() if at is None else at, idle_days)
+    told = settled(told.select("id", "refused"))
+    if not dry:
+        store.retract("assumption", told.where("refused is null").select("id"), "curator")
+    return told

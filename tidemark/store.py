@@ -6,6 +6,7 @@ object, so one layout holds all kinds and a kind's own schema is applied on read
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -133,6 +134,18 @@ class Store:
         body = F.array_join(F.map_values(F.from_json("payload", "map<string,string>")), " ")
         return textops.bm25(live.select("id", body.alias("body")), "id", "body", [t.lower() for t in terms], limit)
 
+    def why(self, question: str, limit: int = 8, hits: int = 50) -> DataFrame:
+        """(decision, score): decisions a question may be about, best first; an assumption that matches leads to
+        the first decision that assumes it. Words of under four letters do not count."""
+        terms = list(dict.fromkeys(w for w in re.findall(r"[^\W_]+", question.lower()) if len(w) >= 4))
+        if not terms:
+            return self.spark.createDataFrame([], "decision string, score double")
+        found = self.search(terms, hits).join(versioned.head(self.records()).select("id", "kind"), "id")
+        direct = found.where("kind = 'decision'").select(F.col("id").alias("decision"), "score")
+        assumes = versioned.standing(self.edges()).where("link_type = 'assumes'").groupBy("dst").agg(F.min_by("src", "id").alias("decision"))
+        led = found.where("kind = 'assumption'").join(assumes, F.col("id") == F.col("dst")).select("decision", "score")
+        return direct.unionByName(led).groupBy("decision").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "decision").limit(limit)
+
     def calibration_history(self) -> DataFrame:
         e = self.list_all("estimate", schema="owner string, work_class string, active double").select(F.col("id").alias("estimate_id"), "owner", "work_class", F.col("active").alias("estimated"))
         o = self.list_all("outcome", schema="estimate_id string, active double").select("estimate_id", F.col("active").alias("actual"))
