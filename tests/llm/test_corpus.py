@@ -277,6 +277,21 @@ def test_html(spark, small):
     assert got[42].startswith("plain") and html_extract.extract_pages(df.where("false"), small=small).count() == 0
 
 
+@pytest.mark.parametrize("small", [html_extract.SMALL, 0])
+def test_html_copies_without_article(spark, small):
+    """Copied articles, repeated rows and words in bold are no template; menus and what is on most pages are."""
+    menu = "<div><a href=/a>Red</a><a href=/b>Green</a><a href=/c>Blue</a></div>"
+    copied = "<div><p>Copied text with <a href=/x>a link</a> in it.</p><ul><li>its point</ul></div>"
+    page = "<body><div>Slogan</div>{m}<h1>Head {k}</h1>{c}<p>Own {k} is <b>{b}</b> said.</p></body>"
+    rows = [(k, "http://d.example/", page.format(k=k, m=menu if k < 8 else "", c=copied if k < 5 else "", b="well" if k < 6 else f"so{k}")) for k in range(40)]
+    rows += [(100 + k, "http://e.example/", "<div><p>One page, kept as four rows</p></div>") for k in range(4)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(df, small=small).collect()}
+    body = "Copied text with a link in it.\nits point\n"
+    assert all(got[k] == f"Head {k}\n{body if k < 5 else ''}Own {k} is {'well' if k < 6 else f'so{k}'} said." for k in range(40))
+    assert all(got[100 + k] == "One page, kept as four rows" for k in range(4))
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 

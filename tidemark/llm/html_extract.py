@@ -1,16 +1,18 @@
 """HTML extraction with site template removal.
 
 A small tokenizer builds the element tree of each page. Every element subtree is hashed (tag and
-flattened text, bottom up), pages are counted per (host, hash), and subtrees that recur on many pages
-of a host are deleted before the text is taken. Rules of structure come first: elements and roles that
-never hold the article go, and if an ``article`` or ``main`` remains, only that is read. Paragraphs and
-headings of the article itself recur with copied articles, not with the site, so inside it a subtree
-goes only if it recurs on at least half of a host's pages and is a container with links.
+flattened text, bottom up), distinct pages are counted per (host, hash), and subtrees that recur are
+deleted before the text is taken. Rules of structure come first: elements and roles that never hold the
+article go, and if an ``article`` or ``main`` remains, only that is read. What recurs on a few pages
+recurs with copied articles, not with the site. So where no article is marked, a subtree goes only if it
+is a block on at least half of a host's pages, or a menu (a container whose text is mostly links) on a
+tenth; elements inside a line stay with their line. Inside a marked article it must recur on half of the
+pages and be a container with links. Copies that make up half of a host's pages cannot be told from it.
 
 The recurring hashes are broadcast if their measured number is within ``SMALL``; beyond it they join
 back by page. Defined cases: a null, empty or textless page gives an empty text; a null or hostless
 url is a host of its own; unclosed and stray tags are repaired as browsers do in the common cases;
-repeated rows each count as a page; other input columns are ignored.
+pages of one content on a host count once; other input columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,8 +43,10 @@ ROLES = frozenset(
     "navigation newsletter notice pagination popup promo related share sharing sidebar social sponsored subscribe toolbar widget".split()
 )
 MARK_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog menu menubar".split())
-#: A subtree recurs if it is on this many pages of a host, and on this share of them (inside the article: IN_ARTICLE).
-PAGES, SHARE, IN_ARTICLE = 3, 0.02, 0.5
+#: A subtree recurs if it is on this many distinct pages of a host, and on a share of them: SITE, or SHARE for menus.
+PAGES, SHARE, SITE = 3, 0.1, 0.5
+#: A menu has this many links, and this share of its characters in them.
+LINKS, LINKED = 3, 0.8
 CONTAINERS = frozenset("div section ul ol dl table figure".split())
 SMALL = 200_000
 
@@ -147,6 +151,24 @@ def has_link(node: Node) -> bool:
     return any(isinstance(x, Node) and (x.tag == "a" or has_link(x)) for x in node.items)
 
 
+def _linked(node: Node, inside: bool = False) -> tuple[int, int, int]:
+    """Links, characters in links, characters."""
+    links, held, size = 0, 0, 0
+    for x in node.items:
+        if isinstance(x, Node):
+            a, b, c = _linked(x, inside or x.tag == "a")
+            links, held, size = links + a + (x.tag == "a"), held + b, size + c
+        else:
+            n = len(_flat(x))
+            held, size = held + (n if inside else 0), size + n
+    return links, held, size
+
+
+def is_menu(node: Node) -> bool:
+    links, held, size = _linked(node)
+    return node.tag in CONTAINERS and links >= LINKS and held >= LINKED * size
+
+
 def subtrees(root: Node) -> set[int]:
     found, todo = set(), [root]
     while todo:
@@ -172,7 +194,7 @@ def _articles(root: Node) -> list[Node]:
     return [root]
 
 
-def blocks(root: Node, often: set[int], always: set[int]) -> list[str]:
+def blocks(root: Node, often: set[int], site: set[int]) -> list[str]:
     """Flattened blocks in page order, without what structure or recurrence rules out."""
     out: list[str] = []
     line: list[str] = []
@@ -184,7 +206,9 @@ def blocks(root: Node, often: set[int], always: set[int]) -> list[str]:
         line.clear()
 
     def recurs(x: Node, inside: bool) -> bool:
-        return x.hash in always and x.tag in CONTAINERS and has_link(x) if inside else x.hash in often
+        if inside:
+            return x.hash in site and x.tag in CONTAINERS and has_link(x)
+        return x.tag in BLOCK and (x.hash in site or (x.hash in often and is_menu(x)))
 
     def visit(node: Node, inside: bool) -> None:
         for x in node.items:
@@ -208,14 +232,14 @@ def blocks(root: Node, often: set[int], always: set[int]) -> list[str]:
     return out
 
 
-def extract(page: str | None, often: set[int] = frozenset(), always: set[int] = frozenset()) -> str:
-    """The main text. ``often``: hashes deleted outside an article; ``always``: inside it too."""
+def extract(page: str | None, often: set[int] = frozenset(), site: set[int] = frozenset()) -> str:
+    """The main text. ``often``: hashes of which menus go outside an article; ``site``: those on most pages, also in ``often``."""
     if not page:
         return ""
     root = parse(page)
     if often:
         hashed(root)
-    return "\n".join(blocks(root, often, always))
+    return "\n".join(blocks(root, often, site))
 
 
 def host(url: F.Column) -> F.Column:
@@ -223,9 +247,10 @@ def host(url: F.Column) -> F.Column:
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The columns before the last one, a page, with each hash on it."""
     for batch in batches:
         found, size = [], []
-        for page in batch.column(1):
+        for page in batch.column(batch.num_columns - 1):
             own = []
             if page.is_valid and page.as_py():
                 root = parse(page.as_py())
@@ -234,16 +259,18 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found += own
             size.append(len(own))
         where = pa.array([k for k, s in enumerate(size) for _ in range(s)], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(where), pa.array(found, pa.int64())], names=["host", "hash"])
+        kept = [c.take(where) for c in batch.columns[:-1]]
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(found, pa.int64())], names=[*batch.schema.names[:-1], "hash"])
 
 
 def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, hash, always): recurring subtrees; ``always`` if so on at least IN_ARTICLE of the host's pages."""
-    keyed = pages.select(host(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
-    seen = keyed.mapInArrow(_hashes, "host string, hash bigint").groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= PAGES)
-    sizes = keyed.groupBy("host").agg(F.count("*").alias("all"))
+    """(host, hash, site): subtrees that recur; ``site`` if on at least SITE of the host's distinct pages that are not blank."""
+    keyed = pages.where(F.trim(html_col) != "").select(host(F.col(url_col)).alias("host"), F.xxhash64(html_col).alias("page"), F.col(html_col).alias("html"))
+    met = keyed.mapInArrow(_hashes, "host string, page bigint, hash bigint").distinct()
+    seen = met.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= PAGES)
+    sizes = keyed.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("all"))
     share = F.col("n") / F.col("all")
-    return seen.join(sizes, "host").where(share >= SHARE).select("host", "hash", (share >= IN_ARTICLE).alias("always"))
+    return seen.join(sizes, "host").where(share >= SHARE).select("host", "hash", (share >= SITE).alias("site"))
 
 
 def extract_pages(
@@ -271,10 +298,10 @@ def extract_pages(
     if known.limit(small + 1).count() <= small:
         by_host: dict[str, tuple[set, set]] = {}
         for r in known.collect():
-            often, always = by_host.setdefault(r["host"], (set(), set()))
+            often, site = by_host.setdefault(r["host"], (set(), set()))
             often.add(r["hash"])
-            if r["always"]:
-                always.add(r["hash"])
+            if r["site"]:
+                site.add(r["hash"])
         shared = spark.sparkContext.broadcast(by_host)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,9 +313,9 @@ def extract_pages(
         return rows.mapInArrow(run, schema)
 
     keyed = rows.withColumn("key", F.xxhash64("url", "html"))
-    pairs = keyed.select("key", "host", "html").mapInArrow(_page_hashes, "key bigint, host string, hash bigint")
+    pairs = keyed.select("key", "host", "html").mapInArrow(_hashes, "key bigint, host string, hash bigint")
     own = pairs.distinct().join(known, ["host", "hash"]).groupBy("key").agg(
-        F.collect_set("hash").alias("often"), F.collect_set(F.when(F.col("always"), F.col("hash"))).alias("always")
+        F.collect_set("hash").alias("often"), F.collect_set(F.when(F.col("site"), F.col("hash"))).alias("site")
     )
 
     def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,11 +323,4 @@ def extract_pages(
             texts = [extract(p.as_py(), set(a.as_py() or ()), set(b.as_py() or ())) for p, a, b in zip(batch.column(2), batch.column(3), batch.column(4))]
             yield emit(batch, texts)
 
-    return keyed.join(own, "key", "left").select("page_id", "url", "html", "often", "always").mapInArrow(run_joined, schema)
-
-
-def _page_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for found in _hashes(iter([pa.RecordBatch.from_arrays([pa.array(range(len(batch)), pa.int64()), batch.column(2)], names=["host", "html"])])):
-            at = found.column(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), found.column(1)], names=["key", "host", "hash"])
+    return keyed.join(own, "key", "left").select("page_id", "url", "html", "often", "site").mapInArrow(run_joined, schema)
