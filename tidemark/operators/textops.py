@@ -21,6 +21,25 @@ def quoted(text: Column, claim: Column) -> Column:
     )
 
 
+def quotations(docs: DataFrame, claims: DataFrame, id_col: str = "doc_id", text_col: str = "text", claim_id: str = "item_id", claim_col: str = "claim") -> DataFrame:
+    """(id, claim id, verdict) of every claim, in every document that holds it, exact or flattened; what is not listed is absent.
+
+    A quotation may start and end within a word of the text, but its inner words stand there whole: a claim meets
+    the documents that hold its longest inner word, and one without inner words meets all. Claims are broadcast.
+    """
+    words = F.split("flat_claim", " ")
+    inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w), w.alias("word"))))["word"]
+    asked = claims.select(claim_id, F.col(claim_col).alias("claim"), flattened(F.col(claim_col)).alias("flat_claim")).where("flat_claim <> ''").withColumn("word", longest)
+    flat = docs.select(id_col, F.col(text_col).alias("text"), flattened(F.col(text_col)).alias("flat"))
+    worded = flat.select(id_col, "text", "flat", F.explode(F.array_distinct(F.split("flat", " "))).alias("word"))
+    held = F.contains("flat", "flat_claim")
+    met = worded.join(F.broadcast(asked.where("word is not null")), "word").where(held).unionByName(
+        flat.join(F.broadcast(asked.where("word is null")), held), allowMissingColumns=True
+    )
+    return met.select(id_col, claim_id, F.when(F.contains("text", "claim"), "exact").otherwise("flattened").alias("verdict"))
+
+
 def verify_span(content: Column, start: Column, end: Column, text: Column) -> Column:
     """ok, out_of_bounds, split_character or text_mismatch, for byte ranges with exclusive end."""
     raw = content.cast("binary")

@@ -368,6 +368,17 @@ def _(s, d):
     return pairs.select("doc_id", "item_id", verdict.alias("verdict"))
 
 
+_FLAT = r"""d AS (SELECT doc_id, lang, text, trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g')) AS flat FROM documents),
+    b AS (SELECT item_id, text, trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g')) AS flat FROM benchmark)"""
+
+
+@query("quote_verify_all", f"""WITH {_FLAT} SELECT doc_id, item_id, CASE WHEN contains(d.text, b.text) THEN 'exact' ELSE 'flattened' END AS verdict
+    FROM d JOIN b ON b.flat <> '' AND contains(d.flat, b.flat)""")
+def _(s, d):
+    """Every item against every document; ``quote_verify`` meets one item a document, as its SQL does."""
+    return textops.quotations(table(s, d, "documents"), table(s, d, "benchmark").select("item_id", F.col("text").alias("claim")))
+
+
 @query("trace_determinism", f"WITH {TR} SELECT agent, tokens, count(*) AS asked, count(DISTINCT cost) AS answers FROM t GROUP BY 1, 2 HAVING count(*) > 1")
 def _(s, d):
     return traces(s, d).groupBy("agent", "tokens").agg(F.count("*").alias("asked"), F.countDistinct("cost").alias("answers")).where("asked > 1")
