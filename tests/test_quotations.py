@@ -1,6 +1,10 @@
 """Quotations of every claim in every document."""
 
-from tidemark.operators import textops
+from collections import Counter
+
+from pyspark.sql import functions as F
+
+from tidemark.operators import citation, textops
 from tidemark.plans import QUERIES
 
 TEXTS = ["xone two\n three fourx", "one two three four", "two", "", None, "one  two", "two two two two", "onetwo"]
@@ -32,3 +36,20 @@ def test_query_meets_items_numbered_40_and_up(spark, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     claims.withColumnRenamed("claim", "text").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert {r["item_id"] for r in QUERIES["quote_verify_all"](spark, str(tmp_path)).collect()} == {0, 41, 80, 81}
+
+
+def test_gate_over_all_documents(spark):
+    """Item 41 and up are judged, whole claims are looked for in the other offered documents, a shared opening is no quotation."""
+    texts = [("one two three four", "en"), ("one two three", "de"), ("something else", None), ("  ", "en"), (None, "fr"), ("one two three  four", "en")]
+    claims = {7: "one two three four", 41: "one two three", 99: "one two three fore", 150: "two three four", 160: ""}
+    docs = spark.createDataFrame([(k, *t) for k, t in enumerate(texts)], "doc_id bigint, text string, lang string")
+    asked = spark.createDataFrame(list(claims.items()), "item_id bigint, claim string")
+    want: Counter = Counter()
+    for c, q in claims.items():
+        holds = [bool(flat(q)) and flat(q) in flat(t) for t, _ in texts]
+        for k, (t, lang) in enumerate(texts):
+            other = any(h and texts[j][1] != "de" for j, h in enumerate(holds) if j != k)
+            verdict = "cited" if holds[k] else "misattributed" if other else "fabricated"
+            want[c, "unoffered" if lang == "de" else "unresolvable" if not flat(t) else verdict] += 1
+    got = {(r["item_id"], r["verdict"]): r["n"] for r in citation.gate_all(docs, asked, F.col("lang") != "de").collect()}
+    assert got == want and {v for _, v in got} == {"unoffered", "unresolvable", "cited", "misattributed", "fabricated"}

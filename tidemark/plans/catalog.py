@@ -405,6 +405,17 @@ def _(s, d):
     return pairs.select("doc_id", verdict.alias("verdict"))
 
 
+@query("citation_gate_all", f"""WITH {_FLAT}, p AS (SELECT item_id, coalesce(lang, '') <> 'de' AS offered, coalesce(d.flat, '') <> '' AS resolvable,
+        coalesce(b.flat <> '' AND contains(d.flat, b.flat), false) AS hit FROM d CROSS JOIN b),
+    v AS (SELECT *, bool_or(hit AND offered) OVER (PARTITION BY item_id) AS elsewhere FROM p)
+    SELECT item_id, CASE WHEN NOT offered THEN 'unoffered' WHEN NOT resolvable THEN 'unresolvable' WHEN hit THEN 'cited' WHEN elsewhere THEN 'misattributed' ELSE 'fabricated' END AS verdict,
+    count(*) AS n FROM v GROUP BY 1, 2""")
+def _(s, d):
+    """Every item cited to every document; ``citation_gate`` meets one item a document and looks for 20 characters, as its SQL does."""
+    claims = table(s, d, "benchmark").select("item_id", F.col("text").alias("claim"))
+    return citation.gate_all(table(s, d, "documents"), claims, F.col("lang") != "de")
+
+
 @query("decision_detail", f"""WITH {EST}, {OUT}, {HIST}, li AS (SELECT l_orderkey, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey) AS parts, count(*) AS n FROM lineitem GROUP BY 1)
     SELECT estimate_id, owner, work_class, coalesce(n, 0) AS lines, coalesce(parts, '') AS parts, actual IS NOT NULL AS resolved FROM hist LEFT JOIN li ON l_orderkey = estimate_id""")
 def _(s, d):
