@@ -261,6 +261,17 @@ def test_ann(spark):
     assert ann.search(df.where("false"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_ann_searches_every_length(spark):
+    rng = np.random.default_rng(3)
+    x = {k: rng.normal(size=(6, 3, 8)[k % 3 if k < 60 else 0]) for k in range(90)}
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in x.items()], "vec_id bigint, embedding array<double>").repartition(3)
+    rows = ann.search(df, F.col("vec_id") % 10 == 0, 5).collect()
+    for q in range(0, 90, 10):
+        others = sorted((k for k in x if k != q and len(x[k]) == len(x[q])), key=lambda k: (-float(x[k] @ x[q]), k))
+        assert [r["vec_id"] for r in sorted(rows, key=lambda r: r["rank"]) if r["query_id"] == q] == others[:5]
+    assert len(rows) == 45
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a="<p>no</p>"</script></head><body><nav><a href=/>Home</a></nav>
 <div class="cookie-notice">ok?</div><div><p>Site wide line</p></div><article><h1>Head &amp; {n}</h1><p>One <b>two<br>three<p>Four&nbsp;{n}<ul><li>x<li>y</ul>
 <aside>related</aside><section id="comments"><p>first!</p></section></article><footer>(c)</footer></body></html>"""

@@ -7,14 +7,17 @@ vectors, chosen by a hash; every row is coded. Queries meet all rows in blocks:
 partial products is summed over the codes (two codes a byte), the best ``SHORTLIST`` rows of the block
 are scored exactly in double precision, and the best of all blocks are kept.
 
-Defined cases: null or zero vectors, and those with null or non-finite components, take no part, nor do
-vectors whose length is not the commonest one; ties go to the smaller id; rows with the query's own id
-are never its candidates; fewer candidates than asked for give fewer rows; other columns are ignored.
+Each length of vectors is searched on its own, by a quantiser of its own, in one plan; lengths are taken to be few.
+
+Defined cases: null or zero vectors, and those with null or non-finite components, take no part; ties go to
+the smaller id; rows with the query's own id are never its candidates; fewer candidates than asked for
+give fewer rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -151,23 +154,33 @@ def search(
     df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", shortlist: int = SHORTLIST,
     sample: int = SAMPLE, rows: int = ROWS,
 ) -> DataFrame:
-    """(query_id, rank, vec_id, score): each query row's k nearest other rows by inner product."""
+    """(query_id, rank, vec_id, score): each query row's k nearest other rows of its length by inner product."""
     vectors = packed(df, id_col, vec_col).where(F.col("vec").isNotNull() & F.col("vec_id").isNotNull())
     kind = packed_kind(df, vec_col)
     spark = df.sparkSession
-    lengths = vectors.groupBy("dims").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dims").first()
-    schema = "query_id bigint, rank int, vec_id bigint, score double"
-    if lengths is None:
-        return spark.createDataFrame([], schema)
-    vectors = vectors.where(F.col("dims") == lengths["dims"]).select("vec_id", "vec")
+    asks = vectors.select(F.col("vec_id").alias(id_col), "dims").withColumn("asks", is_query)
+    lengths = asks.groupBy("dims").agg(F.count("*").alias("n"), F.count_if("asks").alias("asked")).where("asked > 0").orderBy("dims").collect()
+    if not lengths:
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    each = [_found(vectors.where(F.col("dims") == r["dims"]).select("vec_id", "vec"), is_query, r["n"], r["asked"], kind, k, id_col, shortlist, sample, rows) for r in lengths]
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    ranked = reduce(DataFrame.unionByName, each).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score")
+
+
+def _found(
+    vectors: DataFrame, is_query: Column, n: int, n_asked: int, kind: str, k: int, id_col: str, shortlist: int, sample: int, rows: int
+) -> DataFrame:
+    """(query_id, vec_id, score): the k best of every block for the queries among n vectors of one length."""
+    spark = vectors.sparkSession
     drawn = vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "vec").limit(sample).collect()
     shared = spark.sparkContext.broadcast(Quantiser(matrix([r["vec"] for r in drawn], kind)))
     named = vectors.withColumnRenamed("vec_id", id_col)
     asked = named.where(is_query).select(F.col(id_col).alias("vec_id"), "vec")
-    row_blocks = max(1, -(-lengths["n"] // rows))
-    query_blocks = max(1, -(-asked.count() // QUERIES_AT_ONCE))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    spread = lambda n: F.pmod(F.xxhash64("vec_id", "vec"), F.lit(n)).cast("int")
+    row_blocks = max(1, -(-n // rows))
+    query_blocks = max(1, -(-n_asked // QUERIES_AT_ONCE))
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    spread = lambda m: F.pmod(F.xxhash64("vec_id", "vec"), F.lit(m)).cast("int")
     right = vectors.select("vec_id", "vec", F.lit(False).alias("asks"), spread(row_blocks).alias("r"), every(query_blocks).alias("q"))
     left = asked.select("vec_id", "vec", F.lit(True).alias("asks"), every(row_blocks).alias("r"), spread(query_blocks).alias("q"))
 
@@ -179,7 +192,4 @@ def search(
         i, j, score = search_block(shared.value, ids[~asks], vecs[~asks], ids[asks], vecs[asks], k, shortlist)
         return pa.table({"query_id": ids[asks][i], "vec_id": ids[~asks][j], "score": score})
 
-    found = right.unionByName(left).groupBy("r", "q").applyInArrow(run, "query_id bigint, vec_id bigint, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    return right.unionByName(left).groupBy("r", "q").applyInArrow(run, "query_id bigint, vec_id bigint, score double")
