@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, embed_dedup, html_extract, mixing, ngram_join, pii, quality, queries, secrets, sentencepiece_bpe, sharding
+from tidemark.llm import ann, common, embed_dedup, html_extract, mixing, ngram_join, pii, quality, queries, secrets, sentencepiece_bpe, sharding
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, slot int, spans string, h bigint"
 
@@ -191,6 +191,13 @@ def brute_components(items: dict[int, frozenset]) -> dict[int, int]:
     return {k: find(k) for k in items}
 
 
+def test_components_settle_or_fail(spark):
+    path = spark.range(1, 200).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b"))
+    assert {tuple(r) for r in common.connected_components(path, "a", "b").collect()} == {(k, 0) for k in range(200)}
+    with pytest.raises(RuntimeError, match="not settled"):
+        common.connected_components(path, "a", "b", max_rounds=2)
+
+
 @pytest.mark.parametrize("piece", [ngram_join.PIECE, 8])
 def test_ngram_join(spark, empty, piece):
     rng = random.Random(11)

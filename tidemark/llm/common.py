@@ -42,15 +42,18 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
     Alternates large-star and small-star steps (Kiveris et al., 2014). Hubs only meet in partial
     aggregates and in equi-joins that adaptive execution may split, so no node's neighbours are
     gathered. Edges with a null end, and loops, are ignored; repeated edges count once.
+    A graph that has not settled after ``max_rounds`` rounds is an error.
     """
     now = materialize(
         edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     )
     mark = None
-    for _ in range(max_rounds):
+    for done in range(max_rounds + 1):
         stat = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if stat["n"] == 0 or (stat["n"], stat["x"]) == mark:
             break
+        if done == max_rounds:
+            raise RuntimeError(f"components have not settled after {max_rounds} rounds")
         mark = (stat["n"], stat["x"])
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
