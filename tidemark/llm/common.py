@@ -10,20 +10,27 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local temporary one only where it is unset."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one where it is unset and all runs in one process, else an error."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
     if sc.getCheckpointDir() is None:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
     return sc.getCheckpointDir().rstrip("/")
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A name of its own in the shared folder."""
+    return f"{shared_dir(spark)}/tidemark/{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemark/{uuid.uuid4().hex}"
+    path = new_folder(spark)
     df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tidemark_path = path
@@ -36,6 +43,14 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def finish(df: DataFrame, *used: DataFrame) -> DataFrame:
+    """``df`` as a table of its own, after which the tables it was made from go."""
+    out = materialize(df)
+    for table in used:
+        discard(table)
+    return out
+
+
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node that has an edge; component is the smallest node reachable.
 
