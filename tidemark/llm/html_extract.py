@@ -1,18 +1,26 @@
 """HTML extraction with site template removal.
 
-A small tokenizer builds the element tree of each page. Every element subtree is hashed (tag and
-flattened text, bottom up), distinct pages are counted per (host, hash), and subtrees that recur are
-deleted before the text is taken. Rules of structure come first: elements and roles that never hold the
-article go, and if an ``article`` or ``main`` remains, only that is read. What recurs on a few pages
-recurs with copied articles, not with the site. So where no article is marked, a subtree goes only if it
-is a block on at least half of a host's pages, or a menu (a container whose text is mostly links) on a
-tenth; elements inside a line stay with their line. Inside a marked article it must recur on half of the
-pages and be a container with links. Copies that make up half of a host's pages cannot be told from it.
+Every element subtree of a page is hashed (tag and flattened text, bottom up), distinct pages are counted
+per (host, hash) in Spark, and block subtrees that recur on many pages of their host are deleted before
+anything else is read, inside and outside of an article alike:
+
+- outside of an article, a block on half of the host's pages (at least ``PAGES``), or a menu (a container whose
+  text is mostly links) on a tenth of them;
+- inside of one, a container on half of the pages (a list only if it holds a link), and any block on nearly all
+  of many pages (``MOST`` of at least ``MANY``).
+
+What recurs on few pages recurs with copied articles, not with the site, so it stays; words inside a line
+stay with their line. Copies that make up half of a host's pages cannot be told from its template. What a
+page has to itself cannot recur, so marks in the page say the rest: elements that never hold an article
+(``GONE``), classes, ids and roles that name such parts (whole names only), and, if any is left, ``article``
+or ``main`` as the place to read.
 
 The recurring hashes are broadcast if their measured number is within ``SMALL``; beyond it they join
-back by page. Defined cases: a null, empty or textless page gives an empty text; a null or hostless
-url is a host of its own; unclosed and stray tags are repaired as browsers do in the common cases;
-pages of one content on a host count once; other input columns are ignored.
+back by page. All steps take time in proportion to the page: one tokenizer that never looks back, trees without
+recursion, so depth has no limit. Defined cases: a null, empty or textless page gives an empty text; a null or
+hostless url is a host of its own; unclosed and stray tags are repaired as browsers do in the common cases; a tag
+that never ends is text; a page with an unpaired quote in a tag ends its tags at the next ``>`` from there on; pages
+of one content on a host count once; repeated rows each give a row; other input columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,211 +43,245 @@ BLOCK = frozenset(
     "header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 #: An opening tag of the key closes an open element of the values.
-CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+FENCES = ("ul", "ol", "dl", "table", "select")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Words of class and id that mark what is not the article.
+#: Names of class and id that mark what is not the article, and words that may stand beside them in a hyphenated name.
 ROLES = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies footer header menu modal nav navbar "
     "navigation newsletter notice pagination popup promo related share sharing sidebar social sponsored subscribe toolbar widget".split()
 )
+BESIDE = frozenset("area bar block bottom box container global left list main page right section site slot top wrapper".split())
 MARK_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog menu menubar".split())
+#: Never taken for a marked part, whatever their class.
+PLACES = frozenset("html body article main".split())
 #: A subtree recurs if it is on this many distinct pages of a host, and on a share of them: SITE, or SHARE for menus.
 PAGES, SHARE, SITE = 3, 0.1, 0.5
+#: On this share of at least so many pages of a host, any block is the site's.
+MOST, MANY = 0.9, 20
 #: A menu has this many links, and this share of its characters in them.
 LINKS, LINKED = 3, 0.8
-CONTAINERS = frozenset("div section ul ol dl table figure".split())
+BOXES, LISTS = frozenset("div section table figure".split()), frozenset("ul ol dl".split())
 SMALL = 200_000
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"""([^\s=/>"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
+_QUOTED = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
+_NAME = re.compile(r"[A-Za-z][^\s/>]*+")
+_ATTR = re.compile(r"""([^\s=/>"']++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++)))?+""")
+_ENDS = {tag: re.compile(f"</{tag}(?=[\\s/>])", re.I | re.A) for tag in RAW}
 _BLANK = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "role", "items", "hash")
+    __slots__ = ("tag", "role", "items", "hash", "links", "linked", "size")
 
     def __init__(self, tag: str, role: bool = False):
-        self.tag, self.role, self.items, self.hash = tag, role, [], 0
+        self.tag, self.role, self.items = tag, role, []
+        self.hash = self.links = self.linked = self.size = 0
+
+
+def _named(value: str) -> bool:
+    """One of the names is a role, or is put together from roles and words beside them."""
+    for name in value.split():
+        words = set(re.split(r"[-_]+", name))
+        if words & ROLES and words <= ROLES | BESIDE:
+            return True
+    return False
 
 
-def _is_role(attrs: str) -> bool:
+def _is_role(tag: str, attrs: str) -> bool:
+    if tag in PLACES:
+        return False
     for name, a, b, c in _ATTR.findall(attrs):
         name, value = name.lower(), (a or b or c).lower()
-        if name in ("class", "id") and ROLES & set(re.split(r"[^a-z]+", value)):
+        if name == "hidden" or name in ("class", "id") and _named(value):
             return True
         if name == "role" and value in MARK_ROLES or name == "aria-hidden" and value == "true":
             return True
-    return " hidden" in f"{attrs.lower()} ".replace("=", " =") and bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attrs.lower()))
+    return False
 
 
-def parse(page: str) -> Node:
-    """The element tree; text items are still escaped."""
+def parse(page: str) -> list[Node]:
+    """All nodes in page order, the root first; a node comes before what it holds. Text items are still escaped."""
     root = Node("#root")
-    stack, at = [root], 0
-    lower = None
-    for_text = stack[-1].items.append
-    n = len(page)
+    nodes, stack = [root], [root]
+    open_at: dict[str, list[int]] = {}
+    blocks, walls = [0], [0]
+    at, n, paired = 0, len(page), True
+
+    def drop(to: int) -> None:
+        while len(stack) > to:
+            k = len(stack) - 1
+            open_at[stack.pop().tag].pop()
+            for marks in (blocks, walls):
+                if marks[-1] == k:
+                    marks.pop()
+
+    def last(*tags: str) -> int:
+        return max((open_at[t][-1] for t in tags if open_at.get(t)), default=0)
+
     while at < n:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            for_text(page[at:])
+        start = page.find("<", at)
+        if start < 0:
+            stack[-1].items.append(page[at:])
             break
-        if m.start() > at:
-            for_text(page[at : m.start()])
-        at = m.end()
-        tag = m[2]
-        if tag is None:
+        if start > at:
+            stack[-1].items.append(page[at:start])
+        nxt = page[start + 1 : start + 2]
+        if nxt in ("!", "?"):
+            mark, skip = ("-->", 4) if page.startswith("<!--", start) else (">", 2)
+            end = page.find(mark, start + skip)
+            at = n if end < 0 else end + len(mark)
             continue
-        tag = tag.lower()
-        if m[1]:
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
-            if depth and (tag in BLOCK or not any(x.tag in BLOCK for x in stack[depth + 1 :])):
-                del stack[depth:]
+        closing = nxt == "/"
+        name = _NAME.match(page, start + 1 + closing)
+        if name is None:
+            stack[-1].items.append("<")
+            at = start + 1
+            continue
+        whole = _QUOTED.match(page, name.end()) if paired else None
+        if whole is None:
+            paired = False
+            end = page.find(">", name.end()) + 1
+            if not end:
+                stack[-1].items.append(page[start:])
+                break
         else:
-            attrs = m[3]
+            end = whole.end()
+        tag, attrs, at = name[0].lower(), page[name.end() : end - 1], end
+        if closing:
+            depth = last(tag)
+            if depth and (tag in BLOCK or depth > blocks[-1]):
+                drop(depth)
+            continue
+        if tag in BLOCK:
+            if last("p") > walls[-1]:
+                drop(last("p"))
+            if tag in HEADINGS and stack[-1].tag in HEADINGS:
+                drop(len(stack) - 1)
+        if tag in CLOSES and last(*CLOSES[tag]) > last(*FENCES):
+            drop(last(*CLOSES[tag]))
+        node = Node(tag, bool(attrs) and _is_role(tag, attrs))
+        stack[-1].items.append(node)
+        nodes.append(node)
+        if tag in RAW:
+            m = _ENDS[tag].search(page, at)
+            if tag not in GONE:
+                node.items.append(page[at : m.start() if m else n])
+            close = page.find(">", m.end()) if m else -1
+            at = n if close < 0 else close + 1
+        elif tag not in VOID and not attrs.endswith("/"):
+            k = len(stack)
+            open_at.setdefault(tag, []).append(k)
             if tag in BLOCK:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == "p":
-                        del stack[k:]
-                        break
-                    if stack[k].tag in BLOCK and stack[k].tag not in HEADINGS:
-                        break
-                if tag in HEADINGS and stack[-1].tag in HEADINGS:
-                    stack.pop()
-            if tag in CLOSES:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag in CLOSES[tag]:
-                        del stack[k:]
-                        break
-                    if stack[k].tag in ("ul", "ol", "dl", "table", "select"):
-                        break
-            node = Node(tag, bool(attrs) and _is_role(attrs))
-            stack[-1].items.append(node)
-            if tag in RAW:
-                lower = lower or page.lower()
-                end = lower.find(f"</{tag}", at)
-                stop = n if end < 0 else lower.find(">", end)
-                if tag not in GONE:
-                    node.items.append(page[at : n if end < 0 else end])
-                at = n if stop < 0 or end < 0 else stop + 1
-            elif tag not in VOID and not attrs.endswith("/"):
-                stack.append(node)
-        for_text = stack[-1].items.append
-    return root
+                blocks.append(k)
+                if tag != "p" and tag not in HEADINGS:
+                    walls.append(k)
+            stack.append(node)
+    return nodes
 
 
 def _flat(text: str) -> str:
     return _BLANK.sub(" ", html.unescape(text)).strip()
 
 
-def hashed(node: Node) -> int:
-    """Hash of tag, text and child hashes; 0 for an element without text."""
-    parts, told = [node.tag], False
-    for x in node.items:
-        if isinstance(x, Node):
-            h = hashed(x)
-            told = told or h != 0
-            parts.append(f"\x01{h}")
-        elif t := _flat(x):
-            told = True
-            parts.append("\x02" + t)
-    node.hash = int.from_bytes(hashlib.blake2b("".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True) if told else 0
-    return node.hash
-
-
-def has_link(node: Node) -> bool:
-    return any(isinstance(x, Node) and (x.tag == "a" or has_link(x)) for x in node.items)
-
-
-def _linked(node: Node, inside: bool = False) -> tuple[int, int, int]:
-    """Links, characters in links, characters."""
-    links, held, size = 0, 0, 0
-    for x in node.items:
-        if isinstance(x, Node):
-            a, b, c = _linked(x, inside or x.tag == "a")
-            links, held, size = links + a + (x.tag == "a"), held + b, size + c
-        else:
-            n = len(_flat(x))
-            held, size = held + (n if inside else 0), size + n
-    return links, held, size
-
-
-def is_menu(node: Node) -> bool:
-    links, held, size = _linked(node)
-    return node.tag in CONTAINERS and links >= LINKS and held >= LINKED * size
+def measure(nodes: list[Node]) -> None:
+    """Sets each node's hash (of tag, text and child hashes; 0 without text), its links and its characters, bottom up."""
+    for node in reversed(nodes):
+        parts, told = [node.tag], False
+        for x in node.items:
+            if isinstance(x, Node):
+                told = told or x.hash != 0
+                parts.append(f"\x01{x.hash}")
+                node.links += x.links + (x.tag == "a")
+                node.linked += x.linked
+                node.size += x.size
+            elif t := _flat(x):
+                told = True
+                parts.append("\x02" + t)
+                node.size += len(t)
+        if node.tag == "a":
+            node.linked = node.size
+        if told:
+            node.hash = int.from_bytes(hashlib.blake2b("".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def subtrees(nodes: list[Node]) -> set[int]:
+    """Hashes of the block subtrees below the body: all that can be deleted."""
+    return {x.hash for x in nodes if x.hash and x.tag in BLOCK and x.tag not in ("html", "body")}
+
+
+def is_template(x: Node, level: int, inside: bool) -> bool:
+    """``level``: 1 if the subtree is on some of its host's pages, 2 on half of them, 3 on nearly all of many."""
+    if x.tag not in BLOCK:
+        return False
+    if inside:
+        return level == 3 or level == 2 and (x.tag in BOXES or x.tag in LISTS and x.links > 0)
+    menu = (x.tag in BOXES or x.tag in LISTS) and x.links >= LINKS and x.linked >= LINKED * x.size
+    return level >= 2 or level == 1 and menu
+
+
+def _kept(nodes: list[Node], levels: dict[int, int]) -> list[tuple[Node, bool]]:
+    """Nodes in page order that neither recurrence nor marks delete, with whether they are in an article; what a deleted one holds goes too."""
+    out, todo = [], [(nodes[0], False)]
+    while todo:
+        node, inside = todo.pop()
+        out.append((node, inside))
+        inside = inside or node.tag in ("article", "main")
+        stays = []
+        for x in node.items:
+            if isinstance(x, Node):
+                if x.tag in GONE or x.role or is_template(x, levels.get(x.hash, 0), inside):
+                    x.items = []
+                    x.tag = "#block" if x.tag in BLOCK else "#gone"
+                else:
+                    stays.append((x, inside))
+        todo += reversed(stays)
+    return out
 
 
-def subtrees(root: Node) -> set[int]:
-    found, todo = set(), [root]
-    while todo:
-        x = todo.pop()
-        if x.hash and x is not root and x.tag not in ("html", "body"):
-            found.add(x.hash)
-        todo += [y for y in x.items if isinstance(y, Node)]
-    return found
-
-
-def _articles(root: Node) -> list[Node]:
-    """The outermost ``article`` elements, or ``main``, outside of what goes; else the root."""
-    for tag in ("article", "main"):
-        found, todo = [], [root]
-        while todo:
-            x = todo.pop()
-            if x.tag == tag:
-                found.append(x)
-            elif x.tag not in GONE and not x.role:
-                todo += [y for y in reversed(x.items) if isinstance(y, Node)]
-        if found:
-            return found
-    return [root]
-
-
-def blocks(root: Node, often: set[int], site: set[int]) -> list[str]:
-    """Flattened blocks in page order, without what structure or recurrence rules out."""
+def lines(top: Node) -> list[str]:
+    """Flattened blocks of a node in page order."""
     out: list[str] = []
     line: list[str] = []
 
     def close() -> None:
-        text = _BLANK.sub(" ", html.unescape("".join(line))).strip()
+        text = _flat("".join(line))
         if text:
             out.append(text)
         line.clear()
 
-    def recurs(x: Node, inside: bool) -> bool:
-        if inside:
-            return x.hash in site and x.tag in CONTAINERS and has_link(x)
-        return x.tag in BLOCK and (x.hash in site or (x.hash in often and is_menu(x)))
-
-    def visit(node: Node, inside: bool) -> None:
-        for x in node.items:
-            if not isinstance(x, Node):
-                line.append(x)
-            elif x.tag in GONE or x.role or recurs(x, inside):
-                if x.tag in BLOCK:
-                    close()
-            elif x.tag == "br":
-                line.append(" ")
-            elif x.tag in BLOCK:
-                close()
-                visit(x, inside)
-                close()
-            elif x.tag not in VOID and x.tag != "title":
-                visit(x, inside)
-
-    for top in _articles(root):
-        visit(top, top is not root)
-        close()
+    todo: list[Node | str | None] = [None, *reversed(top.items)]
+    while todo:
+        x = todo.pop()
+        if x is None or isinstance(x, Node) and x.tag == "#block":
+            close()
+        elif not isinstance(x, Node):
+            line.append(x)
+        elif x.tag == "br":
+            line.append(" ")
+        elif x.tag in BLOCK:
+            close()
+            todo += [None, *reversed(x.items)]
+        elif x.tag not in VOID and x.tag != "title":
+            todo += reversed(x.items)
     return out
 
 
-def extract(page: str | None, often: set[int] = frozenset(), site: set[int] = frozenset()) -> str:
-    """The main text. ``often``: hashes of which menus go outside an article; ``site``: those on most pages, also in ``often``."""
+def extract(page: str | None, levels: dict[int, int] | None = None) -> str:
+    """The main text. ``levels``: how far each recurring hash of the page's host recurs (see ``is_template``)."""
     if not page:
         return ""
-    root = parse(page)
-    if often:
-        hashed(root)
-    return "\n".join(blocks(root, often, site))
+    nodes = parse(page)
+    if levels:
+        measure(nodes)
+    kept = _kept(nodes, levels or {})
+    for place in ("article", "main"):
+        tops = [x for x, inside in kept if x.tag == place and not inside]
+        if tops:
+            break
+    else:
+        tops = [nodes[0]]
+    return "\n".join(line for top in tops for line in lines(top))
 
 
 def host(url: F.Column) -> F.Column:
@@ -253,9 +295,9 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for page in batch.column(batch.num_columns - 1):
             own = []
             if page.is_valid and page.as_py():
-                root = parse(page.as_py())
-                hashed(root)
-                own = sorted(subtrees(root))
+                nodes = parse(page.as_py())
+                measure(nodes)
+                own = sorted(subtrees(nodes))
             found += own
             size.append(len(own))
         where = pa.array([k for k, s in enumerate(size) for _ in range(s)], pa.int64())
@@ -264,13 +306,14 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, hash, site): subtrees that recur; ``site`` if on at least SITE of the host's distinct pages that are not blank."""
+    """(host, hash, level): subtrees that recur, by their share of the host's distinct pages that are not blank."""
     keyed = pages.where(F.trim(html_col) != "").select(host(F.col(url_col)).alias("host"), F.xxhash64(html_col).alias("page"), F.col(html_col).alias("html"))
     met = keyed.mapInArrow(_hashes, "host string, page bigint, hash bigint").distinct()
     seen = met.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= PAGES)
     sizes = keyed.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("all"))
     share = F.col("n") / F.col("all")
-    return seen.join(sizes, "host").where(share >= SHARE).select("host", "hash", (share >= SITE).alias("site"))
+    level = F.when((share >= MOST) & (F.col("all") >= MANY), 3).when(share >= SITE, 2).otherwise(1)
+    return seen.join(sizes, "host").where(share >= SHARE).select("host", "hash", level.alias("level"))
 
 
 def extract_pages(
@@ -279,7 +322,7 @@ def extract_pages(
     """(page_id, url, text) of every page."""
     from pyspark.sql import types as T
 
-    from tidemark.llm.common import materialize
+    from tidemark.llm.common import discard, materialize
 
     spark = pages.sparkSession
     known = materialize(templates(pages, url_col, html_col))
@@ -296,31 +339,25 @@ def extract_pages(
         return pa.RecordBatch.from_arrays([batch.column(0).cast(out.field(0).type), batch.column(1).cast(out.field(1).type), pa.array(texts, pa.string())], schema=out)
 
     if known.limit(small + 1).count() <= small:
-        by_host: dict[str, tuple[set, set]] = {}
+        by_host: dict[str, dict[int, int]] = {}
         for r in known.collect():
-            often, site = by_host.setdefault(r["host"], (set(), set()))
-            often.add(r["hash"])
-            if r["site"]:
-                site.add(r["hash"])
+            by_host.setdefault(r["host"], {})[r["hash"]] = r["level"]
+        discard(known)
         shared = spark.sparkContext.broadcast(by_host)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            none: tuple[set, set] = (set(), set())
             for batch in batches:
-                texts = [extract(p.as_py(), *shared.value.get(h.as_py(), none)) for p, h in zip(batch.column(2), batch.column(3))]
-                yield emit(batch, texts)
+                yield emit(batch, [extract(p.as_py(), shared.value.get(h.as_py())) for p, h in zip(batch.column(2), batch.column(3))])
 
         return rows.mapInArrow(run, schema)
 
     keyed = rows.withColumn("key", F.xxhash64("url", "html"))
     pairs = keyed.select("key", "host", "html").mapInArrow(_hashes, "key bigint, host string, hash bigint")
-    own = pairs.distinct().join(known, ["host", "hash"]).groupBy("key").agg(
-        F.collect_set("hash").alias("often"), F.collect_set(F.when(F.col("site"), F.col("hash"))).alias("site")
-    )
+    own = pairs.distinct().join(known, ["host", "hash"]).groupBy("key").agg(F.collect_set(F.struct("hash", "level")).alias("levels"))
 
     def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [extract(p.as_py(), set(a.as_py() or ()), set(b.as_py() or ())) for p, a, b in zip(batch.column(2), batch.column(3), batch.column(4))]
+            texts = [extract(p.as_py(), {x["hash"]: x["level"] for x in found.as_py() or ()}) for p, found in zip(batch.column(2), batch.column(3))]
             yield emit(batch, texts)
 
-    return keyed.join(own, "key", "left").select("page_id", "url", "html", "often", "site").mapInArrow(run_joined, schema)
+    return keyed.join(own, "key", "left").select("page_id", "url", "html", "levels").mapInArrow(run_joined, schema)
