@@ -2,7 +2,9 @@
 
 Pieces and scores are read from the model file; the merging is our own: an agenda (heap) of adjacent
 symbol pairs, best score first, then leftmost. A boundary that no piece spans splits a text into
-segments that merge independently, so each worker keeps the segments it has met. Documents travel in
+segments that merge independently, so each worker keeps the ids of segments it has met, and beside them
+what those ids decode to: a text's decoding is put together from the decodings of its ids, never from the
+text. What is kept is bounded in characters, and long segments are not kept. Documents travel in
 Arrow batches. Defined cases: a null or empty text has no ids and decodes to an empty text; a
 character without a piece falls back to its UTF-8 bytes (or the unknown id, if the model has no byte
 pieces); rows may repeat; other input columns are ignored.
@@ -20,8 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SPACE = "▁"
-#: Segments a worker remembers in each of two generations; the older one goes when the newer is full.
-REMEMBERED = 220_000
+#: What a worker remembers in each of two generations, in characters (with ``ENTRY`` for each segment); the older one
+#: goes when the newer is full. Segments longer than ``LONG`` are coded anew each time.
+REMEMBERED, ENTRY, LONG = 64_000_000, 250, 200
 #: Rows of an output batch.
 ROWS = 512
 
@@ -99,9 +102,9 @@ class MergeModel:
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == self.BYTE}
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self._segments = re.compile(self._safe_splits()).findall
-        self._known: dict[str, str] = {}
-        self._older: dict[str, str] = {}
-        self._odd: dict[str, str] = {}
+        self._known: dict[str, tuple[str, str]] = {}
+        self._older: dict[str, tuple[str, str]] = {}
+        self._held = 0
         self._build_pairs()
 
     def _safe_splits(self) -> str:
@@ -184,20 +187,17 @@ class MergeModel:
                 out += self.output[s] if s >= 0 else self._own_ids(segment[at])
         return tuple(out)
 
-    def _remember(self, segment: str) -> str:
-        """The segment's ids as decimal text; a segment that does not decode to itself is noted in ``_odd``."""
+    def _coded_segment(self, segment: str) -> tuple[str, str]:
+        """The segment's ids as decimal text and what they decode to; remembered if the segment is short."""
         entry = self._older.get(segment)
-        if len(self._known) >= REMEMBERED:
-            self._older, self._known = self._known, {}
         if entry is None:
             ids = self._ids(segment)
-            entry = ",".join(map(str, ids))
-            text = self._text(ids)
-            if text != segment.replace(SPACE, " "):
-                if len(self._odd) >= REMEMBERED:
-                    self._odd, self._older, self._known = {}, {}, {}
-                self._odd[segment] = text
-        self._known[segment] = entry
+            entry = ",".join(map(str, ids)), self._text(ids)
+        if len(segment) <= LONG:
+            if self._held >= REMEMBERED:
+                self._older, self._known, self._held = self._known, {}, 0
+            self._known[segment] = entry
+            self._held += ENTRY + len(segment) + len(entry[0]) + len(entry[1])
         return entry
 
     def _text(self, ids) -> str:
@@ -224,15 +224,16 @@ class MergeModel:
         """The ids of a text as decimals joined by commas, and the text they decode to."""
         if not text:
             return "", ""
-        segments = self._segments(self.prefix + text.replace(" ", SPACE))
-        known, make = self._known.get, self._remember
-        ids = ",".join([known(s) or make(s) for s in segments])
-        odd = self._odd
-        if odd and not odd.keys().isdisjoint(segments):
-            decoded = "".join([odd[s] if s in odd else s.replace(SPACE, " ") for s in segments])
-        else:
-            decoded = "".join(segments).replace(SPACE, " ")
-        return ids, decoded[len(self.prefix) :]
+        known, make = self._known.get, self._coded_segment
+        coded = []
+        for s in self._segments(self.prefix + text.replace(" ", SPACE)):
+            entry = known(s)
+            if entry is None:
+                entry = make(s)
+                known = self._known.get
+            coded.append(entry)
+        ids, decoded = zip(*coded)
+        return ",".join(ids), "".join(decoded)[len(self.prefix) :]
 
     def encode(self, text: str | None) -> list[int]:
         ids = self.coded(text)[0]
