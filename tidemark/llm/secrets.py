@@ -3,12 +3,18 @@
 Rules are written in a small regex dialect (literals, classes, groups, ``|``, ``?``, ``*``, ``+``,
 ``{m,}``, ``{m,n}``), turned into one nondeterministic automaton, determinised by subset construction,
 minimised by partition refinement and stored as a flat transition array over bytes. A document is
-read once, byte by byte, for all rules together. Where the array reports rules, the exact leftmost
-longest spans of just those rules are taken with their own small automata, started where the keyword
-can start. Rules match ASCII, so bytes of other characters only end matches.
+read once, byte by byte, for all rules together; that pass tells where the matches of each rule end. From an
+end, the rule read backwards (a small automaton of the same kind) goes back over the match to its leftmost
+start. Matches of a rule never overlap, and a match that ``keep`` refuses still takes its place, as if each rule
+were searched for by itself, leftmost and longest first. Rules match ASCII, so bytes of other characters only
+end matches.
+
+A rule must be such that a match, once it is complete, grows byte by byte (it ends in a run of one class, or has one
+length); else its ends would not tell its matches apart.
 
 Defined cases: a null or empty text has no spans; whole texts are read, whatever their length; spans
-count code points, end exclusive; rows may repeat; other input columns are ignored.
+count code points, end exclusive; rows may repeat; other input columns are ignored; an input column named
+``spans`` gives way to the spans.
 """
 
 from __future__ import annotations
@@ -23,15 +29,10 @@ from pyspark.sql import DataFrame
 
 @dataclass(frozen=True)
 class Rule:
-    """``seen`` finds places to look at; ``exact`` gives the span; ``keep`` says if a match counts.
-
-    ``seen`` may count a run of one class (its states are nested), but not repeat a class after a keyword
-    that the class contains: all sets of counts would become states.
-    """
+    """``pattern`` gives the match; ``keep`` says if it counts."""
 
     kind: str
-    exact: str
-    seen: str
+    pattern: str
     fold: bool = False
     keep: Callable[[bytes], bool] | None = None
 
@@ -43,16 +44,15 @@ def _assigned(match: bytes) -> bool:
     return len(value[1:] if value[:1] in (b'"', b"'") else value) >= 12
 
 
-_ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]"""
 #: The base rules, then rules for well-known public token formats. The first three come first in ties.
 RULES = (
-    Rule("assign", _ASSIGN + "+", _ASSIGN, True, _assigned),
-    Rule("access", r"AKIA[A-Z0-9]+", r"AKIA[A-Z0-9]", keep=lambda m: len(m) >= 18),
-    Rule("hex", r"[0-9a-f]+", r"[0-9a-f]{16}", keep=lambda m: len(m) >= 16),
-    Rule("github", r"gh[pousr]_[A-Za-z0-9]+", r"gh[pousr]_[A-Za-z0-9]", keep=lambda m: len(m) >= 40),
-    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", r"xox[abprs]-[A-Za-z0-9-]", keep=lambda m: len(m) >= 15),
-    Rule("google", r"AIza[A-Za-z0-9_-]+", r"AIza[A-Za-z0-9_-]", keep=lambda m: len(m) >= 39),
-    Rule("private_key", r"-----BEGIN\x20([A-Z]+\x20)*PRIVATE\x20KEY-----", r"-----BEGIN\x20([A-Z]+\x20)*PRIVATE\x20KEY-----"),
+    Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+""", True, _assigned),
+    Rule("access", r"AKIA[A-Z0-9]+", keep=lambda m: len(m) >= 18),
+    Rule("hex", r"[0-9a-f]{16,}"),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]+", keep=lambda m: len(m) >= 40),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", keep=lambda m: len(m) >= 15),
+    Rule("google", r"AIza[A-Za-z0-9_-]+", keep=lambda m: len(m) >= 39),
+    Rule("private_key", r"-----BEGIN\x20([A-Z]+\x20)*PRIVATE\x20KEY-----"),
 )
 BASE = ("assign", "access", "hex")
 
@@ -69,6 +69,19 @@ class _Nfa:
         self.free.append([])
         return len(self.edges) - 1
 
+    def turned(self) -> _Nfa:
+        """The automaton of the patterns read backwards."""
+        out = _Nfa()
+        for _ in self.edges:
+            out.state()
+        for s, moves in enumerate(self.edges):
+            for mask, t in moves:
+                out.edges[t].append((mask, s))
+        for s, moves in enumerate(self.free):
+            for t in moves:
+                out.free[t].append(s)
+        return out
+
     def add(self, pattern: str, fold: bool) -> tuple[int, int]:
         self.p, self.at, self.fold = pattern, 0, fold
         out = self._either()
@@ -169,19 +182,23 @@ class _Nfa:
 
 
 class Automaton:
-    """Minimal deterministic automaton of ``(pattern, fold)`` alternatives.
+    """Minimal deterministic automaton of ``(pattern, fold)`` alternatives, read backwards if ``backward``.
 
     ``table[state * 256 + byte]`` is the next state times 256. Dead is state 0 when ``anywhere`` is
     false; else every position may start a match. States from ``hits`` on (times 256) accept, and
     ``tags`` says which alternatives.
     """
 
-    def __init__(self, patterns: list[tuple[str, bool]], anywhere: bool):
+    def __init__(self, patterns: list[tuple[str, bool]], anywhere: bool, backward: bool = False):
         nfa, starts, ends = _Nfa(), [], {}
         for k, (pattern, fold) in enumerate(patterns):
             a, b = nfa.add(pattern, fold)
+            if backward:
+                a, b = b, a
             starts.append(a)
             ends[b] = k
+        if backward:
+            nfa = nfa.turned()
 
         def closed(states) -> frozenset[int]:
             seen, todo = set(states), list(states)
@@ -200,24 +217,20 @@ class Automaton:
             sets.append(start)
         moves: list[list[int]] = []
         classes = self._classes(nfa)
+        one = {c: byte for byte, c in enumerate(classes)}
         at = 0
         while at < len(sets):
-            by_class: dict[int, int] = {}
             row = []
-            for byte in range(256):
-                c = classes[byte]
-                if c not in by_class:
-                    step = {t for s in sets[at] for mask, t in nfa.edges[s] if mask >> byte & 1}
-                    to = closed(step | (set(starts) if anywhere else set()))
-                    if to not in number:
-                        number[to] = len(sets)
-                        sets.append(to)
-                    by_class[c] = number[to]
-                row.append(by_class[c])
+            for c in range(len(one)):
+                to = closed({t for s in sets[at] for mask, t in nfa.edges[s] if mask >> one[c] & 1} | (set(starts) if anywhere else set()))
+                if to not in number:
+                    number[to] = len(sets)
+                    sets.append(to)
+                row.append(number[to])
             moves.append(row)
             at += 1
         tags = [frozenset(ends[x] for x in s if x in ends) for s in sets]
-        self._minimise(moves, tags, number[start])
+        self._minimise(moves, tags, number[start], classes)
 
     @staticmethod
     def _classes(nfa: _Nfa) -> list[int]:
@@ -226,7 +239,7 @@ class Automaton:
         seen: dict[tuple, int] = {}
         return [seen.setdefault(tuple(m >> byte & 1 for m in masks), len(seen)) for byte in range(256)]
 
-    def _minimise(self, moves: list[list[int]], tags: list[frozenset], start: int) -> None:
+    def _minimise(self, moves: list[list[int]], tags: list[frozenset], start: int, classes: list[int]) -> None:
         groups: dict = {}
         part = [groups.setdefault(t, len(groups)) for t in tags]
         while True:
@@ -240,7 +253,7 @@ class Automaton:
             first.setdefault(p, s)
         order = sorted(first, key=lambda p: (bool(tags[first[p]]), first[p]))
         place = {p: i for i, p in enumerate(order)}
-        self.table = [place[part[t]] * 256 for p in order for t in moves[first[p]]]
+        self.table = [place[part[moves[first[p]][c]]] * 256 for p in order for c in classes]
         self.tags = {i * 256: tags[first[p]] for i, p in enumerate(order) if tags[first[p]]}
         self.hits = min(self.tags, default=len(order) * 256)
         self.start = place[part[start]] * 256
@@ -251,49 +264,59 @@ class Automaton:
 class Scanner:
     def __init__(self, rules: tuple[Rule, ...] = RULES):
         self.rules = rules
-        self.all = Automaton([(r.seen, r.fold) for r in rules], anywhere=True)
-        self.own = [Automaton([(r.exact, r.fold)], anywhere=False) for r in rules]
-
-    def seen(self, data: bytes) -> set[int]:
-        """One pass over the bytes: the rules that have something to look at."""
-        table, hits, state, found = self.all.table, self.all.hits, self.all.start, set()
-        for byte in data:
+        self.all = Automaton([(r.pattern, r.fold) for r in rules], anywhere=True)
+        self.back = [Automaton([(r.pattern, r.fold)], anywhere=False, backward=True) for r in rules]
+
+    def ends(self, data: bytes) -> dict[int, list[int]]:
+        """One pass over the bytes for all rules: by rule, the last byte (exclusive) of each stretch in which it matches."""
+        table, hits, tags, state = self.all.table, self.all.hits, self.all.tags, self.all.start
+        found: dict[int, list[int]] = {}
+        for at, byte in enumerate(data, 1):
             state = table[state + byte]
             if state >= hits:
-                found |= self.all.tags[state]
+                for k in tags[state]:
+                    own = found.setdefault(k, [])
+                    if own and own[-1] == at - 1:
+                        own[-1] = at
+                    else:
+                        own.append(at)
         return found
 
-    def _spans(self, k: int, data: bytes) -> Iterator[tuple[int, int]]:
-        """Leftmost longest matches of one rule, none overlapping; each is judged only after it is taken."""
-        a, keep = self.own[k], self.rules[k].keep
-        table, hits, dead, n, at = a.table, a.hits, a.dead, len(data), 0
-        alive = bytes(table[a.start + b] not in dead for b in range(256))
-        can = data.translate(alive)
-        while (at := can.find(1, at)) >= 0:
-            state, end, i = a.start, -1, at
-            while i < n:
-                state = table[state + data[i]]
-                i += 1
-                if state in dead:
-                    break
-                if state >= hits:
-                    end = i
-            if end < 0:
-                at += 1
-                continue
-            if keep is None or keep(data[at:end]):
-                yield at, end
-            at = end
+    def _start(self, k: int, data: bytes, end: int, low: int) -> int:
+        """The leftmost start, from ``low`` on, of a match of the rule that ends at ``end``; -1 if there is none."""
+        a, best = self.back[k], -1
+        table, hits, dead, state = a.table, a.hits, a.dead, a.start
+        for at in range(end - 1, low - 1, -1):
+            state = table[state + data[at]]
+            if state in dead:
+                break
+            if state >= hits:
+                best = at
+        return best
 
     def spans(self, text: str | None) -> list[tuple[str, int, int]]:
         """(kind, start, end) in code points, by start, then rule order."""
         if not text:
             return []
         data = text.encode("utf-8", "surrogatepass")
-        found = [(a, k, b) for k in self.seen(data) for a, b in self._spans(k, data)]
-        plain = len(data) == len(text)
-        place = (lambda i: i) if plain else (lambda i: len(data[:i].decode("utf-8", "surrogatepass")))
-        return [(self.rules[k].kind, place(a), place(b)) for a, k, b in sorted(found)]
+        found = []
+        for k, ends in self.ends(data).items():
+            low, keep = 0, self.rules[k].keep
+            for end in ends:
+                start = self._start(k, data, end, low)
+                if start >= 0:
+                    low = end
+                    if keep is None or keep(data[start:end]):
+                        found.append((start, k, end))
+        found.sort()
+        if found and len(data) != len(text):
+            place, at, count = {}, 0, 0
+            for p in sorted({p for a, _, b in found for p in (a, b)}):
+                count += len(data[at:p].decode("utf-8", "surrogatepass"))
+                place[p] = count
+                at = p
+            found = [(place[a], k, place[b]) for a, k, b in found]
+        return [(self.rules[k].kind, a, b) for a, k, b in found]
 
 
 @lru_cache(maxsize=2)
@@ -308,6 +331,7 @@ def scan_documents(df: DataFrame, text_col: str = "text", keep: tuple[str, ...]
     """The columns ``keep`` and ``spans``: every secret of the whole text."""
     from pyspark.sql import types as T
 
+    keep = tuple(c for c in keep if c.lower() != "spans")
     out_schema = T.StructType(df.select(*keep).schema.fields + [T.StructField("spans", T._parse_datatype_string(SPANS))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
