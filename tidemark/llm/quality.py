@@ -7,8 +7,10 @@ classes gives the score. Training is stochastic gradient descent in numpy on at
 row. The model is linear in the mean vector, so for scoring it folds into one number a bucket.
 
 Defined cases: a null or empty text has only the end-of-text feature; labels that disagree on a
-document, or are null, are left out; without labels of both classes every score is 0.5; rows may
-repeat; other input columns are never read.
+document, or are null, are left out; a labelled doc_id that several rows hold is trained on once, with the text of
+the smallest hash, so the driver gets ``MAX_LABELLED`` rows at most, each of one pair of numbers a bucket at most;
+without labels of both classes every score is 0.5; rows may repeat, and each is scored; an input column named
+``score`` gives way to the score; other input columns are never read.
 """
 
 from __future__ import annotations
@@ -116,7 +118,10 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", max_labelle
         .groupBy("doc_id").agg(F.min(target).alias("y"), F.max(target).alias("y2"))
         .where("y = y2").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).select("doc_id", "y")
     )
-    texts = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "y", "text")
+    texts = (
+        docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+        .groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,14 +136,15 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", max_labelle
             )
 
     got = texts.mapInArrow(run, "doc_id string, y int, ids binary, shares binary").collect()
-    got.sort(key=lambda r: (r["doc_id"], r["ids"], r["shares"]))
-    return train([(np.frombuffer(r["ids"], np.uint32), np.frombuffer(r["shares"], np.float32), r["y"]) for r in got[: 2 * max_labelled]])
+    got.sort(key=lambda r: r["doc_id"])
+    return train([(np.frombuffer(r["ids"], np.uint32), np.frombuffer(r["shares"], np.float32), r["y"]) for r in got])
 
 
 def score_documents(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``df`` with ``score``, the probability of label 1."""
+    """``df`` with ``score``, the probability of label 1, in place of any column of that name."""
     from pyspark.sql import types as T
 
+    df = df.drop("score")
     schema = T.StructType(df.schema.fields + [T.StructField("score", T.DoubleType())])
     where = df.columns.index(text_col)
     shared = df.sparkSession.sparkContext.broadcast(model.weights)
