@@ -3,14 +3,15 @@
 Strict patterns give the base spans (emails, addresses, cards, phones), which always stay. Relaxed
 patterns give further candidates. Four labelers vote for or against every candidate, or abstain: the
 pattern itself, gazetteers (top-level domains, issuer prefixes, calling codes, reserved addresses), cue
-words in front of it, and its shape. Expectation-maximisation over the counts of distinct vote patterns
+words in the 24 characters in front of it (back to the last match but one), and its shape. Expectation-maximisation over the counts of distinct vote patterns
 estimates each labeler's reliability without labels; the posteriors then train a naive Bayes span
 classifier on votes and shape features, which decides on the relaxed candidates. The table of vote
 patterns is bounded by the number of possible patterns, so the model is one row, whatever the corpus.
 
 Patterns keep the leftmost, non-overlapping matches of the plain ones but use possessive runs and
 anchors, so that long runs cost linear time. Positions come from the lengths of the pieces between
-matches, so they count code points. Defined cases: a null or empty text has no spans; whole texts are
+matches, so they count code points; they are summed over stretches of ``STRETCH`` matches and then inside each, so
+that a text with many matches costs no more a match than one with few. Defined cases: a null or empty text has no spans; whole texts are
 read; without any candidate the classifier adds nothing; rows may repeat; other columns are ignored.
 """
 
@@ -23,6 +24,7 @@ from tidemark.llm.common import materialize
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 15
+STRETCH = 256
 #: Cue words before a span of each kind, cues against any, and gazetteers.
 CUES = {
     "email": "mail|contact|write|reach|address|correo|kontakt|courriel", "ip": "ip|host|server|address|client|login|addr",
@@ -72,7 +74,7 @@ def _span_array(kind: str, n: int, strict: bool) -> str:
     m, s = f"m{n}", f"s{n}"
     x = f"element_at({m}, i)"
     start = f"a.pos + length(element_at({s}, i))"
-    before = f"lower(substring(text, greatest(1, {start} - 23), least(24, {start})))"
+    before = f"lower(right(concat(if(i > 1, element_at({m}, i - 1), ''), element_at({s}, i)), 24))"
     context = f"if(rlike({before}, '{AGAINST}'), 0, if(rlike({before}, '{CUES[kind]}'), 2, 1))"
     put = lambda sql: sql.replace("(x,", f"({x},").replace("(x)", f"({x})").replace("split(x", f"split({x}")
     distinct = f"size(array_distinct(split(regexp_replace({x}, '[^A-Za-z0-9]', ''), '')))"
@@ -83,10 +85,18 @@ def _span_array(kind: str, n: int, strict: bool) -> str:
         f"'votes', {votes}, 'shape', {shape})"
     )
     empty = "cast(array() as array<struct<kind: int, start: int, end: int, strict: boolean, votes: array<int>, shape: array<int>>>)"
-    return (
-        f"if(coalesce(size({m}), 0) <= 0, {empty}, aggregate(sequence(1, size({m})), named_struct('pos', 0, 'out', {empty}), "
-        f"(a, i) -> named_struct('pos', {start} + length({x}), 'out', if({put(_PASSES[kind])}, concat(a.out, array({found})), a.out)), a -> a.out))"
+    size = f"length(element_at({s}, i)) + length(element_at({m}, i))"
+    inside = f"sequence(h * {STRETCH} + 1, least(size({m}), (h + 1) * {STRETCH}))"
+    heads = (
+        f"aggregate(sequence(0, cast((size({m}) - 1) div {STRETCH} as int)), named_struct('pos', 0, 'out', cast(array() as array<struct<h: int, pos: int>>)), "
+        f"(b, h) -> named_struct('pos', b.pos + aggregate({inside}, 0, (t, i) -> t + {size}), "
+        f"'out', concat(b.out, array(named_struct('h', h, 'pos', b.pos)))), b -> b.out)"
     )
+    spans = (
+        f"aggregate({inside.replace('h *', 'g.h *').replace('(h +', '(g.h +')}, named_struct('pos', g.pos, 'out', {empty}), "
+        f"(a, i) -> named_struct('pos', {start} + length({x}), 'out', if({put(_PASSES[kind])}, concat(a.out, array({found})), a.out)), a -> a.out)"
+    )
+    return f"if(coalesce(size({m}), 0) <= 0, {empty}, flatten(transform({heads}, g -> {spans})))"
 
 
 def candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
