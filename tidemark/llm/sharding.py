@@ -1,7 +1,8 @@
 """Sharding by fixed virtual slots.
 
-Records hash into a fixed number of slots. Bytes are summed per slot, and a versioned table maps
-slots to shards; rebalancing edits that table instead of rehashing records. Everything is DataFrame
+Records hash into a fixed number of slots. Bytes are summed per slot, and a stored, versioned table maps
+slots to shards: its first version deals the slots out evenly, and ``rebalance`` measures the shards and, where they
+are uneven, stores an edited version instead of rehashing records. Everything is DataFrame
 code: the slot table has a fixed number of rows, so ordering and packing it never depends on the
 corpus. Defined cases: a null text has size 1 and a null checksum; a null id hashes by its text;
 repeated rows share a slot; an empty table gives no rows; other input columns are ignored.
@@ -12,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import new_folder
+
 N_SLOTS = 4096
 #: Each slot is counted and numbered in so many cells, which bounds the rows a single task orders.
 CELLS = 16
@@ -105,6 +108,29 @@ def read_slot_map(spark: SparkSession, path: str, version: int | None = None) ->
     return stored.where(F.col("version") == wanted).select("version", "virtual_slot", "shard")
 
 
+def first_slot_map(spark: SparkSession, n_shards: int, n_slots: int = N_SLOTS) -> DataFrame:
+    """Version 1 before anything is known of the records: the slots dealt out evenly."""
+    return spark.range(n_slots).select(
+        F.lit(1).alias("version"), F.col("id").cast("int").alias("virtual_slot"), F.pmod("id", F.lit(n_shards)).cast("int").alias("shard")
+    )
+
+
+def rebalance(spark: SparkSession, path: str, sizes: DataFrame, n_shards: int, slack: float = 0.0, room: float = 0.05) -> int:
+    """The version in force after storing an edited map at ``path``, if one is due.
+
+    It is due if a shard is fuller than an equal part (plus ``slack``) or the number of shards differs. Shards then keep
+    what fits an equal part less ``room``, so that enough small slots are left to even them out.
+    """
+    now = read_slot_map(spark, path)
+    loads = now.join(sizes, "virtual_slot").groupBy("shard").agg(F.sum("bytes").alias("load"))
+    seen = loads.agg(F.max("load").alias("most"), F.sum("load").alias("all"), F.max("shard").alias("last")).first()
+    version = now.agg(F.max("version")).first()[0]
+    if seen["last"] + 1 == n_shards and seen["most"] * n_shards <= seen["all"] * (1 + slack):
+        return version
+    write_slot_map(edit_slot_map(now, sizes, n_shards, -room), path)
+    return version + 1
+
+
 def place(recs: DataFrame, slot_map: DataFrame) -> DataFrame:
     """Each record's shard and its place in it (gapless from 0), without ordering a whole shard anywhere.
 
@@ -124,8 +150,15 @@ def place(recs: DataFrame, slot_map: DataFrame) -> DataFrame:
     )
 
 
-def shard(df: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All rows of ``df`` in ``n_shards`` shards of near equal bytes."""
+def shard(df: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col: str = "text", map_path: str | None = None) -> DataFrame:
+    """All rows of ``df`` in ``n_shards`` shards of near equal bytes, by the slot map stored at ``map_path``.
+
+    The map is made there if there is none yet (by default in a new place of the shared folder), and rebalanced.
+    """
+    spark = df.sparkSession
     recs = records(df, id_col, text_col)
-    slot_map = build_slot_map(slot_bytes(recs), n_shards)
-    return place(recs, slot_map).select("doc_id", "size", "text_crc32", "shard", "slot", "virtual_slot")
+    if map_path is None:
+        map_path = new_folder(spark)
+        write_slot_map(first_slot_map(spark, n_shards), map_path)
+    rebalance(spark, map_path, slot_bytes(recs), n_shards)
+    return place(recs, read_slot_map(spark, map_path)).select("doc_id", "size", "text_crc32", "shard", "slot", "virtual_slot")
