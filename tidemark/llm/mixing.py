@@ -2,7 +2,9 @@
 
 Targets in words come from weights by water-filling. Blocks of near equal word counts are apportioned
 to sources by highest quotients, then each source's blocks to its shards the same way, which gives
-integer quotas per shard; inside a shard a seeded phase picks the blocks. Everything is DataFrame
+integer quotas per shard; inside a shard a seeded phase picks the blocks. A source has ``SHARDS`` shards, and more
+where that keeps it to ``SHARD_ROWS`` rows and ``SHARD_WORDS`` words or so; rows fall to shards by id and text, so rows
+that share an id only, or have none, spread. Everything is DataFrame
 code. Defined cases: a null text has no words; a null source is a source of its own, last in order;
 rows that are equal in every used column are interchangeable; an empty table gives no rows; a corpus
 without words has zero targets; other input columns are ignored.
@@ -17,6 +19,9 @@ from tidemark.llm.common import materialize
 
 BLOCK_WORDS = 64
 SHARDS = 1024
+SHARD_ROWS = 100_000
+#: With so many words a shard the products of words and blocks stay far under 2 ** 63.
+SHARD_WORDS = 1 << 31
 CAP = 3
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -79,7 +84,7 @@ def sainte_lague(votes: DataFrame, group: list[str], key: str) -> DataFrame:
 
 def mix(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    block_words: int = BLOCK_WORDS, shards: int = SHARDS, cap: int = CAP, seed: int = 1,
+    block_words: int = BLOCK_WORDS, shards: int = SHARDS, cap: int = CAP, seed: int = 1, shard_rows: int = SHARD_ROWS,
 ) -> DataFrame:
     """(doc_id, size, source, source_size, target, text_hash, taken) of every row."""
     sized = df.select(
@@ -87,10 +92,14 @@ def mix(
         F.col(source_col).alias("source"),
         F.when(F.col(source_col).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(source_col))).alias("skey"),
         word_count(F.col(text_col)).alias("size"),
-        F.xxhash64(F.lit(seed), F.col(id_col)).alias("h"),
+        F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("h"),
         F.xxhash64(F.col(text_col)).alias("th"),
-    ).withColumn("shard", F.pmod("h", F.lit(shards)).cast("int"))
-    docs = materialize(sized)
+    )
+    kept = materialize(sized)
+    largest = kept.groupBy("skey").agg(F.count("*").alias("n"), F.sum("size").alias("words")).agg(F.max("n").alias("n"), F.max("words").alias("words")).first()
+    while shards * shard_rows < (largest["n"] or 0) or shards * SHARD_WORDS < (largest["words"] or 0):
+        shards *= 2
+    docs = kept.withColumn("shard", F.pmod("h", F.lit(shards)).cast("int"))
 
     cells = docs.groupBy("skey", "source", "shard").agg(F.sum("size").alias("cell_size")).withColumn(
         "blocks",
