@@ -3,15 +3,17 @@
 Vectors are cut into sub-vectors of two components, each coded by 4 bits. Codebooks and codes minimise
 a loss that weighs the part of the residual parallel to the vector more than the rest, since that part
 moves the inner products that matter (Guo et al., 2020). Codebooks are fitted on at most ``SAMPLE``
-vectors, chosen by a hash; every row is coded. Queries meet all rows in blocks: a query's table of
-partial products is summed over the codes (two codes a byte), the best ``SHORTLIST`` rows of the block
-are scored exactly in double precision, and the best of all blocks are kept.
+vectors, chosen by a hash; every row is coded, once, and kept with its codes in a table. Queries meet all rows in
+blocks: a query's table of partial products is summed over the codes (two codes a byte), the best ``SHORTLIST`` rows of
+the block are scored exactly in double precision, and the best of all blocks are kept. The shortlist is one for each
+block, so that recall does not fall as rows grow.
 
 Each length of vectors is searched on its own, by a quantiser of its own, in one plan; lengths are taken to be few.
 
 Defined cases: null or zero vectors, and those with null or non-finite components, take no part; ties go to
-the smaller id; rows with the query's own id are never its candidates; fewer candidates than asked for
-give fewer rows; other columns are ignored.
+the smaller id; rows with the query's own id are never its candidates; rows of equal id and vector count once, as query
+and as candidate; an id with different vectors asks with each and is found by each, but is listed once for a query, with
+its best score; fewer candidates than asked for give fewer rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE = 20_000
+from tidemark.llm.common import discard, finish, materialize
+
+SAMPLE = 8192
 SHORTLIST = 256
 #: Rows and queries of a block.
-ROWS, QUERIES_AT_ONCE = 16_384, 4096
+ROWS, QUERIES_AT_ONCE = 16_384, 32_768
 #: Weight of the parallel part over the rest.
 ETA = 4.0
 ROUNDS = 6
@@ -133,10 +137,10 @@ class Quantiser:
         return (t[::2, :, None] + t[1::2, None, :]).reshape(-1, 256).astype(np.float32)
 
 
-def search_block(q: Quantiser, ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, shortlist: int):
-    """(query index, row index, score) of the best k of this block for every query."""
-    codes = q.encode(vectors)
+def search_block(q: Quantiser, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, shortlist: int):
+    """(query index, row index, score) of the best k ids of this block for every query; ``codes`` has a row for each byte of codes."""
     out = []
+    repeats = len(np.unique(ids)) < len(ids)
     for i, query in enumerate(queries):
         tables = q.tables(query)
         rough = tables[0][codes[0]]
@@ -145,7 +149,10 @@ def search_block(q: Quantiser, ids: np.ndarray, vectors: np.ndarray, query_ids:
         near = np.argpartition(-rough, shortlist)[:shortlist] if len(ids) > shortlist else np.arange(len(ids))
         near = near[ids[near] != query_ids[i]]
         score = (vectors[near] * query).sum(1)
-        best = np.lexsort((ids[near], -score))[:k]
+        best = np.lexsort((ids[near], -score))
+        if repeats:
+            best = best[np.sort(np.unique(ids[near][best], return_index=True)[1])]
+        best = best[:k]
         out.append((np.full(len(best), i), near[best], score[best]))
     return tuple(np.concatenate([o[j] for o in out]) for j in range(3))
 
@@ -155,41 +162,56 @@ def search(
     sample: int = SAMPLE, rows: int = ROWS,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): each query row's k nearest other rows of its length by inner product."""
-    vectors = packed(df, id_col, vec_col).where(F.col("vec").isNotNull() & F.col("vec_id").isNotNull())
-    kind = packed_kind(df, vec_col)
-    spark = df.sparkSession
+    spark, kind = df.sparkSession, packed_kind(df, vec_col)
+    vectors = materialize(packed(df, id_col, vec_col).where(F.col("vec").isNotNull() & F.col("vec_id").isNotNull()).distinct())
     asks = vectors.select(F.col("vec_id").alias(id_col), "dims").withColumn("asks", is_query)
     lengths = asks.groupBy("dims").agg(F.count("*").alias("n"), F.count_if("asks").alias("asked")).where("asked > 0").orderBy("dims").collect()
     if not lengths:
+        discard(vectors)
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    each = [_found(vectors.where(F.col("dims") == r["dims"]).select("vec_id", "vec"), is_query, r["n"], r["asked"], kind, k, id_col, shortlist, sample, rows) for r in lengths]
+    each, used = [], [vectors]
+    for r in lengths:
+        found, coded = _found(vectors.where(F.col("dims") == r["dims"]).select("vec_id", "vec"), is_query, r["n"], r["asked"], kind, k, id_col, shortlist, sample, rows)
+        each.append(found)
+        used.append(coded)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = reduce(DataFrame.unionByName, each).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    listed = reduce(DataFrame.unionByName, each).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    ranked = listed.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return finish(ranked.select("query_id", "rank", "vec_id", "score"), *used)
 
 
 def _found(
     vectors: DataFrame, is_query: Column, n: int, n_asked: int, kind: str, k: int, id_col: str, shortlist: int, sample: int, rows: int
-) -> DataFrame:
-    """(query_id, vec_id, score): the k best of every block for the queries among n vectors of one length."""
+) -> tuple[DataFrame, DataFrame]:
+    """(query_id, vec_id, score): the k best of every block for the queries among n vectors of one length; and the coded rows."""
     spark = vectors.sparkSession
     drawn = vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "vec").limit(sample).collect()
     shared = spark.sparkContext.broadcast(Quantiser(matrix([r["vec"] for r in drawn], kind)))
-    named = vectors.withColumnRenamed("vec_id", id_col)
-    asked = named.where(is_query).select(F.col(id_col).alias("vec_id"), "vec")
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                codes = np.ascontiguousarray(shared.value.encode(matrix(batch.column(1), kind)).T)
+                blobs = pa.array([c.tobytes() for c in codes], pa.binary())
+                yield pa.RecordBatch.from_arrays([*batch.columns, blobs], names=["vec_id", "vec", "codes"])
+
+    coded = materialize(vectors.mapInArrow(encoded, "vec_id bigint, vec binary, codes binary"))
+    asked = coded.withColumnRenamed("vec_id", id_col).where(is_query).select(F.col(id_col).alias("vec_id"), "vec")
     row_blocks = max(1, -(-n // rows))
     query_blocks = max(1, -(-n_asked // QUERIES_AT_ONCE))
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     spread = lambda m: F.pmod(F.xxhash64("vec_id", "vec"), F.lit(m)).cast("int")
-    right = vectors.select("vec_id", "vec", F.lit(False).alias("asks"), spread(row_blocks).alias("r"), every(query_blocks).alias("q"))
-    left = asked.select("vec_id", "vec", F.lit(True).alias("asks"), every(row_blocks).alias("r"), spread(query_blocks).alias("q"))
+    right = coded.select("vec_id", "vec", "codes", spread(row_blocks).alias("r"), every(query_blocks).alias("q"))
+    left = asked.select("vec_id", "vec", F.lit(None).cast("binary").alias("codes"), every(row_blocks).alias("r"), spread(query_blocks).alias("q"))
 
     def run(table: pa.Table) -> pa.Table:
-        asks = table["asks"].to_numpy()
+        asks = table["codes"].is_null().to_numpy()
         ids, vecs = table["vec_id"].to_numpy(), matrix(table["vec"], kind)
         if not asks.any() or asks.all():
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        i, j, score = search_block(shared.value, ids[~asks], vecs[~asks], ids[asks], vecs[asks], k, shortlist)
+        blobs = [c for c in table["codes"].to_pylist() if c is not None]
+        codes = np.ascontiguousarray(np.frombuffer(b"".join(blobs), np.uint8).reshape(len(blobs), -1).T)
+        i, j, score = search_block(shared.value, ids[~asks], vecs[~asks], codes, ids[asks], vecs[asks], k, shortlist)
         return pa.table({"query_id": ids[asks][i], "vec_id": ids[~asks][j], "score": score})
 
-    return right.unionByName(left).groupBy("r", "q").applyInArrow(run, "query_id bigint, vec_id bigint, score double")
+    return right.unionByName(left).groupBy("r", "q").applyInArrow(run, "query_id bigint, vec_id bigint, score double"), coded
