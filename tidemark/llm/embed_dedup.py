@@ -14,7 +14,8 @@ their multiplicity.
 
 Defined cases: null or zero vectors, and those with null or non-finite components, link with nothing;
 so do rows with a null id; vectors of different lengths never link; rows with equal ids are one node
-but keep their own counts; an empty table gives no rows; other columns are ignored.
+but keep their own counts; finite doubles whose squares overflow or vanish are scaled first and link as others do; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.ann import matrix, packed, packed_kind
-from tidemark.llm.common import connected_components, materialize
+from tidemark.llm.common import connected_components, discard, finish, materialize
 
 BLOCKS = 4
 SAMPLE = 20_000
@@ -42,7 +43,7 @@ class Plan:
     """Rotation, blocks, budgets (in grid units) and a k-d tree for each block."""
 
     def __init__(self, sample: np.ndarray, rows: int, threshold: float, blocks: int, cell: int):
-        unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+        unit = _unit(sample)
         d = unit.shape[1]
         self.axes = np.linalg.eigh(unit.T @ unit)[1][:, ::-1]
         spread = ((unit @ self.axes) ** 2).mean(0)
@@ -93,6 +94,7 @@ class Plan:
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
+    vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True)
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
@@ -181,7 +183,7 @@ def near_duplicates(
     spark = df.sparkSession
     kind = packed_kind(df, vec_col)
     rows = packed(df, id_col, vec_col)
-    base = rows.select("vec_id", F.when(F.col("vec_id").isNotNull() & F.col("vec").isNotNull(), F.xxhash64("vec")).alias("key"))
+    base = rows.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("vec")).alias("vec"))
     usable = rows.where("vec is not null and vec_id is not null")
     distinct = materialize(usable.groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("times"), F.first("dims").alias("dims")).withColumn("key", F.xxhash64("vec")))
     parts = []
@@ -191,22 +193,24 @@ def near_duplicates(
         plan = Plan(matrix([r["vec"] for r in drawn], kind), length["count"], threshold, blocks, cell)
         parts.append(_block_joins(own, spark.sparkContext.broadcast(plan), len(plan.cuts), threshold, piece, kind))
     if not parts:
+        discard(distinct)
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
     found = materialize(found)
     linked = connected_components(found.select("rep", "root"), "rep", "root")
-    counts = found.groupBy("key").agg(F.sum("links").alias("links"))
+    counts = found.groupBy("key", "rep").agg(F.sum("links").alias("links"))
     named = (
-        distinct.select("key", "rep", "times")
-        .join(counts, "key", "left")
+        distinct.select("key", "vec", "rep", "times")
+        .join(counts, ["key", "rep"], "left")
         .join(linked, F.col("rep") == F.col("node"), "left")
-        .select("key", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+        .select("vec", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     )
-    return base.join(named, "key", "left").select(
+    out = base.join(named, "vec", "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")
     )
+    return finish(out, distinct, found)
 
 
 def _block_joins(own: DataFrame, plan, blocks: int, threshold: float, piece: int, kind: str) -> DataFrame:
