@@ -1,19 +1,25 @@
 """N-gram Jaccard join with a count-vector R-tree.
 
-Documents are sets of five-word shingles (64-bit hashes). Two facts cut the corpus down without losing
+Documents are sets of five-word shingles. Two facts cut the corpus down without losing
 a link: a document's partner shares at least three quarters of its shingles, so a document with fewer
 shingles that occur in a second text has no partner; and two partners share a shingle among the
-quarter (plus one) that comes first in a fixed order, rarest first. Sharing such a shingle puts texts
-into one candidate group.
+quarter (plus one) that comes first in a fixed order, rarest first. Texts that share such a shingle, and are of one
+class of size or of adjacent ones, fall into one candidate group (partners differ in size by a third at most, which
+is the width of a class).
 
 Inside a group, shingles are hashed into groups of tokens and each text becomes the point of its group
 counts. The points go into an R-tree. Two subtrees are compared only if the sum over coordinates of
 the smaller upper corner reaches the overlap that their smallest sizes need; pairs of points that pass
 the same bound are verified on the shingles themselves. Pairs already known to be connected are not
-looked at again, and only a spanning forest leaves a task, never all pairs. A large group is cut by
-size class and hash into pieces that meet pairwise, so no task holds more than two pieces.
+looked at again, and only a spanning forest leaves a task, never all pairs.
 
-Exact copies (equal shingle sets) count once throughout.
+A large group is cut by size class, hash and weight into pieces. First each piece is joined in itself, then one text of
+every part found so far with its like. What then hangs together with the most texts of the group, as nearly all
+of a group of copies does, need not meet itself again: only the other texts meet each other and the rest, piece by piece.
+So no task holds more than two pieces, and a group of copies costs a few times its size, not the square.
+
+Exact copies (equal shingle sets) count once throughout. A shingle is told from others by 40 bits of a 64-bit hash
+and the number of its partition, a set by a sum of 64-bit hashes; the words are not compared again.
 
 Defined cases: a null, empty or blank text has no shingles and links with nothing; under five words
 the whole sequence is one shingle; words split at ASCII white space, only A-Z fold; rows with equal
@@ -31,12 +37,12 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import connected_components, discard, materialize
+from tidemark.llm.common import connected_components, discard, finish, materialize
 
 WORDS = 5
 PERCENT = 75
-#: Texts in a piece of a candidate group.
-PIECE = 2048
+#: Texts and shingles in a piece of a candidate group.
+PIECE, WEIGHT = 512, 1 << 21
 LEAF = 32
 DIMS = 128
 _CHUNK = 4 << 20
@@ -138,15 +144,18 @@ def _deal(parts: int):
                 names = np.array(docs, np.int64)
                 part = ((tokens >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
                 owner = _runs(np.array([len(s) for s in sets]))
-                order = np.argsort(part, kind="stable")
-                counts = np.bincount(part * len(docs) + owner, minlength=parts * len(docs)).reshape(parts, len(docs))
-                tokens, ends = tokens[order] & _LOW, np.cumsum(counts.sum(1))
-                blobs, where = [], []
-                for p in range(parts):
-                    own = np.flatnonzero(counts[p])
-                    if len(own):
-                        where.append(p)
-                        blobs.append(_pack(names[own], counts[p][own], tokens[ends[p] - counts[p].sum() : ends[p]]))
+                place = part * len(docs) + owner
+                order = np.argsort(place, kind="stable")
+                tokens, place = tokens[order] & _LOW, place[order]
+                heads = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+                counts = np.diff(np.append(heads, len(place)))
+                where, who = np.divmod(place[heads], len(docs))
+                firsts = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1])))
+                blobs = []
+                for x, y in zip(firsts, np.append(firsts[1:], len(where))):
+                    own = counts[x:y]
+                    blobs.append(_pack(names[who[x:y]], own, tokens[heads[x] : heads[x] + own.sum()]))
+                where = where[firsts]
                 empty = pa.nulls(len(where), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), empty, empty, empty, pa.array(blobs, pa.binary())], schema=schema)
             docs, sets, held = [], [], 0
@@ -244,9 +253,10 @@ def _assemble(table: pa.Table) -> pa.Table:
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        heads = [np.frombuffer(t.as_py(), np.int64)[: k.as_py()] for k, t in zip(batch.column(1), batch.column(2))]
-        fps = np.repeat(batch.column(0).to_numpy(), [len(h) for h in heads])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads) if heads else [], pa.int64()), pa.array(fps, pa.int64())], names=["token", "fp"])
+        heads = [np.frombuffer(t.as_py(), np.int64)[: k.as_py()] for k, t in zip(batch.column(2), batch.column(3))]
+        size = [len(h) for h in heads]
+        fps, ns = (pa.array(np.repeat(batch.column(k).to_numpy(), size), pa.int64()) for k in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads) if heads else [], pa.int64()), fps, ns], names=["token", "fp", "n"])
 
 
 class RTree:
@@ -278,15 +288,15 @@ class RTree:
         return (100 + PERCENT) * int(np.minimum(ha[1:], hb[1:]).sum()) >= PERCENT * (la[0] + lb[0])
 
 
-def link_group(n: np.ndarray, tokens: list[np.ndarray], left: np.ndarray, right: np.ndarray | None) -> np.ndarray:
-    """The root (an index) of each text, by links inside ``left`` (``right`` None) or between both."""
+def link_group(n: np.ndarray, tokens: list[np.ndarray], left: np.ndarray, right: np.ndarray | None, known: np.ndarray) -> np.ndarray:
+    """The root (an index) of each text, by links inside ``left`` (``right`` None) or between both; texts with equal ``known`` are linked already."""
     local = np.unique(np.concatenate(tokens), return_inverse=True)[1]
     cuts = np.cumsum([len(t) for t in tokens])[:-1]
     own = np.split(local, cuts)
     points = np.zeros((len(n), DIMS + 1), dtype=np.int64)
     points[:, 0] = n
     np.add.at(points, (_runs(np.array([len(t) for t in tokens])), 1 + (_mix(np.concatenate(tokens).astype(np.uint64)) % np.uint64(DIMS)).astype(np.int64)), 1)
-    root = np.arange(len(n))
+    root = np.unique(known, return_index=True)[1][np.unique(known, return_inverse=True)[1]]
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -340,19 +350,69 @@ def link_group(n: np.ndarray, tokens: list[np.ndarray], left: np.ndarray, right:
 
 
 def _link(table: pa.Table) -> pa.Table:
-    fps = table["fp"].to_numpy()
-    side = table["side"].to_numpy()
+    """Links of one task: inside of its only piece (``inside``), or between the pieces of its two sides."""
+    fps, side = table["fp"].to_numpy(), table["side"].to_numpy()
     tokens = [np.frombuffer(t.as_py(), np.int64) for t in table["tokens"]]
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    one = table["i"][0].as_py() == table["j"][0].as_py() and table["c"][0].as_py() == table["d"][0].as_py()
-    if not one and not (len(left) and len(right)):
+    inside = table["inside"][0].as_py()
+    if not inside and not (len(left) and len(right)):
         return pa.table({"fp": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
-    root = link_group(table["n"].to_numpy(), tokens, left, None if one else right)
+    root = link_group(table["n"].to_numpy(), tokens, left, None if inside else right, table["known"].to_numpy())
     moved = root != np.arange(len(root))
     return pa.table({"fp": pa.array(fps[moved], pa.int64()), "root": pa.array(fps[root[moved]], pa.int64())})
 
 
-def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", piece: int = PIECE) -> DataFrame:
+_LINKS = "fp bigint, root bigint"
+
+
+def _size_class(n: str):
+    """Partners are in one class or in adjacent ones."""
+    return F.floor(F.log(F.col(n)) / F.log(F.lit(100 / PERCENT)) + 1e-9).cast("int")
+
+
+def _cuts(rows: DataFrame, piece: int, weight: int, *by: str) -> DataFrame:
+    """Into how many pieces the rows of each group are cut, by number and by shingles."""
+    return rows.groupBy(*by).agg(
+        F.greatest(F.ceil(F.count("*") / F.lit(piece)), F.ceil(F.sum("n") / F.lit(weight))).cast("int").alias("k"), F.count("*").alias("size")
+    )
+
+
+def _alone(rows: DataFrame, cuts: DataFrame, *by: str) -> DataFrame:
+    """Each row in its piece of its group, to be joined inside."""
+    h = F.pmod(F.xxhash64("fp"), F.col("k")).cast("int")
+    return rows.join(cuts.select(*by, "k"), [*by]).select(*rows.columns, h.alias("h"))
+
+
+def _apart(members: DataFrame, piece: int, weight: int) -> DataFrame:
+    """Tasks (grp, c, d, i, j, kind) with their rows: each two pieces that may hold a link not known yet.
+
+    ``members`` has (grp, fp, n, c, known, other); ``other`` says that a row does not hang together with the most of its group.
+    Rows of kind 0 are pieces of others with each other, of kind 1 pieces of others (side 0) with pieces of the rest.
+    """
+    cuts = materialize(_cuts(members, piece, weight, "grp", "c", "other"))
+    own = {o: cuts.where(F.col("other") == o).select("grp", "c", "k") for o in (True, False)}
+    beside = lambda o, by, name: own[o].select("grp", (F.col("c") - by).alias("c"), F.col("k").alias(name))
+    left = members.where("other").join(own[True], ["grp", "c"])
+    for o, by, name in ((True, 1, "up"), (True, -1, "down"), (False, -1, "r0"), (False, 0, "r1"), (False, 1, "r2")):
+        left = left.join(beside(o, by, name), ["grp", "c"], "left")
+    right = members.where("not other").join(own[False], ["grp", "c"])
+    for by, name in ((-1, "o0"), (0, "o1"), (1, "o2")):
+        right = right.join(beside(True, by, name), ["grp", "c"], "left")
+    h = F.pmod(F.xxhash64("fp"), F.col("k")).cast("int")
+    task = lambda c, d, i, j, side, kind: f"named_struct('c', {c}, 'd', {d}, 'i', {i}, 'j', {j}, 'side', {side}, 'kind', {kind}, 'inside', {c} = {d} and {i} = {j} and {kind} = 0)"
+    each = lambda k, made: f"if({k} is null, array(), transform(sequence(0, {k} - 1), x -> {made}))"
+    from_left = [
+        each("k", task("c", "c", "least(h, x)", "greatest(h, x)", "if(x < h, 1, 0)", 0)), each("up", task("c", "c + 1", "h", "x", 0, 0)), each("down", task("c - 1", "c", "x", "h", 1, 0)),
+        *(each(f"r{n}", task("c", f"c + {n - 1}", "h", "x", 0, 1)) for n in range(3)),
+    ]
+    from_right = [each(f"o{n}", task(f"c + {n - 1}", "c", "x", "h", 1, 1)) for n in range(3)]
+    parts = [
+        rows.withColumn("h", h).select("grp", "fp", "known", F.expr(f"inline(concat({', '.join(made)}))")) for rows, made in ((left, from_left), (right, from_right))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", piece: int = PIECE, weight: int = WEIGHT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -368,45 +428,39 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pi
     )
     discard(found)
 
-    postings = texts.select("fp", "lead", "tokens").mapInArrow(_postings, "token bigint, fp bigint")
-    leads = postings.groupBy("token").agg(F.min("fp").alias("lead"), F.max("fp").alias("last")).where("lead < last").select("token", "lead")
-    near = connected_components(postings.join(leads, "token").where("fp <> lead").select("fp", "lead"), "fp", "lead")
-    near = near.select(F.col("node").alias("fp"), F.col("component").alias("grp"))
-
-    members = near.join(texts.select("fp", "n"), "fp")
-    whole = members.groupBy("grp").agg(F.count("*").alias("all"))
-    classed = members.join(whole, "grp").select(
-        "grp", "fp", F.when(F.col("all") <= piece, F.lit(0)).otherwise(1 + F.floor(F.log(F.col("n")) / F.log(F.lit(100 / PERCENT)) + 1e-9)).cast("int").alias("c")
-    )
-    sizes = materialize(classed.groupBy("grp", "c").agg(F.ceil(F.count("*") / F.lit(piece)).cast("int").alias("k")))
-    around = (
-        sizes.alias("s")
-        .join(sizes.select("grp", (F.col("c") - 1).alias("c"), F.col("k").alias("up")), ["grp", "c"], "left")
-        .join(sizes.select("grp", (F.col("c") + 1).alias("c"), F.col("k").alias("down")), ["grp", "c"], "left")
-        .select("grp", "c", "k", F.when(F.col("c") > 0, F.col("up")).alias("up"), F.when(F.col("c") > 1, F.col("down")).alias("down"))
-    )
-    placed = (
-        classed.join(around, ["grp", "c"])
-        .withColumn("h", F.pmod(F.xxhash64("fp"), F.col("k")).cast("int"))
-        .withColumn("meets", F.expr("""
-            concat(
-                transform(sequence(0, k - 1), x -> named_struct('c', c, 'd', c, 'i', least(h, x), 'j', greatest(h, x), 'side', if(x < h, 1, 0))),
-                if(up is null, array(), transform(sequence(0, up - 1), x -> named_struct('c', c, 'd', c + 1, 'i', h, 'j', x, 'side', 0))),
-                if(down is null, array(), transform(sequence(0, down - 1), x -> named_struct('c', c - 1, 'd', c, 'i', x, 'j', h, 'side', 1))))
-        """))
-        .select("grp", "fp", F.inline("meets"))
-    )
-    links = (
-        placed.join(texts.select("fp", "n", "tokens"), "fp")
-        .groupBy("grp", "c", "d", "i", "j")
-        .applyInArrow(_link, "fp bigint, root bigint")
-    )
+    postings = texts.select("fp", "n", "lead", "tokens").mapInArrow(_postings, "token bigint, fp bigint, n bigint").withColumn("c", _size_class("n"))
+    leads = postings.groupBy("token", "c").agg(F.min("fp").alias("lead"), F.max("fp").alias("last"))
+    next_up = leads.select("token", (F.col("c") - 1).alias("c"), F.col("lead").alias("up"))
+    same = postings.join(leads.where("lead < last").select("token", "c", "lead"), ["token", "c"]).where("fp <> lead").select("fp", "lead")
+    across = leads.join(next_up, ["token", "c"]).where("lead <> up").select(F.col("lead").alias("fp"), F.col("up").alias("lead"))
+    near = connected_components(same.unionByName(across), "fp", "lead").select(F.col("node").alias("fp"), F.col("component").alias("grp"))
+
+    sized = near.join(texts.select("fp", "n"), "fp")
+    members = materialize(sized.join(_cuts(sized, piece, weight, "grp"), "grp").select("grp", "fp", "n", F.when(F.col("k") > 1, _size_class("n")).otherwise(-1).alias("c")))
+    task = ["grp", "c", "h"]
+    link = lambda rows: rows.join(texts.select("fp", "n", "tokens"), "fp")
+    one = lambda rows: rows.select(*task, "fp", F.col("fp").alias("known"), F.lit(0).alias("side"), F.lit(True).alias("inside"))
+    first = materialize(link(one(_alone(members, _cuts(members, piece, weight, "grp", "c"), "grp", "c"))).groupBy(*task).applyInArrow(_link, _LINKS))
+
+    large, links, used = members.where("c >= 0"), first, []
+    if not large.isEmpty():
+        parted = large.join(first.select("fp", "root"), "fp", "left").where("root is null").drop("root")
+        second = materialize(link(one(_alone(parted, _cuts(parted, piece, weight, "grp", "c"), "grp", "c"))).groupBy(*task).applyInArrow(_link, _LINKS))
+        so_far = connected_components(first.join(large.select("fp"), "fp", "left_semi").unionByName(second), "fp", "root")
+        held = large.join(so_far.select(F.col("node").alias("fp"), "component"), "fp", "left").select("grp", "fp", "n", "c", F.coalesce("component", "fp").alias("known"))
+        most = held.groupBy("grp", "known").agg(F.count("*").alias("size")).groupBy("grp").agg(F.max_by("known", F.struct("size", "known")).alias("main"))
+        told = materialize(held.join(most, "grp").select("grp", "fp", "n", "c", "known", (F.col("known") != F.col("main")).alias("other")))
+        unsettled = told.join(told.where("other").select("grp").distinct(), "grp", "left_semi")
+        last = link(_apart(unsettled, piece, weight)).groupBy("grp", "kind", "c", "d", "i", "j").applyInArrow(_link, _LINKS)
+        links = materialize(first.unionByName(second).unionByName(last))
+        used = [second, told, links]
     linked = connected_components(links, "fp", "root")
 
     classes = docs.where("n > 0").groupBy("fp", "n").agg(F.min("doc_id").alias("class_id"))
     joined = classes.join(linked, classes["fp"] == linked["node"], "left").select("fp", "n", "class_id", "component")
     lowest = joined.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("class_id").alias("lowest"))
     named = joined.join(lowest, "component", "left").select("fp", "n", F.coalesce("lowest", "class_id").alias("class_id"))
-    return docs.join(named, ["fp", "n"], "left").select(
+    out = docs.join(named, ["fp", "n"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("component_id")
     )
+    return finish(out, docs, texts, members, first, *used)
