@@ -112,7 +112,39 @@ _REACH = """c(node, root) AS (SELECT id, id FROM nodes UNION SELECT l.b, c.root
     m AS (SELECT node, min(root) AS component_id FROM c GROUP BY 1)"""
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+
+
+def _any_case(word: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+
+
+#: The secret rules for SQL: pattern, and what a match x must fulfil.
+_SECRETS = {
+    "assign": ("(" + "|".join(_any_case(w) for w in ("password", "passwd", "secret", "token", "api_?key")) + r""")["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", "length(regexp_extract(x, '{p}', 2)) >= 12"),
+    "access": ("AKIA[A-Z0-9]+", "length(x) >= 18"), "hex": ("[0-9a-f]+", "length(x) >= 16"), "github": ("gh[pousr]_[A-Za-z0-9]+", "length(x) >= 40"),
+    "slack": ("xox[abprs]-[A-Za-z0-9-]+", "length(x) >= 15"), "google": ("AIza[A-Za-z0-9_-]+", "length(x) >= 39"), "private_key": (r"-----BEGIN\x20(?:[A-Z]+\x20)*PRIVATE\x20KEY-----", "true"),
+}
+
+
+def _secrets_sql() -> str:
+    """Each rule by itself: matches and the pieces between them give the places."""
+    each = " UNION ALL ".join(
+        f"""SELECT rid, {k} AS k, '{kind}' AS kind, a, a + length(x) AS b FROM (SELECT rid, m[i] AS x, list_sum(list_transform(s[1:i], lambda e: length(e))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda e: length(e))), 0) AS a
+            FROM (SELECT rid, m, s, unnest(range(1, len(m) + 1)) AS i FROM (SELECT rid, regexp_extract_all(t, '{p}') AS m, string_split_regex(t, '{p}') AS s FROM d))) WHERE {ok.replace('{p}', p)}"""
+        for k, (kind, (p, ok)) in enumerate(_SECRETS.items())
+    )
+    joined = lambda which: f"coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k) FILTER (k < {which}), '')"
+    counts = ", ".join(f"count(*) FILTER (k = {k}) AS n_{kind}" for k, kind in enumerate(secrets.BASE))
+    return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents), f AS ({each})
+        SELECT any_value(doc_id) AS doc_id, {counts}, sha256({joined(3)}) AS base_sha256, {joined(99)} AS spans FROM d LEFT JOIN f USING (rid) GROUP BY rid"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_ann_search": """WITH v AS (SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0)
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+        QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20""",
+    "op8_secrets": _secrets_sql(),
     "op1_embedding_near_dedup": f"""WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
         l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
         nodes AS (SELECT vec_id AS id FROM v), {_REACH}, k AS (SELECT a, count(*) AS n FROM l GROUP BY 1)
