@@ -1,4 +1,10 @@
-"""A corpus pipeline: low quality goes, near copies go, secrets are masked, sources are mixed, the rest is encoded."""
+"""A corpus pipeline: low quality goes, near copies go, secrets are masked, sources are mixed, the rest is encoded.
+
+Defined cases: a null or empty text is scored, masked and encoded like any other, and leaves with the mix, which takes
+words only. Rows without a doc_id are never dropped as copies, since groups are named by ids. Rows that share a doc_id
+are told apart by their texts: of equal ones a single row stays, different ones stay side by side. Empty tables
+pass through every stage. Columns of documents beyond the five of the table are left behind.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import mixing, ngram_join, quality, secrets, sentencepiece_bpe
-from tidemark.llm.common import materialize
+from tidemark.llm.common import discard, materialize
 from tidemark.llm.queries import piece_model, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -24,7 +30,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document, the smallest doc_id, of each group linked by shingle similarity; ungrouped ones all stay."""
     groups = ngram_join.components(docs)
     dropped = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+    kept = docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+    shared = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    return kept.join(shared, "doc_id", "left_anti").unionByName(kept.join(shared, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])).select(*COLUMNS)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,7 +76,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(*COLUMNS)
+    """All stages in order; each one's rows are written, and those of the stage before it go."""
+    docs, before = table(spark, sf_dir, "documents").select(*COLUMNS), None
     for _, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir))
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
