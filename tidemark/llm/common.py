@@ -51,6 +51,11 @@ def finish(df: DataFrame, *used: DataFrame) -> DataFrame:
     return out
 
 
+def small(table: DataFrame, rows: int = 50_000) -> DataFrame:
+    """A table that is to be broadcast if it has so few rows, by count, and else is joined as Spark sees fit."""
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
+
+
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node that has an edge; component is the smallest node reachable.
 

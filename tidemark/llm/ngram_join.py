@@ -37,7 +37,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import connected_components, discard, finish, materialize
+from tidemark.llm.common import connected_components, discard, finish, materialize, small
 
 WORDS = 5
 PERCENT = 75
@@ -373,14 +373,15 @@ def _size_class(n: str):
 def _cuts(rows: DataFrame, piece: int, weight: int, *by: str) -> DataFrame:
     """Into how many pieces the rows of each group are cut, by number and by shingles."""
     return rows.groupBy(*by).agg(
-        F.greatest(F.ceil(F.count("*") / F.lit(piece)), F.ceil(F.sum("n") / F.lit(weight))).cast("int").alias("k"), F.count("*").alias("size")
+        F.greatest(F.ceil(F.count("*") / F.lit(piece)), F.ceil(F.sum("n") / F.lit(weight))).cast("int").alias("k")
     )
 
 
-def _alone(rows: DataFrame, cuts: DataFrame, *by: str) -> DataFrame:
-    """Each row in its piece of its group, to be joined inside."""
-    h = F.pmod(F.xxhash64("fp"), F.col("k")).cast("int")
-    return rows.join(cuts.select(*by, "k"), [*by]).select(*rows.columns, h.alias("h"))
+def _alone(rows: DataFrame, piece: int, weight: int) -> DataFrame:
+    """Tasks (grp, c, h) with their rows: each piece, to be joined inside."""
+    cut = small(materialize(_cuts(rows, piece, weight, "grp", "c").where("k > 1").select("grp", "c", "k")))
+    h = F.pmod(F.xxhash64("fp"), F.coalesce("k", F.lit(1))).cast("int")
+    return rows.join(cut, ["grp", "c"], "left").select("grp", "c", h.alias("h"), "fp", F.col("fp").alias("known"), F.lit(0).alias("side"), F.lit(True).alias("inside"))
 
 
 def _apart(members: DataFrame, piece: int, weight: int) -> DataFrame:
@@ -391,11 +392,11 @@ def _apart(members: DataFrame, piece: int, weight: int) -> DataFrame:
     """
     cuts = materialize(_cuts(members, piece, weight, "grp", "c", "other"))
     own = {o: cuts.where(F.col("other") == o).select("grp", "c", "k") for o in (True, False)}
-    beside = lambda o, by, name: own[o].select("grp", (F.col("c") - by).alias("c"), F.col("k").alias(name))
-    left = members.where("other").join(own[True], ["grp", "c"])
+    beside = lambda o, by, name: small(own[o].select("grp", (F.col("c") - by).alias("c"), F.col("k").alias(name)))
+    left = members.where("other").join(small(own[True]), ["grp", "c"])
     for o, by, name in ((True, 1, "up"), (True, -1, "down"), (False, -1, "r0"), (False, 0, "r1"), (False, 1, "r2")):
         left = left.join(beside(o, by, name), ["grp", "c"], "left")
-    right = members.where("not other").join(own[False], ["grp", "c"])
+    right = members.where("not other").join(small(own[False]), ["grp", "c"])
     for by, name in ((-1, "o0"), (0, "o1"), (1, "o2")):
         right = right.join(beside(True, by, name), ["grp", "c"], "left")
     h = F.pmod(F.xxhash64("fp"), F.col("k")).cast("int")
@@ -435,25 +436,24 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pi
     across = leads.join(next_up, ["token", "c"]).where("lead <> up").select(F.col("lead").alias("fp"), F.col("up").alias("lead"))
     near = connected_components(same.unionByName(across), "fp", "lead").select(F.col("node").alias("fp"), F.col("component").alias("grp"))
 
-    sized = near.join(texts.select("fp", "n"), "fp")
-    members = materialize(sized.join(_cuts(sized, piece, weight, "grp"), "grp").select("grp", "fp", "n", F.when(F.col("k") > 1, _size_class("n")).otherwise(-1).alias("c")))
-    task = ["grp", "c", "h"]
-    link = lambda rows: rows.join(texts.select("fp", "n", "tokens"), "fp")
-    one = lambda rows: rows.select(*task, "fp", F.col("fp").alias("known"), F.lit(0).alias("side"), F.lit(True).alias("inside"))
-    first = materialize(link(one(_alone(members, _cuts(members, piece, weight, "grp", "c"), "grp", "c"))).groupBy(*task).applyInArrow(_link, _LINKS))
-
-    large, links, used = members.where("c >= 0"), first, []
-    if not large.isEmpty():
+    sized = materialize(near.join(texts.select("fp", "n"), "fp"))
+    big = materialize(_cuts(sized, piece, weight, "grp").where("k > 1").select("grp", F.lit(True).alias("big")))
+    members = sized.join(small(big), "grp", "left").select("grp", "fp", "n", F.when(F.col("big"), _size_class("n")).otherwise(-1).alias("c"))
+    link = lambda rows, *task: rows.join(texts.select("fp", "n", "tokens"), "fp").groupBy(*task).applyInArrow(_link, _LINKS)
+    first = materialize(link(_alone(members, piece, weight), "grp", "c", "h"))
+    links, used = first, []
+    if not big.isEmpty():
+        large = materialize(members.where("c >= 0"))
         parted = large.join(first.select("fp", "root"), "fp", "left").where("root is null").drop("root")
-        second = materialize(link(one(_alone(parted, _cuts(parted, piece, weight, "grp", "c"), "grp", "c"))).groupBy(*task).applyInArrow(_link, _LINKS))
+        second = materialize(link(small(materialize(_alone(parted, piece, weight))), "grp", "c", "h"))
         so_far = connected_components(first.join(large.select("fp"), "fp", "left_semi").unionByName(second), "fp", "root")
-        held = large.join(so_far.select(F.col("node").alias("fp"), "component"), "fp", "left").select("grp", "fp", "n", "c", F.coalesce("component", "fp").alias("known"))
+        held = materialize(large.join(so_far.select(F.col("node").alias("fp"), "component"), "fp", "left").select("grp", "fp", "n", "c", F.coalesce("component", "fp").alias("known")))
         most = held.groupBy("grp", "known").agg(F.count("*").alias("size")).groupBy("grp").agg(F.max_by("known", F.struct("size", "known")).alias("main"))
-        told = materialize(held.join(most, "grp").select("grp", "fp", "n", "c", "known", (F.col("known") != F.col("main")).alias("other")))
-        unsettled = told.join(told.where("other").select("grp").distinct(), "grp", "left_semi")
-        last = link(_apart(unsettled, piece, weight)).groupBy("grp", "kind", "c", "d", "i", "j").applyInArrow(_link, _LINKS)
-        links = materialize(first.unionByName(second).unionByName(last))
-        used = [second, told, links]
+        told = materialize(held.join(small(materialize(most)), "grp").select("grp", "fp", "n", "c", "known", (F.col("known") != F.col("main")).alias("other")))
+        unsettled = materialize(told.where("other").select("grp").distinct())
+        tasks = materialize(_apart(told.join(small(unsettled), "grp", "left_semi"), piece, weight))
+        links = materialize(first.unionByName(second).unionByName(link(small(tasks), "grp", "kind", "c", "d", "i", "j")))
+        used = [large, second, held, told, tasks, links]
     linked = connected_components(links, "fp", "root")
 
     classes = docs.where("n > 0").groupBy("fp", "n").agg(F.min("doc_id").alias("class_id"))
@@ -463,4 +463,4 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pi
     out = docs.join(named, ["fp", "n"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("component_id")
     )
-    return finish(out, docs, texts, members, first, *used)
+    return finish(out, docs, texts, sized, big, first, *used)
