@@ -34,7 +34,7 @@ def _parser() -> argparse.ArgumentParser:
 
     command("queries")
     command("run", "query", "tables").add_argument("--out")
-    for name in ("stats", "calibrate", "backtest"):
+    for name in ("stats", "calibrate", "backtest", "timeline", "routes", "estimates", "contradictions", "doctor"):
         command(name, "store")
     command("ingest", "store", "folder")
     command("list", "store", "kind")
@@ -84,6 +84,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         "stats": lambda: store.stats().orderBy("what", "name"),
         "calibrate": lambda: calibration.factors(store.calibration_history()).orderBy("owner", "work_class"),
         "backtest": lambda: calibration.walk(store.calibration_history()).orderBy("owner", "work_class"),
+        "timeline": lambda: store.timeline(size=a.limit),
+        "routes": lambda: passes.routes(store).orderBy("id"),
+        "estimates": lambda: store.calibration_history(),
+        "contradictions": lambda: passes.contradictions(store).orderBy("a_id", "b_id"),
+        "doctor": lambda: passes.doctor(store).orderBy("id", "problem"),
         "list": lambda: store.list_all(a.kind),
         "get": lambda: store.get(a.kind, a.id),
         "impacted-by": lambda: store.impacted_by(a.id),

@@ -20,6 +20,18 @@ def folded(x: Column) -> Column:
     return F.lower(flattened(x))
 
 
+#: Lower-case letters that case folding turns into others of one letter.
+_PLAIN = {chr(c): chr(c).casefold() for c in range(0x80, 0x2000) if chr(c) == chr(c).lower() and len(chr(c).casefold()) == 1 and chr(c).casefold() != chr(c)}
+
+
+def casefolded(x: Column) -> Column:
+    """Lower case for comparing: ß and ss, long and round s, both forms of sigma are the same."""
+    out = F.translate(F.lower(x), "".join(_PLAIN), "".join(_PLAIN.values()))
+    for c in ("ß", "ŉ", "ǰ", "ΐ", "ΰ", "և"):
+        out = F.replace(out, F.lit(c), F.lit(c.casefold()))
+    return out
+
+
 def content_hash(x: Column) -> Column:
     return F.sha2(x, 256)
 

@@ -9,6 +9,7 @@ from tidemark.functions.scalars import reported
 
 THRESHOLD = 5
 NEUTRAL = 0.05
+STRETCH = 1_000_000
 
 
 def ratio(actual: Column, estimated: Column) -> Column:
@@ -49,8 +50,8 @@ def factors(rows: DataFrame, by: tuple[str, ...] = ("owner", "work_class"), thre
 
 
 def calibrate(estimates: DataFrame, found: DataFrame) -> DataFrame:
-    """Scaled quantities with their band; groups without a factor pass through."""
-    joined = estimates.join(F.broadcast(found.select("owner", "work_class", "factor", "low", "high")), ["owner", "work_class"], "left")
+    """Scaled quantities with their band; groups without a factor pass through. Negative quantities are ``refusals``."""
+    joined = estimates.where("estimated >= 0 or estimated is null").join(found.select("owner", "work_class", "factor", "low", "high"), ["owner", "work_class"], "left")
     q = F.col("estimated")
     scaled = lambda f: F.when(F.col("factor").isNull() | (q <= 0), q).otherwise(F.greatest(reported(q.cast("decimal(18,4)") * F.col(f).cast("decimal(10,4)")).cast("double"), F.lit(0.0001)))
     return joined.select(
@@ -59,6 +60,18 @@ def calibrate(estimates: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
+def refusals(estimates: DataFrame) -> DataFrame:
+    """(estimate_id, quantity): what cannot be calibrated, since no work takes less than nothing."""
+    return estimates.where("estimated < 0").select("estimate_id", F.col("estimated").alias("quantity"))
+
+
+def narrowed(rows: DataFrame, **wanted: str | None) -> DataFrame:
+    """Rows of the wanted values; a column without one does not narrow."""
+    for column, value in wanted.items():
+        rows = rows if value is None else rows.where(F.col(column) == value)
+    return rows
+
+
 def match_quality(estimated: Column, actual: Column) -> Column:
     big, small = F.greatest(estimated, actual), F.least(estimated, actual)
     r = big / small
@@ -69,10 +82,23 @@ def match_quality(estimated: Column, actual: Column) -> Column:
 
 
 def walk(rows: DataFrame, by: tuple[str, ...] = ("owner", "work_class"), order: str = "estimate_id", threshold: int = THRESHOLD) -> DataFrame:
-    """Prequential backtest: each usable row is corrected by the factor of the usable rows before it."""
-    before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    usable = rows.where(F.col("ratio").isNotNull() & (F.col("work_class") != "unclassified")).select(
-        *by, order, "ratio", F.count("*").over(before).alias("prior"), reported(F.exp(F.avg(F.log("ratio")).over(before))).alias("factor")
+    """Prequential backtest: each usable row is corrected by the factor of the usable rows before it.
+
+    With a whole number to order by, a group is cut into stretches of ``STRETCH`` numbers; counts and sums run inside each,
+    and on top of what the stretches before it hold, so no task orders a whole group.
+    """
+    usable = rows.where(F.col("ratio").isNotNull() & (F.col("work_class") != "unclassified")).select(*by, order, "ratio", F.log("ratio").alias("_ln"))
+    cut = F.floor(F.col(order) / STRETCH) if usable.schema[order].dataType.typeName() in ("long", "integer") else F.lit(0)
+    usable = usable.withColumn("_cut", cut.cast("long"))
+    groups, cuts = Window.partitionBy(*by), Window.partitionBy(*by, "_cut")
+    back = lambda w, o: w.orderBy(o).rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    heads = usable.groupBy(*by, "_cut").agg(F.count("*").alias("_n"), F.sum("_ln").alias("_s")).select(
+        *by, "_cut", zero(F.sum("_n").over(back(groups, "_cut"))).cast("long").alias("_n0"), zero(F.sum("_s").over(back(groups, "_cut"))).alias("_s0")
+    )
+    prior = F.col("_n0") + F.count("*").over(back(cuts, order))
+    usable = usable.join(heads, [*by, "_cut"]).select(
+        *by, order, "ratio", prior.alias("prior"), reported(F.exp(F.try_divide(F.col("_s0") + zero(F.sum("_ln").over(back(cuts, order))), prior))).alias("factor")
     )
     raw, corrected = F.abs(F.log("ratio")), F.abs(F.log(F.try_divide("ratio", "factor")))
     gain = raw - corrected

@@ -17,7 +17,7 @@ def walk(edges: DataFrame, roots: DataFrame, reverse: bool = True, depth: int =
     dense graphs; the root itself comes back only if a cycle leads to it, at the cycle's length.
     """
     here, there = ("dst", "src") if reverse else ("src", "dst")
-    step = edges.select(F.col(here).alias("node"), F.col(there).alias("next")).distinct()
+    step = settled(edges.select(F.col(here).alias("node"), F.col(there).alias("next")).distinct())
     frontier = roots.select("root", F.col("root").alias("node")).distinct()
     seen = None
     for d in range(1, min(depth, MAX_DEPTH) + 1):

@@ -1,7 +1,7 @@
 """A small total predicate language, lowered to nullable columns.
 
 ``or`` binds least, then ``and``, ``not``, comparisons (``<= >= == != < >``, ``between a and b``), sums,
-products, signs. True, false and unknown are SQL's true, false and null. A name that is not bound, values
+products, signs. True, false and unknown are SQL's true, false and null. Numbers are decimals. A name that is not bound, values
 of unlike kinds and failed arithmetic are unknown. Parsing happens once on the driver.
 """
 
@@ -10,13 +10,16 @@ from __future__ import annotations
 import operator
 import re
 from dataclasses import dataclass
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _LEX = re.compile(r'\s*(?:(?P<num>\d[\d_]*(?:\.\d+)?)|(?P<str>"(?:[^"\\]|\\.)*")|(?P<name>[A-Za-z_]\w*)|(?P<op><=|>=|==|!=|[<>+\-*/()]))')
+#: Words of the language, and what follows a backslash in a string.
 KEYWORDS = frozenset("and or not between true false".split())
+ESCAPES = {"n": "\n", "t": "\t"}
 
 
 class PredicateError(ValueError):
@@ -25,7 +28,7 @@ class PredicateError(ValueError):
 
 @dataclass(frozen=True)
 class Lit:
-    value: float | bool | str
+    value: Decimal | bool | str
 
 
 @dataclass(frozen=True)
@@ -53,6 +56,11 @@ def tokens(text: str) -> list[tuple[str, str]]:
     return out
 
 
+def unquoted(word: str) -> str:
+    """What a quoted string says."""
+    return re.sub(r"\\(.)", lambda m: ESCAPES.get(m[1], m[1]), word[1:-1], flags=re.S)
+
+
 class _Parser:
     def __init__(self, text: str):
         self.t, self.i = tokens(text), 0
@@ -104,7 +112,7 @@ class _Parser:
     def signed(self):
         if self.take("-"):
             x = self.signed()
-            return Lit(-x.value) if isinstance(x, Lit) and isinstance(x.value, float) else Op("-", (Lit(0.0), x))
+            return Lit(-x.value) if isinstance(x, Lit) and isinstance(x.value, Decimal) else Op("-", (Lit(Decimal(0)), x))
         return self.signed() if self.take("+") else self.atom()
 
     def atom(self):
@@ -117,9 +125,9 @@ class _Parser:
         kind, word = self.t[self.i]
         self.i += 1
         if kind == "num":
-            return Lit(float(word.replace("_", "")))
+            return Lit(Decimal(word.replace("_", "")))
         if kind == "str":
-            return Lit(re.sub(r"\\(.)", r"\1", word[1:-1]))
+            return Lit(unquoted(word))
         if kind == "name":
             return Name(word)
         if word in ("true", "false"):
@@ -181,38 +189,60 @@ def _lower(x, bound) -> tuple[str | None, Column]:
         return "bool", {"<=": a <= b, ">=": a >= b, "==": a == b, "!=": a != b, "<": a < b, ">": a > b}[x.op]
     if ka != "num" or kb != "num":
         return unknown
+    a, b = (c.try_cast("decimal(20,8)") for c in (a, b))
     return "num", {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply, "/": F.try_divide}[x.op](a, b)
 
 
 @dataclass(frozen=True)
 class Range:
-    """A numeric range on a name; an open end is None."""
+    """What one comparison says of a name: a range of numbers (an open end is None), or a value it is (``exact``) or is not (``excluded``)."""
 
     name: str
-    low: float | None
-    low_closed: bool
-    high: float | None
-    high_closed: bool
+    low: Decimal | None = None
+    low_closed: bool = False
+    high: Decimal | None = None
+    high_closed: bool = False
+    kind: str = "range"
+    value: str | None = None
 
 
 def ranges(x) -> list[Range]:
-    """Ranges of a conjunction of ``name op number``; nothing at all if any part is something else."""
+    """Constraints of a conjunction of ``name op literal``; nothing at all if any part is something else."""
     if isinstance(x, Op) and x.op == "and":
         parts = [ranges(a) for a in x.args]
         return parts[0] + parts[1] if all(parts) else []
-    flip = {"<": ">", ">": "<", "<=": ">=", ">=": "<=", "==": "=="}
+    flip = {"<": ">", ">": "<", "<=": ">=", ">=": "<=", "==": "==", "!=": "!="}
     if not isinstance(x, Op) or x.op not in flip:
         return []
     a, b, op = *x.args, x.op
     if isinstance(a, Lit):
         a, b, op = b, a, flip[op]
-    if not (isinstance(a, Name) and isinstance(b, Lit) and type(b.value) is float):
+    if not (isinstance(a, Name) and isinstance(b, Lit)):
         return []
     v = b.value
-    return [{
-        "<": Range(a.name, None, False, v, False), "<=": Range(a.name, None, False, v, True), ">": Range(a.name, v, False, None, False),
-        ">=": Range(a.name, v, True, None, False), "==": Range(a.name, v, True, v, True),
-    }[op]]
+    if op == "!=":
+        return [Range(a.name, kind="excluded", value=render(b))]
+    if not isinstance(v, Decimal):
+        return [Range(a.name, kind="exact", value=render(b))] if op == "==" else []
+    return [Range(a.name, v if op in (">", ">=", "==") else None, op in (">=", "=="), v if op in ("<", "<=", "==") else None, op in ("<=", "=="))]
+
+
+def incompatible(a: str, b: str) -> Column:
+    """Whether two constraints on the same name cannot hold together: ranges apart, two exact values, or one value both said and ruled out."""
+    kind = lambda r, k: F.col(f"{r}.kind") == k
+    same = F.col(f"{a}.value") == F.col(f"{b}.value")
+    ruled_out = ((kind(a, "exact") & kind(b, "excluded")) | (kind(a, "excluded") & kind(b, "exact"))) & same
+    return F.coalesce((kind(a, "range") & kind(b, "range") & disjoint(a, b)) | (kind(a, "exact") & kind(b, "exact") & ~same) | ruled_out, F.lit(False))
+
+
+def witness(r: Range, inside: bool) -> Decimal | None:
+    """A number inside (or outside) of a range with one end, or of a point; None where the constraint has no numbers."""
+    end, closed, up = (r.low, r.low_closed, 1) if r.low is not None else (r.high, r.high_closed, -1)
+    if r.kind != "range" or end is None:
+        return None
+    if inside:
+        return end if closed else end + up
+    return end - up if closed else end
 
 
 def disjoint(a: str, b: str) -> Column:
@@ -223,6 +253,7 @@ def disjoint(a: str, b: str) -> Column:
     return F.coalesce((low > high) | ((low == high) & ~(ends("low", low) & ends("high", high))), F.lit(False))
 
 
+#: How tightly each operator binds.
 _TIGHT = {"or": 1, "and": 2, "not": 3, "+": 5, "-": 5, "*": 6, "/": 6}
 
 
@@ -230,6 +261,11 @@ def _level(x) -> int:
     return _TIGHT.get(x.op, 4) if isinstance(x, Op) else 7
 
 
+def _written(v: Decimal) -> str:
+    """A decimal in full, without needless zeros."""
+    return format(v.normalize() if v else Decimal(0), "f")
+
+
 def render(x) -> str:
     """The shortest text with that meaning: brackets only where a part binds looser than its place needs."""
     if isinstance(x, Name):
@@ -239,26 +275,32 @@ def render(x) -> str:
         if isinstance(v, bool):
             return str(v).lower()
         if isinstance(v, str):
-            return '"' + re.sub(r'(["\\])', r"\\\1", v) + '"'
-        return f"{int(v)}" if v == int(v) else repr(v)
+            return '"' + re.sub(r'(["\\])', r"\\\1", v).replace("\n", "\\n").replace("\t", "\\t") + '"'
+        return _written(v)
     here = _level(x)
     parts = [f"({text})" if _level(a) < here + k else text for k, a in enumerate(x.args) for text in [render(a)]]
     return f"not {parts[0]}" if x.op == "not" else f" {x.op} ".join(parts)
 
 
 def shape(x) -> list[str]:
-    """Sorted constraints of a conjunction of ranges; two predicates of one shape say the same."""
-    end = lambda v, closed: "" if v is None else f"{v:g}{'=' if closed else ''}"
-    return sorted(f"{r.name}:{end(r.low, r.low_closed)}:{end(r.high, r.high_closed)}" for r in ranges(x))
+    """Sorted constraints of a conjunction; two predicates of one shape say the same."""
+    end = lambda v, closed: "" if v is None else f"{_written(v)}{'=' if closed else ''}"
+    said = lambda r: f"{end(r.low, r.low_closed)}:{end(r.high, r.high_closed)}" if r.kind == "range" else f"{r.kind}:{r.value}"
+    return sorted(f"{r.name}:{said(r)}" for r in ranges(x))
 
 
 def subject(x) -> str | None:
-    """The one name that a conjunction of ranges is about, if it is about one."""
+    """The one name that a conjunction of constraints is about, if it is about one."""
     about = {r.name for r in ranges(x)}
     return about.pop() if len(about) == 1 else None
 
 
-_TOLD = "parses boolean, rendered string, names array<string>, subject string, shape array<string>, ranges array<struct<name:string,low:double,low_closed:boolean,high:double,high_closed:boolean>>"
+_TOLD = "parses boolean, rendered string, names array<string>, subject string, shape array<string>, ranges array<struct<name:string,low:decimal(38,10),low_closed:boolean,high:decimal(38,10),high_closed:boolean,kind:string,value:string>>"
+
+
+def _row(r: Range) -> dict:
+    place = lambda v: None if v is None else v.quantize(Decimal("1e-10"))
+    return {**vars(r), "low": place(r.low), "high": place(r.high)}
 
 
 def _told(text: str | None) -> tuple:
@@ -266,7 +308,7 @@ def _told(text: str | None) -> tuple:
         x = parse(text or "")
     except PredicateError:
         return False, None, [], None, [], []
-    return True, render(x), sorted(names(x)), subject(x), shape(x), [vars(r) for r in ranges(x)]
+    return True, render(x), sorted(names(x)), subject(x), shape(x), [_row(r) for r in ranges(x)]
 
 
 def described(df: DataFrame, column: str) -> DataFrame:
@@ -286,14 +328,14 @@ def unbound(names_: Column, facts: Column) -> Column:
 
 
 def conflicts(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(a_id, b_id, name): the first conflicting pair of ranges, in order of the left, then the right predicate.
+    """(a_id, b_id, name): the first conflicting pair of constraints, in order of the left, then the right predicate.
 
-    Both sides have id and ranges; only ranges on the same name meet.
+    Both sides have id and ranges; only constraints on the same name meet.
     """
     def side(df: DataFrame, p: str) -> DataFrame:
         return df.select(F.col("id").alias(f"{p}_id"), F.posexplode("ranges").alias(f"{p}_pos", f"r{p}")).withColumn("name", F.col(f"r{p}.name"))
 
-    met = side(a, "a").join(side(b, "b"), "name").where((F.col("a_id") != F.col("b_id")) & disjoint("ra", "rb"))
+    met = side(a, "a").join(side(b, "b"), "name").where((F.col("a_id") != F.col("b_id")) & incompatible("ra", "rb"))
     return met.groupBy("a_id", "b_id").agg(F.min_by("name", F.struct("a_pos", "b_pos")).alias("name"))
 
 
@@ -301,11 +343,16 @@ def _kind(v) -> str | None:
     return None if v is None else "bool" if isinstance(v, bool) else "str" if isinstance(v, str) else "num"
 
 
+def _exact(v):
+    """A number as the decimal it is written as."""
+    return v if v is None or isinstance(v, bool | str | Decimal) else Decimal(str(v))
+
+
 def _value(x, world: dict) -> tuple[object, str | None]:
     if isinstance(x, Lit):
         return x.value, None
     if isinstance(x, Name):
-        return (world[x.name], None) if world.get(x.name) is not None else (None, f"{x.name} is not bound")
+        return (_exact(world[x.name]), None) if world.get(x.name) is not None else (None, f"{x.name} is not bound")
     (a, why), (b, also) = (_value(arg, world) for arg in x.args)
     if a is None or b is None:
         return None, why or also
@@ -318,7 +365,7 @@ def _value(x, world: dict) -> tuple[object, str | None]:
 
 
 def evaluate(x, world: dict) -> tuple[bool | None, str | None]:
-    """(verdict, reason): the same three values as ``lower`` gives; of two unknown sides the left one's reason stands."""
+    """(verdict, reason) in a world of decimals, booleans and strings: the same three values as ``lower`` gives; of two unknown sides the left one's reason stands."""
     if x.op in ("and", "or"):
         (a, why), (b, also) = (evaluate(arg, world) for arg in x.args)
         settles = x.op == "or"
@@ -361,7 +408,7 @@ def judged(df: DataFrame, column: str, bound: dict[str, str] | None = None, worl
                 if len(trees) > 10_000:
                     trees = {text: trees[text]}
                 n = len(rest) // 2
-                here = dict(world) | {k: float(v) for k, v in zip(rest[:n], rest[n:]) if k is not None and v is not None and v == v}
+                here = world | {k: v for k, v in zip(rest[:n], rest[n:]) if k is not None and v is not None and v == v}
                 out.append((key, *(evaluate(trees[text], here) if trees[text] is not None else (None, "not a predicate"))))
             yield pd.DataFrame(out, columns=["id", "verdict", "reason"])
 

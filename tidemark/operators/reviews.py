@@ -84,6 +84,13 @@ def awaited(conditions: DataFrame, seen: DataFrame) -> DataFrame:
     return conditions.select(fold.alias("event")).distinct().join(seen.select(fold.alias("event")).distinct(), "event", "left_anti")
 
 
+def awaited_first(conditions: DataFrame, seen: DataFrame, most: int = 40) -> DataFrame:
+    """(event, at): the events waited for and not seen, in the order in which they were first named; ``conditions`` has event and at."""
+    fold = F.lower(F.trim(F.regexp_replace("event", r"\s+", " ")))
+    first = conditions.select(fold.alias("event"), "at").groupBy("event").agg(F.min("at").alias("at"))
+    return first.join(seen.select(fold.alias("event")).distinct(), "event", "left_anti").orderBy("at", "event").limit(most)
+
+
 def layered(facts: DataFrame) -> DataFrame:
     """(name, value): the fact of the latest layer of each name."""
     return facts.groupBy("name").agg(F.max_by("value", "layer").alias("value"))

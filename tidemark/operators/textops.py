@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import content_hash, flattened
+from tidemark.operators.rounds import settled
 
 
 def dedupe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -57,19 +61,49 @@ def locate(text: Column, quote: Column) -> tuple[Column, Column]:
     return start, start + F.octet_length(quote)
 
 
+#: What a letter with marks becomes without them: by decomposition, for the Latin, Greek and Cyrillic blocks.
+_MARKED = {chr(c): base for c in range(0xC0, 0x530) for base in [unicodedata.normalize("NFD", chr(c))[0]] if base != chr(c)}
+
+
+def unaccented(text: Column) -> Column:
+    """Letters without their marks, composed or combining."""
+    return F.translate(F.regexp_replace(text, r"\p{Mn}+", ""), "".join(_MARKED), "".join(_MARKED.values()))
+
+
+def search_words(text: Column) -> Column:
+    """Runs of letters and digits, lower-cased, without marks."""
+    return F.filter(F.split(unaccented(F.lower(text)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
 def bm25(docs: DataFrame, id_col: str, text_col: str, terms: list[str], k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """The k best documents for any of the terms, ties to the smaller id."""
-    words = F.split(F.lower(F.col(text_col)), r"[^\p{L}\p{N}]+")
-    sized = docs.select(id_col, words.alias("w")).select(id_col, "w", F.size("w").alias("len"))
-    total = sized.agg(F.count("*").alias("docs"), F.avg("len").alias("mean"))
-    hits = sized.select(id_col, "len", F.explode(F.filter("w", lambda x: x.isin(terms))).alias("term")).groupBy(id_col, "len", "term").agg(F.count("*").alias("tf"))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    scored = hits.join(F.broadcast(df), "term").withColumns(
-        {"docs": total.select("docs").scalar(), "mean": total.select("mean").scalar()}
-    )
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
-    return scored.groupBy(id_col).agg(F.bround(F.sum(part), 6).alias("score")).orderBy(F.desc("score"), id_col).limit(k)
+    """The k best documents for any of the terms, ties to the smaller id; marks on letters do not tell words apart.
+
+    One pass over the texts leaves a row of counts for each, and everything else is taken from these.
+    """
+    listed = sorted({"".join(c for c in unicodedata.normalize("NFD", t.lower()) if not unicodedata.combining(c)) for t in terms})
+    words = docs.select(id_col, search_words(F.col(text_col)).alias("w"))
+    is_term = lambda t: lambda x: x == F.lit(t)
+    counts = [F.size(F.filter("w", is_term(t))).alias(f"tf{n}") for n, t in enumerate(listed)]
+    sized = settled(words.select(id_col, F.size("w").alias("len"), *counts))
+    told = sized.agg(F.count("*").alias("docs"), F.avg("len").alias("mean"), *(F.count_if(F.col(f"tf{n}") > 0).alias(f"df{n}") for n in range(len(listed)))).first()
+    score = F.lit(0.0)
+    for n in range(len(listed)):
+        idf = math.log(1 + (told["docs"] - told[f"df{n}"] + 0.5) / (told[f"df{n}"] + 0.5))
+        tf = F.col(f"tf{n}")
+        score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / (told["mean"] or 1.0)))
+    return sized.select(id_col, F.bround(score, 6).alias("score")).where("score > 0").orderBy(F.desc("score"), id_col).limit(k)
+
+
+def snippet(text: Column, terms: list[str], words: int = 12) -> Column:
+    """``words`` words from the first that is one of the terms on, the terms in brackets, dots where the text goes on; null without any."""
+    listed = F.array(*map(F.lit, terms))
+    parts = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    plain = lambda w: F.regexp_replace(unaccented(F.lower(w)), r"[^\p{L}\p{N}]+", "")
+    hits = F.transform(parts, lambda w: F.array_contains(listed, plain(w)))
+    at = F.array_position(hits, True).cast("int")
+    shown = F.transform(F.slice(parts, F.greatest(at, F.lit(1)), words), lambda w: F.when(F.array_contains(listed, plain(w)), F.concat(F.lit("["), w, F.lit("]"))).otherwise(w))
+    cut = F.concat(F.when(at > 1, "... ").otherwise(""), F.array_join(shown, " "), F.when(at + words - 1 < F.size(parts), " ...").otherwise(""))
+    return F.when(at > 0, cut)
 
 
 def neighbourhood(rows: DataFrame, by: str, order: str, value: str, behind: int, ahead: int) -> DataFrame:

@@ -35,7 +35,7 @@ def next_ids(news: DataFrame, taken: DataFrame, kind: str, order: str) -> DataFr
     """Sequential ordinals after the largest of each kind, in a fixed order."""
     top = taken.groupBy(kind).agg(F.max("ordinal").alias("top"))
     rank = F.row_number().over(Window.partitionBy(kind).orderBy(order))
-    return news.withColumn("rank", rank).join(F.broadcast(top), kind, "left").withColumn("ordinal", F.coalesce("top", F.lit(0)) + F.col("rank")).drop("rank", "top")
+    return news.withColumn("rank", rank).join(top, kind, "left").withColumn("ordinal", F.coalesce("top", F.lit(0)) + F.col("rank")).drop("rank", "top")
 
 
 def counts_with_zeros(df: DataFrame, column: str, values: list[str]) -> DataFrame:

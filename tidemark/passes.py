@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from tidemark.functions.scalars import digest_id
-from tidemark.operators import calibration, monitoring, predicates, reviews
+from tidemark.operators import calibration, curation, graph, monitoring, predicates, reviews, trails, versioned
 from tidemark.store import Store
 
 ASSUMPTION = "predicate string, expiry_condition string, status string"
@@ -85,13 +85,28 @@ def price(store: Store) -> DataFrame:
     return both.select("assumption", F.col("dst").alias("estimate"), verdict.alias("verdict"))
 
 
+def damage(store: Store) -> DataFrame:
+    """(root, estimated, actual, decisions, severity) of every badly missed estimate; a miss on which several decisions rest is the worse."""
+    live = store.calibration_history().where("ratio is not null").withColumn("quality", calibration.match_quality(F.col("estimated"), F.col("actual")))
+    missed = live.where("quality = 'miss'").select(F.col("estimate_id").alias("root"), "estimated", "actual")
+    standing = store.list_all("decision").select(F.col("id").alias("node"))
+    reached = graph.walk(store.dependencies(), missed.select("root")).join(standing, "node").groupBy("root").agg(F.count("*").alias("decisions"))
+    severity = F.when(F.col("decisions") >= 3, "high").when(F.col("decisions") > 0, "medium").otherwise("low")
+    return missed.join(reached, "root", "left").withColumn("decisions", F.coalesce("decisions", F.lit(0))).withColumn("severity", severity)
+
+
 def fuse(store: Store, dry: bool = False) -> DataFrame:
-    """Findings on assumptions that hold as estimated and fail as calibrated."""
+    """Findings on assumptions that hold as estimated and fail as calibrated, and on missed estimates that decisions rest on, with their edges."""
     from tidemark.operators.rounds import settled
 
     flips = price(store).where("verdict = 'flipped'").groupBy("assumption").agg(F.min("estimate").alias("estimate"))
     text = F.concat("assumption", F.lit(" holds by "), "estimate", F.lit(" as estimated, not as calibrated"))
-    return _write_findings(store, settled(flips.select(F.lit("stale").alias("finding_kind"), F.col("assumption").alias("subject_id"), F.lit("medium").alias("severity"), text.alias("prosecution"))), dry)
+    stale = flips.select(F.lit("stale").alias("finding_kind"), F.col("assumption").alias("subject_id"), F.lit("medium").alias("severity"), text.alias("prosecution"))
+    found, edges = curation.collateral_findings(damage(store))
+    told = _write_findings(store, settled(stale.unionByName(found.drop("id"))), dry)
+    if not dry:
+        store.link(settled(edges))
+    return told
 
 
 def govern(store: Store, dry: bool = False) -> DataFrame:
@@ -108,6 +123,40 @@ def govern(store: Store, dry: bool = False) -> DataFrame:
     return merges
 
 
+def contradictions(store: Store, dry: bool = True) -> DataFrame:
+    """(a_id, b_id, name): current assumptions whose constraints cannot hold together and that no edge joins yet; each pair once."""
+    from tidemark.operators.rounds import settled
+
+    told = predicates.described(_assumptions(store).select("id", "predicate"), "predicate").select("id", "ranges")
+    pairs = predicates.conflicts(told, told).where("a_id < b_id")
+    known = store.edges().where("link_type in ('contradicts', 'supersedes')").select(F.col("src").alias("left"), F.col("dst").alias("right"))
+    fresh = settled(curation.without_known(pairs.withColumnsRenamed({"a_id": "left", "b_id": "right"}), known).withColumnsRenamed({"left": "a_id", "right": "b_id"}))
+    if not dry:
+        kind = F.lit("assumption")
+        store.link(fresh.select(F.lit("contradicts").alias("link_type"), F.col("a_id").alias("src"), kind.alias("src_kind"), F.col("b_id").alias("dst"), kind.alias("dst_kind")))
+    return fresh.select("a_id", "b_id", "name")
+
+
+def doctor(store: Store) -> DataFrame:
+    """(id, problem): versions out of step, edges to what is not stored, records without an audit row."""
+    records = store.records().withColumn("id", F.concat_ws(":", "kind", "id"))
+    gaps = versioned.version_gaps(records).select("id", F.lit("version_gap").alias("problem"))
+    edges = versioned.standing(store.edges()).withColumn("link_id", F.col("id"))
+    lost = trails.endpoints_missing(edges, store.records().select("id", "kind").distinct()).select(F.col("link_id").alias("id"), F.concat(F.lit("no_"), "end").alias("problem"))
+    audit = store.audit().select(F.concat_ws(":", "kind", "id").alias("id"), "version")
+    silent = records.select("id", "version").join(audit, ["id", "version"], "left_anti").select("id", F.lit("no_audit").alias("problem"))
+    return gaps.unionByName(lost).unionByName(silent)
+
+
+def routes(store: Store) -> DataFrame:
+    """(id, reasons, route): where each finding goes: dropped if overturned, emitted if nothing speaks against it, else to a person."""
+    rows = store.list_all("finding", schema="finding_kind string, subject_id string, severity string, prosecution string, verdict string, confidence double")
+    rules = {"undecided": F.col("verdict").isNull(), "unsure": F.col("confidence") < 0.5, "no_case": F.coalesce(F.trim("prosecution"), F.lit("")) == ""}
+    gone = store.records("assumption").where("retracted").select(F.col("id").alias("subject_id")).distinct().withColumn("gone", F.lit(True))
+    rules["subject_withdrawn"] = F.coalesce("gone", F.lit(False))
+    return curation.gate(rows.join(gone, "subject_id", "left"), rules, F.coalesce(F.col("verdict") == "overturned", F.lit(False))).select("id", "reasons", "route")
+
+
 def retire(store: Store, at: Column | None = None, idle_days: int = 60, dry: bool = False) -> DataFrame:
     """(id, refused): unverified assumptions never monitored, with the reason against retiring; the others are retracted."""
     from tidemark.operators.rounds import settled

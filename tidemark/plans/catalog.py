@@ -307,7 +307,17 @@ def _(s, d):
     return metrics.overlap_pairs(items, claims, ["l_orderkey"])
 
 
-@query("search_bm25")
+def _bm25_sql(terms: list[str]) -> str:
+    """Counts of each document, then of the whole, then scores; terms in order."""
+    held = ", ".join(f"len(list_filter(w, lambda x: x = '{t}')) AS t{n}" for n, t in enumerate(terms))
+    docs = ", ".join(f"count(*) FILTER (t{n} > 0) AS f{n}" for n in range(len(terms)))
+    part = " + ".join(f"ln(1 + (d - f{n} + 0.5::DOUBLE) / (f{n} + 0.5::DOUBLE)) * t{n} * 2.2::DOUBLE / (t{n} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / m))" for n in range(len(terms)))
+    return f"""WITH w AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents), c AS (SELECT doc_id, len(w) AS n, {held} FROM w),
+        a AS (SELECT count(*) AS d, avg(n) AS m, {docs} FROM c), r AS (SELECT doc_id, round_even({part}, 6) AS score FROM c, a)
+        SELECT doc_id, score FROM r WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 20"""
+
+
+@query("search_bm25", _bm25_sql(["benchmark", "license", "released"]))
 def _(s, d):
     return textops.bm25(table(s, d, "documents"), "doc_id", "text", ["license", "released", "benchmark"], 20)
 
@@ -325,7 +335,7 @@ def _(s, d):
     FROM est LEFT JOIN facs USING (owner, work_class)""")
 def _(s, d):
     f = calibration.factors(_history(s, d)).select("owner", "work_class", "factor")
-    e = estimates(s, d).join(F.broadcast(f), ["owner", "work_class"], "left")
+    e = estimates(s, d).join(f, ["owner", "work_class"], "left")
     subject = F.when(F.col("estimate_id") % 10 != 0, F.lit("total"))
     holds = lambda x: predicates.lower(predicates.parse("total <= 150000"), {"total": ("num", x)})
     verdict = monitoring.moved(F.col("estimate_id"), F.col("work_class") == "unclassified", subject, F.col("factor"), holds(F.col("estimated")), holds(F.col("estimated") * F.col("factor")))

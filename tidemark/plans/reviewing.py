@@ -163,7 +163,7 @@ def _(s, d):
 @query("first_conflicts", """WITH r AS (SELECT s_suppkey AS id, 's' || s_nationkey || '|' || CAST(floor(s_acctbal / 1000) AS BIGINT) AS name, s_acctbal AS v FROM supplier) SELECT a.id AS a_id, b.id AS b_id, a.name FROM r a JOIN r b USING (name) WHERE a.id < b.id AND a.v <> b.v""")
 def _(s, d):
     point = F.col("s_acctbal")
-    one = F.struct(F.concat(F.lit("s"), F.col("s_nationkey").cast("string"), F.lit("|"), F.floor(point / 1000).cast("string")).alias("name"), point.alias("low"), F.lit(True).alias("low_closed"), point.alias("high"), F.lit(True).alias("high_closed"))
+    one = F.struct(F.concat(F.lit("s"), F.col("s_nationkey").cast("string"), F.lit("|"), F.floor(point / 1000).cast("string")).alias("name"), point.alias("low"), F.lit(True).alias("low_closed"), point.alias("high"), F.lit(True).alias("high_closed"), F.lit("range").alias("kind"), F.lit(None).cast("string").alias("value"))
     r = table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), F.array(one).alias("ranges"))
     return predicates.conflicts(r, r).where("a_id < b_id")
 

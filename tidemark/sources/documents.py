@@ -9,11 +9,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from tidemark.functions.scalars import content_hash
 
-#: Kinds by file suffix.
+#: Kinds by file suffix, keys that hold a title, its greatest length, and the name of a document's root.
+TITLE_KEYS, TITLE, ROOT = ("title", "subject", "name", "summary"), 120, "value"
 KINDS = {".md": "markdown", ".markdown": "markdown", ".txt": "text", ".text": "text", "": "text", ".json": "json"}
 
 
@@ -37,23 +38,50 @@ def normalised(raw: Column) -> Column:
     return nfc(F.regexp_replace(F.regexp_replace(text, "^﻿", ""), "\r\n?", "\n"))
 
 
-def json_leaves(value, path: str = "") -> Iterator[tuple[str, str]]:
-    """(dotted path, scalar) in document order; empty containers are leaves."""
+def json_leaves(value, path: str = "", place: str = "[{}]") -> Iterator[tuple[str, str]]:
+    """(path, scalar) in document order, with dots before keys and places of a list written as ``place``; empty containers are leaves."""
     if isinstance(value, dict) and value:
         for k, v in value.items():
-            yield from json_leaves(v, f"{path}.{k}" if path else k)
+            yield from json_leaves(v, f"{path}.{k}" if path else k, place)
     elif isinstance(value, list) and value:
         for k, v in enumerate(value):
-            yield from json_leaves(v, f"{path}.{k}" if path else str(k))
+            yield from json_leaves(v, path + place.format(k), place)
     else:
         yield path, value if isinstance(value, str) else json.dumps(value)
 
 
+def _rendered(text: str) -> str | None:
+    try:
+        leaves = [(p or ROOT, v) for p, v in json_leaves(json.loads(text))]
+    except ValueError:
+        return None
+    return "\n\n".join(f"{p}:\n{v}" if "\n" in v else f"{p}: {v}" for p, v in leaves) + "\n"
+
+
 @F.pandas_udf(StringType())
 def rendered_json(texts: pd.Series) -> pd.Series:
+    """A block for each leaf, a value of several lines below its path, and a line feed at the end; null for text that is not JSON."""
+    return texts.map(_rendered, na_action="ignore")
+
+
+@F.pandas_udf(StringType())
+def compact_json(texts: pd.Series) -> pd.Series:
+    """A line for each leaf, places of lists after dots; null for text that is not JSON."""
     def one(t: str) -> str | None:
         try:
-            return "\n\n".join(f"{p}: {v}" for p, v in json_leaves(json.loads(t)))
+            return "\n\n".join(f"{p}: {v}" for p, v in json_leaves(json.loads(t), place=".{}"))
+        except ValueError:
+            return None
+
+    return texts.map(one, na_action="ignore")
+
+
+@F.pandas_udf(ArrayType(StructType([StructField("path", StringType()), StructField("value", StringType())])))
+def leaves_of(texts: pd.Series) -> pd.Series:
+    """The leaves of a JSON text in order; null for text that is not JSON."""
+    def one(t: str) -> list | None:
+        try:
+            return [{"path": p or ROOT, "value": v} for p, v in json_leaves(json.loads(t))]
         except ValueError:
             return None
 
@@ -63,18 +91,18 @@ def rendered_json(texts: pd.Series) -> pd.Series:
 def title(kind: Column, text: Column) -> Column:
     heading = F.regexp_extract(text, r"(?m)^\s{0,3}#{1,6}\s+(.+?)\s*#*\s*$", 1)
     lines = F.split(text, "\n", 3)
-    first, second = F.trim(F.get(lines, 0)), F.trim(F.get(lines, 1))
-    named = F.coalesce(*(F.get_json_object(text, f"$.{k}") for k in ("title", "subject", "name", "summary")))
+    first, second = F.trim(F.get(lines, 0)), F.trim(F.coalesce(F.get(lines, 1), F.lit("")))
+    named = F.coalesce(*(F.nullif(F.trim(F.get_json_object(text, f"$.{k}")), F.lit("")) for k in TITLE_KEYS))
     found = F.when(kind == "markdown", heading).when(kind == "json", named).otherwise(F.when(second == "", first))
-    return F.when((F.length(found) > 0) & (F.length(found) <= 120), found)
+    return F.when((F.length(found) > 0) & (F.length(found) <= TITLE), found)
 
 
-def read_documents(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """(documents, refused): every file below ``folder``; refused ones with the reason."""
+def read_documents(spark: SparkSession, folder: str, rendering=compact_json) -> tuple[DataFrame, DataFrame]:
+    """(documents, refused): every file below ``folder``, JSON as ``rendering`` puts it; refused ones with the reason."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     read = files.select(F.col("path").alias("source_uri"), source_kind(F.col("path")).alias("source_kind"), normalised(F.col("content")).alias("raw"))
     kind, raw = F.col("source_kind"), F.col("raw")
-    content = F.when(kind == "json", rendered_json(raw)).otherwise(raw)
+    content = F.when(kind == "json", rendering(raw)).otherwise(raw)
     read = read.select("*", title(kind, raw).alias("title"), content.alias("content"))
     reason = (
         F.when(kind.isNull(), "unknown_suffix").when(raw.isNull(), "not_utf8").when(F.col("content").isNull(), "not_json")

@@ -13,9 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import digest_id
-from tidemark.operators import calibration, graph, reviews, textops, versioned
+from tidemark.operators import calibration, graph, reviews, segments, textops, trails, versioned
+from tidemark.operators.rounds import settled
 
 RECORD = "kind string, id string, version int, retracted boolean, created_at timestamp, created_by string, payload string"
+AUDIT = "ordinal bigint, occurred_at timestamp, actor string, action string, kind string, id string, version int, run_id string, reason string"
+SPAN = "id string, doc_id string, start_byte int, end_byte int, text string"
 EDGE = "id string, link_type string, src string, src_kind string, dst string, dst_kind string, version int, retracted boolean, created_at timestamp"
 
 
@@ -44,8 +47,32 @@ class Store:
     def edges(self) -> DataFrame:
         return self._read("edges", EDGE)
 
-    def _append(self, rows: DataFrame) -> None:
-        rows.select("kind", "id", "version", "retracted", "created_at", "created_by", "payload").write.mode("append").partitionBy("kind").parquet(f"{self.folder}/records")
+    def audit(self) -> DataFrame:
+        return self._read("audit", AUDIT)
+
+    def spans(self) -> DataFrame:
+        return self._read("spans", SPAN)
+
+    def _append(self, rows: DataFrame, action: str, run_id: str | None = None, reason: str | None = None) -> None:
+        """The rows and, for each, an audit row; ordinals only grow, but leave gaps, since no task counts the whole batch."""
+        fresh = settled(rows.select("kind", "id", "version", "retracted", "created_at", "created_by", "payload"))
+        last = self.audit().agg(F.max("ordinal")).first()[0] or 0
+        fresh.write.mode("append").partitionBy("kind").parquet(f"{self.folder}/records")
+        told = fresh.select(
+            (F.monotonically_increasing_id() + last + 1).alias("ordinal"), F.col("created_at").alias("occurred_at"), F.col("created_by").alias("actor"), F.lit(action).alias("action"),
+            "kind", "id", "version", F.lit(run_id).cast("string").alias("run_id"), F.lit(reason).cast("string").alias("reason"),
+        )
+        told.write.mode("append").parquet(f"{self.folder}/audit")
+
+    def timeline(self, before: int | None = None, size: int | None = None) -> DataFrame:
+        """A page of audit rows, newest first, with where the next page starts and how many rows there are."""
+        return trails.timeline(self.audit(), before, size)
+
+    def audit_of(self, kind: str, id_: str) -> DataFrame:
+        return self.audit().where((F.col("kind") == kind) & (F.col("id") == id_)).orderBy("ordinal")
+
+    def audit_in_run(self, run_id: str) -> DataFrame:
+        return trails.in_run(self.audit(), "run_id", run_id, "ordinal")
 
     @staticmethod
     def _refuse(bad: DataFrame, why: str) -> None:
@@ -56,23 +83,23 @@ class Store:
     def _stamped(self, rows: DataFrame, kind: str, by: str) -> DataFrame:
         return rows.withColumns({"kind": F.lit(kind), "created_by": F.lit(by), "created_at": F.current_timestamp()})
 
-    def add(self, kind: str, rows: DataFrame, by: str) -> None:
+    def add(self, kind: str, rows: DataFrame, by: str, run_id: str | None = None, reason: str | None = None) -> None:
         """New records (id, payload) as version 1; ids that exist or repeat are refused."""
         self._refuse(rows.groupBy("id").count().where("count > 1"), "repeated")
         self._refuse(rows.join(self.records(kind).select("id").distinct(), "id", "left_semi"), "already stored")
-        self._append(self._stamped(rows.select("id", "payload"), kind, by).withColumns({"version": F.lit(1), "retracted": F.lit(False)}))
+        self._append(self._stamped(rows.select("id", "payload"), kind, by).withColumns({"version": F.lit(1), "retracted": F.lit(False)}), "add", run_id, reason)
 
-    def revise(self, kind: str, rows: DataFrame, by: str) -> None:
+    def revise(self, kind: str, rows: DataFrame, by: str, run_id: str | None = None, reason: str | None = None) -> None:
         """(id, version, payload) against the head; a batch with a stale version, or an id twice, is refused."""
         self._refuse(rows.groupBy("id").count().where("count > 1"), "repeated")
         met = versioned.revisions(rows.select("id", "version"), self.records(kind).select("id", "version"))
         self._refuse(met.where("conflict"), "not the current version")
-        self._append(self._stamped(rows.select("id", (F.col("version") + 1).alias("version"), "payload"), kind, by).withColumn("retracted", F.lit(False)))
+        self._append(self._stamped(rows.select("id", (F.col("version") + 1).alias("version"), "payload"), kind, by).withColumn("retracted", F.lit(False)), "revise", run_id, reason)
 
-    def retract(self, kind: str, ids: DataFrame, by: str) -> None:
+    def retract(self, kind: str, ids: DataFrame, by: str, run_id: str | None = None, reason: str | None = None) -> None:
         """A last version of each listed standing record; its payload is kept."""
         gone = versioned.retract(self.records(kind).drop("kind"), ids)
-        self._append(self._stamped(gone, kind, by))
+        self._append(self._stamped(gone, kind, by), "retract", run_id, reason)
 
     def get(self, kind: str, id_: str, version: int | None = None) -> DataFrame:
         """The current or a given version, retracted or not."""
@@ -136,13 +163,13 @@ class Store:
 
     def why(self, question: str, limit: int = 8, hits: int = 50) -> DataFrame:
         """(decision, score): decisions a question may be about, best first; an assumption that matches leads to
-        the first decision that assumes it. Words of under four letters do not count."""
+        every decision that assumes it. Words of under four letters do not count."""
         terms = list(dict.fromkeys(w for w in re.findall(r"[^\W_]+", question.lower()) if len(w) >= 4))
         if not terms:
             return self.spark.createDataFrame([], "decision string, score double")
         found = self.search(terms, hits).join(versioned.head(self.records()).select("id", "kind"), "id")
         direct = found.where("kind = 'decision'").select(F.col("id").alias("decision"), "score")
-        assumes = versioned.standing(self.edges()).where("link_type = 'assumes'").groupBy("dst").agg(F.min_by("src", "id").alias("decision"))
+        assumes = versioned.standing(self.edges()).where("link_type = 'assumes'").select("dst", F.col("src").alias("decision"))
         led = found.where("kind = 'assumption'").join(assumes, F.col("id") == F.col("dst")).select("decision", "score")
         return direct.unionByName(led).groupBy("decision").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "decision").limit(limit)
 
@@ -162,15 +189,22 @@ class Store:
         )
 
     def ingest(self, folder: str, by: str = "ingest") -> tuple[int, DataFrame]:
-        """(documents added, refused files): files below a folder as documents; content that is stored already is skipped."""
-        from tidemark.sources.documents import read_documents
+        """(documents added, refused files): files below a folder as documents, and each block of them that verifies as a span;
+        content that is stored already is skipped."""
+        from tidemark.sources.documents import read_documents, rendered_json
 
-        good, refused = read_documents(self.spark, folder)
+        good, refused = read_documents(self.spark, folder, rendered_json)
         fields = ["source_uri", "source_kind", "title", "content", "content_hash"]
         first = good.groupBy("content_hash").agg(F.min_by(F.struct(*fields), "source_uri").alias("r")).select("r.*")
         rows = first.select(digest_id("DOC", F.col("content_hash")).alias("id"), F.to_json(F.struct(*fields)).alias("payload"))
         fresh = rows.join(self.records("document").select("id").distinct(), "id", "left_anti")
+        fresh = settled(fresh)
         n = fresh.count()
         if n:
             self.add("document", fresh, by)
+            docs = fresh.select(F.col("id").alias("doc_id"), F.get_json_object("payload", "$.content").alias("text"))
+            grid = segments.blocks(docs).select(F.col("doc_id"), "start_byte", "end_byte", "text")
+            sound = grid.join(docs.withColumnRenamed("text", "content"), "doc_id").where(textops.verify_span(F.col("content"), F.col("start_byte"), F.col("end_byte"), F.col("text")) == "ok")
+            named = sound.select(digest_id("SPAN", F.col("doc_id"), F.col("start_byte"), F.col("end_byte")).alias("id"), "doc_id", F.col("start_byte").cast("int").alias("start_byte"), F.col("end_byte").cast("int").alias("end_byte"), "text")
+            named.write.mode("append").parquet(f"{self.folder}/spans")
         return n, refused
