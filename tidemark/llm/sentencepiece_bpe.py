@@ -189,7 +189,7 @@ class MergeModel:
 
     def _coded_segment(self, segment: str) -> tuple[str, str]:
         """The segment's ids as decimal text and what they decode to; remembered if the segment is short."""
-        entry = self._older.get(segment)
+        entry = self._known.get(segment) or self._older.get(segment)
         if entry is None:
             ids = self._ids(segment)
             entry = ",".join(map(str, ids)), self._text(ids)
@@ -225,15 +225,8 @@ class MergeModel:
         if not text:
             return "", ""
         known, make = self._known.get, self._coded_segment
-        coded = []
-        for s in self._segments(self.prefix + text.replace(" ", SPACE)):
-            entry = known(s)
-            if entry is None:
-                entry = make(s)
-                known = self._known.get
-            coded.append(entry)
-        ids, decoded = zip(*coded)
-        return ",".join(ids), "".join(decoded)[len(self.prefix) :]
+        coded = [known(s) or make(s) for s in self._segments(self.prefix + text.replace(" ", SPACE))]
+        return ",".join([ids for ids, _ in coded]), "".join([said for _, said in coded])[len(self.prefix) :]
 
     def encode(self, text: str | None) -> list[int]:
         ids = self.coded(text)[0]
