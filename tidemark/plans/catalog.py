@@ -369,15 +369,6 @@ def _(s, d):
     return monitoring.finding_changes(count(e), count(e.where("value < 60")), ["user_id"], "n")
 
 
-@query("quote_verify", """SELECT d.doc_id, b.item_id, CASE WHEN contains(d.text, b.text) THEN 'exact' ELSE 'absent' END AS verdict
-    FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id""")
-def _(s, d):
-    claims = table(s, d, "benchmark").select("item_id", F.col("text").alias("claim"))
-    pairs = table(s, d, "documents").join(claims, F.col("doc_id") % 40 == F.col("item_id"))
-    verdict = F.when(textops.quoted(F.col("text"), F.col("claim")) == "exact", "exact").otherwise("absent")
-    return pairs.select("doc_id", "item_id", verdict.alias("verdict"))
-
-
 _FLAT = r"""d AS (SELECT doc_id, lang, text, trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g')) AS flat FROM documents),
     b AS (SELECT item_id, text, trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g')) AS flat FROM benchmark)"""
 
@@ -385,7 +376,7 @@ _FLAT = r"""d AS (SELECT doc_id, lang, text, trim(regexp_replace(text, '[ \t\n\x
 @query("quote_verify_all", f"""WITH {_FLAT} SELECT doc_id, item_id, CASE WHEN contains(d.text, b.text) THEN 'exact' ELSE 'flattened' END AS verdict
     FROM d JOIN b ON b.flat <> '' AND contains(d.flat, b.flat)""")
 def _(s, d):
-    """Every item against every document; ``quote_verify`` meets one item a document, as its SQL does."""
+    """Every item against every document: the quotations found, exact or but for white space."""
     return textops.quotations(table(s, d, "documents"), table(s, d, "benchmark").select("item_id", F.col("text").alias("claim")))
 
 
@@ -405,23 +396,13 @@ def _(s, d):
     return table(s, d, "lineitem").join(table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"), "left_anti").groupBy("l_orderkey").agg(F.count("*").alias("n"))
 
 
-@query("citation_gate", """SELECT doc_id, CASE WHEN d.lang = 'de' THEN 'unoffered' WHEN b.item_id IS NULL THEN 'unresolvable' WHEN contains(d.text, b.text) THEN 'cited'
-    WHEN contains(d.text, substr(b.text, 1, 20)) THEN 'misattributed' ELSE 'fabricated' END AS verdict FROM documents d LEFT JOIN benchmark b ON d.doc_id % 50 = b.item_id""")
-def _(s, d):
-    claims = table(s, d, "benchmark").select("item_id", F.col("text").alias("claim"))
-    pairs = table(s, d, "documents").join(claims, F.col("doc_id") % 50 == F.col("item_id"), "left")
-    near = F.contains("text", F.substring("claim", 1, 20))
-    verdict = citation.gate(F.col("lang") != "de", F.col("item_id").isNotNull(), F.contains("text", F.col("claim")), near)
-    return pairs.select("doc_id", verdict.alias("verdict"))
-
-
 @query("citation_gate_all", f"""WITH {_FLAT}, p AS (SELECT item_id, coalesce(lang, '') <> 'de' AS offered, coalesce(d.flat, '') <> '' AS resolvable,
         coalesce(b.flat <> '' AND contains(d.flat, b.flat), false) AS hit FROM d CROSS JOIN b),
     v AS (SELECT *, bool_or(hit AND offered) OVER (PARTITION BY item_id) AS elsewhere FROM p)
     SELECT item_id, CASE WHEN NOT offered THEN 'unoffered' WHEN NOT resolvable THEN 'unresolvable' WHEN hit THEN 'cited' WHEN elsewhere THEN 'misattributed' ELSE 'fabricated' END AS verdict,
     count(*) AS n FROM v GROUP BY 1, 2""")
 def _(s, d):
-    """Every item cited to every document; ``citation_gate`` meets one item a document and looks for 20 characters, as its SQL does."""
+    """Every item cited to every document, counted by verdict."""
     claims = table(s, d, "benchmark").select("item_id", F.col("text").alias("claim"))
     return citation.gate_all(table(s, d, "documents"), claims, F.col("lang") != "de")
 

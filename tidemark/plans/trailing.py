@@ -585,14 +585,14 @@ def _(s, d):
 # --- text
 
 
-@query("unaccented_text", "SELECT doc_id, sha256(strip_accents(lower(text))) AS folded FROM documents WHERE lang IN ('fr', 'es', 'de')")
+@query("unaccented_text", "SELECT doc_id, sha256(strip_accents(lower(text))) AS folded FROM documents")
 def _(s, d):
-    return table(s, d, "documents").where("lang in ('fr', 'es', 'de')").select("doc_id", F.sha2(textops.unaccented(F.lower("text")), 256).alias("folded"))
+    return table(s, d, "documents").select("doc_id", F.sha2(textops.unaccented(F.lower("text")), 256).alias("folded"))
 
 
-@query("casefolded_names", "SELECT doc_id, sha256(replace(lower(text), 'ß', 'ss')) AS folded FROM documents WHERE lang = 'de'")
+@query("casefolded_names", "SELECT doc_id, sha256(replace(lower(text), 'ß', 'ss')) AS folded FROM documents")
 def _(s, d):
-    return table(s, d, "documents").where("lang = 'de'").select("doc_id", F.sha2(scalars.casefolded(F.col("text")), 256).alias("folded"))
+    return table(s, d, "documents").select("doc_id", F.sha2(scalars.casefolded(F.col("text")), 256).alias("folded"))
 
 
 @query("snippets", """WITH w AS (SELECT item_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS p FROM benchmark),
