@@ -8,7 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, embed_dedup, html_extract, mixing, ngram_join, pii, quality, secrets, sentencepiece_bpe, sharding
+from tidemark.llm import ann, embed_dedup, html_extract, merkle, mixing, ngram_join, pii, quality, secrets, sentencepiece_bpe, sharding
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,6 +98,18 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(span_text("base"), 256).alias("base_sha256"), span_text("spans").alias("spans"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all rows; of a third of them, the text is lower-cased and folded up the unchanged path."""
+    docs = table(spark, sf_dir, "documents")
+    lowered = F.translate("text", _UPPER, _LOWER)
+    altered = merkle.record_hash(*(lowered if c == "text" else F.col(c) for c in merkle.FIELDS))
+    third = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, F.lit(False))
+    folded = merkle.fold(F.coalesce("altered", "leaf"), F.col("path"))
+    told = {"proof_sha256": F.sha2(merkle.siblings(F.col("path")), 256), "folded_root": folded}
+    proven = merkle.prove(docs, told, {"altered": F.when(third, altered)})
+    return proven.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_ann_search": op2_ann_search,
@@ -106,13 +121,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_mixing": op9_mixing,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_merkle": op11_merkle,
 }
 
 _REACH = """c(node, root) AS (SELECT id, id FROM nodes UNION SELECT l.b, c.root FROM c JOIN l ON l.a = c.node WHERE c.root < l.b),
     m AS (SELECT node, min(root) AS component_id FROM c GROUP BY 1)"""
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
 
 def _any_case(word: str) -> str:
     return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
@@ -139,7 +152,33 @@ def _secrets_sql() -> str:
         SELECT any_value(doc_id) AS doc_id, {counts}, sha256({joined(3)}) AS base_sha256, {joined(99)} AS spans FROM d LEFT JOIN f USING (rid) GROUP BY rid"""
 
 
+def _merkle_sql() -> str:
+    """Trees as recursive tables of nodes, one row a node and level; proofs from the runs; folding over a list of steps."""
+    field = lambda c: f"coalesce(strlen({c}) || ':' || {c}, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(map(field, ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text))) + ")"
+    crc = """list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ord(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+        lambda r, x: xor(xor(r, x) >> 1, (xor(r, x) & 1) * 3988292384))"""
+    up = lambda t: f"""{t}(k, g, pos, n, h) AS (SELECT 0, g, pos, n, h FROM {t}0
+        UNION ALL SELECT k + 1, g, pos // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM {t} WHERE n > 1 GROUP BY k, g, pos // 8, n),
+        {t}run AS (SELECT k, g, pos // 8 AS run, list(h ORDER BY pos) AS hs FROM {t} WHERE n > 1 GROUP BY ALL)"""
+    step = lambda at: f"{{'b': array_to_string(hs[1:{at} % 8], ''), 'a': array_to_string(hs[{at} % 8 + 2:], '')}}"
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, coalesce('+' || lang, '') AS g, {leaf('text')} AS leaf,
+            CASE WHEN xor({crc}, 4294967295) % 3 = 0 THEN {leaf(f"translate(text, '{_UPPER}', '{_LOWER}')")} END AS altered FROM documents),
+        r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM d),
+        t0 AS (SELECT g, pos, n, leaf AS h FROM r), {up('t')},
+        s AS (SELECT g, h AS subroot, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+        u0 AS (SELECT '' AS g, pos, n, subroot AS h FROM s), {up('u')}, top AS (SELECT h AS root FROM u WHERE n = 1),
+        steps AS (SELECT r.g, r.pos, 0 AS part, t.k, {step('(r.pos // (8 ** t.k)::BIGINT)')} AS x FROM r JOIN trun t ON t.g = r.g AND t.run = r.pos // (8 ** (t.k + 1))::BIGINT
+            UNION ALL SELECT r.g, r.pos, 1, u.k, {step('(s.pos // (8 ** u.k)::BIGINT)')} FROM r JOIN s ON s.g = r.g JOIN urun u ON u.run = s.pos // (8 ** (u.k + 1))::BIGINT),
+        p AS (SELECT g, pos, list(x ORDER BY part, k) AS path FROM steps GROUP BY 1, 2),
+        f AS (SELECT r.doc_id, r.leaf, s.subroot, top.root, sha256(coalesce(array_to_string(list_transform(path, lambda e: e.b || e.a), ''), '')) AS proof_sha256,
+            list_reduce(list_prepend({{'b': coalesce(altered, leaf), 'a': ''}}, coalesce(path, [])), lambda h, e: {{'b': sha256(e.b || h.b || e.a), 'a': ''}}).b AS folded_root
+            FROM r JOIN s USING (g) CROSS JOIN top LEFT JOIN p ON p.g = r.g AND p.pos = r.pos)
+        SELECT *, folded_root = root AS verified FROM f"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_merkle": _merkle_sql(),
     "op2_ann_search": """WITH v AS (SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
         s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0)
         SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
