@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, embed_dedup, html_extract, lexical, merkle, mixing, ngram_join, pii, quality, secrets, sentencepiece_bpe, sharding
+from tidemark.llm import ann, embed_dedup, html_extract, language, lexical, merkle, mixing, ngram_join, pii, quality, secrets, sentencepiece_bpe, sharding
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -111,6 +111,12 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proven.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs.select("doc_id", "text"), language.fit(docs))
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 50)
 
@@ -127,6 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_ngram_jaccard": op10_ngram_jaccard,
     "op11_merkle": op11_merkle,
+    "op12_language_id": op12_language_id,
     "op13_lexical_search": op13_lexical_search,
 }
 
