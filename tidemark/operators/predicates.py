@@ -1,18 +1,25 @@
 """A small total predicate language, lowered to nullable columns.
 
 ``or`` binds least, then ``and``, ``not``, comparisons (``<= >= == != < >``, ``between a and b``), sums,
-products, signs. True, false and unknown are SQL's true, false and null. Numbers are decimals. A name that is not bound, values
-of unlike kinds and failed arithmetic are unknown. Parsing happens once on the driver.
+products, signs. True, false and unknown are SQL's true, false and null. A name that is not bound, values of unlike kinds and
+failed arithmetic are unknown. Parsing happens once on the driver.
+
+Numbers are decimals of 28 digits, rounded half to even, whether a predicate runs over a column (``lower``) or each row has its own
+(``judged``). A column works in Spark's decimals where its digits before and after the point are known and every step
+provably needs no rounding, a quotient being compared by multiplying across; every other comparison is decided by the row evaluator,
+in Arrow batches. So both give the same verdicts for all values. A text that nests deeper than ``MAX_DEPTH`` is not a predicate.
 """
 
 from __future__ import annotations
 
 import operator
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
-from decimal import Decimal
+from decimal import Context, Decimal
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +27,11 @@ _LEX = re.compile(r'\s*(?:(?P<num>\d[\d_]*(?:\.\d+)?)|(?P<str>"(?:[^"\\]|\\.)*")
 #: Words of the language, and what follows a backslash in a string.
 KEYWORDS = frozenset("and or not between true false".split())
 ESCAPES = {"n": "\n", "t": "\t"}
+#: Digits that arithmetic keeps.
+DIGITS = 28
+#: Levels of brackets, and of operators within operators.
+MAX_DEPTH = 200
+_ROUNDED, _FULL = Context(prec=DIGITS), Context(prec=10**6)
 
 
 class PredicateError(ValueError):
@@ -44,15 +56,15 @@ class Op:
 
 def tokens(text: str) -> list[tuple[str, str]]:
     out, at = [], 0
-    while text[at:].strip():
-        m = _LEX.match(text, at)
-        if not m:
-            raise PredicateError("equality is written ==" if text[at:].lstrip().startswith("=") else f"cannot read {text[at:]!r}")
+    while m := _LEX.match(text, at):
         at, kind = m.end(), m.lastgroup
         word = m[kind]
         if kind == "name" and word.lower() in KEYWORDS:
             kind, word = "key", word.lower()
         out.append((kind, word))
+    rest = text[at:].strip()
+    if rest:
+        raise PredicateError("equality is written ==" if rest.startswith("=") else f"cannot read {rest[:80]!r}")
     return out
 
 
@@ -61,65 +73,64 @@ def unquoted(word: str) -> str:
     return re.sub(r"\\(.)", lambda m: ESCAPES.get(m[1], m[1]), word[1:-1], flags=re.S)
 
 
+#: How tightly each operator binds.
+_TIGHT = {"or": 1, "and": 2, "not": 3, "between": 4, "<=": 4, ">=": 4, "==": 4, "!=": 4, "<": 4, ">": 4, "+": 5, "-": 5, "*": 6, "/": 6}
+
+
 class _Parser:
+    """Operators by how tightly they bind; ``floor`` is the loosest that the caller's place allows."""
+
     def __init__(self, text: str):
-        self.t, self.i = tokens(text), 0
+        self.t, self.i, self.depth = tokens(text), 0, 0
 
-    def take(self, *words: str) -> str | None:
-        if self.i < len(self.t) and self.t[self.i][0] in ("op", "key") and self.t[self.i][1] in words:
-            self.i += 1
-            return self.t[self.i - 1][1]
-        return None
+    def next_word(self) -> str | None:
+        return self.t[self.i][1] if self.i < len(self.t) and self.t[self.i][0] in ("op", "key") else None
 
     def need(self, word: str) -> None:
-        if not self.take(word):
+        if self.next_word() != word:
             raise PredicateError(f"{word} expected")
+        self.i += 1
 
-    def chain(self, below, *ops: str):
-        node = below()
-        while op := self.take(*ops):
-            node = Op(op, (node, below()))
-        return node
-
-    def either(self):
-        return self.chain(self.both, "or")
-
-    def both(self):
-        return self.chain(self.negated, "and")
-
-    def negated(self):
-        return Op("not", (self.negated(),)) if self.take("not") else self.compared()
-
-    def compared(self):
-        left = self.total()
-        if self.take("between"):
-            low = self.total()
-            self.need("and")
-            return Op("and", (Op(">=", (left, low)), Op("<=", (left, self.total()))))
-        if op := self.take("<=", ">=", "==", "!=", "<", ">"):
-            node = Op(op, (left, self.total()))
-            if self.take("<=", ">=", "==", "!=", "<", ">"):
+    def read(self, floor: int = 1):
+        left, compared = self.operand(floor), False
+        while (op := self.next_word()) != "not" and _TIGHT.get(op, 0) >= floor:
+            level = _TIGHT[op]
+            if level == 4 and compared:
                 raise PredicateError("comparisons do not chain")
-            return node
+            compared = level == 4
+            self.i += 1
+            right = self.read(level + 1)
+            if op == "between":
+                self.need("and")
+                left = Op("and", (Op(">=", (left, right)), Op("<=", (left, self.read(level + 1)))))
+            else:
+                left = Op(op, (left, right))
         return left
 
-    def total(self):
-        return self.chain(self.product, "+", "-")
-
-    def product(self):
-        return self.chain(self.signed, "*", "/")
-
-    def signed(self):
-        if self.take("-"):
-            x = self.signed()
-            return Lit(-x.value) if isinstance(x, Lit) and isinstance(x.value, Decimal) else Op("-", (Lit(Decimal(0)), x))
-        return self.signed() if self.take("+") else self.atom()
-
-    def atom(self):
-        if self.take("("):
-            x = self.either()
+    def operand(self, floor: int):
+        self.depth += 1
+        if self.depth > MAX_DEPTH:
+            raise PredicateError("nested too deeply")
+        word = self.next_word()
+        if word == "not" and floor <= 3:
+            self.i += 1
+            out = Op("not", (self.read(3),))
+        elif word in ("+", "-"):
+            self.i += 1
+            x = self.operand(7)
+            if word == "-":
+                x = Lit(-x.value) if isinstance(x, Lit) and isinstance(x.value, Decimal) else Op("-", (Lit(Decimal(0)), x))
+            out = x
+        elif word == "(":
+            self.i += 1
+            out = self.read()
             self.need(")")
-            return x
+        else:
+            out = self.leaf()
+        self.depth -= 1
+        return out
+
+    def leaf(self):
         if self.i >= len(self.t):
             raise PredicateError("the predicate ends too early")
         kind, word = self.t[self.i]
@@ -135,6 +146,16 @@ class _Parser:
         raise PredicateError(f"{word} is out of place")
 
 
+def _deep(x) -> bool:
+    """Whether operators stand in operators beyond ``MAX_DEPTH``; told without recursion."""
+    level = [x]
+    for _ in range(MAX_DEPTH):
+        level = [a for y in level if isinstance(y, Op) for a in y.args]
+        if not level:
+            return False
+    return True
+
+
 _COMPARE = ("<=", ">=", "==", "!=", "<", ">")
 
 
@@ -146,7 +167,9 @@ def _formula(x) -> bool:
 
 def parse(text: str):
     p = _Parser(text)
-    node = p.either()
+    node = p.read()
+    if _deep(node):
+        raise PredicateError("nested too deeply")
     if p.i != len(p.t) or not _formula(node):
         raise PredicateError("a predicate compares something and ends there")
     return node
@@ -166,31 +189,122 @@ def names(x) -> set[str]:
     return set().union(*map(names, x.args)) if isinstance(x, Op) else set()
 
 
-def lower(x, bound: dict[str, tuple[str, Column]]) -> Column:
-    """A nullable boolean column. ``bound``: name to (kind, column); kinds are num, bool and str."""
-    return _lower(x, bound)[1]
+def bind(df: DataFrame, columns: dict[str, str]) -> dict[str, tuple[str, Column, str]]:
+    """What ``lower`` takes, for names told by columns of ``df``: kind, column and type."""
+    kind = lambda t: {"boolean": "bool", "string": "str"}.get(t, "num")
+    types = {c: df.select(c).schema[0].dataType.simpleString() for c in columns.values()}
+    return {name: (kind(types[c]), df[c], types[c]) for name, c in columns.items()}
 
 
-def _lower(x, bound) -> tuple[str | None, Column]:
-    unknown = (None, F.lit(None).cast("boolean"))
-    if isinstance(x, Lit):
-        return ("bool" if isinstance(x.value, bool) else "str" if isinstance(x.value, str) else "num"), F.lit(x.value)
-    if isinstance(x, Name):
-        return bound.get(x.name, unknown)
-    args = [_lower(a, bound) for a in x.args]
+def lower(x, bound: dict[str, tuple]) -> Column:
+    """A nullable boolean column. ``bound``: name to (kind, column) or (kind, column, type); kinds are num, bool and str.
+
+    Arithmetic stays in the plan where the types of all its columns are given and are whole numbers or decimals narrow enough.
+    """
     if x.op == "not":
-        return "bool", ~args[0][1]
-    (ka, a), (kb, b) = args
+        return ~lower(x.args[0], bound)
     if x.op in ("and", "or"):
-        return "bool", a & b if x.op == "and" else a | b
-    if x.op in _COMPARE:
-        if ka is None or ka != kb or (ka != "num" and x.op not in ("==", "!=")):
-            return "bool", F.lit(None).cast("boolean")
-        return "bool", {"<=": a <= b, ">=": a >= b, "==": a == b, "!=": a != b, "<": a < b, ">": a > b}[x.op]
-    if ka != "num" or kb != "num":
-        return unknown
-    a, b = (c.try_cast("decimal(20,8)") for c in (a, b))
-    return "num", {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply, "/": F.try_divide}[x.op](a, b)
+        a, b = (lower(part, bound) for part in x.args)
+        return a & b if x.op == "and" else a | b
+    kinds = [_kind_in(part, bound) for part in x.args]
+    if kinds[0] is None or kinds[0] != kinds[1] or (kinds[0] != "num" and x.op not in ("==", "!=")):
+        return F.lit(None).cast("boolean")
+    if kinds[0] != "num":
+        return _RELATIONS[x.op](*(_plain(part, bound) for part in x.args))
+    return _compared(x, bound)
+
+
+def _kind_in(x, bound) -> str | None:
+    if isinstance(x, Lit):
+        return _kind(x.value)
+    if isinstance(x, Name):
+        return bound[x.name][0] if x.name in bound else None
+    return "num" if all(_kind_in(a, bound) == "num" for a in x.args) else None
+
+
+def _plain(x, bound) -> Column:
+    return bound[x.name][1] if isinstance(x, Name) else F.lit(x.value)
+
+
+@dataclass(frozen=True)
+class _Exact:
+    """A number that a decimal column holds without rounding: of so many digits before and after the point, at most."""
+
+    column: Column
+    whole: int
+    places: int
+
+    def joined(self, op: str, other: _Exact) -> _Exact | None:
+        whole, places = (self.whole + other.whole, self.places + other.places) if op == "*" else (max(self.whole, other.whole) + 1, max(self.places, other.places))
+        return _Exact(_ARITHMETIC[op](self.column, other.column), whole, places) if whole + places <= DIGITS else None
+
+
+_ARITHMETIC = {"+": operator.add, "-": operator.sub, "*": operator.mul}
+#: Digits of the whole types.
+_WHOLE = {"tinyint": 3, "smallint": 5, "int": 10, "bigint": 19}
+
+
+def _as_exact(x, bound) -> _Exact | None:
+    """``x`` in Spark's decimals; None where its types are not known to allow that."""
+    if isinstance(x, Op):
+        sides = [_as_exact(a, bound) for a in x.args]
+        return sides[0].joined(x.op, sides[1]) if x.op in _ARITHMETIC and all(sides) else None
+    if isinstance(x, Lit):
+        _, digits, exponent = x.value.as_tuple()
+        places, whole = max(0, -exponent), max(1, len(digits) + exponent)
+        column = F.lit(x.value) if whole + places <= DIGITS else None
+    else:
+        _, column, told = (*bound[x.name], "")[:3]
+        sized = re.fullmatch(r"decimal\((\d+),(\d+)\)", told)
+        places = int(sized[2]) if sized else 0
+        whole = int(sized[1]) - places if sized else _WHOLE.get(told, DIGITS + 1)
+    return _Exact(column.cast(f"decimal({whole + places},{places})"), whole, places) if column is not None and whole + places <= DIGITS else None
+
+
+def _quotient(x, bound) -> tuple[_Exact | None, _Exact | None]:
+    if isinstance(x, Op) and x.op == "/":
+        return _as_exact(x.args[0], bound), _as_exact(x.args[1], bound)
+    return _as_exact(x, bound), _as_exact(Lit(Decimal(1)), bound)
+
+
+def _compared(x: Op, bound) -> Column:
+    divided = any(isinstance(a, Op) and a.op == "/" for a in x.args)
+    (n, d), (m, e) = (_quotient(a, bound) for a in x.args)
+    if all((n, d, m, e)):
+        left, right = (n.joined("*", e), m.joined("*", d)) if divided else (n, m)
+        # two digits short of the rounding, which then cannot make a quotient equal to what it is not
+        if left and right and (not divided or max(left.whole, right.whole) + max(left.places, right.places) <= DIGITS - 2):
+            holds = _RELATIONS[x.op](left.column, right.column)
+            if not divided:
+                return holds
+            turned = _RELATIONS[_FLIPPED[x.op]](left.column, right.column)
+            return F.when((d.column == 0) | (e.column == 0), F.lit(None).cast("boolean")).when((d.column < 0) != (e.column < 0), turned).otherwise(holds)
+    if not any(isinstance(a, Op) for a in x.args) and all(_short(a, bound) for a in x.args):
+        return _RELATIONS[x.op](*(_finite(a, bound) for a in x.args))
+    return _by_rows(x, bound)
+
+
+def _short(x, bound) -> bool:
+    """Whether a comparison with doubles is right: a double is the number it is written as, and literals have digits to spare."""
+    return isinstance(x, Name) and not (*bound[x.name], "")[2].startswith("decimal") or isinstance(x, Lit) and len(x.value.as_tuple().digits) <= 15
+
+
+def _finite(x, bound) -> Column:
+    column = _plain(x, bound)
+    return F.when(~F.isnan(column) & (F.abs(column) < float("inf")), column) if isinstance(x, Name) and (*bound[x.name], "")[2] in ("double", "float") else column
+
+
+def _by_rows(x: Op, bound) -> Column:
+    """One comparison, decided row by row where Spark's decimals might round or overflow."""
+    told = sorted(names(x))
+    if not told:
+        return F.lit(evaluate(x, {})[0]).cast("boolean")
+
+    @F.arrow_udf("boolean")
+    def decided(*columns: pa.Array) -> pa.Array:
+        return pa.array([evaluate(x, dict(zip(told, row)))[0] for row in zip(*(c.to_pylist() for c in columns))], pa.bool_())
+
+    return decided(*(bound[name][1] for name in told))
 
 
 @dataclass(frozen=True)
@@ -206,25 +320,41 @@ class Range:
     value: str | None = None
 
 
-def ranges(x) -> list[Range]:
-    """Constraints of a conjunction of ``name op literal``; nothing at all if any part is something else."""
-    if isinstance(x, Op) and x.op == "and":
-        parts = [ranges(a) for a in x.args]
-        return parts[0] + parts[1] if all(parts) else []
-    flip = {"<": ">", ">": "<", "<=": ">=", ">=": "<=", "==": "==", "!=": "!="}
-    if not isinstance(x, Op) or x.op not in flip:
-        return []
-    a, b, op = *x.args, x.op
+_FLIPPED = {"<": ">", ">": "<", "<=": ">=", ">=": "<=", "==": "==", "!=": "!="}
+
+
+def _conjuncts(x) -> list:
+    todo, out = [x], []
+    while todo:
+        y = todo.pop()
+        if isinstance(y, Op) and y.op == "and":
+            todo += reversed(y.args)
+        else:
+            out.append(y)
+    return out
+
+
+def _constraint(x) -> Range | None:
+    """``name op literal``, either way round, as what it says of the name."""
+    if not isinstance(x, Op) or x.op not in _FLIPPED:
+        return None
+    (a, b), op = x.args, x.op
     if isinstance(a, Lit):
-        a, b, op = b, a, flip[op]
+        a, b, op = b, a, _FLIPPED[op]
     if not (isinstance(a, Name) and isinstance(b, Lit)):
-        return []
-    v = b.value
+        return None
     if op == "!=":
-        return [Range(a.name, kind="excluded", value=render(b))]
-    if not isinstance(v, Decimal):
-        return [Range(a.name, kind="exact", value=render(b))] if op == "==" else []
-    return [Range(a.name, v if op in (">", ">=", "==") else None, op in (">=", "=="), v if op in ("<", "<=", "==") else None, op in ("<=", "=="))]
+        return Range(a.name, kind="excluded", value=render(b))
+    if not isinstance(b.value, Decimal):
+        return Range(a.name, kind="exact", value=render(b)) if op == "==" else None
+    below, above = op in ("<", "<=", "=="), op in (">", ">=", "==")
+    return Range(a.name, b.value if above else None, above and "=" in op, b.value if below else None, below and "=" in op)
+
+
+def ranges(x) -> list[Range]:
+    """Constraints of a conjunction of ``name op literal``; nothing at all if any part is something else."""
+    said = [_constraint(y) for y in _conjuncts(x)]
+    return [] if None in said else said
 
 
 def incompatible(a: str, b: str) -> Column:
@@ -241,8 +371,8 @@ def witness(r: Range, inside: bool) -> Decimal | None:
     if r.kind != "range" or end is None:
         return None
     if inside:
-        return end if closed else end + up
-    return end - up if closed else end
+        return end if closed else _FULL.add(end, up)
+    return _FULL.subtract(end, up) if closed else end
 
 
 def disjoint(a: str, b: str) -> Column:
@@ -253,17 +383,13 @@ def disjoint(a: str, b: str) -> Column:
     return F.coalesce((low > high) | ((low == high) & ~(ends("low", low) & ends("high", high))), F.lit(False))
 
 
-#: How tightly each operator binds.
-_TIGHT = {"or": 1, "and": 2, "not": 3, "+": 5, "-": 5, "*": 6, "/": 6}
-
-
 def _level(x) -> int:
-    return _TIGHT.get(x.op, 4) if isinstance(x, Op) else 7
+    return _TIGHT[x.op] if isinstance(x, Op) else 7
 
 
 def _written(v: Decimal) -> str:
     """A decimal in full, without needless zeros."""
-    return format(v.normalize() if v else Decimal(0), "f")
+    return format(v.normalize(_FULL) if v else Decimal(0), "f")
 
 
 def render(x) -> str:
@@ -295,12 +421,25 @@ def subject(x) -> str | None:
     return about.pop() if len(about) == 1 else None
 
 
-_TOLD = "parses boolean, rendered string, names array<string>, subject string, shape array<string>, ranges array<struct<name:string,low:decimal(38,10),low_closed:boolean,high:decimal(38,10),high_closed:boolean,kind:string,value:string>>"
+def order_key(v: Decimal) -> str:
+    """A text that sorts as the number does, whatever its size: sign, place of the first digit, digits; all turned round below zero."""
+    if not v:
+        return "5"
+    sign, digits, exponent = v.normalize(_FULL).as_tuple()
+    text = f"{len(digits) + exponent + 5_000_000:07d}" + "".join(map(str, digits))
+    return "4" + "".join(str(9 - int(c)) for c in text) + ":" if sign else "6" + text
+
+
+_TOLD = (
+    "parses boolean, rendered string, names array<string>, subject string, shape array<string>, "
+    "ranges array<struct<name:string,low:string,low_closed:boolean,high:string,high_closed:boolean,kind:string,value:string,inside:string,outside:string>>"
+)
 
 
 def _row(r: Range) -> dict:
-    place = lambda v: None if v is None else v.quantize(Decimal("1e-10"))
-    return {**vars(r), "low": place(r.low), "high": place(r.high)}
+    key = lambda v: None if v is None else order_key(v)
+    said = {side: _written(v) for side, v in (("inside", witness(r, True)), ("outside", witness(r, False))) if v is not None}
+    return {**vars(r), "low": key(r.low), "high": key(r.high), "inside": None, "outside": None, **said}
 
 
 def _told(text: str | None) -> tuple:
@@ -312,7 +451,10 @@ def _told(text: str | None) -> tuple:
 
 
 def described(df: DataFrame, column: str) -> DataFrame:
-    """``df`` with what its predicates say: parses, rendered, names, subject, shape, ranges. Each distinct text is parsed once."""
+    """``df`` with what its predicates say: parses, rendered, names, subject, shape, ranges. Each distinct text is parsed once.
+
+    The ends of ranges are ``order_key`` texts, which compare as their numbers do; ``inside`` and ``outside`` are numbers in and out of a range.
+    """
     def batches(parts):
         for b in parts:
             yield pd.DataFrame([(t, *_told(t)) for t in b[column]], columns=[column, *fields])
@@ -343,23 +485,27 @@ def _kind(v) -> str | None:
     return None if v is None else "bool" if isinstance(v, bool) else "str" if isinstance(v, str) else "num"
 
 
-def _exact(v):
-    """A number as the decimal it is written as."""
-    return v if v is None or isinstance(v, bool | str | Decimal) else Decimal(str(v))
+def _number(v):
+    """A number as the decimal it is written as; nothing if it is not finite."""
+    if v is None or isinstance(v, bool | str):
+        return v
+    v = v if isinstance(v, Decimal) else Decimal(str(v))
+    return v if v.is_finite() else None
 
 
 def _value(x, world: dict) -> tuple[object, str | None]:
     if isinstance(x, Lit):
         return x.value, None
     if isinstance(x, Name):
-        return (_exact(world[x.name]), None) if world.get(x.name) is not None else (None, f"{x.name} is not bound")
+        v = _number(world.get(x.name))
+        return v, f"{x.name} is not bound" if v is None else None
     (a, why), (b, also) = (_value(arg, world) for arg in x.args)
     if a is None or b is None:
         return None, why or also
     if _kind(a) != "num" or _kind(b) != "num":
         return None, f"{x.op} takes numbers"
     try:
-        return {"+": lambda: a + b, "-": lambda: a - b, "*": lambda: a * b, "/": lambda: a / b}[x.op](), None
+        return {"+": _ROUNDED.add, "-": _ROUNDED.subtract, "*": _ROUNDED.multiply, "/": _ROUNDED.divide}[x.op](a, b), None
     except ArithmeticError:
         return None, f"{render(x)} has no value"
 
@@ -397,20 +543,20 @@ def judged(df: DataFrame, column: str, bound: dict[str, str] | None = None, worl
     bound, world = bound or {}, world or {}
     names_, values = list(bound), list(bound.values())
 
-    def batches(parts):
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees: dict = {}
         for b in parts:
             out = []
-            for row in b.itertuples(index=False, name=None):
-                key, text, *rest = row
+            for key, text, *rest in zip(*(c.to_pylist() for c in b.columns)):
                 if text not in trees:
+                    if len(trees) > 10_000:
+                        trees.clear()
                     trees[text] = parse(text) if text and parses(text) else None
-                if len(trees) > 10_000:
-                    trees = {text: trees[text]}
                 n = len(rest) // 2
-                here = world | {k: v for k, v in zip(rest[:n], rest[n:]) if k is not None and v is not None and v == v}
+                here = world | {k: v for k, v in zip(rest[:n], rest[n:]) if k is not None and v is not None}
                 out.append((key, *(evaluate(trees[text], here) if trees[text] is not None else (None, "not a predicate"))))
-            yield pd.DataFrame(out, columns=["id", "verdict", "reason"])
+            yield pa.RecordBatch.from_pylist([dict(zip(told.names, r)) for r in out], schema=told)
 
-    rows = df.select("id", column, *(F.col(n) for n in names_), *(F.col(v).cast("double").alias(f"_v{k}") for k, v in enumerate(values)))
-    return df.join(rows.mapInPandas(batches, "id string, verdict boolean, reason string"), "id")
+    told = pa.schema([("id", pa.string()), ("verdict", pa.bool_()), ("reason", pa.string())])
+    rows = df.select(F.col("id").cast("string"), column, *(F.col(n) for n in names_), *(F.col(v).alias(f"_v{k}") for k, v in enumerate(values)))
+    return df.join(rows.mapInArrow(batches, "id string, verdict boolean, reason string"), "id")

@@ -213,9 +213,9 @@ _PREDICATE = 'not (size >= 30 and price < 1000) or kind == "none" or price / (si
 @query("predicate_eval", """SELECT p_partkey, CASE WHEN v THEN 'true' WHEN NOT v THEN 'false' ELSE 'unknown' END AS verdict FROM (SELECT p_partkey,
     NOT (p_size >= 30 AND p_retailprice < 1000) OR p_type = 'none' OR (p_retailprice / NULLIF(p_size - 15, 0) > 90 AND NULL::BOOLEAN) AS v FROM part)""")
 def _(s, d):
-    bound = {"size": ("num", F.col("p_size").cast("double")), "price": ("num", F.col("p_retailprice")), "kind": ("str", F.col("p_type"))}
-    v = predicates.lower(predicates.parse(_PREDICATE), bound)
-    return table(s, d, "part").select("p_partkey", F.when(v, "true").when(~v, "false").otherwise("unknown").alias("verdict"))
+    part = table(s, d, "part").withColumn("price", F.col("p_retailprice").cast("decimal(12,2)"))
+    v = predicates.lower(predicates.parse(_PREDICATE), predicates.bind(part, {"size": "p_size", "price": "price", "kind": "p_type"}))
+    return part.select("p_partkey", F.when(v, "true").when(~v, "false").otherwise("unknown").alias("verdict"))
 
 
 @query("monitor_verdicts", """SELECT o_orderkey, CASE WHEN o_totalprice <= 150000 THEN CASE WHEN o_orderdate >= TIMESTAMP '1997-01-01' THEN 'holding' ELSE 'holding' END

@@ -220,9 +220,45 @@ def _(s, d):
 @query("predicate_decimals", """SELECT l_orderkey, l_linenumber, CAST(l_discount AS DECIMAL(4,2)) + 0.01 <= 0.06 AS near, CAST(l_tax AS DECIMAL(4,2)) + CAST(l_discount AS DECIMAL(4,2)) = 0.1 AS tenth FROM lineitem""")
 def _(s, d):
     """0.05 + 0.01 is 0.06 here, which it is not in doubles."""
-    bound = {"off": ("num", F.col("l_discount")), "tax": ("num", F.col("l_tax"))}
-    low = lambda text: predicates.lower(predicates.parse(text), bound)
-    return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", low("off + 0.01 <= 0.06").alias("near"), low("tax + off == 0.1").alias("tenth"))
+    lines = table(s, d, "lineitem").withColumns({c: F.col(c).cast("decimal(4,2)") for c in ("l_discount", "l_tax")})
+    low = lambda text: predicates.lower(predicates.parse(text), predicates.bind(lines, {"off": "l_discount", "tax": "l_tax"}))
+    return lines.select("l_orderkey", "l_linenumber", low("off + 0.01 <= 0.06").alias("near"), low("tax + off == 0.1").alias("tenth"))
+
+
+#: Predicates on numbers of up to 28 digits on either side of the point, and what is true of a part's key k and size v.
+_EXTREMES = {
+    "huge + 1 > 5": "k > 0", "huge * 1 - huge == 0": "true", "tiny + 0 > 0": "k > 0", "tiny / 2 > 0": "k > 0", "huge * tiny == many": "true", "-tiny / (tiny - tiny) < 1": "NULL",
+    "huge / tiny > 9_999_999_999_999_999_999_999_999_999": "CASE WHEN k <> 0 THEN true END", "size / 7 > 3": "v > 21", "3 >= size / -7": "true", "vast + 1 > 5": "k > 0",
+    "slight / 2 > 0 and slight * 0 == 0": "k > 0", "huge > 123_456_789_012_345_678_901_234_567_890_123_456_789_012": "false",
+}
+
+
+@query("predicate_extremes", "SELECT p_partkey, " + " || ".join(f"coalesce(substr(CAST({v} AS VARCHAR), 1, 1), 'u')" for v in _EXTREMES.values()) + " AS verdicts FROM (SELECT p_partkey, p_partkey AS k, p_size AS v FROM part)")
+def _(s, d):
+    """Where eight decimal places, twelve digits or doubles would tell otherwise."""
+    k = F.col("p_partkey")
+    part = table(s, d, "part").select(
+        "p_partkey", F.col("p_size").alias("size"), (k.cast("decimal(10,0)") * F.lit(10**16).cast("decimal(17,0)")).cast("decimal(28,0)").alias("huge"),
+        (k.cast("decimal(10,0)") * F.lit("0.000000000001").cast("decimal(12,12)")).cast("decimal(24,12)").alias("tiny"),
+        (k.cast("decimal(9,0)") * k.cast("decimal(9,0)") * F.lit(10_000).cast("decimal(5,0)")).alias("many"), (k * 1e13).alias("vast"), (k * 1e-9).alias("slight"),
+    )
+    bound = predicates.bind(part, {c: c for c in part.columns[1:]})
+    told = lambda v: F.coalesce(F.substring(v.cast("string"), 1, 1), F.lit("u"))
+    return part.select("p_partkey", F.concat(*(told(predicates.lower(predicates.parse(t), bound)) for t in _EXTREMES)).alias("verdicts"))
+
+
+@query("predicate_bounds", """SELECT p_partkey AS id, p_partkey % 4 <> 1 AS parses, CASE p_partkey % 4 WHEN 0 THEN '12345678901234567890' || (p_partkey + 100) WHEN 2 THEN '0.0000000000' || (p_partkey + 100001) WHEN 3 THEN '-' || p_partkey || '.5' END AS inside,
+    CASE p_partkey % 4 WHEN 0 THEN '12345678901234567890' || (p_partkey + 101) WHEN 2 THEN '-0.9999999999' || (899999 - p_partkey) WHEN 3 THEN '-' || (p_partkey + 1) || '.5' END AS outside FROM part""")
+def _(s, d):
+    """Bounds of more digits than a decimal column has, and texts of 3,000 brackets, which are no predicates and harm no other row."""
+    k = F.col("p_partkey")
+    told = [
+        F.concat(F.lit("cost <= 12345678901234567890"), (k + 100).cast("string")), F.concat(F.lit("(" * 3000 + "cost" + ")" * 3000 + " < "), k.cast("string")),
+        F.concat(F.lit("cost >= 0.0000000000"), (k + 100_001).cast("string")), F.concat(F.lit("cost == -"), k.cast("string"), F.lit(".5")),
+    ]
+    text = F.when(k % 4 == 0, told[0]).when(k % 4 == 1, told[1]).when(k % 4 == 2, told[2]).otherwise(told[3])
+    said = predicates.described(table(s, d, "part").select(k.alias("id"), text.alias("t")), "t")
+    return said.select("id", "parses", F.get("ranges", F.lit(0))["inside"].alias("inside"), F.get("ranges", F.lit(0))["outside"].alias("outside"))
 
 
 def _said(s: SparkSession, d: str) -> DataFrame:
@@ -261,17 +297,10 @@ def _(s, d):
 @query("range_witnesses", """SELECT p_partkey AS id, CAST(CASE p_partkey % 4 WHEN 0 THEN p_size WHEN 1 THEN p_size - 1 WHEN 2 THEN p_size + 1 ELSE p_size END AS BIGINT) AS inside,
     CAST(CASE p_partkey % 4 WHEN 0 THEN p_size + 1 WHEN 1 THEN p_size WHEN 2 THEN p_size ELSE p_size - 1 END AS BIGINT) AS outside FROM part""")
 def _(s, d):
-    import pandas as pd
-
     op = F.element_at(F.array(*map(F.lit, ["<=", "<", ">", "=="])), (F.col("p_partkey") % 4 + 1).cast("int"))
     texts = table(s, d, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("x "), op, F.lit(" "), F.col("p_size").cast("string")).alias("text"))
-
-    def told(parts):
-        for b in parts:
-            found = [predicates.ranges(predicates.parse(t))[0] for t in b["text"]]
-            yield pd.DataFrame({"id": b["id"], "inside": [int(predicates.witness(r, True)) for r in found], "outside": [int(predicates.witness(r, False)) for r in found]})
-
-    return texts.mapInPandas(told, "id bigint, inside bigint, outside bigint")
+    one = predicates.described(texts, "text").withColumn("r", F.element_at("ranges", 1))
+    return one.select("id", F.col("r.inside").cast("bigint").alias("inside"), F.col("r.outside").cast("bigint").alias("outside"))
 
 
 @query("string_escapes", r"""SELECT p_partkey, '"' || p_name || '\n\t\"\\"' AS rendered FROM part""")
