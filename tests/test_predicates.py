@@ -87,3 +87,51 @@ def test_order_keys_sort_as_numbers():
 def test_measured_digits_are_kept(spark):
     df = spark.createDataFrame([("1", "x == 12345678901234567.5", "x")], "id string, p string, n string").withColumn("v", F.lit("12345678901234567.5").cast("decimal(38,3)"))
     assert predicates.judged(df, "p", {"n": "v"}).first().verdict
+
+
+def plain_links(rows):
+    """All pairs."""
+    def apart(x, y):
+        if x["kind"] == y["kind"] == "range":
+            low = max((v for v in (x["low"], y["low"]) if v is not None), default=None)
+            high = min((v for v in (x["high"], y["high"]) if v is not None), default=None)
+            if low is None or high is None:
+                return False
+            ends = all(r[e] != v or r[f"{e}_closed"] for r in (x, y) for e, v in (("low", low), ("high", high)))
+            return low > high or (low == high and not ends)
+        kinds = {x["kind"], y["kind"]}
+        return (kinds == {"exact"} and x["value"] != y["value"]) or (kinds == {"exact", "excluded"} and x["value"] == y["value"])
+
+    flat = [(i, pos, r) for i, rs in rows for pos, r in enumerate(rs)]
+    return {(i, p): [j for j, q, y in flat if (i, p) != (j, q) and x["name"] == y["name"] and apart(x, y)] for i, p, x in flat}
+
+
+def test_links_equal_all_pairs(spark):
+    from tidemark.operators import conflicting
+
+    rng = random.Random(4)
+
+    def constraint():
+        kind = rng.choice(["range", "range", "range", "exact", "excluded"])
+        end = lambda: rng.choice([None, rng.randrange(12)])
+        low, high = (end(), end()) if kind == "range" else (None, None)
+        return {"name": rng.choice("xxxy"), "kind": kind, "low": low, "high": high, "low_closed": rng.random() < 0.5, "high_closed": rng.random() < 0.5, "value": None if kind == "range" else rng.choice("abc")}
+
+    rows = [(k, [constraint() for _ in range(rng.randrange(0, 4))]) for k in range(120)]
+    shape = "id int, ranges array<struct<name:string,low:int,low_closed:boolean,high:int,high_closed:boolean,kind:string,value:string>>"
+    got = {(r.id, r.pos): r for r in conflicting.conflict_links(spark.createDataFrame(rows, shape).repartition(5)).collect()}
+    want = plain_links(rows)
+    assert {k: r.links for k, r in got.items()} == {k: len(v) for k, v in want.items()}
+    assert all(r.witness in want[k] if want[k] else r.witness is None for k, r in got.items())
+    assert conflicting.conflict_links(spark.createDataFrame([], shape)).count() == 0
+
+
+def test_one_hot_name_runs_in_linear_work(spark):
+    """200,000 constraints of one name make 10 thousand million pairs; they are counted."""
+    from tidemark.operators import conflicting
+
+    n, none = 200_000, "CAST(NULL AS bigint)"
+    half = lambda low, high: f"named_struct('name', 'cost', 'low', {low}, 'low_closed', true, 'high', {high}, 'high_closed', true, 'kind', 'range', 'value', CAST(NULL AS string))"
+    df = spark.sql(f"SELECT id, array(if(id % 2 = 0, {half('id', none)}, {half(none, 'id')})) AS ranges FROM range({n})")
+    told = conflicting.conflict_links(df).selectExpr("count(*)", "sum(links)", "min(witness)", "max(witness)").first()
+    assert tuple(told) == (n, (n // 2) * (n // 2 - 1), 1, n - 2)

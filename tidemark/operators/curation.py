@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import digest_id
 from tidemark.operators import predicates
+from tidemark.operators.rounds import settled
 from tidemark.operators.metrics import rate
 
 BATCH, MOST_PAIRS, CHALLENGES, FLOOR = 12, 60, 8, 0.5
@@ -29,8 +30,9 @@ def contradictions(pairs: DataFrame, constraints: DataFrame, most: int = MOST_PA
 
     ``pairs``: left, right, subjects, words; ``constraints``: id, ranges. ``most`` bounds what one pass looks at.
     """
-    taken = strongest(pairs, most)
-    proof = predicates.conflicts(constraints, constraints).select(F.col("a_id").alias("left"), F.col("b_id").alias("right"), "name")
+    taken = settled(strongest(pairs, most))
+    wanted = lambda side: constraints.join(taken.select(F.col(side).alias("id")).distinct(), "id", "left_semi")
+    proof = predicates.conflicts(wanted("left"), wanted("right")).select(F.col("a_id").alias("left"), F.col("b_id").alias("right"), "name")
     proven = taken.join(proof, ["left", "right"]).select("left", "right", "name")
     rest = taken.join(proven, ["left", "right"], "left_anti")
     at = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("subjects"), F.desc("words"), "left", "right"))

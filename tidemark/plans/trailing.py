@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars
-from tidemark.operators import calibration, curation, evaluation, expiry, graph, metrics, monitoring, predicates, reviews, textops, trails, versioned
+from tidemark.operators import calibration, conflicting, curation, evaluation, expiry, graph, metrics, monitoring, predicates, reviews, textops, trails, versioned
 from tidemark.plans.registry import EST, FACT, HEAD, HIST, LINK, OUT, TR, VER, query
 from tidemark.plans.testviews import estimates, links, outcomes, table, traces, versions
 from tidemark.sources import documents
@@ -269,19 +269,22 @@ def _said(s: SparkSession, d: str) -> DataFrame:
         F.when(k == 0, F.concat(F.lit("brand == "), brand)).when(k == 1, F.concat(F.lit("brand != "), brand)).when(k == 2, F.concat(F.lit("size <= "), size))
         .when(k == 3, F.concat(F.lit("size > "), size, F.lit(" and brand == "), brand)).otherwise(F.concat(F.lit("not size < "), size))
     )
-    return predicates.described(table(s, d, "part").where("p_partkey % 20 < 5").select(F.col("p_partkey").alias("id"), text.alias("predicate")), "predicate")
+    return predicates.described(table(s, d, "part").select(F.col("p_partkey").alias("id"), text.alias("predicate")), "predicate")
 
 
-_SAID = """p AS (SELECT p_partkey AS id, p_partkey % 5 AS k, p_size AS v, p_brand AS b FROM part WHERE p_partkey % 20 < 5)"""
+_SAID = """p AS (SELECT p_partkey AS id, p_partkey % 5 AS k, p_size AS v, p_brand AS b FROM part),
+    c AS (SELECT id, k, 'brand' AS name, v, b FROM p WHERE k IN (0, 1, 3) UNION ALL SELECT id, k, 'size', v, b FROM p WHERE k IN (2, 3)),
+    j AS (SELECT x.id, x.name, x.k, y.id AS other, y.k AS ok, y.v, y.b FROM c x JOIN c y ON x.name = y.name AND CASE x.name WHEN 'size' THEN x.k = 2 AND y.k = 3 AND x.v <= y.v OR x.k = 3 AND y.k = 2 AND y.v <= x.v
+        ELSE x.k <> 1 AND y.k <> 1 AND x.b <> y.b OR (x.k = 1) <> (y.k = 1) AND x.b = y.b END)"""
 
 
-@query("exclusion_conflicts", f"""WITH {_SAID}, pairs AS (SELECT x.id AS a_id, y.id AS b_id, CASE
-    WHEN x.k IN (0, 3) AND y.k IN (0, 3) AND x.b <> y.b THEN 'brand' WHEN x.k IN (0, 3) AND y.k = 1 AND x.b = y.b THEN 'brand' WHEN x.k = 1 AND y.k IN (0, 3) AND x.b = y.b THEN 'brand' END AS brand,
-    CASE WHEN x.k = 2 AND y.k = 3 AND x.v <= y.v THEN 'size' WHEN x.k = 3 AND y.k = 2 AND y.v <= x.v THEN 'size' END AS size FROM p x JOIN p y ON x.id < y.id)
-    SELECT a_id, b_id, coalesce(size, brand) AS name FROM pairs WHERE size IS NOT NULL OR brand IS NOT NULL""")
+@query("exclusion_conflicts", f"""WITH {_SAID}, n AS (SELECT id, name, count(*) AS links, CASE WHEN name = 'size' AND any_value(k) = 2 THEN arg_max(other, (v, other)) WHEN name = 'size' THEN arg_min(other, (v, other))
+        ELSE arg_min(other, (ok = 1, b, other)) END AS witness FROM j GROUP BY id, name)
+    SELECT c.id, c.name, coalesce(links, 0) AS links, witness FROM c LEFT JOIN n USING (id, name)""")
 def _(s, d):
-    r = _said(s, d).select("id", "ranges")
-    return predicates.conflicts(r, r).where("a_id < b_id")
+    """Sizes bounded from both sides, brands said and ruled out: all against all, as counts and one proof each."""
+    told = conflicting.conflict_links(_said(s, d).select("id", "ranges"))
+    return told.select("id", "name", "links", "witness")
 
 
 @query("exact_shapes", """SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'cost::' || (1000000 + p_partkey) || '=' WHEN 1 THEN 'cost:' || (1000000 + p_partkey) || '=:' || (1000000 + p_partkey) || '=|kind:exact:"a"'
