@@ -6,7 +6,7 @@ the subroots, in order of their groups, hash to the root in the same way. A proo
 left and right of its node in the run.
 
 Method: Merkle traversal scheduling. Leaves are numbered by a range partition on (group, id) and cut into aligned blocks of
-``BLOCK``, so that a subtree never crosses a block. Within a block, a treehash stack for each level
+``ARITY ** HEIGHT``, so that a subtree never crosses a block. Within a block, a treehash stack for each level
 builds the next run of siblings, one leaf a step, while the present run serves its leaves: when the traversal reaches the next
 run its nodes are ready, and a block needs a number of nodes that grows with the logarithm of its leaves. Block roots
 are the leaves of the next layer, in the same way, up to the subroots and the root; each block then gets the path of its root as
@@ -30,9 +30,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import discard, finish, materialize, small
 
 ARITY = 8
+#: Levels of an aligned block, which so holds 4,096 leaves.
 HEIGHT = 4
-#: Leaves of an aligned block: whole subtrees of ``HEIGHT`` levels.
-BLOCK = ARITY**HEIGHT
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
 _PATH = "array<struct<before:string,after:string>>"
@@ -110,12 +109,12 @@ def traverse(leaves, height: int) -> Iterator[list[tuple[bytes, bytes]]]:
             hash_ahead.step()
 
 
-def _levels(n: int) -> int:
-    """Levels of a block: all of them below other blocks, else as many as leave one node."""
-    height = 0
-    while ARITY**height < min(n, BLOCK):
-        height += 1
-    return height
+def levels(n: int, height: int) -> int:
+    """Levels of a block in a group of ``n`` nodes: all of them if there are other blocks, else as many as leave one node."""
+    needed = 0
+    while needed < height and ARITY**needed < n:
+        needed += 1
+    return needed
 
 
 def numbered(nodes: DataFrame, order: list[str]) -> DataFrame:
@@ -144,28 +143,31 @@ _KEY = ["named", "grp", "block"]
 _NODE = ["named", "grp", "pos", "n", "digest"]
 
 
-def _in_blocks(nodes: DataFrame, *more: str) -> DataFrame:
-    return nodes.select(*_NODE, F.expr(f"pos div {BLOCK}").alias("block"), *more)
+def _in_blocks(nodes: DataFrame, height: int, *more: str) -> DataFrame:
+    return nodes.select(*_NODE, F.expr(f"pos div {ARITY**height}").alias("block"), *more)
 
 
 def _digests(rows: pa.Table) -> list[bytes]:
     return rows["digest"].cast(pa.binary()).to_pylist()
 
 
-def _block_root(rows: pa.Table) -> pa.Table:
-    rows = rows.sort_by("pos")
-    n = rows["n"][0].as_py()
-    root = subtree_root(_digests(rows), _levels(n))
-    return pa.table({**{k: rows[k].slice(0, 1) for k in _KEY}, "n": pa.array([-(-n // BLOCK)], pa.int64()), "digest": pa.array([root.decode()])})
+def _block_root(height: int):
+    def root_of(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("pos")
+        n = rows["n"][0].as_py()
+        root = subtree_root(_digests(rows), levels(n, height))
+        return pa.table({**{k: rows[k].slice(0, 1) for k in _KEY}, "n": pa.array([-(-n // ARITY**height)], pa.int64()), "digest": pa.array([root.decode()])})
+
+    return root_of
 
 
-def layers_above(nodes: DataFrame) -> list[DataFrame]:
+def layers_above(nodes: DataFrame, height: int) -> list[DataFrame]:
     """``nodes`` and, until every group has one node, the block roots of the layer below, each layer a table of its own."""
     layers, largest = [nodes], nodes.agg(F.max("n")).first()[0] or 0
     while largest > 1:
-        roots = _in_blocks(layers[-1]).groupBy(*_KEY).applyInArrow(_block_root, "named boolean, grp string, block bigint, n bigint, digest string")
+        roots = _in_blocks(layers[-1], height).groupBy(*_KEY).applyInArrow(_block_root(height), "named boolean, grp string, block bigint, n bigint, digest string")
         layers.append(materialize(roots.withColumnRenamed("block", "pos")))
-        largest = -(-largest // BLOCK)
+        largest = -(-largest // ARITY**height)
     return layers
 
 
@@ -177,19 +179,19 @@ def _path_array(paths: list[list[tuple[bytes, bytes]]]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(sides, ["before", "after"]))
 
 
-def _block_proofs(names: list[str], above: list[str]):
+def _block_proofs(names: list[str], above: list[str], height: int):
     def proofs(rows: pa.Table, upper: pa.Table) -> pa.Table:
         rows = rows.sort_by("pos")
         told = upper.to_pylist()[0]
         shared = [(step["before"].encode(), step["after"].encode()) for step in told["path"]]
-        paths = [[*path, *shared] for path in traverse(_digests(rows), _levels(rows["n"][0].as_py()))]
+        paths = [[*path, *shared] for path in traverse(_digests(rows), levels(rows["n"][0].as_py(), height))]
         same = {k: pa.array([told[k]] * rows.num_rows, pa.string()) for k in above}
         return pa.table({**{k: rows[k] for k in names}, **same, "path": _path_array(paths)})
 
     return proofs
 
 
-def descend(layers: list[DataFrame], top: DataFrame, above: list[str], keep: list[str]) -> DataFrame:
+def descend(layers: list[DataFrame], top: DataFrame, above: list[str], keep: list[str], height: int) -> DataFrame:
     """The lowest layer's nodes with their paths, and the texts ``above`` of their group; ``top`` has both for the one node of each group.
 
     From the top down, the path of a block's root is the upper part of the paths of all in the block.
@@ -198,14 +200,14 @@ def descend(layers: list[DataFrame], top: DataFrame, above: list[str], keep: lis
     for k, nodes in reversed(list(enumerate(layers[:-1]))):
         names = ["named", "grp", "pos", "digest", *(keep if k == 0 else [])]
         shape = ", ".join([f"`{c}` {nodes.schema[c].dataType.simpleString()}" for c in names] + [f"`{c}` string" for c in above] + [f"path {_PATH}"])
-        both = _in_blocks(nodes, *names[4:]).groupBy(*_KEY).cogroup(upper.select("named", "grp", F.col("pos").alias("block"), *above, "path").groupBy(*_KEY))
-        upper = both.applyInArrow(_block_proofs(names, above), shape)
+        both = _in_blocks(nodes, height, *names[4:]).groupBy(*_KEY).cogroup(upper.select("named", "grp", F.col("pos").alias("block"), *above, "path").groupBy(*_KEY))
+        upper = both.applyInArrow(_block_proofs(names, above, height), shape)
     return upper if len(layers) > 1 else layers[0].join(upper.drop("pos"), ["named", "grp"])
 
 
 def prove(
     docs: DataFrame, told: dict[str, Column] | None = None, keep: dict[str, Column] | None = None,
-    fields: tuple[str, ...] = FIELDS, group: str = "lang", order: str = "doc_id",
+    fields: tuple[str, ...] = FIELDS, group: str = "lang", order: str = "doc_id", height: int = HEIGHT,
 ) -> DataFrame:
     """For each row its ``order`` value, ``leaf``, ``subroot``, ``root`` and ``path``, its proof: ``fold(leaf, path)`` is the root while nothing is changed.
 
@@ -219,14 +221,14 @@ def prove(
     )
     hashed = materialize(nodes)
     leaves = numbered(hashed, ["_order", "digest"])
-    trees = layers_above(leaves)
+    trees = layers_above(leaves, height)
     subroots = trees[-1].select(F.lit(True).alias("named"), F.lit("").alias("grp"), F.col("named").alias("_named"), F.col("grp").alias("_grp"), "digest")
     roots = numbered(subroots, ["_named", "_grp"])
-    crown = layers_above(roots)
+    crown = layers_above(roots, height)
     peak = crown[-1].select("named", "grp", F.col("digest").alias("root"), F.array().cast(_PATH).alias("path"))
-    tops = descend(crown, peak, ["root"], ["_named", "_grp"])
+    tops = descend(crown, peak, ["root"], ["_named", "_grp"], height)
     tops = materialize(tops.select(F.col("_named").alias("named"), F.col("_grp").alias("grp"), F.col("digest").alias("subroot"), "root", "path"))
-    proven = descend(trees, tops, ["subroot", "root"], ["_order", *(f"_keep_{k}" for k in keep)])
+    proven = descend(trees, tops, ["subroot", "root"], ["_order", *(f"_keep_{k}" for k in keep)], height)
     proven = proven.withColumnRenamed("digest", "leaf").withColumnsRenamed({f"_keep_{k}": k for k in keep})
     out = proven.select(F.col("_order").alias(order), "leaf", "subroot", "root", *([c.alias(k) for k, c in told.items()] if told else [*keep, "path"]))
     return finish(out, hashed, *trees, *crown, tops)
