@@ -196,13 +196,13 @@ def _search_block(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_
     weights = np.floor(1000 * np.log((2.0 * size.n + 2) / (2.0 * df + 1))).astype(np.int64)
     index = Weighed(items, starts, np.array([s for _, s in order], dtype=np.int64), weights, size.n, size.words or 1)
     shared = spark.sparkContext.broadcast(index)
-    found = held.mapInArrow(lambda batches: best_in(batches, shared.value, k), "slot int, doc_id bigint, score bigint")
+    found = materialize(held.mapInArrow(lambda batches: best_in(batches, shared.value, k), "slot int, doc_id bigint, score bigint"))
     best = lambda *by: Window.partitionBy(*by).orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
     celled = found.withColumn("cell", F.pmod(F.spark_partition_id(), F.lit(CELLS))).repartitionByRange("slot", "cell")
     first = celled.withColumn("rank", F.row_number().over(best("slot", "cell"))).where(F.col("rank") <= k).drop("rank", "cell")
     last = first.repartitionByRange("slot").withColumn("rank", F.row_number().over(best("slot"))).where(F.col("rank") <= k)
     named = spark.createDataFrame(list(enumerate(items)), f"slot int, item_id {wanted.schema['item_id'].dataType.simpleString()}")
-    return finish(last.join(F.broadcast(named), "slot").select("item_id", "rank", "doc_id", "score"), held)
+    return finish(last.join(F.broadcast(named), "slot").select("item_id", "rank", "doc_id", "score"), held, found)
 
 
 def search(docs: DataFrame, items: DataFrame, k: int = 50, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
