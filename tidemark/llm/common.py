@@ -62,7 +62,7 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
     Alternates large-star and small-star steps (Kiveris et al., 2014). Hubs only meet in partial
     aggregates and in equi-joins that adaptive execution may split, so no node's neighbours are
     gathered. Edges with a null end, and loops, are ignored; repeated edges count once.
-    A graph that has not settled after ``max_rounds`` rounds is an error.
+    A graph that has not settled after ``max_rounds`` rounds is an error. The result stands on a table, which ``discard`` takes.
     """
     now = materialize(
         edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
@@ -91,6 +91,8 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
         nxt = materialize(small)
         discard(now)
         now = nxt
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
+    out._tidemark_path = now._tidemark_path
+    return out

@@ -186,12 +186,12 @@ def near_duplicates(
     base = rows.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("vec")).alias("vec"))
     usable = rows.where("vec is not null and vec_id is not null")
     distinct = materialize(usable.groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("times"), F.first("dims").alias("dims")).withColumn("key", F.xxhash64("vec")))
-    parts = []
+    parts, tables = [], [distinct]
     for length in distinct.groupBy("dims").count().orderBy("dims").collect():
         own = distinct.where(F.col("dims") == length["dims"]).select("vec", "rep", "times", "key")
         drawn = own.orderBy("key", "vec").limit(sample).collect()
         plan = Plan(matrix([r["vec"] for r in drawn], kind), length["count"], threshold, blocks, cell)
-        parts.append(_block_joins(own, spark.sparkContext.broadcast(plan), len(plan.cuts), threshold, piece, kind))
+        parts.append(_block_joins(own, spark.sparkContext.broadcast(plan), len(plan.cuts), threshold, piece, kind, tables))
     if not parts:
         discard(distinct)
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
@@ -210,10 +210,10 @@ def near_duplicates(
     out = base.join(named, "vec", "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")
     )
-    return finish(out, distinct, found)
+    return finish(out, found, linked, *tables)
 
 
-def _block_joins(own: DataFrame, plan, blocks: int, threshold: float, piece: int, kind: str) -> DataFrame:
+def _block_joins(own: DataFrame, plan, blocks: int, threshold: float, piece: int, kind: str, tables: list[DataFrame]) -> DataFrame:
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
@@ -237,6 +237,7 @@ def _block_joins(own: DataFrame, plan, blocks: int, threshold: float, piece: int
             F.ceil(F.count_if("home") / F.lit(piece)).cast("int").alias("homes"), F.ceil(F.count_if(~F.col("home")) / F.lit(piece)).cast("int").alias("visits")
         )
     )
+    tables.append(sizes)
     h = F.pmod(F.xxhash64("key"), F.when(F.col("home"), F.col("homes")).otherwise(F.col("visits"))).cast("int")
     meets = F.expr("""
         if(home,

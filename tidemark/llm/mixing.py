@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize
+from tidemark.llm.common import finish, materialize
 
 BLOCK_WORDS = 64
 SHARDS = 1024
@@ -138,7 +138,8 @@ def mix(
             + (((k + phase) % blocks + 1) * (quota % blocks) div blocks - ((k + phase) % blocks) * (quota % blocks) div blocks)
             * (least(upto, (k + 1) * cell_size div blocks) - greatest(from, k * cell_size div blocks)))
     """
-    return at.join(plan, ["skey", "shard"]).select(
+    out = at.join(plan, ["skey", "shard"]).select(
         "doc_id", "size", "source", "source_size", "target", F.col("th").alias("text_hash"),
         F.when(F.col("size") > 0, F.expr(f"(quota div blocks) * size + {picked}")).otherwise(F.lit(0).cast("long")).alias("taken"),
     )
+    return finish(out, kept, cells, targets)

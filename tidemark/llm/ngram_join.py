@@ -29,7 +29,7 @@ ids stay apart but share a node; a null id never names a group; other input colu
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +45,8 @@ PERCENT = 75
 PIECE, WEIGHT = 512, 1 << 21
 LEAF = 32
 DIMS = 128
+#: Input that one part of the hash space may stand for; its shingles take a few times as much.
+PART_BYTES = 32 << 20
 _CHUNK = 4 << 20
 _FLUSH = 1 << 19
 _RNG = np.random.default_rng(20)
@@ -377,20 +379,20 @@ def _cuts(rows: DataFrame, piece: int, weight: int, *by: str) -> DataFrame:
     )
 
 
-def _alone(rows: DataFrame, piece: int, weight: int) -> DataFrame:
-    """Tasks (grp, c, h) with their rows: each piece, to be joined inside."""
-    cut = small(materialize(_cuts(rows, piece, weight, "grp", "c").where("k > 1").select("grp", "c", "k")))
+def _alone(rows: DataFrame, piece: int, weight: int, held: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Tasks (grp, c, h) with their rows: each piece, to be joined inside. ``held`` makes tables and keeps account of them."""
+    cut = small(held(_cuts(rows, piece, weight, "grp", "c").where("k > 1").select("grp", "c", "k")))
     h = F.pmod(F.xxhash64("fp"), F.coalesce("k", F.lit(1))).cast("int")
     return rows.join(cut, ["grp", "c"], "left").select("grp", "c", h.alias("h"), "fp", F.col("fp").alias("known"), F.lit(0).alias("side"), F.lit(True).alias("inside"))
 
 
-def _apart(members: DataFrame, piece: int, weight: int) -> DataFrame:
+def _apart(members: DataFrame, piece: int, weight: int, held: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Tasks (grp, c, d, i, j, kind) with their rows: each two pieces that may hold a link not known yet.
 
     ``members`` has (grp, fp, n, c, known, other); ``other`` says that a row does not hang together with the most of its group.
     Rows of kind 0 are pieces of others with each other, of kind 1 pieces of others (side 0) with pieces of the rest.
     """
-    cuts = materialize(_cuts(members, piece, weight, "grp", "c", "other"))
+    cuts = held(_cuts(members, piece, weight, "grp", "c", "other"))
     own = {o: cuts.where(F.col("other") == o).select("grp", "c", "k") for o in (True, False)}
     beside = lambda o, by, name: small(own[o].select("grp", (F.col("c") - by).alias("c"), F.col("k").alias(name)))
     left = members.where("other").join(small(own[True]), ["grp", "c"])
@@ -413,18 +415,32 @@ def _apart(members: DataFrame, piece: int, weight: int) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def _parts(df: DataFrame) -> int:
+    """Parts of the hash space: as many as shuffles have partitions, more where that makes a part of over ``PART_BYTES`` of input."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(1 << 22, max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES if size < 1 << 60 else 0))
+
+
 def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", piece: int = PIECE, weight: int = WEIGHT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts, tables = _parts(df), []
+
+    def held_table(rows: DataFrame) -> DataFrame:
+        tables.append(materialize(rows))
+        return tables[-1]
+
+    def joined(edges: DataFrame, a: str, b: str) -> DataFrame:
+        tables.append(connected_components(edges, a, b))
+        return tables[-1]
+
     dealt = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(_deal(parts), _DEALT)
     found = materialize(dealt.groupBy("part").applyInArrow(_find_shared(parts), _DEALT))
-    docs = materialize(found.where(F.col("blob").isNull()).select("doc_id", "fp", "n"))
+    docs = held_table(found.where(F.col("blob").isNull()).select("doc_id", "fp", "n"))
     known = docs.where("n > 0").groupBy("fp").agg(F.first("n").alias("n")).select(
         F.pmod(F.shiftright("fp", 7), F.lit(parts)).cast("int").alias("part"), F.lit(None).cast("long").alias("doc_id"), "fp", "n",
         F.lit(None).cast("binary").alias("blob"),
     )
-    texts = materialize(
+    texts = held_table(
         found.where(F.col("blob").isNotNull()).unionByName(known).groupBy("part").applyInArrow(_assemble, "fp bigint, n bigint, lead bigint, tokens binary")
     )
     discard(found)
@@ -434,27 +450,26 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pi
     next_up = leads.select("token", (F.col("c") - 1).alias("c"), F.col("lead").alias("up"))
     same = postings.join(leads.where("lead < last").select("token", "c", "lead"), ["token", "c"]).where("fp <> lead").select("fp", "lead")
     across = leads.join(next_up, ["token", "c"]).where("lead <> up").select(F.col("lead").alias("fp"), F.col("up").alias("lead"))
-    near = connected_components(same.unionByName(across), "fp", "lead").select(F.col("node").alias("fp"), F.col("component").alias("grp"))
+    near = joined(same.unionByName(across), "fp", "lead").select(F.col("node").alias("fp"), F.col("component").alias("grp"))
 
-    sized = materialize(near.join(texts.select("fp", "n"), "fp"))
-    big = materialize(_cuts(sized, piece, weight, "grp").where("k > 1").select("grp", F.lit(True).alias("big")))
+    sized = held_table(near.join(texts.select("fp", "n"), "fp"))
+    big = held_table(_cuts(sized, piece, weight, "grp").where("k > 1").select("grp", F.lit(True).alias("big")))
     members = sized.join(small(big), "grp", "left").select("grp", "fp", "n", F.when(F.col("big"), _size_class("n")).otherwise(-1).alias("c"))
     link = lambda rows, *task: rows.join(texts.select("fp", "n", "tokens"), "fp").groupBy(*task).applyInArrow(_link, _LINKS)
-    first = materialize(link(_alone(members, piece, weight), "grp", "c", "h"))
-    links, used = first, []
+    first = held_table(link(_alone(members, piece, weight, held_table), "grp", "c", "h"))
+    links = first
     if not big.isEmpty():
-        large = materialize(members.where("c >= 0"))
+        large = held_table(members.where("c >= 0"))
         parted = large.join(first.select("fp", "root"), "fp", "left").where("root is null").drop("root")
-        second = materialize(link(small(materialize(_alone(parted, piece, weight))), "grp", "c", "h"))
-        so_far = connected_components(first.join(large.select("fp"), "fp", "left_semi").unionByName(second), "fp", "root")
-        held = materialize(large.join(so_far.select(F.col("node").alias("fp"), "component"), "fp", "left").select("grp", "fp", "n", "c", F.coalesce("component", "fp").alias("known")))
+        second = held_table(link(small(held_table(_alone(parted, piece, weight, held_table))), "grp", "c", "h"))
+        so_far = joined(first.join(large.select("fp"), "fp", "left_semi").unionByName(second), "fp", "root")
+        held = held_table(large.join(so_far.select(F.col("node").alias("fp"), "component"), "fp", "left").select("grp", "fp", "n", "c", F.coalesce("component", "fp").alias("known")))
         most = held.groupBy("grp", "known").agg(F.count("*").alias("size")).groupBy("grp").agg(F.max_by("known", F.struct("size", "known")).alias("main"))
-        told = materialize(held.join(small(materialize(most)), "grp").select("grp", "fp", "n", "c", "known", (F.col("known") != F.col("main")).alias("other")))
-        unsettled = materialize(told.where("other").select("grp").distinct())
-        tasks = materialize(_apart(told.join(small(unsettled), "grp", "left_semi"), piece, weight))
-        links = materialize(first.unionByName(second).unionByName(link(small(tasks), "grp", "kind", "c", "d", "i", "j")))
-        used = [large, second, held, told, tasks, links]
-    linked = connected_components(links, "fp", "root")
+        told = held_table(held.join(small(held_table(most)), "grp").select("grp", "fp", "n", "c", "known", (F.col("known") != F.col("main")).alias("other")))
+        unsettled = held_table(told.where("other").select("grp").distinct())
+        tasks = held_table(_apart(told.join(small(unsettled), "grp", "left_semi"), piece, weight, held_table))
+        links = held_table(first.unionByName(second).unionByName(link(small(tasks), "grp", "kind", "c", "d", "i", "j")))
+    linked = joined(links, "fp", "root")
 
     classes = docs.where("n > 0").groupBy("fp", "n").agg(F.min("doc_id").alias("class_id"))
     joined = classes.join(linked, classes["fp"] == linked["node"], "left").select("fp", "n", "class_id", "component")
@@ -463,4 +478,4 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pi
     out = docs.join(named, ["fp", "n"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("component_id")
     )
-    return finish(out, docs, texts, sized, big, first, *used)
+    return finish(out, *tables)
