@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import discard, finish, materialize, small
 
 ARITY = 8
-#: Levels of an aligned block, which so holds 4,096 leaves.
-HEIGHT = 4
+#: Levels of an aligned block, which so holds 512 leaves: proofs of one block are a megabyte or two.
+HEIGHT = 3
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
 _PATH = "array<struct<before:string,after:string>>"
