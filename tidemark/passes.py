@@ -14,6 +14,7 @@ from pyspark.sql.types import StringType
 
 from tidemark.functions.scalars import digest_id
 from tidemark.operators import calibration, curation, graph, monitoring, predicates, reviews, trails, versioned
+from tidemark.operators.rounds import settled
 from tidemark.store import Store
 
 ASSUMPTION = "predicate string, expiry_condition string, status string"
@@ -47,18 +48,17 @@ def _write_findings(store: Store, found: DataFrame, dry: bool) -> DataFrame:
     fields = ["finding_kind", "subject_id", "severity", "prosecution"]
     named = found.withColumn("id", digest_id("F", F.col("finding_kind"), F.col("subject_id")))
     standing = store.list_all("finding", schema=", ".join(f"{f} string" for f in fields)).select("id", "version", "prosecution")
-    told = monitoring.finding_changes(named, standing, ["id"], "prosecution").join(standing.select("id", "version"), "id", "left")
+    told = settled(monitoring.finding_changes(named, standing, ["id"], "prosecution").join(standing.select("id", "version"), "id", "left"))
     if not dry:
         payload = F.to_json(F.struct(*fields)).alias("payload")
-        store.add("finding", told.where("action = 'added'").select("id", payload), "pass")
-        store.revise("finding", told.where("action = 'revised'").select("id", "version", payload), "pass")
+        with store.transaction():
+            store.add("finding", told.where("action = 'added'").select("id", payload), "pass")
+            store.revise("finding", told.where("action = 'revised'").select("id", "version", payload), "pass")
     return told.select("id", *fields, "action")
 
 
 def monitor(store: Store, facts: dict, events: list[str], now: Column | None = None, dry: bool = False) -> DataFrame:
     """The assumptions whose status changed; each newly breached one gets a finding by what rests on it."""
-    from tidemark.operators.rounds import settled
-
     told = settled(monitoring.changes(verdicts(store, facts, events, F.current_timestamp() if now is None else now)))
     if not dry:
         decisions = store.list_all("decision", schema="impact string, scope string").select(F.col("id").alias("decision"), "impact", "scope")
@@ -66,8 +66,9 @@ def monitor(store: Store, facts: dict, events: list[str], now: Column | None = N
         hit = told.where("new_status = 'breached'").select("id")
         severity = monitoring.severity(hit.join(resting, "id", "left"), "id")
         found = settled(severity.select(F.lit("breach").alias("finding_kind"), F.col("id").alias("subject_id"), "severity", F.concat("id", F.lit(" no longer holds")).alias("prosecution")))
-        store.revise("assumption", told.select("id", "version", with_status("payload", "new_status").alias("payload")), "monitor")
-        _write_findings(store, found, dry)
+        with store.transaction():
+            store.revise("assumption", told.select("id", "version", with_status("payload", "new_status").alias("payload")), "monitor")
+            _write_findings(store, found, dry)
     return told.select("id", "status", "new_status", "reason")
 
 
@@ -97,24 +98,22 @@ def damage(store: Store) -> DataFrame:
 
 def fuse(store: Store, dry: bool = False) -> DataFrame:
     """Findings on assumptions that hold as estimated and fail as calibrated, and on missed estimates that decisions rest on, with their edges."""
-    from tidemark.operators.rounds import settled
-
     flips = price(store).where("verdict = 'flipped'").groupBy("assumption").agg(F.min("estimate").alias("estimate"))
     text = F.concat("assumption", F.lit(" holds by "), "estimate", F.lit(" as estimated, not as calibrated"))
     stale = flips.select(F.lit("stale").alias("finding_kind"), F.col("assumption").alias("subject_id"), F.lit("medium").alias("severity"), text.alias("prosecution"))
     found, edges = curation.collateral_findings(damage(store))
-    told = _write_findings(store, settled(stale.unionByName(found.drop("id"))), dry)
-    if not dry:
-        store.link(settled(edges))
+    found, edges = settled(stale.unionByName(found.drop("id"))), settled(edges)
+    with store.transaction():
+        told = _write_findings(store, found, dry)
+        if not dry:
+            store.link(edges)
     return told
 
 
 def govern(store: Store, dry: bool = False) -> DataFrame:
     """(older, newer): assumptions of one shape; the latest stays and supersedes the others."""
-    from tidemark.operators.rounds import settled
-
     told = predicates.described(_assumptions(store).select("id", "created_at", "predicate"), "predicate").where("size(shape) > 0")
-    done = store.edges().where("link_type = 'supersedes'").select(F.col("dst").alias("older"), F.col("src").alias("newer"))
+    done = store.standing_edges().where("link_type = 'supersedes'").select(F.col("dst").alias("older"), F.col("src").alias("newer"))
     merges = settled(monitoring.merges(told.select("id", "created_at", F.array_join("shape", "&").alias("shape")), done))
     if not dry:
         kind = F.lit("assumption")
@@ -125,11 +124,9 @@ def govern(store: Store, dry: bool = False) -> DataFrame:
 
 def contradictions(store: Store, dry: bool = True) -> DataFrame:
     """(a_id, b_id, name): current assumptions whose constraints cannot hold together and that no edge joins yet; each pair once."""
-    from tidemark.operators.rounds import settled
-
     told = predicates.described(_assumptions(store).select("id", "predicate"), "predicate").select("id", "ranges")
     pairs = predicates.conflicts(told, told).where("a_id < b_id")
-    known = store.edges().where("link_type in ('contradicts', 'supersedes')").select(F.col("src").alias("left"), F.col("dst").alias("right"))
+    known = store.standing_edges().where("link_type in ('contradicts', 'supersedes')").select(F.col("src").alias("left"), F.col("dst").alias("right"))
     fresh = settled(curation.without_known(pairs.withColumnsRenamed({"a_id": "left", "b_id": "right"}), known).withColumnsRenamed({"left": "a_id", "right": "b_id"}))
     if not dry:
         kind = F.lit("assumption")
@@ -141,7 +138,7 @@ def doctor(store: Store) -> DataFrame:
     """(id, problem): versions out of step, edges to what is not stored, records without an audit row."""
     records = store.records().withColumn("id", F.concat_ws(":", "kind", "id"))
     gaps = versioned.version_gaps(records).select("id", F.lit("version_gap").alias("problem"))
-    edges = versioned.standing(store.edges()).withColumn("link_id", F.col("id"))
+    edges = store.standing_edges().withColumn("link_id", F.col("id"))
     lost = trails.endpoints_missing(edges, store.records().select("id", "kind").distinct()).select(F.col("link_id").alias("id"), F.concat(F.lit("no_"), "end").alias("problem"))
     audit = store.audit().select(F.concat_ws(":", "kind", "id").alias("id"), "version")
     silent = records.select("id", "version").join(audit, ["id", "version"], "left_anti").select("id", F.lit("no_audit").alias("problem"))
@@ -159,8 +156,6 @@ def routes(store: Store) -> DataFrame:
 
 def retire(store: Store, at: Column | None = None, idle_days: int = 60, dry: bool = False) -> DataFrame:
     """(id, refused): unverified assumptions never monitored, with the reason against retiring; the others are retracted."""
-    from tidemark.operators.rounds import settled
-
     audit = store.records("assumption").select("id", F.col("created_at").alias("occurred_at"), F.col("created_by").alias("actor"))
     decisions = store.list_all("decision").select(F.col("id").alias("decision"))
     told = monitoring.retirements(_assumptions(store).select("id", "status"), audit, reviews.resting_on(store.dependencies(), decisions), F.current_timestamp() if at is None else at, idle_days)

@@ -1,17 +1,21 @@
-"""A versioned store: append-only Parquet tables of records, edges and audit rows in a shared folder.
+"""A versioned store: append-only Parquet tables of records, edges, spans and audit rows in a shared folder.
 
-Every write is a batch of one kind and appends; nothing is changed in place. A record's payload is a JSON
-object, so one layout holds all kinds and a kind's own schema is applied on reading.
+Every write is a batch of one kind and appends; nothing is changed in place. What a call or a ``transaction`` writes
+becomes visible by one commit. A writer that finds the store moved on meanwhile wins only if the others wrote other records and
+edges than it did. A record's payload is a JSON object, so one layout holds all kinds and a kind's own schema is applied on reading.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.commits import Log, State
 from tidemark.functions.scalars import digest_id
 from tidemark.operators import calibration, graph, reviews, segments, textops, trails, versioned
 from tidemark.operators.rounds import settled
@@ -26,43 +30,152 @@ class Refused(ValueError):
     """A batch that would break the ledger; nothing of it was written."""
 
 
+class Conflict(Refused):
+    """Another writer committed the same records or edges first; nothing of this commit was written."""
+
+
+_SCHEMAS = {"records": RECORD, "edges": EDGE, "audit": AUDIT, "spans": SPAN}
+#: What makes a row of a table one and the same.
+_KEYS = {"records": ["kind", "id"], "edges": ["id"]}
+
+
+@dataclass
+class Pending:
+    """A transaction: what it started from, and the batches it will add."""
+
+    base: State
+    added: dict[str, list[str]] = field(default_factory=dict)
+
+
 @dataclass(frozen=True)
 class Store:
+    """``at``: an older version to read."""
+
     spark: SparkSession
     folder: str
-
-    def _read(self, name: str, schema: str) -> DataFrame:
-        """A table, empty before its first write; the folder may be on any file system that Spark reads."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        if not path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(path):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
+    at: int | None = None
+    _open: list[Pending] = field(default_factory=list, compare=False, repr=False)
+    _logs: list[Log] = field(default_factory=list, compare=False, repr=False)
+
+    @property
+    def log(self) -> Log:
+        if not self._logs:
+            self._logs.append(Log(self.spark, self.folder))
+        return self._logs[0]
+
+    def _state(self) -> State:
+        """The version that reads see; inside a transaction, its base and what it added."""
+        if not self._open:
+            return self.log.state(self.at)
+        pending = self._open[-1]
+        return pending.base.after(pending.base.version, {"added": pending.added})
+
+    @contextmanager
+    def transaction(self) -> Iterator[Pending]:
+        """All writes inside become visible together when the block ends, or not at all; one inside another joins it."""
+        if self._open:
+            yield self._open[-1]
+            return
+        pending = Pending(self.log.state())
+        self._open.append(pending)
+        try:
+            yield pending
+        finally:
+            self._open.pop()
+        self._commit(pending)
+
+    def _commit(self, pending: Pending) -> None:
+        seen = pending.base
+        while pending.added and not self.log.put(seen.version + 1, {"added": pending.added}):
+            now = self.log.state()
+            for table, key in _KEYS.items():
+                theirs, mine = now.batches.get(table, [])[len(seen.batches.get(table, [])) :], pending.added.get(table, [])
+                rows = lambda names: self.log.rows(table, _SCHEMAS[table], names)  # noqa: B023, E731
+                if theirs and mine:
+                    self._refuse(rows(mine).join(rows(theirs).select(*key).distinct(), key, "left_semi"), "written meanwhile", Conflict)
+            if "audit" in pending.added:
+                pending.added["audit"] = [self._renumbered(pending.added["audit"], now)]
+            seen = now
+
+    def _renumbered(self, names: list[str], now: State) -> str:
+        """Audit rows again, numbered after those that were committed first."""
+        last = self._last_ordinal(now)
+        mine = self.log.rows("audit", AUDIT, names)
+        least = mine.agg(F.min("ordinal")).first()[0] or 0
+        return self.log.stage("audit", mine.withColumn("ordinal", F.col("ordinal") - least + last + 1))
+
+    def _last_ordinal(self, state: State) -> int:
+        return self.log.rows("audit", AUDIT, state.batches.get("audit", [])).agg(F.max("ordinal")).first()[0] or 0
+
+    def _write(self, table: str, rows: DataFrame) -> None:
+        with self.transaction() as pending:
+            name = self.log.stage(table, rows, "kind" if table == "records" else None)
+            pending.added.setdefault(table, []).append(name)
+
+    def version(self) -> int:
+        return self._state().version
+
+    def _read(self, name: str) -> DataFrame:
+        return self.log.rows(name, _SCHEMAS[name], self._state().batches.get(name, []))
 
     def records(self, kind: str | None = None) -> DataFrame:
         """All versions; a kind is a partition, so one kind reads its own files only."""
-        rows = self._read("records", RECORD)
+        rows = self._read("records")
         return rows if kind is None else rows.where(F.col("kind") == kind)
 
     def edges(self) -> DataFrame:
-        return self._read("edges", EDGE)
+        return self._read("edges")
 
     def audit(self) -> DataFrame:
-        return self._read("audit", AUDIT)
+        return self._read("audit")
 
     def spans(self) -> DataFrame:
-        return self._read("spans", SPAN)
+        return self._read("spans")
+
+    def _current(self, table: str, kind: str | None = None) -> DataFrame:
+        """The newest version of each key: from the last snapshot and what was committed after it."""
+        state, schema, key = self._state(), _SCHEMAS[table], _KEYS[table]
+        rows = self.log.rows(table, schema, state.fresh(table))
+        if table in state.snapshots:
+            rows = rows.unionByName(self.log.rows(table, schema, [state.snapshots[table][0]]))
+        if kind is not None:
+            rows = rows.where(F.col("kind") == kind)
+        rest = [c for c in rows.columns if c not in (*key, "version")]
+        best = rows.groupBy(*key).agg(F.max_by(F.struct("version", *rest), "version").alias("r"))
+        return best.select(*key, "r.*").select(*rows.columns)
+
+    def heads(self, kind: str | None = None) -> DataFrame:
+        """The current version of each record, retracted ones too."""
+        return self._current("records", kind)
+
+    def standing_edges(self) -> DataFrame:
+        return self._current("edges").where("not retracted")
+
+    def compact(self) -> int:
+        """A snapshot of the current records and edges, sorted by key, as a version of its own; all versions stay readable."""
+        state = self.log.state()
+        made = {}
+        for table, key in _KEYS.items():
+            if state.fresh(table):
+                rows = Store(self.spark, self.folder, state.version)._current(table).repartitionByRange(*key).sortWithinPartitions(*key)
+                made[table] = (self.log.stage(table, rows, "kind" if table == "records" else None, "heads"), len(state.batches[table]))
+        while made and not self.log.put(state.version + 1, {"all": state.batches, "snapshots": {**state.snapshots, **made}}):
+            state = self.log.state()
+        return self.log.state().version
 
     def _append(self, rows: DataFrame, action: str, run_id: str | None = None, reason: str | None = None) -> None:
         """The rows and, for each, an audit row; ordinals only grow, but leave gaps, since no task counts the whole batch."""
         fresh = settled(rows.select("kind", "id", "version", "retracted", "created_at", "created_by", "payload"))
-        last = self.audit().agg(F.max("ordinal")).first()[0] or 0
-        fresh.write.mode("append").partitionBy("kind").parquet(f"{self.folder}/records")
-        told = fresh.select(
-            (F.monotonically_increasing_id() + last + 1).alias("ordinal"), F.col("created_at").alias("occurred_at"), F.col("created_by").alias("actor"), F.lit(action).alias("action"),
-            "kind", "id", "version", F.lit(run_id).cast("string").alias("run_id"), F.lit(reason).cast("string").alias("reason"),
-        )
-        told.write.mode("append").parquet(f"{self.folder}/audit")
+        if fresh.isEmpty():
+            return
+        with self.transaction():
+            last = self._last_ordinal(self._state())
+            self._write("records", fresh)
+            told = fresh.select(
+                (F.monotonically_increasing_id() + last + 1).alias("ordinal"), F.col("created_at").alias("occurred_at"), F.col("created_by").alias("actor"), F.lit(action).alias("action"),
+                "kind", "id", "version", F.lit(run_id).cast("string").alias("run_id"), F.lit(reason).cast("string").alias("reason"),
+            )
+            self._write("audit", told)
 
     def timeline(self, before: int | None = None, size: int | None = None) -> DataFrame:
         """A page of audit rows, newest first, with where the next page starts and how many rows there are."""
@@ -75,36 +188,40 @@ class Store:
         return trails.in_run(self.audit(), "run_id", run_id, "ordinal")
 
     @staticmethod
-    def _refuse(bad: DataFrame, why: str) -> None:
+    def _refuse(bad: DataFrame, why: str, kind: type[Refused] = Refused) -> None:
         first = bad.select("id").limit(3).collect()
         if first:
-            raise Refused(f"{why}: {', '.join(str(r.id) for r in first)}")
+            raise kind(f"{why}: {', '.join(str(r.id) for r in first)}")
 
     def _stamped(self, rows: DataFrame, kind: str, by: str) -> DataFrame:
         return rows.withColumns({"kind": F.lit(kind), "created_by": F.lit(by), "created_at": F.current_timestamp()})
 
     def add(self, kind: str, rows: DataFrame, by: str, run_id: str | None = None, reason: str | None = None) -> None:
         """New records (id, payload) as version 1; ids that exist or repeat are refused."""
-        self._refuse(rows.groupBy("id").count().where("count > 1"), "repeated")
-        self._refuse(rows.join(self.records(kind).select("id").distinct(), "id", "left_semi"), "already stored")
-        self._append(self._stamped(rows.select("id", "payload"), kind, by).withColumns({"version": F.lit(1), "retracted": F.lit(False)}), "add", run_id, reason)
+        with self.transaction():
+            self._refuse(rows.groupBy("id").count().where("count > 1"), "repeated")
+            self._refuse(rows.join(self.heads(kind).select("id"), "id", "left_semi"), "already stored")
+            self._append(self._stamped(rows.select("id", "payload"), kind, by).withColumns({"version": F.lit(1), "retracted": F.lit(False)}), "add", run_id, reason)
 
     def revise(self, kind: str, rows: DataFrame, by: str, run_id: str | None = None, reason: str | None = None) -> None:
         """(id, version, payload) against the head; a batch with a stale version, or an id twice, is refused."""
-        self._refuse(rows.groupBy("id").count().where("count > 1"), "repeated")
-        met = versioned.revisions(rows.select("id", "version"), self.records(kind).select("id", "version"))
-        self._refuse(met.where("conflict"), "not the current version")
-        self._append(self._stamped(rows.select("id", (F.col("version") + 1).alias("version"), "payload"), kind, by).withColumn("retracted", F.lit(False)), "revise", run_id, reason)
+        with self.transaction():
+            self._refuse(rows.groupBy("id").count().where("count > 1"), "repeated")
+            met = versioned.revisions(rows.select("id", "version"), self.heads(kind).select("id", "version"))
+            self._refuse(met.where("conflict"), "not the current version")
+            self._append(self._stamped(rows.select("id", (F.col("version") + 1).alias("version"), "payload"), kind, by).withColumn("retracted", F.lit(False)), "revise", run_id, reason)
 
     def retract(self, kind: str, ids: DataFrame, by: str, run_id: str | None = None, reason: str | None = None) -> None:
         """A last version of each listed standing record; its payload is kept."""
-        gone = versioned.retract(self.records(kind).drop("kind"), ids)
-        self._append(self._stamped(gone, kind, by), "retract", run_id, reason)
+        with self.transaction():
+            gone = versioned.retract(self.heads(kind).drop("kind"), ids)
+            self._append(self._stamped(gone, kind, by), "retract", run_id, reason)
 
     def get(self, kind: str, id_: str, version: int | None = None) -> DataFrame:
         """The current or a given version, retracted or not."""
-        rows = self.records(kind).where(F.col("id") == id_)
-        return versioned.head(rows) if version is None else rows.where(F.col("version") == version)
+        if version is None:
+            return self.heads(kind).where(F.col("id") == id_)
+        return self.records(kind).where((F.col("id") == id_) & (F.col("version") == version))
 
     def versions(self, kind: str, id_: str) -> DataFrame:
         return self.records(kind).where(F.col("id") == id_).orderBy("version")
@@ -114,7 +231,7 @@ class Store:
 
     def list_all(self, kind: str, retracted: bool = False, schema: str | None = None) -> DataFrame:
         """Current records, oldest first; with ``schema`` the payload's fields as columns."""
-        rows = versioned.head(self.records(kind))
+        rows = self.heads(kind)
         rows = (rows if retracted else rows.where("not retracted")).orderBy("created_at", "id")
         return rows if schema is None else rows.withColumn("r", F.from_json("payload", schema)).select("id", "version", "r.*")
 
@@ -126,26 +243,28 @@ class Store:
 
     def link(self, edges: DataFrame) -> None:
         """(link_type, src, src_kind, dst, dst_kind); an edge that the grammar forbids refuses the batch, stored ones are skipped."""
-        named = edges.withColumn("id", digest_id("LINK", F.col("link_type"), F.col("src"), F.col("dst")))
+        named = settled(edges.withColumn("id", digest_id("LINK", F.col("link_type"), F.col("src"), F.col("dst"))))
         self._refuse(named.where(~reviews.endpoints_valid(F.col("link_type"), F.col("src_kind"), F.col("dst_kind"))), "edge not allowed")
-        fresh = named.dropDuplicates(["id"]).join(self.edges().select("id").distinct(), "id", "left_anti")
-        fresh = fresh.withColumns({"version": F.lit(1), "retracted": F.lit(False), "created_at": F.current_timestamp()})
-        fresh.select("id", "link_type", "src", "src_kind", "dst", "dst_kind", "version", "retracted", "created_at").write.mode("append").parquet(f"{self.folder}/edges")
+        with self.transaction():
+            fresh = settled(named.dropDuplicates(["id"]).join(self._current("edges").select("id"), "id", "left_anti"))
+            if not fresh.isEmpty():
+                fresh = fresh.withColumns({"version": F.lit(1), "retracted": F.lit(False), "created_at": F.current_timestamp()})
+                self._write("edges", fresh.select("id", "link_type", "src", "src_kind", "dst", "dst_kind", "version", "retracted", "created_at"))
 
     def links(self, id_: str, ends: tuple[str, ...] = ("src", "dst"), types: list[str] | None = None) -> DataFrame:
         """Current edges with the record at one of ``ends``; an empty list of types finds nothing."""
         here = F.lit(False)
         for end in ends:
             here = here | (F.col(end) == id_)
-        rows = versioned.standing(self.edges()).where(here)
+        rows = self.standing_edges().where(here)
         return rows if types is None else rows.where(F.col("link_type").isin(types))
 
     def dependencies(self) -> DataFrame:
-        return versioned.standing(self.edges()).where(F.col("link_type").isin("assumes", "justified_by", "estimated_as")).select("src", "dst", "link_type")
+        return self.standing_edges().where(F.col("link_type").isin("assumes", "justified_by", "estimated_as")).select("src", "dst", "link_type")
 
     def _walk(self, id_: str, depth: int, reverse: bool) -> DataFrame:
         found = graph.walk(self.dependencies(), self.spark.createDataFrame([(id_,)], "root string"), reverse, depth)
-        live = versioned.head(self.records(), "id").where("not retracted").select(F.col("id").alias("node"), "kind")
+        live = self.heads().where("not retracted").select(F.col("id").alias("node"), "kind")
         return found.join(live, "node").select("node", "kind", "depth").orderBy("depth", "node")
 
     def impacted_by(self, id_: str, depth: int = graph.MAX_DEPTH) -> DataFrame:
@@ -157,7 +276,7 @@ class Store:
 
     def search(self, terms: list[str], limit: int = 20) -> DataFrame:
         """The best current records for any of the terms, over the text of their payloads."""
-        live = versioned.head(self.records()).where("not retracted")
+        live = self.heads().where("not retracted")
         body = F.array_join(F.map_values(F.from_json("payload", "map<string,string>")), " ")
         return textops.bm25(live.select("id", body.alias("body")), "id", "body", [t.lower() for t in terms], limit)
 
@@ -167,9 +286,9 @@ class Store:
         terms = list(dict.fromkeys(w for w in re.findall(r"[^\W_]+", question.lower()) if len(w) >= 4))
         if not terms:
             return self.spark.createDataFrame([], "decision string, score double")
-        found = self.search(terms, hits).join(versioned.head(self.records()).select("id", "kind"), "id")
+        found = self.search(terms, hits).join(self.heads().select("id", "kind"), "id")
         direct = found.where("kind = 'decision'").select(F.col("id").alias("decision"), "score")
-        assumes = versioned.standing(self.edges()).where("link_type = 'assumes'").select("dst", F.col("src").alias("decision"))
+        assumes = self.standing_edges().where("link_type = 'assumes'").select("dst", F.col("src").alias("decision"))
         led = found.where("kind = 'assumption'").join(assumes, F.col("id") == F.col("dst")).select("decision", "score")
         return direct.unionByName(led).groupBy("decision").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "decision").limit(limit)
 
@@ -180,8 +299,8 @@ class Store:
 
     def stats(self) -> DataFrame:
         """(what, name, n): current records by kind, edges by type, and all versions."""
-        records = versioned.head(self.records().withColumn("id", F.concat_ws(":", "kind", "id"))).groupBy("kind").agg(F.count("*").alias("n"))
-        edges = versioned.standing(self.edges()).groupBy("link_type").agg(F.count("*").alias("n"))
+        records = self.heads().groupBy("kind").agg(F.count("*").alias("n"))
+        edges = self.standing_edges().groupBy("link_type").agg(F.count("*").alias("n"))
         return (
             records.select(F.lit("record").alias("what"), F.col("kind").alias("name"), "n")
             .unionByName(edges.select(F.lit("edge").alias("what"), F.col("link_type").alias("name"), "n"))
@@ -197,14 +316,19 @@ class Store:
         fields = ["source_uri", "source_kind", "title", "content", "content_hash"]
         first = good.groupBy("content_hash").agg(F.min_by(F.struct(*fields), "source_uri").alias("r")).select("r.*")
         rows = first.select(digest_id("DOC", F.col("content_hash")).alias("id"), F.to_json(F.struct(*fields)).alias("payload"))
-        fresh = rows.join(self.records("document").select("id").distinct(), "id", "left_anti")
-        fresh = settled(fresh)
-        n = fresh.count()
-        if n:
-            self.add("document", fresh, by)
-            docs = fresh.select(F.col("id").alias("doc_id"), F.get_json_object("payload", "$.content").alias("text"))
-            grid = segments.blocks(docs).select(F.col("doc_id"), "start_byte", "end_byte", "text")
-            sound = grid.join(docs.withColumnRenamed("text", "content"), "doc_id").where(textops.verify_span(F.col("content"), F.col("start_byte"), F.col("end_byte"), F.col("text")) == "ok")
-            named = sound.select(digest_id("SPAN", F.col("doc_id"), F.col("start_byte"), F.col("end_byte")).alias("id"), "doc_id", F.col("start_byte").cast("int").alias("start_byte"), F.col("end_byte").cast("int").alias("end_byte"), "text")
-            named.write.mode("append").parquet(f"{self.folder}/spans")
+        with self.transaction():
+            fresh = settled(rows.join(self.heads("document").select("id"), "id", "left_anti"))
+            n = fresh.count()
+            if n:
+                self.add("document", fresh, by)
+                docs = fresh.select(F.col("id").alias("doc_id"), F.get_json_object("payload", "$.content").alias("text"))
+                self._write("spans", _sound_spans(docs))
         return n, refused
+
+
+def _sound_spans(docs: DataFrame) -> DataFrame:
+    """Each block of (doc_id, text) that verifies, as a span."""
+    grid = segments.blocks(docs).select("doc_id", "start_byte", "end_byte", "text")
+    sound = grid.join(docs.withColumnRenamed("text", "content"), "doc_id").where(textops.verify_span(F.col("content"), F.col("start_byte"), F.col("end_byte"), F.col("text")) == "ok")
+    id_ = digest_id("SPAN", F.col("doc_id"), F.col("start_byte"), F.col("end_byte")).alias("id")
+    return sound.select(id_, "doc_id", F.col("start_byte").cast("int").alias("start_byte"), F.col("end_byte").cast("int").alias("end_byte"), "text")
