@@ -16,10 +16,6 @@ def flattened(x: Column) -> Column:
     return F.trim(F.regexp_replace(x, r"\s+", " "))
 
 
-def folded(x: Column) -> Column:
-    return F.lower(flattened(x))
-
-
 #: Lower-case letters that case folding turns into others of one letter.
 _PLAIN = {chr(c): chr(c).casefold() for c in range(0x80, 0x2000) if chr(c) == chr(c).lower() and len(chr(c).casefold()) == 1 and chr(c).casefold() != chr(c)}
 
@@ -32,6 +28,11 @@ def casefolded(x: Column) -> Column:
     return out
 
 
+def folded(x: Column) -> Column:
+    """White space and letter case aside."""
+    return casefolded(flattened(x))
+
+
 def content_hash(x: Column) -> Column:
     return F.sha2(x, 256)
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalars import folded
+
 
 def normalised_event(x: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(x, r"\s+", " ")))
+    return folded(x)
 
 
 def fired(condition: Column, now: Column, events: Column) -> Column:

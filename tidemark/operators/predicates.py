@@ -80,8 +80,8 @@ _TIGHT = {"or": 1, "and": 2, "not": 3, "between": 4, "<=": 4, ">=": 4, "==": 4,
 class _Parser:
     """Operators by how tightly they bind; ``floor`` is the loosest that the caller's place allows."""
 
-    def __init__(self, text: str):
-        self.t, self.i, self.depth = tokens(text), 0, 0
+    def __init__(self, words: list[tuple[str, str]]):
+        self.t, self.i, self.depth = words, 0, 0
 
     def next_word(self) -> str | None:
         return self.t[self.i][1] if self.i < len(self.t) and self.t[self.i][0] in ("op", "key") else None
@@ -166,7 +166,11 @@ def _formula(x) -> bool:
 
 
 def parse(text: str):
-    p = _Parser(text)
+    return parse_words(tokens(text))
+
+
+def parse_words(words: list[tuple[str, str]]):
+    p = _Parser(words)
     node = p.read()
     if _deep(node):
         raise PredicateError("nested too deeply")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalars import folded
 from tidemark.operators import graph
 from tidemark.operators.calibration import reported
 
@@ -80,13 +81,13 @@ def touching(edges: DataFrame) -> DataFrame:
 
 def awaited(conditions: DataFrame, seen: DataFrame) -> DataFrame:
     """Events that conditions wait for and nobody has seen; both sides have ``event``."""
-    fold = F.lower(F.trim(F.regexp_replace("event", r"\s+", " ")))
+    fold = folded(F.col("event"))
     return conditions.select(fold.alias("event")).distinct().join(seen.select(fold.alias("event")).distinct(), "event", "left_anti")
 
 
 def awaited_first(conditions: DataFrame, seen: DataFrame, most: int = 40) -> DataFrame:
     """(event, at): the events waited for and not seen, in the order in which they were first named; ``conditions`` has event and at."""
-    fold = F.lower(F.trim(F.regexp_replace("event", r"\s+", " ")))
+    fold = folded(F.col("event"))
     first = conditions.select(fold.alias("event"), "at").groupBy("event").agg(F.min("at").alias("at"))
     return first.join(seen.select(fold.alias("event")).distinct(), "event", "left_anti").orderBy("at", "event").limit(most)
 

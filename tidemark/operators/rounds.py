@@ -4,14 +4,21 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The rows, held in the shared folder of ``spark.checkpoint.dir``; where that is unset, in a folder of its own if all runs in one process, else an error."""
-    sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and sc.getCheckpointDir() is None:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; where that is unset, one of its own if all runs in one process, else an error."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and sc.getCheckpointDir() is None:
         if not (sc.master == "local" or sc.master.startswith("local[")):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp())
+    return (named or sc.getCheckpointDir()).rstrip("/")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The rows, held in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -6,6 +6,8 @@ Each pass writes only what changed, so a second pass over the same store writes
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from tidemark.functions.scalars import digest_id
-from tidemark.operators import calibration, curation, graph, monitoring, predicates, reviews, trails, versioned
+from tidemark.operators import calibration, curation, expiry, graph, monitoring, predicates, reviews, trails, versioned
 from tidemark.operators.rounds import settled
 from tidemark.store import Store
 
@@ -34,12 +36,9 @@ def verdicts(store: Store, facts: dict, events: list[str], now: Column) -> DataF
     """(id, status, new_status, reason) of every current assumption in a world of facts and seen events."""
     rows = _assumptions(store)
     held = predicates.judged(rows, "predicate", world=facts).withColumnRenamed("verdict", "holds")
-    inner = F.regexp_extract("expiry_condition", r"^\s*when\((.*)\)\s*$", 1)
-    timed = held.select("id", inner.alias("condition")).where("condition <> ''")
-    due = predicates.judged(timed, "condition", world=facts).select("id", F.col("verdict").alias("due"))
     seen = F.array(*map(F.lit, events)) if events else F.array().cast("array<string>")
-    fired = F.coalesce("due", monitoring.fired(F.col("expiry_condition"), now, seen))
-    out = held.join(due, "id", "left").withColumn("new_status", monitoring.status(F.col("holds"), fired))
+    due = expiry.fired(rows.where("expiry_condition is not null").select("id", "expiry_condition"), "expiry_condition", now, seen, world=facts)
+    out = held.join(due, "id", "left").withColumn("new_status", monitoring.status(F.col("holds"), F.col("fired")))
     return out.select("id", "version", "payload", "status", "new_status", "reason")
 
 
@@ -110,16 +109,75 @@ def fuse(store: Store, dry: bool = False) -> DataFrame:
     return told
 
 
+@dataclass(frozen=True)
+class Governed:
+    """What one pass concluded. ``challenged``: id, verdict, rebuttal, action; ``merges``: older, newer, outcome, the refused ones too;
+    ``retired``: id, refused; ``routes``: id, reasons, route, of the store as the pass leaves it."""
+
+    challenged: DataFrame
+    merges: DataFrame
+    retired: DataFrame
+    routes: DataFrame
+
+
+FINDING = "finding_kind string, subject_id string, severity string, prosecution string, verdict string, challenge string, confidence double"
+
+
+@F.pandas_udf(StringType())
+def with_verdict(payload: pd.Series, verdict: pd.Series, challenge: pd.Series) -> pd.Series:
+    return pd.Series([json.dumps({**json.loads(p), "verdict": v, "challenge": c}) for p, v, c in zip(payload, verdict, challenge)])
+
+
+def challenge(store: Store, judge: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
+    """(id, version, payload, verdict, rebuttal, action) of every finding that was argued: revised where its challenge or verdict says something new.
+
+    ``judge`` takes (id, finding_kind, subject_id, prosecution, batch), findings sure enough and without a verdict yet, and gives
+    (id, verdict, rebuttal); a null verdict leaves a finding undecided. Without a judge nothing is argued.
+    """
+    standing = store.list_all("finding").join(store.list_all("finding", schema=FINDING).drop("version"), "id")
+    if judge is None:
+        return standing.limit(0).select("id", "version", "payload", F.col("verdict"), F.col("challenge").alias("rebuttal"), F.lit("kept").alias("action"))
+    batches = curation.challenge_batches(standing.where("verdict is null"), "finding_kind").select("id", "batch")
+    said = judge(standing.select("id", "finding_kind", "subject_id", "prosecution").join(batches, "id")).select("id", F.col("verdict").alias("said"), "rebuttal")
+    same = F.col("verdict").eqNullSafe(F.col("said")) & F.col("challenge").eqNullSafe(F.col("rebuttal"))
+    told = standing.join(said, "id").withColumn("action", F.when(same, "kept").otherwise("revised"))
+    return settled(told.select("id", "version", "payload", F.col("said").alias("verdict"), "rebuttal", "action"))
+
+
+def curate(store: Store) -> DataFrame:
+    """(older, newer, outcome) of every pair of assumptions of one shape, and of every pair that an edge says contradicts."""
+    rows = store.list_all("assumption").select("id", "created_at", F.get_json_object("payload", "$.predicate").alias("predicate"), F.get_json_object("payload", "$.span_id").alias("span_id"))
+    told = predicates.described(rows, "predicate")
+    shapes = told.select("id", "created_at", F.when(F.size("shape") > 0, F.array_join("shape", "&")).alias("shape"))
+    edges = store.standing_edges()
+    pairs = edges.where("link_type = 'contradicts'").select(F.col("src").alias("left"), F.col("dst").alias("right"))
+    apart = trails.same_document(pairs, rows.select("id", "span_id"), store.spans().select(F.col("id").alias("span_id"), "doc_id"))
+    done = edges.where("link_type = 'supersedes'").select(F.col("dst").alias("older"), F.col("src").alias("newer"))
+    return settled(curation.merges(shapes, apart, done))
+
+
+def governed(store: Store, judge: Callable[[DataFrame], DataFrame] | None = None, at: Column | None = None, idle_days: int = 60, dry: bool = False) -> Governed:
+    """Argue against findings, merge and retire assumptions, and route what stands then, in one commit.
+
+    A merge is a ``supersedes`` edge from the newer to the older record; both stay. A second pass over the store finds nothing to write.
+    """
+    with store.transaction():
+        argued = challenge(store, judge)
+        if not dry:
+            store.revise("finding", argued.where("action = 'revised'").select("id", "version", with_verdict("payload", "verdict", "rebuttal").alias("payload")), "governance")
+        merges = curate(store)
+        if not dry:
+            kind = F.lit("assumption")
+            kept = merges.where("outcome in ('duplicate', 'revision')")
+            store.link(kept.select(F.lit("supersedes").alias("link_type"), F.col("newer").alias("src"), kind.alias("src_kind"), F.col("older").alias("dst"), kind.alias("dst_kind")))
+        retired = retire(store, at, idle_days, dry)
+        routed = settled(routes(store))
+    return Governed(argued.select("id", "verdict", "rebuttal", "action"), merges, retired, routed)
+
+
 def govern(store: Store, dry: bool = False) -> DataFrame:
-    """(older, newer): assumptions of one shape; the latest stays and supersedes the others."""
-    told = predicates.described(_assumptions(store).select("id", "created_at", "predicate"), "predicate").where("size(shape) > 0")
-    done = store.standing_edges().where("link_type = 'supersedes'").select(F.col("dst").alias("older"), F.col("src").alias("newer"))
-    merges = settled(monitoring.merges(told.select("id", "created_at", F.array_join("shape", "&").alias("shape")), done))
-    if not dry:
-        kind = F.lit("assumption")
-        store.link(merges.select(F.lit("supersedes").alias("link_type"), F.col("newer").alias("src"), kind.alias("src_kind"), F.col("older").alias("dst"), kind.alias("dst_kind")))
-        store.retract("assumption", merges.select(F.col("older").alias("id")), "curator")
-    return merges
+    """(older, newer): what a pass merges, duplicates and revisions alike."""
+    return governed(store, dry=dry).merges.where("outcome in ('duplicate', 'revision')").select("older", "newer")
 
 
 def contradictions(store: Store, dry: bool = True) -> DataFrame:
@@ -147,7 +205,7 @@ def doctor(store: Store) -> DataFrame:
 
 def routes(store: Store) -> DataFrame:
     """(id, reasons, route): where each finding goes: dropped if overturned, emitted if nothing speaks against it, else to a person."""
-    rows = store.list_all("finding", schema="finding_kind string, subject_id string, severity string, prosecution string, verdict string, confidence double")
+    rows = store.list_all("finding", schema=FINDING)
     rules = {"undecided": F.col("verdict").isNull(), "unsure": F.col("confidence") < 0.5, "no_case": F.coalesce(F.trim("prosecution"), F.lit("")) == ""}
     gone = store.records("assumption").where("retracted").select(F.col("id").alias("subject_id")).distinct().withColumn("gone", F.lit(True))
     rules["subject_withdrawn"] = F.coalesce("gone", F.lit(False))
