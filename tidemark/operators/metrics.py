@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import reported
-from tidemark.operators.rounds import settled
+from tidemark.operators import overlaps
 
 
 def prf(tp: Column, fp: Column, fn: Column) -> dict[str, Column]:
@@ -21,21 +21,8 @@ def confusion(df: DataFrame, expected: str, reached: str) -> DataFrame:
 
 
 def overlap_pairs(items: DataFrame, claims: DataFrame, by: list[str]) -> DataFrame:
-    """(by, item_id, record_id, overlap): greedy one-to-one matching, largest overlap first, ties by ids.
-
-    Pairs that are the best of both their sides are settled together, the rest meet again; as the order is
-    total this ends where the one-by-one rule ends, and no group has to fit one task.
-    """
-    width = F.least(F.col("i_end"), F.col("c_end")) - F.greatest(F.col("i_start"), F.col("c_start"))
-    left = settled(items.join(claims, by).withColumn("overlap", width).where("overlap > 0").select(*by, "item_id", "record_id", "overlap"))
-    order = [F.desc("overlap"), "item_id", "record_id"]
-    best = lambda side: F.row_number().over(Window.partitionBy(*by, side).orderBy(*order)) == 1
-    matched = left.where("false")
-    while not left.isEmpty():
-        now = settled(left.withColumn("_i", best("item_id")).withColumn("_r", best("record_id")).where("_i and _r").drop("_i", "_r"))
-        matched = matched.unionByName(now)
-        left = settled(left.join(now.select(*by, "item_id"), [*by, "item_id"], "left_anti").join(now.select(*by, "record_id"), [*by, "record_id"], "left_anti"))
-    return matched.select(*by, "item_id", "record_id", "overlap")
+    """(by, item_id, record_id, overlap): greedy one-to-one matching of items with claims, largest overlap first, ties by ids."""
+    return overlaps.greedy_pairs(items, claims, by)
 
 
 def unmatched(items: DataFrame, claims: DataFrame, matched: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -298,7 +298,13 @@ def _(s, d):
     return c.select("*", *(x.alias(k) for k, x in metrics.prf(F.col("tp"), F.col("fp"), F.col("fn")).items()))
 
 
-@query("overlap_match")
+@query("overlap_match", """WITH RECURSIVE l AS (SELECT l_orderkey, l_linenumber AS n, CAST(l_shipdate AS DATE) - DATE '1970-01-01' AS a, CAST(l_shipdate AS DATE) - DATE '1970-01-01' + l_quantity AS b FROM lineitem),
+    p AS (SELECT i.l_orderkey, i.n AS item_id, c.n AS record_id, least(i.b, c.b) - greatest(i.a, c.a) AS overlap FROM l i JOIN l c USING (l_orderkey) WHERE i.n % 2 = 1 AND c.n % 2 = 0 AND least(i.b, c.b) > greatest(i.a, c.a)),
+    q AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY overlap DESC, item_id, record_id) AS turn FROM p),
+    g AS (SELECT l_orderkey, 0::BIGINT AS turn, []::INTEGER[] AS used, NULL::INTEGER AS item_id, NULL::INTEGER AS record_id, NULL::DOUBLE AS overlap FROM (SELECT DISTINCT l_orderkey FROM p)
+        UNION ALL SELECT g.l_orderkey, q.turn, CASE WHEN free THEN g.used || [q.item_id::INTEGER, q.record_id::INTEGER] ELSE g.used END, CASE WHEN free THEN q.item_id END, CASE WHEN free THEN q.record_id END, CASE WHEN free THEN q.overlap END
+        FROM g JOIN (SELECT * FROM q) q ON q.l_orderkey = g.l_orderkey AND q.turn = g.turn + 1, LATERAL (SELECT NOT list_contains(g.used, q.item_id::INTEGER) AND NOT list_contains(g.used, q.record_id::INTEGER) AS free))
+    SELECT l_orderkey, item_id, record_id, overlap FROM g WHERE item_id IS NOT NULL""")
 def _(s, d):
     o = table(s, d, "lineitem")
     at = F.unix_date(F.col("l_shipdate").cast("date"))
