@@ -14,9 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import mixing, ngram_join, quality, secrets, sentencepiece_bpe
-from tidemark.llm.common import discard, materialize
+from tidemark.llm.common import discard, materialize, small
 from tidemark.llm.queries import piece_model, table
 
+#: Rows of ids, some 40 bytes each, that are broadcast to the texts; where there are more, texts are shuffled to them once.
+KNOWN = 500_000
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -29,10 +31,14 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the smallest doc_id, of each group linked by shingle similarity; ungrouped ones all stay."""
     groups = ngram_join.components(docs)
-    dropped = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
-    shared = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    return kept.join(shared, "doc_id", "left_anti").unionByName(kept.join(shared, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])).select(*COLUMNS)
+    one = groups.where("doc_id is not null").groupBy("doc_id").agg(F.bool_or(F.col("doc_id") != F.col("component_id")).alias("_copy"), (F.count("*") > 1).alias("_shared"))
+    marks = materialize(one.where("_copy or _shared"))
+    marked = docs.select(*COLUMNS).join(small(marks, KNOWN), "doc_id", "left").where(~F.coalesce("_copy", F.lit(False)))
+    if marks.where("_shared and not _copy").isEmpty():
+        return marked.select(*COLUMNS)
+    marked = materialize(marked)
+    shared = F.coalesce("_shared", F.lit(False))
+    return marked.where(~shared).unionByName(marked.where(shared).dropDuplicates(["doc_id", "text"])).select(*COLUMNS)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,6 +60,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         .select(F.col("doc_id").alias("id"), "text_hash", F.floor(F.col("f") + u).cast("int").alias("times")).where("times > 0")
     )
     keyed = docs.select(*COLUMNS).withColumn("h", F.xxhash64("text"))
+    times = small(materialize(times), KNOWN)
     rows = keyed.join(times, (keyed["h"] == times["text_hash"]) & keyed["doc_id"].eqNullSafe(times["id"]))
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
 
