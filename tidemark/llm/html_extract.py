@@ -12,8 +12,9 @@ anything else is read, inside and outside of an article alike:
 What recurs on few pages recurs with copied articles, not with the site, so it stays; words inside a line
 stay with their line. Copies that make up half of a host's pages cannot be told from its template. What a
 page has to itself cannot recur, so marks in the page say the rest: elements that never hold an article
-(``GONE``), classes, ids and roles that name such parts (whole names only), and, if any is left, ``article``
-or ``main`` as the place to read.
+(``GONE``; a form only if the page does not stand in it, a header not inside of an article), classes, ids, roles and styles that
+name or hide such parts (whole names only), and then the place to read: the ``article`` elements if they hold a third or more of the
+text that would be read else, which is that of ``main`` or of what is left; smaller ones are cards and go.
 
 The recurring hashes are broadcast if their measured number is within ``SMALL``; beyond it they join
 back by page. All steps take time in proportion to the page: one tokenizer that never looks back, trees without
@@ -36,8 +37,8 @@ from pyspark.sql import functions as F
 
 #: Element names by what they do.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math xmp noembed noframes".split())
-GONE = frozenset("head script style noscript template iframe svg math nav header footer aside form button select textarea dialog menu object".split())
+RAW = frozenset("script style textarea title noscript template iframe svg xmp noembed noframes".split())
+GONE = frozenset("head script style noscript template iframe svg annotation nav header footer aside form button select textarea dialog menu object".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -48,13 +49,19 @@ FENCES = ("ul", "ol", "dl", "table", "select")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Names of class and id that mark what is not the article, and words that may stand beside them in a hyphenated name.
 ROLES = frozenset(
-    "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies footer header menu modal nav navbar "
+    "ad ads adsbygoogle advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies footer header menu modal nav navbar "
     "navigation newsletter notice pagination popup promo related share sharing sidebar social sponsored subscribe toolbar widget".split()
 )
-BESIDE = frozenset("area bar block bottom box container global left list main page right section site slot top wrapper".split())
+BESIDE = frozenset("area bar block bottom box container global left list main overlay page right section site slot top wrapper".split())
+#: Beside these, in a name that says comments.
+TALK, SPEAKERS = frozenset("comment comments".split()), frozenset("article entry post reader thread user".split())
+#: Names of an ``article`` that is not the page's own.
+OTHERS = frozenset("ad advert comment promo related reply sponsored teaser widget".split())
 MARK_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog menu menubar".split())
 #: Never taken for a marked part, whatever their class.
-PLACES = frozenset("html body article main".split())
+PLACES = frozenset("html body main".split())
+#: ``article`` elements are the place to read if they hold so much of the text that would be read else.
+OWN = 1 / 3
 #: A subtree recurs if it is on this many distinct pages of a host, and on a share of them: SITE, or SHARE for menus.
 PAGES, SHARE, SITE = 3, 0.1, 0.5
 #: On this share of at least so many pages of a host, any block is the site's.
@@ -64,9 +71,12 @@ LINKS, LINKED = 3, 0.8
 BOXES, LISTS = frozenset("div section table figure".split()), frozenset("ul ol dl".split())
 SMALL = 200_000
 
-_QUOTED = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
+#: The rest of a tag as browsers read it: a quote opens a value only right after ``=``.
+_REST = re.compile(r"""(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+|(?=>))|(?!\s*+=)))*+>""")
+_COMMENT = re.compile(r"--!?>")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 _NAME = re.compile(r"[A-Za-z][^\s/>]*+")
-_ATTR = re.compile(r"""([^\s=/>"']++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++)))?+""")
+_ATTR = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+)))?+""")
 _ENDS = {tag: re.compile(f"</{tag}(?=[\\s/>])", re.I | re.A) for tag in RAW}
 _BLANK = re.compile(r"\s+")
 
@@ -83,7 +93,7 @@ def _named(value: str) -> bool:
     """One of the names is a role, or is put together from roles and words beside them."""
     for name in value.split():
         words = set(re.split(r"[-_]+", name))
-        if words & ROLES and words <= ROLES | BESIDE:
+        if words & ROLES and words <= ROLES | BESIDE or words & TALK and words <= TALK | SPEAKERS | BESIDE:
             return True
     return False
 
@@ -93,7 +103,9 @@ def _is_role(tag: str, attrs: str) -> bool:
         return False
     for name, a, b, c in _ATTR.findall(attrs):
         name, value = name.lower(), (a or b or c).lower()
-        if name == "hidden" or name in ("class", "id") and _named(value):
+        if name == "hidden" or name == "style" and _UNSEEN.search(value):
+            return True
+        if name in ("class", "id") and (not OTHERS.isdisjoint(value.split()) if tag == "article" else _named(value)):
             return True
         if name == "role" and value in MARK_ROLES or name == "aria-hidden" and value == "true":
             return True
@@ -128,9 +140,13 @@ def parse(page: str) -> list[Node]:
             stack[-1].items.append(page[at:start])
         nxt = page[start + 1 : start + 2]
         if nxt in ("!", "?"):
-            mark, skip = ("-->", 4) if page.startswith("<!--", start) else (">", 2)
-            end = page.find(mark, start + skip)
-            at = n if end < 0 else end + len(mark)
+            if page.startswith(("<!-->", "<!--->"), start):
+                at = page.find(">", start) + 1
+            elif page.startswith("<!--", start):
+                end = _COMMENT.search(page, start + 4)
+                at = end.end() if end else n
+            else:
+                at = page.find(">", start + 2) + 1 or n
             continue
         closing = nxt == "/"
         name = _NAME.match(page, start + 1 + closing)
@@ -138,7 +154,7 @@ def parse(page: str) -> list[Node]:
             stack[-1].items.append("<")
             at = start + 1
             continue
-        whole = _QUOTED.match(page, name.end()) if paired else None
+        whole = _REST.match(page, name.end()) if paired else None
         if whole is None:
             paired = False
             end = page.find(">", name.end()) + 1
@@ -220,9 +236,32 @@ def is_template(x: Node, level: int, inside: bool) -> bool:
     return level >= 2 or level == 1 and menu
 
 
+def _page_forms(nodes: list[Node]) -> set[int]:
+    """Forms that the page stands in: they hold a place to read, or over half of the text that is not of a marked part."""
+    if not any(x.tag == "form" for x in nodes):
+        return set()
+    size: dict[int, int] = {}
+    places: set[int] = set()
+    for node in reversed(nodes):
+        total = 0
+        for x in node.items:
+            if not isinstance(x, Node):
+                total += len(x.strip())
+            elif not (x.role or x.tag in GONE and x.tag not in ("form", "header")):
+                total += size[id(x)]
+                if x.tag in ("article", "main") or id(x) in places:
+                    places.add(id(node))
+        size[id(node)] = total
+    return {id(x) for x in nodes if x.tag == "form" and (id(x) in places or 2 * size[id(x)] > size[id(nodes[0])])}
+
+
 def _kept(nodes: list[Node], levels: dict[int, int]) -> list[tuple[Node, bool]]:
-    """Nodes in page order that neither recurrence nor marks delete, with whether they are in an article; what a deleted one holds goes too."""
+    """Nodes in page order that neither recurrence nor marks delete, with whether they are in an article; what a deleted one holds goes too.
+
+    A form stays if it holds a place to read or most of the page, an article's own header always.
+    """
     out, todo = [], [(nodes[0], False)]
+    forms = _page_forms(nodes)
     while todo:
         node, inside = todo.pop()
         out.append((node, inside))
@@ -230,7 +269,8 @@ def _kept(nodes: list[Node], levels: dict[int, int]) -> list[tuple[Node, bool]]:
         stays = []
         for x in node.items:
             if isinstance(x, Node):
-                if x.tag in GONE or x.role or is_template(x, levels.get(x.hash, 0), inside):
+                spared = id(x) in forms or x.tag == "header" and inside
+                if not spared and (x.tag in GONE or x.role) or is_template(x, levels.get(x.hash, 0), inside):
                     x.items = []
                     x.tag = "#block" if x.tag in BLOCK else "#gone"
                 else:
@@ -275,13 +315,16 @@ def extract(page: str | None, levels: dict[int, int] | None = None) -> str:
     if levels:
         measure(nodes)
     kept = _kept(nodes, levels or {})
-    for place in ("article", "main"):
-        tops = [x for x, inside in kept if x.tag == place and not inside]
-        if tops:
-            break
-    else:
-        tops = [nodes[0]]
-    return "\n".join(line for top in tops for line in lines(top))
+    articles = [x for x, inside in kept if x.tag == "article" and not inside]
+    wide = [x for x, inside in kept if x.tag == "main" and not inside] or [nodes[0]]
+    if articles:
+        held = [lines(x) for x in articles]
+        count = lambda parts: sum(len(line) for part in parts for line in part)
+        if count(held) >= OWN * count(map(lines, wide)):
+            return "\n".join(line for part in held for line in part)
+        for x in articles:  # cards beside the text
+            x.items, x.tag = [], "#block"
+    return "\n".join(line for top in wide for line in lines(top))
 
 
 def host(url: F.Column) -> F.Column:
