@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import passes
+from tidemark.index import Index
 from tidemark.operators.rounds import shared_folder
+from tidemark.plans.catalog import _bm25_sql
 from tidemark.plans.registry import query
 from tidemark.plans.testviews import table
 from tidemark.store import Refused, Store
@@ -98,3 +100,15 @@ def _(s, d):
     store.link(known.select(F.lit("contradicts").alias("link_type"), "src", kind.alias("src_kind"), "dst", kind.alias("dst_kind")))
     both = passes.governed(store).merges.unionByName(passes.governed(store).merges)
     return both.groupBy("older", "newer", "outcome").agg(F.count("*").cast("int").alias("times"))
+
+
+@query("index_search", _bm25_sql(["benchmark", "license", "released"]))
+def _(s, d):
+    """The search of ``search_bm25`` from a stored index: documents came in two segments, a third of them first with another text, and the segments were merged."""
+    index, docs = Index(s, f"{shared_folder(s)}/stores/{uuid.uuid4().hex}"), table(s, d, "documents")
+    rows = docs.select(F.col("doc_id").alias("id"), F.lit(1).alias("version"), F.when(F.col("doc_id") % 3 == 0, F.lit("license released benchmark")).otherwise(F.col("text")).alias("body"))
+    index.add(rows)
+    index.add(docs.where("doc_id % 3 = 0").select(F.col("doc_id").alias("id"), F.lit(2).alias("version"), F.col("text").alias("body")))
+    index.merge()
+    found = index.search(["license", "released", "benchmark"], 40)
+    return found.select(F.col("id").cast("bigint").alias("doc_id"), "score").orderBy(F.desc("score"), "doc_id").limit(20)

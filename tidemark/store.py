@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tidemark.commits import Log, State
 from tidemark.functions.scalars import digest_id
+from tidemark.index import Index
 from tidemark.operators import calibration, graph, reviews, segments, textops, trails, versioned
 from tidemark.operators.rounds import settled
 
@@ -274,11 +275,32 @@ class Store:
     def depends_on(self, id_: str, depth: int = graph.MAX_DEPTH) -> DataFrame:
         return self._walk(id_, depth, False)
 
-    def search(self, terms: list[str], limit: int = 20) -> DataFrame:
-        """The best current records for any of the terms, over the text of their payloads."""
-        live = self.heads().where("not retracted")
+    def _bodies(self) -> DataFrame:
+        """(id, version, body) of current records, the texts of their payloads."""
         body = F.array_join(F.map_values(F.from_json("payload", "map<string,string>")), " ")
-        return textops.bm25(live.select("id", body.alias("body")), "id", "body", [t.lower() for t in terms], limit)
+        return self.heads().where("not retracted").select("id", "version", body.alias("body"))
+
+    def index(self) -> Index:
+        return Index(self.spark, f"{self.folder}/index")
+
+    def refresh_index(self) -> int:
+        """Bring the index to the present version: only records that are new, changed or gone since are read. How many these were."""
+        index, seen = self.index(), self.version()
+        known = index.lengths().where("len is not null").select("id", F.col("version").alias("known"))
+        changed = settled(self._bodies().join(known, "id", "left").where("known is null or known <> version").drop("known"))
+        gone = settled(known.join(self.heads().where("not retracted").select("id"), "id", "left_anti").select("id"))
+        n = changed.count() + gone.count()
+        index.add(changed)
+        index.remove(gone)
+        index.log.note("store_version", seen)
+        return n
+
+    def search(self, terms: list[str], limit: int = 20) -> DataFrame:
+        """The best current records for any of the terms, over the text of their payloads; by the index if it is of this version, else by reading all."""
+        index = self.index()
+        if not self._open and self.at is None and index.log.noted("store_version") == self.version():
+            return index.search(terms, limit)
+        return textops.bm25(self._bodies(), "id", "body", [t.lower() for t in terms], limit)
 
     def why(self, question: str, limit: int = 8, hits: int = 50) -> DataFrame:
         """(decision, score): decisions a question may be about, best first; an assumption that matches leads to
