@@ -36,7 +36,7 @@ def _parser() -> argparse.ArgumentParser:
     command("run", "query", "tables").add_argument("--out")
     for name in ("stats", "calibrate", "backtest", "timeline", "routes", "estimates", "contradictions", "doctor"):
         command(name, "store")
-    command("ingest", "store", "folder")
+    command("ingest", "store", "folder").add_argument("--stream", metavar="CHECKPOINT")
     command("list", "store", "kind")
     command("get", "store", "kind", "id")
     command("impacted-by", "store", "id")
@@ -76,6 +76,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
             _show(df, a.limit)
         return
     store = Store(spark, a.store)
+    if a.command == "ingest" and a.stream:
+        from tidemark.streaming.ingest import ingest_stream
+
+        ingest_stream(store, a.folder, a.stream).awaitTermination()
+        print(json.dumps({"documents": store.heads("document").count(), "refused": store.refused().count()}))
+        return
     if a.command == "ingest":
         added, refused = store.ingest(a.folder)
         print(json.dumps({"added": added, "refused": refused.count()}))

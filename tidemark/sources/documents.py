@@ -97,9 +97,12 @@ def title(kind: Column, text: Column) -> Column:
     return F.when((F.length(found) > 0) & (F.length(found) <= TITLE), found)
 
 
-def read_documents(spark: SparkSession, folder: str, rendering=compact_json) -> tuple[DataFrame, DataFrame]:
-    """(documents, refused): every file below ``folder``, JSON as ``rendering`` puts it; refused ones with the reason."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+#: What Spark's reader of whole files gives, as a stream has to be told beforehand.
+FILES = "path string, modificationTime timestamp, length bigint, content binary"
+
+
+def documents_of(files: DataFrame, rendering=compact_json) -> tuple[DataFrame, DataFrame]:
+    """(documents, refused) of whole files (path, content), JSON as ``rendering`` puts it; refused ones with the reason."""
     read = files.select(F.col("path").alias("source_uri"), source_kind(F.col("path")).alias("source_kind"), normalised(F.col("content")).alias("raw"))
     kind, raw = F.col("source_kind"), F.col("raw")
     content = F.when(kind == "json", rendering(raw)).otherwise(raw)
@@ -115,6 +118,11 @@ def read_documents(spark: SparkSession, folder: str, rendering=compact_json) ->
     return good, judged.where("reason is not null").select("source_uri", "reason")
 
 
+def read_documents(spark: SparkSession, folder: str, rendering=compact_json) -> tuple[DataFrame, DataFrame]:
+    """(documents, refused): every file below ``folder``, as ``documents_of`` tells them."""
+    return documents_of(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder), rendering)
+
+
 def read_facts(spark: SparkSession, path: str) -> DataFrame:
     """(name, num, bool, str): facts of a JSON file; numeric text counts as a number."""
     raw = spark.read.schema("facts map<string,string>, events array<string>, as_of timestamp").json(path, multiLine=True)

@@ -35,7 +35,8 @@ class Conflict(Refused):
     """Another writer committed the same records or edges first; nothing of this commit was written."""
 
 
-_SCHEMAS = {"records": RECORD, "edges": EDGE, "audit": AUDIT, "spans": SPAN}
+REFUSED = "source_uri string, reason string"
+_SCHEMAS = {"records": RECORD, "edges": EDGE, "audit": AUDIT, "spans": SPAN, "refused": REFUSED}
 #: What makes a row of a table one and the same.
 _KEYS = {"records": ["kind", "id"], "edges": ["id"]}
 
@@ -133,6 +134,10 @@ class Store:
     def spans(self) -> DataFrame:
         return self._read("spans")
 
+    def refused(self) -> DataFrame:
+        """Files that a stream could not read, and why."""
+        return self._read("refused").distinct()
+
     def _current(self, table: str, kind: str | None = None) -> DataFrame:
         """The newest version of each key: from the last snapshot and what was committed after it."""
         state, schema, key = self._state(), _SCHEMAS[table], _KEYS[table]
@@ -332,9 +337,13 @@ class Store:
     def ingest(self, folder: str, by: str = "ingest") -> tuple[int, DataFrame]:
         """(documents added, refused files): files below a folder as documents, and each block of them that verifies as a span;
         content that is stored already is skipped."""
-        from tidemark.sources.documents import read_documents, rendered_json
+        return self.ingest_files(self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder), by)
+
+    def ingest_files(self, files: DataFrame, by: str = "ingest") -> tuple[int, DataFrame]:
+        """``ingest`` of whole files (path, content), in one commit; the same files again add nothing."""
+        from tidemark.sources.documents import documents_of, rendered_json
 
-        good, refused = read_documents(self.spark, folder, rendered_json)
+        good, refused = documents_of(files, rendered_json)
         fields = ["source_uri", "source_kind", "title", "content", "content_hash"]
         first = good.groupBy("content_hash").agg(F.min_by(F.struct(*fields), "source_uri").alias("r")).select("r.*")
         rows = first.select(digest_id("DOC", F.col("content_hash")).alias("id"), F.to_json(F.struct(*fields)).alias("payload"))
