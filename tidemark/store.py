@@ -35,10 +35,11 @@ class Conflict(Refused):
     """Another writer committed the same records or edges first; nothing of this commit was written."""
 
 
+ATTEMPT = "stage string, id string, at timestamp"
 REFUSED = "source_uri string, reason string"
-_SCHEMAS = {"records": RECORD, "edges": EDGE, "audit": AUDIT, "spans": SPAN, "refused": REFUSED}
+_SCHEMAS = {"records": RECORD, "edges": EDGE, "audit": AUDIT, "spans": SPAN, "refused": REFUSED, "attempts": ATTEMPT}
 #: What makes a row of a table one and the same.
-_KEYS = {"records": ["kind", "id"], "edges": ["id"]}
+_KEYS = {"records": ["kind", "id"], "edges": ["id"], "attempts": ["stage", "id"]}
 
 
 @dataclass
@@ -135,9 +136,16 @@ class Store:
         return self._read("spans")
 
     def refused(self) -> DataFrame:
-        """Files that a stream could not read, and why."""
+        """Files that a stream could not read, or answers of a stage that do not stand, and why."""
         return self._read("refused").distinct()
 
+    def attempts(self) -> DataFrame:
+        """Which units each stage has worked on."""
+        return self._read("attempts")
+
+    def attempted(self, stage: str, units: DataFrame) -> None:
+        self._write("attempts", units.select(F.lit(stage).alias("stage"), "id", F.current_timestamp().alias("at")))
+
     def _current(self, table: str, kind: str | None = None) -> DataFrame:
         """The newest version of each key: from the last snapshot and what was committed after it."""
         state, schema, key = self._state(), _SCHEMAS[table], _KEYS[table]
@@ -161,7 +169,8 @@ class Store:
         """A snapshot of the current records and edges, sorted by key, as a version of its own; all versions stay readable."""
         state = self.log.state()
         made = {}
-        for table, key in _KEYS.items():
+        for table in ("records", "edges"):
+            key = _KEYS[table]
             if state.fresh(table):
                 rows = Store(self.spark, self.folder, state.version)._current(table).repartitionByRange(*key).sortWithinPartitions(*key)
                 made[table] = (self.log.stage(table, rows, "kind" if table == "records" else None, "heads"), len(state.batches[table]))
