@@ -65,7 +65,7 @@ def whole(s):
 
 def test_documents_are_read_once(store):
     work = [*estimation(ask), *extraction(ask)]
-    assert [s.name for s in ordered(work)] == ["scout", "estimates", "classify", "match", "assumptions", "formalise"]
+    assert [s.name for s in ordered(work)] == ["scout", "assumptions", "estimates", "classify", "match", "formalise"]
     assert run(store, work) == {"scout": 3, "estimates": 3, "classify": 2, "match": 2, "assumptions": 1, "formalise": 1}
     payloads = {k: [json.loads(r.payload) for r in store.heads(k).collect()] for k in ("decision", "assumption", "estimate", "outcome")}
     assert [p["title"] for p in payloads["decision"]] == ["one ledger for everything."]
@@ -80,6 +80,40 @@ def test_documents_are_read_once(store):
     assert set(run(store, work).values()) == {0} and whole(store) == seen and store.version() == version
 
 
+def test_evaluation_counts_what_was_found(spark, store, tmp_path):
+    """One decision found and one missed, an assumption found, an estimate right and one that is only a distraction."""
+    from tidemark.evaluate import Flags, evaluate
+
+    run(store, [*extraction(ask), *estimation(ask)])
+    docs = {json.loads(r.payload)["content"]: json.loads(r.payload)["content_hash"] for r in store.heads("document").collect()}
+    plan, later = next(t for t in docs if "Plan" in t), next(t for t in docs if "Later" in t)
+
+    def item(name, text, kind, quote, fields=(), links=(), distractor=False):
+        at = len(text[: text.index(quote)].encode())
+        return (name, docs[text], kind, distractor, at, at + len(quote), [(*f, None) for f in fields], list(links))
+
+    rows = [
+        item("d1", plan, "decision", "one ledger", [("title", "one ledger for everything.", "exact"), ("impact", "low", "exact")], [("assumes", "a1")]),
+        item("d2", later, "decision", "in the end"),
+        item("a1", plan, "assumption", "nine million", [("predicate", "rows", "contains")], [("estimated_as", "e1")]),
+        item("e1", plan, "estimate", "takes alice", [("owner", "alice", "exact"), ("active", "5", "numeric")]),
+        item("e2", later, "estimate", "painting", distractor=True),
+    ]
+    shape = "item_id string, content_sha256 string, kind string, is_distractor boolean, start_byte int, end_byte int, fields array<struct<name:string,value:string,comparison:string,tolerance:string>>, links array<struct<link_type:string,target_item_id:string>>"
+    verdicts = spark.createDataFrame([("a1", "breached")], "item_id string, status string")
+    other = Store(spark, str(tmp_path / "graded"))
+    told = {r.measure: r.value for r in evaluate(other, str(tmp_path / "in"), spark.createDataFrame(rows, shape), ask, {"rows": 10_000_000}, verdicts=verdicts).collect()}
+    assert {k: told[k] for k in ("decision.precision", "decision.recall", "assumption.f1", "estimate.precision", "estimate.recall")} == {
+        "decision.precision": 1.0, "decision.recall": 0.5, "assumption.f1": 1.0, "estimate.precision": 0.5, "estimate.recall": 1.0,
+    }
+    assert (told["all.precision"], told["all.recall"], told["fields.right"], told["items.exact"]) == (0.75, 0.75, 0.8, 0.6667)
+    assert (told["assumes.precision"], told["assumes.recall"], told["estimated_as.recall"]) == (1.0, 1.0, 0.0)
+    assert (told["monitoring.accuracy"], told["monitoring.recall"]) == (1.0, 1.0)
+    version = other.version()
+    again = evaluate(other, str(tmp_path / "in"), spark.createDataFrame(rows, shape), ask, {"rows": 10_000_000}, verdicts=verdicts, flags=Flags(estimation=False, memory=False, fusion=False, governance=False))
+    assert {r.measure: r.value for r in again.collect()} == told and other.version() == version
+
+
 def test_stopped_anywhere_it_ends_the_same(spark, store, tmp_path, monkeypatch):
     """The commit of each stage fails in turn; running again completes the store that an undisturbed run gives."""
     (tmp_path / "other").mkdir()

@@ -129,7 +129,10 @@ def _estimates(ask: Ask) -> Callable[[Store, DataFrame], None]:
         found = cited(store, ask("estimates", passages(store, units)), units, "subject: string, owner: string, active: double, unit: string")
         good = found.where("reason is null and active is not null").withColumn("new", digest_id("EST", F.col("doc_id"), F.col("span_id"), F.col("subject")))
         body = F.to_json(F.struct("subject", "owner", "active", "unit", "span_id", "doc_id", F.lit("unclassified").alias("work_class")))
+        good = settled(good)
         _write(store, "estimate", good.select(F.col("new").alias("id"), body.alias("payload")), "estimator")
+        assumed = store.list_all("assumption").select(F.col("id").alias("assumption"), F.get_json_object("payload", "$.span_id").alias("span_id"))
+        store.link(_edge(good.join(assumed, "span_id"), "estimated_as", "assumption", "assumption", "new", "estimate"))
         _refuse(store, found, "estimates")
 
     return work
@@ -173,7 +176,7 @@ def estimation(ask: Ask) -> list[Stage]:
     """Documents to estimates, estimates to classes of work, estimates to outcomes."""
     current = lambda store: store.list_all("estimate").select("id")
     return [
-        Stage("estimates", _documents, _estimates(ask), ("scout",)),
+        Stage("estimates", _documents, _estimates(ask), ("assumptions",)),
         Stage("classify", current, _classify(ask), ("estimates",)),
         Stage("match", current, _match(ask), ("classify",)),
     ]

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars
 from tidemark.operators import calibration, conflicting, curation, evaluation, expiry, graph, metrics, monitoring, predicates, reviews, textops, trails, versioned
-from tidemark.plans.registry import EST, FACT, HEAD, HIST, LINK, OUT, TR, VER, query
+from tidemark.plans.registry import EST, FACT, FINE, HEAD, HIST, LINK, OUT, TR, VER, query
 from tidemark.plans.testviews import estimates, links, outcomes, table, traces, versions
 from tidemark.sources import documents
 
@@ -519,18 +521,34 @@ def _(s, d):
     return evaluation.memory_grade(expected, found, names, pairs.where("left % 3 = 0").select("left", "right"))
 
 
-@query("calibration_grade", "SELECT true AS threshold_holds, true AS untouched_hold")
-def _(s, d):
-    factors = _factors(s, d)
-    return evaluation.calibration_grade(factors, calibration.calibrate(estimates(s, d), factors))
-
-
-@query("fusion_grade", f"""WITH {EST}, {OUT}, {HIST}, {FACT}, v AS (SELECT CASE WHEN work_class = 'unclassified' THEN 'x' WHEN factor IS NULL THEN 'x' WHEN (estimated <= 150000) = (estimated * factor <= 150000) THEN 'unchanged'
-    WHEN estimated <= 150000 THEN 'flipped' ELSE 'relieved' END AS verdict FROM est LEFT JOIN facs USING (owner, work_class))
-    SELECT count(*) AS priced, true AS refusals_hold, true AS flips_hold, coalesce(round_even(count(*) FILTER (verdict = 'flipped')::DOUBLE / NULLIF(count(*) FILTER (verdict <> 'x'), 0), 4), 0) AS flip_rate FROM v""")
-def _(s, d):
-    p = _priced(s, d)
-    return evaluation.fusion_grade(p, p.where("factor is null").select("id"), p.where("verdict = 'flipped'").select("id"))
+@query("calibration_grade", f"""WITH {FINE}, {OUT}, {HIST}, {FACT}, f AS (SELECT *, n >= 5 AND work_class <> 'unclassified' AS enough FROM facs),
+    e AS (SELECT estimated AS q, factor, CASE WHEN factor IS NULL THEN estimated ELSE estimated * factor END AS c, l FROM (SELECT est.*, factor, CAST(substr(est.owner, -1) AS INTEGER) AS l FROM est LEFT JOIN facs USING (owner, work_class)))
+    SELECT 'as measured' AS variant, (SELECT bool_and((factor IS NOT NULL) = enough) FROM f) AS threshold_holds, (SELECT bool_and(factor IS NOT NULL OR c = q) FROM e) AS untouched_hold
+    UNION ALL SELECT 'a factor for few', (SELECT bool_and((factor IS NOT NULL OR n = 4) = enough) FROM f), (SELECT bool_and(factor IS NOT NULL OR c = q) FROM e)
+    UNION ALL SELECT 'touched without one', (SELECT bool_and((factor IS NOT NULL) = enough) FROM f), (SELECT bool_and(factor IS NOT NULL OR CASE WHEN l = 7 THEN c + 1 ELSE c END = q) FROM e)""")
+def _(s, d):
+    """What calibration gives passes; a factor from four outcomes, or a quantity changed without a factor, does not."""
+    found = calibration.factors(calibration.history(estimates(s, d, fine=True), outcomes(s, d)))
+    scaled = calibration.calibrate(estimates(s, d, fine=True), found)
+    few = found.withColumn("factor", F.when(F.col("n") == 4, F.coalesce("factor", F.lit(1.0))).otherwise(F.col("factor")))
+    touched = scaled.withColumn("calibrated", F.when(~F.col("applied") & F.col("owner").endswith("7"), F.col("calibrated") + 1).otherwise(F.col("calibrated")))
+    cases = {"as measured": (found, scaled), "a factor for few": (few, scaled), "touched without one": (found, touched)}
+    return reduce(DataFrame.unionByName, (evaluation.calibration_grade(f, c).withColumn("variant", F.lit(k)) for k, (f, c) in cases.items()))
+
+
+@query("fusion_grade", f"""WITH {EST}, {OUT}, {HIST}, {FACT}, v AS (SELECT estimate_id, work_class, estimated, factor, CASE WHEN work_class = 'unclassified' THEN 'x' WHEN factor IS NULL THEN 'x' WHEN (estimated <= 150000) = (estimated * factor <= 150000) THEN 'unchanged'
+    WHEN estimated <= 150000 THEN 'flipped' ELSE 'relieved' END AS verdict FROM est LEFT JOIN facs USING (owner, work_class)),
+    k AS (SELECT *, work_class = 'unclassified' OR factor IS NULL AS must_refuse, estimated <= 150000 AND estimated * factor > 150000 AND work_class <> 'unclassified' AS must_flip, estimate_id % 1000 = 3 AS odd FROM v),
+    r AS (SELECT count(*) AS priced, coalesce(round_even(count(*) FILTER (verdict = 'flipped')::DOUBLE / NULLIF(count(*) FILTER (verdict <> 'x'), 0), 4), 0) AS flip_rate FROM v)
+    SELECT 'the key' AS variant, priced, (SELECT bool_and(verdict = 'x') FROM k WHERE must_refuse) IS NOT FALSE AS refusals_hold, (SELECT bool_and(verdict = 'flipped') FROM k WHERE must_flip) IS NOT FALSE AS flips_hold, flip_rate FROM r
+    UNION ALL SELECT 'another key', priced, (SELECT bool_and(verdict = 'x') FROM k WHERE odd) IS NOT FALSE, (SELECT bool_and(verdict = 'flipped') FROM k WHERE odd) IS NOT FALSE, flip_rate FROM r""")
+def _(s, d):
+    """What must be refused and what must flip is told by the estimates and their factors; a key that says otherwise is not met."""
+    e = estimates(s, d).join(_factors(s, d).select("owner", "work_class", "factor"), ["owner", "work_class"], "left").withColumn("id", F.col("estimate_id"))
+    known = (F.col("work_class") != "unclassified") & F.col("factor").isNotNull()
+    odd = e.where("id % 1000 = 3").select("id")
+    keys = {"the key": (e.where(~known).select("id"), e.where(known & (F.col("estimated") <= 150_000) & (F.col("estimated") * F.col("factor") > 150_000)).select("id")), "another key": (odd, odd)}
+    return reduce(DataFrame.unionByName, (evaluation.fusion_grade(_priced(s, d), *k).withColumn("variant", F.lit(name)) for name, k in keys.items()))
 
 
 @query("governance_grade", f"""WITH g AS (SELECT {_GATED} AS route, event_id % 4 AS k, user_id % 2 = 0 AS w FROM events) SELECT round_even(count(*) FILTER (k = 0)::DOUBLE / count(*) FILTER (k < 3), 4) AS concede,
