@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import json
+from decimal import Decimal, InvalidOperation
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +39,13 @@ def _parser() -> argparse.ArgumentParser:
     for name in ("stats", "calibrate", "backtest", "timeline", "routes", "estimates", "contradictions", "doctor"):
         command(name, "store")
     command("ingest", "store", "folder").add_argument("--stream", metavar="CHECKPOINT")
+    command("seed", "store", "records", "estimates", "outcomes")
+    for name in ("extract", "estimate"):
+        command(name, "store").add_argument("--ask", required=True, metavar="MODULE:FUNCTION", help="what answers in place of a model")
+    grade = command("eval", "store", "folder", "key")
+    grade.add_argument("--ask", required=True, metavar="MODULE:FUNCTION")
+    command("compact", "store")
+    command("refresh-index", "store")
     command("list", "store", "kind")
     command("get", "store", "kind", "id")
     command("impacted-by", "store", "id")
@@ -57,6 +66,40 @@ def _monitor(spark: SparkSession, store: Store, path: str) -> DataFrame:
     return passes.monitor(store, world.get("facts", {}), world.get("events", []), now)
 
 
+def _function(name: str):
+    module, _, function = name.partition(":")
+    return getattr(importlib.import_module(module), function)
+
+
+def _written(store: Store, a: argparse.Namespace) -> dict:
+    from tidemark import extraction, seed, stages
+
+    if a.command == "seed":
+        return seed.seed(store, a.records, a.estimates, a.outcomes)
+    if a.command in ("compact", "refresh-index"):
+        return {"version": store.compact()} if a.command == "compact" else {"indexed": store.refresh_index()}
+    return stages.run(store, (extraction.extraction if a.command == "extract" else extraction.estimation)(_function(a.ask)))
+
+
+def _graded(store: Store, a: argparse.Namespace) -> DataFrame:
+    from tidemark.evaluate import evaluate
+    from tidemark.operators import evaluation
+
+    key = evaluation.read_key(store.spark, a.key)
+    world = key.select("monitoring.*").first()
+    facts = {k: json.loads(v) if v in ("true", "false") else _number(v) for k, v in (world.facts or {}).items()} if world else {}
+    verdicts = key.select(F.inline("monitoring.verdicts")).select("item_id", "status")
+    now = F.lit(world.as_of) if world and world.as_of else None
+    return evaluate(store, a.folder, evaluation.key_items(key), _function(a.ask), facts, list(world.events or []) if world else [], now, verdicts)
+
+
+def _number(v: str) -> Decimal | str:
+    try:
+        return Decimal(v)
+    except InvalidOperation:
+        return v
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     a = _parser().parse_args(argv)
     from tidemark.plans import QUERIES
@@ -86,7 +129,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         added, refused = store.ingest(a.folder)
         print(json.dumps({"added": added, "refused": refused.count()}))
         return
+    if a.command in ("seed", "extract", "estimate", "compact", "refresh-index"):
+        print(json.dumps(_written(store, a)))
+        return
     views = {
+        "eval": lambda: _graded(store, a).orderBy("measure"),
         "stats": lambda: store.stats().orderBy("what", "name"),
         "calibrate": lambda: calibration.factors(store.calibration_history()).orderBy("owner", "work_class"),
         "backtest": lambda: calibration.walk(store.calibration_history()).orderBy("owner", "work_class"),

@@ -155,7 +155,8 @@ def decision_tables(docs: DataFrame) -> DataFrame:
     bare = lambda c: F.regexp_replace(c, r"[\s:-]", "") == ""
     options = F.filter(cells(rows(section("Rejected"))), lambda c: (F.size(c) >= 2) & ~bare(c[0]) & ~bare(c[1]) & (c[0] != "Option"))
     numbered = F.filter(cells(rows(F.col("content"))), lambda c: (F.size(c) >= 4) & c[0].rlike("^[0-9]+$") & (c[1] != "") & (c[2] != ""))
-    chosen = F.trim(F.split_part(F.ltrim(section("Chosen")), F.lit("\n\n"), F.lit(1)))
+    bare_ends = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    chosen = bare_ends(F.split_part(bare_ends(section("Chosen")), F.lit("\n\n"), F.lit(1)))
     out = docs.where("source_kind = 'markdown'").select(
         "source_uri", F.nullif(F.trim(F.regexp_extract("content", r"(?m)^#\s+(.+?)\s*$", 1)), F.lit("")).alias("title"), F.nullif(chosen, F.lit("")).alias("chosen"),
         F.transform(options, lambda c: F.struct(c[0].alias("option"), c[1].alias("reason"))).alias("rejected"),
