@@ -19,17 +19,25 @@ from tidemark.llm.queries import piece_model, table
 
 #: Rows of ids, some 40 bytes each, that are broadcast to the texts; where there are more, texts are shuffled to them once.
 KNOWN = 500_000
+#: Rows that travel to Python at once: texts are long, and a batch stands several times in a task's memory.
+BATCH = 1_000
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts (score 0.5 or more); it is fitted on the given documents' labels."""
+    _small_batches(spark)
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.score_documents(docs, model).where("score >= 0.5").select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the smallest doc_id, of each group linked by shingle similarity; ungrouped ones all stay."""
+    _small_batches(spark)
     groups = ngram_join.components(docs)
     one = groups.where("doc_id is not null").groupBy("doc_id").agg(F.bool_or(F.col("doc_id") != F.col("component_id")).alias("_copy"), (F.count("*") > 1).alias("_shared"))
     marks = materialize(one.where("_copy or _shared"))
@@ -43,6 +51,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, its secrets masked; n_chars follows the text."""
+    _small_batches(spark)
     return secrets.redact_documents(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
@@ -67,6 +76,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, the ids of the text, their number, and the text they decode to."""
+    _small_batches(spark)
     ids = sentencepiece_bpe.encode_documents(docs, piece_model(), columns="ids array<int>, decoded string")
     return ids.select("doc_id", F.size("ids").alias("n_tokens"), "ids", "decoded")
 
