@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from tidemark import passes
 from tidemark.index import Index
+from tidemark.operators import calibration, segments
 from tidemark.operators.rounds import shared_folder
 from tidemark.plans.catalog import _bm25_sql
-from tidemark.plans.registry import query
-from tidemark.plans.testviews import table
+from tidemark.plans.registry import EST, FACT, HIST, OUT, query
+from tidemark.plans.testviews import estimates, outcomes, table
+from tidemark.sources.documents import decision_tables, documents_of, read_jsonl, rendered_json, request_digest
 from tidemark.store import Refused, Store
 
 
@@ -112,3 +114,105 @@ def _(s, d):
     index.merge()
     found = index.search(["license", "released", "benchmark"], 40)
     return found.select(F.col("id").cast("bigint").alias("doc_id"), "score").orderBy(F.desc("score"), "doc_id").limit(20)
+
+
+# --- sources
+
+_BYTES = """CASE doc_id % 6 WHEN 0 THEN '# Note ' || doc_id || chr(10) || chr(10) || text WHEN 1 THEN 'Title ' || doc_id || chr(10) || chr(10) || text WHEN 2 THEN text
+    WHEN 3 THEN '{"name": "N ' || doc_id || '", "of": [' || n_chars || ', {}]}' WHEN 4 THEN '{"name": ' ELSE text END"""
+
+
+@query("source_files", f"""WITH f AS (SELECT doc_id, doc_id % 6 AS k, {_BYTES} AS t, source FROM documents),
+    g AS (SELECT doc_id, k, CASE k WHEN 3 THEN 'name: N ' || doc_id || chr(10) || chr(10) || 'of[0]: ' || regexp_extract(t, '\\[(\\d+)', 1) || chr(10) || chr(10) || 'of[1]: {{}}' || chr(10) ELSE t END AS content, CASE WHEN k = 2 AND length(split_part(t, chr(10), 1)) <= 120 AND trim(split_part(t, chr(10), 2)) = '' AND trim(split_part(t, chr(10), 1)) <> '' THEN trim(split_part(t, chr(10), 1)) END AS one FROM f)
+    SELECT doc_id, CASE k WHEN 0 THEN 'markdown' WHEN 3 THEN 'json' ELSE 'text' END AS source_kind, CASE k WHEN 0 THEN 'Note ' || doc_id WHEN 1 THEN 'Title ' || doc_id WHEN 3 THEN 'N ' || doc_id ELSE one END AS title, sha256(content) AS content_hash, NULL AS reason FROM g WHERE k < 4
+    UNION ALL SELECT doc_id, NULL, NULL, NULL, CASE k WHEN 4 THEN 'not_json' ELSE 'unknown_suffix' END FROM g WHERE k >= 4""")
+def _(s, d):
+    """Documents as the bytes of files: by suffix, with a byte order mark and other line ends, as JSON, broken and unknown ones; read as documents or refused."""
+    docs = table(s, d, "documents")
+    k, id_ = F.col("doc_id") % 6, F.col("doc_id").cast("string")
+    ends = F.element_at(F.array(*map(F.lit, [".md", ".TXT", "", ".json", ".json", ".bin"])), (k + 1).cast("int"))
+    body = (
+        F.when(k == 0, F.concat(F.lit("﻿# Note "), id_, F.lit("\r\n\r"), F.replace("text", F.lit("\n"), F.lit("\r\n")))).when(k == 1, F.concat(F.lit("Title "), id_, F.lit("\n\n"), "text"))
+        .when(k == 3, F.concat(F.lit('{"name": "N '), id_, F.lit('", "of": ['), F.col("n_chars").cast("string"), F.lit(", {}]}"))).when(k == 4, F.lit('{"name": ')).otherwise(F.col("text"))
+    )
+    good, refused = documents_of(docs.select(F.concat(F.lit("/in/"), id_, ends).alias("path"), body.cast("binary").alias("content")), rendered_json)
+    name = F.regexp_extract("source_uri", "/in/([0-9]+)", 1).cast("bigint").alias("doc_id")
+    return good.select(name, "source_kind", "title", "content_hash", F.lit(None).cast("string").alias("reason")).unionByName(
+        refused.select(name, *(F.lit(None).cast("string").alias(c) for c in ("source_kind", "title", "content_hash")), "reason")
+    )
+
+
+@query("decision_records", """SELECT p_partkey, 'Part ' || p_partkey AS title, p_name AS chosen, p_brand || '=' || p_type AS rejected, 'holds ' || p_size || '|size <= ' || p_size || '|when(size > ' || p_size || ')' AS assumed FROM part WHERE p_partkey % 5 <> 1""")
+def _(s, d):
+    """Parts as Markdown decision records with tables; those without a choice are left out."""
+    part, v = table(s, d, "part"), F.col("p_size").cast("string")
+    text = F.concat(
+        F.lit("# Part "), F.col("p_partkey").cast("string"), F.lit("\n\n## Chosen\n\n"), F.when(F.col("p_partkey") % 5 == 1, "").otherwise(F.concat("p_name", F.lit("\n\nMore on that."))), F.lit("\n\n## Rejected\n\n| Option | Reason |\n|---|---|\n| "),
+        "p_brand", F.lit(" | "), "p_type", F.lit(" |\n\n## Assumptions\n\n| # | Claim | Predicate | Expiry |\n| --- | --- | --- | --- |\n| 1 | holds "), v, F.lit(" | `size <= "), v, F.lit("` | `when(size > "), v, F.lit(")` |\n"),
+    )
+    told = decision_tables(part.select(F.col("p_partkey").cast("string").alias("source_uri"), F.lit("markdown").alias("source_kind"), text.alias("content")))
+    joined = lambda c, parts, by: F.array_join(F.transform(c, lambda r: F.concat_ws(by, *(r[p] for p in parts))), ";")
+    return told.select(F.col("source_uri").cast("bigint").alias("p_partkey"), "title", "chosen", joined("rejected", ("option", "reason"), "=").alias("rejected"), joined("assumptions", ("claim", "predicate", "expiry"), "|").alias("assumed"))
+
+
+@query("jsonl_rows", "SELECT CAST(o_orderkey AS VARCHAR) AS id, o_totalprice AS active FROM orders")
+def _(s, d):
+    """Orders written as JSON lines, with comments and blank lines between, and read again."""
+    path = f"{shared_folder(s)}/stores/{uuid.uuid4().hex}"
+    rows = table(s, d, "orders").select(F.to_json(F.struct(F.col("o_orderkey").cast("string").alias("id"), F.col("o_totalprice").alias("active"))).alias("value"))
+    notes = s.range(50).select(F.when(F.col("id") % 2 == 0, "# a comment").otherwise("  ").alias("value"))
+    rows.unionByName(notes).write.text(path)
+    return read_jsonl(s, path, "id string, active double")
+
+
+@query("request_digests", """SELECT p_partkey, substr(sha256('{"b":"' || p_name || '","k":' || p_partkey || ',"z":[1,{"a":null,"c":true}]}'), 1, 32) AS digest FROM part""")
+def _(s, d):
+    """Two spellings of one request have one digest."""
+    k = F.col("p_partkey")
+    text = F.when(k % 2 == 0, F.concat(F.lit('{"z": [1, {"c": true, "a": null}], "k": '), k.cast("string"), F.lit(', "b": "'), "p_name", F.lit('"}'))).otherwise(
+        F.concat(F.lit('{"b":"'), "p_name", F.lit('","z":[1,{"a":null,"c":true}],"k":'), k.cast("string"), F.lit("}"))
+    )
+    return table(s, d, "part").select("p_partkey", request_digest(text).alias("digest"))
+
+
+@query("elided_texts", "SELECT doc_id, sha256(CASE WHEN length(text) > 1200 THEN left(text, 1200) || ' ...' ELSE text END) AS shown FROM documents")
+def _(s, d):
+    return table(s, d, "documents").select("doc_id", F.sha2(segments.elided(F.col("text")), 256).alias("shown"))
+
+
+# --- edges and passes
+
+
+@query("store_edges", """WITH e AS (SELECT 'S-' || s_suppkey AS src, 'N-' || s_nationkey AS dst, CASE WHEN s_suppkey % 2 = 0 THEN 'justified_by' ELSE 'contradicts' END AS link_type FROM supplier)
+    SELECT 'in' AS way, src, dst, link_type FROM e WHERE dst = 'N-3' UNION ALL SELECT 'out', src, dst, link_type FROM e WHERE src = 'S-8' AND link_type = 'justified_by' UNION ALL SELECT 'rests', src, dst, link_type FROM e WHERE link_type = 'justified_by'""")
+def _(s, d):
+    """Suppliers that cite or contradict their nations, linked twice: edges into a node, out of one by type, and the edges that dependence runs along."""
+    store, even = _new(s), F.col("s_suppkey") % 2 == 0
+    edges = table(s, d, "supplier").select(
+        F.when(even, "justified_by").otherwise("contradicts").alias("link_type"), _named("S-", "s_suppkey").alias("src"), F.lit("assumption").alias("src_kind"),
+        _named("N-", "s_nationkey").alias("dst"), F.when(even, "estimate").otherwise("assumption").alias("dst_kind"),
+    )
+    store.link(edges)
+    store.link(edges)
+    seen = lambda way, df: df.select(F.lit(way).alias("way"), "src", "dst", "link_type")
+    return seen("in", store.links("N-3", ("dst",))).unionByName(seen("out", store.links("S-8", ("src",), ["justified_by"]))).unionByName(seen("rests", store.dependencies()))
+
+
+@query("store_fuse", f"""WITH {EST}, {OUT}, {HIST}, {FACT}, v AS (SELECT estimate_id, estimated, estimated * factor AS scaled FROM est JOIN facs USING (owner, work_class) WHERE factor IS NOT NULL AND work_class <> 'unclassified'),
+    w AS (SELECT estimate_id FROM v WHERE estimate_id % 10 = 0 AND estimated <= 150000 AND scaled > 150000),
+    miss AS (SELECT estimate_id FROM hist WHERE ratio IS NOT NULL AND estimate_id % 10 = 0 AND greatest(estimated, actual) / least(estimated, actual) >= 2.5)
+    SELECT 'stale' AS finding_kind, 'A-' || estimate_id AS subject_id, 'medium' AS severity, 'added' AS action FROM w UNION ALL SELECT 'collateral', 'EST-' || estimate_id, 'medium', 'added' FROM miss""")
+def _(s, d):
+    """Orders as estimates and outcomes; each tenth has an assumption and a decision on it. What calibration turns over is stale, what was missed badly is damage."""
+    store = _new(s)
+    rows = calibration.history(estimates(s, d), outcomes(s, d)).select("estimate_id", "owner", "work_class", "estimated", "actual")
+    told = lambda prefix, *fields: rows.select(_named(prefix, "estimate_id").alias("id"), F.to_json(F.struct(*fields)).alias("payload"))
+    tenth = rows.where("estimate_id % 10 = 0")
+    with store.transaction():
+        store.add("estimate", told("EST-", "owner", "work_class", F.col("estimated").alias("active")), "load")
+        store.add("outcome", told("OUT-", _named("EST-", "estimate_id").alias("estimate_id"), F.col("actual").alias("active")), "load")
+        store.add("assumption", tenth.select(_named("A-", "estimate_id").alias("id"), F.lit('{"predicate": "total <= 150_000"}').alias("payload")), "load")
+        store.add("decision", tenth.select(_named("D-", "estimate_id").alias("id"), F.lit("{}").alias("payload")), "load")
+        edge = lambda kind, a, ak, b, bk: tenth.select(F.lit(kind).alias("link_type"), _named(a, "estimate_id").alias("src"), F.lit(ak).alias("src_kind"), _named(b, "estimate_id").alias("dst"), F.lit(bk).alias("dst_kind"))
+        store.link(edge("estimated_as", "A-", "assumption", "EST-", "estimate").unionByName(edge("assumes", "D-", "decision", "A-", "assumption")))
+    return passes.fuse(store).select("finding_kind", "subject_id", "severity", "action")
