@@ -1,7 +1,10 @@
 """Quotations of every claim in every document."""
 
+import random
+import re
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import citation, textops
@@ -53,3 +56,29 @@ def test_gate_over_all_documents(spark):
             want[c, "unoffered" if lang == "de" else "unresolvable" if not flat(t) else verdict] += 1
     got = {(r["item_id"], r["verdict"]): r["n"] for r in citation.gate_all(docs, asked, F.col("lang") != "de").collect()}
     assert got == want and {v for _, v in got} == {"unoffered", "unresolvable", "cited", "misattributed", "fabricated"}
+
+
+@pytest.mark.parametrize("automaton", [10**6, 60, 20])
+def test_all_ways_give_the_plain_verdicts(spark, automaton):
+    """One automaton, some automata and words, words and single claims: the same quotations."""
+    rng = random.Random(automaton)
+    words = "ab abc b bc c ca xyz longer".split() + ["ü", "a b"]
+    text = lambda n: "".join(rng.choice(words) + rng.choice([" ", "  ", "\n", " "]) for _ in range(n))
+    docs = [(k, rng.choice([None, "", text(5), text(40)])) for k in range(60)]
+    docs += docs[:3]
+    claims = [(k, rng.choice(["", " ", text(1), text(2).strip(), text(3), text(4).strip()[1:], "bc", "no such words here"])) for k in range(80)]
+    d, c = spark.createDataFrame(docs, "doc_id int, text string").repartition(3), spark.createDataFrame(claims, "item_id int, claim string")
+    flat = lambda t: re.sub(r"\s+", " ", t, flags=re.A).strip(" ")
+    want = sorted((i, k, "exact" if q in t else "flattened") for i, t in docs if t is not None for k, q in claims if flat(q) and flat(q) in flat(t))
+    assert sorted(map(tuple, textops.quotations(d, c, automaton=automaton).collect())) == want
+
+
+def test_many_claims_run_without_a_nested_loop(spark):
+    """200,000 claims, far beyond one automaton, against documents that hold a few of them."""
+    claims = spark.range(200_000).selectExpr("CAST(id AS int) AS item_id", "concat('the value w', id, ' stands') AS claim")
+    docs = spark.range(300).selectExpr("CAST(id AS int) AS doc_id", "concat('Here the value  w', id * 7, ' stands, and the value w', id * 5, ' stands too') AS text")
+    found = textops.quotations(docs, claims)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    got = found.groupBy("verdict").count().collect()
+    assert {r["verdict"]: r["count"] for r in got} == {"flattened": 299, "exact": 300}

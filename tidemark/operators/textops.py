@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 import unicodedata
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,23 +27,72 @@ def quoted(text: Column, claim: Column) -> Column:
     )
 
 
-def quotations(docs: DataFrame, claims: DataFrame, id_col: str = "doc_id", text_col: str = "text", claim_id: str = "item_id", claim_col: str = "claim") -> DataFrame:
+#: Characters of claims that one automaton is made from: some hundred bytes each, in every worker.
+AUTOMATON = 1_000_000
+
+
+def quotations(
+    docs: DataFrame, claims: DataFrame, id_col: str = "doc_id", text_col: str = "text", claim_id: str = "item_id", claim_col: str = "claim", automaton: int = AUTOMATON
+) -> DataFrame:
     """(id, claim id, verdict) of every claim, in every document that holds it, exact or flattened; what is not listed is absent.
 
-    A quotation may start and end within a word of the text, but its inner words stand there whole: a claim meets
-    the documents that hold its longest inner word, and one without inner words meets all. Claims are broadcast.
+    Claims of ``automaton`` characters in all become one automaton, and each text is scanned once for all of them. Where there are more, a
+    claim of three words or more meets the documents that hold its longest inner word, which stands there whole since a quotation may
+    only start and end within a word; only words and row keys meet, texts are fetched for these. Shorter claims are scanned for, an automaton at a time.
     """
     words = F.split("flat_claim", " ")
     inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
     longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w), w.alias("word"))))["word"]
-    asked = claims.select(claim_id, F.col(claim_col).alias("claim"), flattened(F.col(claim_col)).alias("flat_claim")).where("flat_claim <> ''").withColumn("word", longest)
-    flat = docs.select(id_col, F.col(text_col).alias("text"), flattened(F.col(text_col)).alias("flat"))
-    worded = flat.select(id_col, "text", "flat", F.explode(F.array_distinct(F.split("flat", " "))).alias("word"))
-    held = F.contains("flat", "flat_claim")
-    met = worded.join(F.broadcast(asked.where("word is not null")), "word").where(held).unionByName(
-        flat.join(F.broadcast(asked.where("word is null")), held), allowMissingColumns=True
-    )
-    return met.select(id_col, claim_id, F.when(F.contains("text", "claim"), "exact").otherwise("flattened").alias("verdict"))
+    asked = claims.select(F.col(claim_id).alias("_claim"), F.col(claim_col).alias("claim"), flattened(F.col(claim_col)).alias("flat_claim")).where("flat_claim <> ''")
+    asked = settled(asked.withColumn("word", longest))
+    size = asked.agg(F.sum(F.length("flat_claim")).alias("all"), F.sum(F.when(F.col("word").isNull(), F.length("flat_claim"))).alias("short")).first()
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+    if (size["all"] or 0) <= automaton:
+        found = _scanned(rows, asked)
+    else:
+        found = _met_by_word(rows, asked.where("word is not null"))
+        parts = -(-(size["short"] or 0) // automaton)
+        for part in range(parts):
+            few = asked.where(F.col("word").isNull() & (F.pmod(F.xxhash64("flat_claim"), F.lit(parts)) == part))
+            found = found.unionByName(_scanned(rows, few))
+    return found.select(F.col("_id").alias(id_col), F.col("_claim").alias(claim_id), "verdict")
+
+
+def _met_by_word(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    keyed = rows.withColumn("_row", F.xxhash64("_id", "text"))
+    worded = keyed.select("_row", F.explode(F.array_distinct(F.split(flattened(F.col("text")), " "))).alias("word"))
+    near = worded.join(asked.select("_claim", "claim", "flat_claim", "word"), "word").select("_row", "_claim", "claim", "flat_claim").distinct()
+    met = keyed.join(near, "_row").where(F.contains(flattened(F.col("text")), F.col("flat_claim")))
+    return met.select("_id", "_claim", F.when(F.contains("text", "claim"), "exact").otherwise("flattened").alias("verdict"))
+
+
+def _scanned(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """Each text once, for all the claims: (_id, _claim, verdict)."""
+    listed = asked.select("_claim", "claim", "flat_claim").distinct().collect()  # within ``AUTOMATON``
+    told = rows.sparkSession.createDataFrame([(n, r["_claim"]) for n, r in enumerate(listed)], f"n int, _claim {asked.schema['_claim'].dataType.simpleString()}")
+    patterns = rows.sparkSession.sparkContext.broadcast([(r["claim"], r["flat_claim"]) for r in listed])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        machine, spellings = ahocorasick.Automaton(), {}
+        for n, (_, flat) in enumerate(patterns.value):
+            spellings.setdefault(flat, []).append(n)
+        for flat, own in spellings.items():
+            machine.add_word(flat, own)
+        machine.make_automaton()
+        for b in batches:
+            where, which, exact = [], [], []
+            for row, (text, flat) in enumerate(zip(b.column("text").to_pylist(), b.column("flat").to_pylist())):
+                if spellings:
+                    for n in sorted({n for _, own in machine.iter(flat) for n in own}):
+                        where.append(row), which.append(n), exact.append(patterns.value[n][0] in text)
+            verdicts = pa.array(["exact" if e else "flattened" for e in exact], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column("_id").take(pa.array(where, pa.int64())), pa.array(which, pa.int32()), verdicts], names=["_id", "n", "verdict"])
+
+    kind = rows.schema["_id"].dataType.simpleString()
+    hits = rows.withColumn("flat", flattened(F.col("text"))).mapInArrow(scan, f"_id {kind}, n int, verdict string")
+    return hits.join(F.broadcast(told), "n").select("_id", "_claim", "verdict")
 
 
 def verify_span(content: Column, start: Column, end: Column, text: Column) -> Column:
