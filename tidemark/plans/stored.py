@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import passes
+from tidemark.commits import Log
 from tidemark.index import Index
+from tidemark.migrations import Migrated, Step
 from tidemark.operators import calibration, segments
 from tidemark.operators.rounds import shared_folder
 from tidemark.plans.catalog import _bm25_sql
@@ -216,3 +218,25 @@ def _(s, d):
         edge = lambda kind, a, ak, b, bk: tenth.select(F.lit(kind).alias("link_type"), _named(a, "estimate_id").alias("src"), F.lit(ak).alias("src_kind"), _named(b, "estimate_id").alias("dst"), F.lit(bk).alias("dst_kind"))
         store.link(edge("estimated_as", "A-", "assumption", "EST-", "estimate").unionByName(edge("assumes", "D-", "decision", "A-", "assumption")))
     return passes.fuse(store).select("finding_kind", "subject_id", "severity", "action")
+
+
+@query("migrated_lines", """SELECT l_orderkey, l_linenumber, CAST(CASE WHEN l_linenumber <= 2 THEN round_even(l_quantity * 24, 1) WHEN l_linenumber <= 4 THEN l_quantity ELSE l_quantity END AS DECIMAL(12,1)) AS hours,
+    CASE WHEN l_linenumber <= 2 THEN 'S' || l_suppkey % 10 WHEN l_linenumber <= 4 THEN 'S' || l_suppkey ELSE 'T' || l_suppkey END AS team FROM lineitem""")
+def _(s, d):
+    """Order lines written under three schemas, days and then hours, suppliers and then teams; read as one table in the last."""
+    log, lines = Log(s, f"{shared_folder(s)}/stores/{uuid.uuid4().hex}"), table(s, d, "lineitem")
+    key = {"l_orderkey": ("bigint", None), "l_linenumber": ("int", None)}
+    steps = [
+        Step(1, "days", {"lines": {**key, "days": ("double", None), "supplier": ("bigint", None)}}),
+        Step(2, "hours", {"lines": {**key, "hours": ("double", "days * 24"), "owner": ("string", "concat('s', supplier % 10)")}}),
+        Step(3, "teams", {"lines": {**key, "hours": ("decimal(12,1)", "hours"), "team": ("string", "upper(owner)")}}),
+    ]
+    for n, rows in enumerate((
+        lines.where("l_linenumber <= 2").withColumns({"days": F.col("l_quantity"), "supplier": F.col("l_suppkey")}),
+        lines.where("l_linenumber in (3, 4)").withColumns({"hours": F.col("l_quantity"), "owner": F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))}),
+        lines.where("l_linenumber > 4").withColumns({"hours": F.col("l_quantity"), "team": F.concat(F.lit("T"), F.col("l_suppkey").cast("string"))}),
+    ), 1):
+        at = Migrated(log, steps[:n])
+        at.migrate()
+        at.write("lines", rows)
+    return Migrated(log, steps).read("lines")

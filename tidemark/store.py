@@ -174,7 +174,7 @@ class Store:
             if state.fresh(table):
                 rows = Store(self.spark, self.folder, state.version)._current(table).repartitionByRange(*key).sortWithinPartitions(*key)
                 made[table] = (self.log.stage(table, rows, "kind" if table == "records" else None, "heads"), len(state.batches[table]))
-        while made and not self.log.put(state.version + 1, {"all": state.batches, "snapshots": {**state.snapshots, **made}}):
+        while made and not self.log.put(state.version + 1, state.kept() | {"snapshots": {**state.snapshots, **made}}):
             state = self.log.state()
         return self.log.state().version
 
