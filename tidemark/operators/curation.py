@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import digest_id
 from tidemark.operators import predicates
 from tidemark.operators.rounds import settled
+from tidemark.operators.running import running
 from tidemark.operators.metrics import rate
 
 BATCH, MOST_PAIRS, CHALLENGES, FLOOR = 12, 60, 8, 0.5
@@ -89,9 +90,9 @@ def gate(findings: DataFrame, rules: dict[str, Column], overturned: Column) -> D
 
 
 def challenge_batches(findings: DataFrame, by: str, size: int = CHALLENGES, floor: float = FLOOR) -> DataFrame:
-    """(id, by, batch): findings sure enough to argue about, in batches within each value of ``by``."""
-    at = F.row_number().over(Window.partitionBy(by).orderBy("id"))
-    return findings.where(F.col("confidence") >= floor).select("id", by, F.floor((at - 1) / size).cast("int").alias("batch"))
+    """(id, by, batch): findings sure enough to argue about, in batches within each value of ``by``, however many one value has."""
+    sure = findings.where((F.col("confidence") >= floor) & F.col(by).isNotNull()).select("id", by, F.lit(1).alias("_one"))
+    return running(sure, [by], ["id"], {"_at": "_one"}).select("id", by, F.floor((F.col("_at") - 1) / size).cast("int").alias("batch"))
 
 
 def concede_rate(findings: DataFrame) -> DataFrame:

@@ -34,4 +34,4 @@ def per_document(spent: DataFrame, documents: Column) -> DataFrame:
 def projected(tokens: DataFrame, prices: DataFrame) -> DataFrame:
     """(agent, cost) of tokens at the routed price. ``prices`` (agent, in_price, out_price) is a closed list; agents without a route go."""
     cost = call_cost(F.col("in_price"), F.col("out_price"), F.col("tokens_in"), F.col("tokens_out"), F.lit(0), F.lit(0))
-    return tokens.join(F.broadcast(prices), "agent").select("agent", cost.alias("cost"))
+    return tokens.join(prices, "agent").select("agent", cost.alias("cost"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.running import running
+
 
 def head(versions: DataFrame, key: str = "id") -> DataFrame:
     """The newest version of each record, whole, by one aggregate and no self-join."""
@@ -32,10 +34,10 @@ def revisions(proposed: DataFrame, versions: DataFrame, key: str = "id") -> Data
 
 
 def next_ids(news: DataFrame, taken: DataFrame, kind: str, order: str) -> DataFrame:
-    """Sequential ordinals after the largest of each kind, in a fixed order."""
+    """Sequential ordinals after the largest of each kind, in a fixed order, however many a kind has."""
     top = taken.groupBy(kind).agg(F.max("ordinal").alias("top"))
-    rank = F.row_number().over(Window.partitionBy(kind).orderBy(order))
-    return news.withColumn("rank", rank).join(top, kind, "left").withColumn("ordinal", F.coalesce("top", F.lit(0)) + F.col("rank")).drop("rank", "top")
+    ranked = running(news.where(F.col(kind).isNotNull()).withColumn("_one", F.lit(1)), [kind], [order], {"rank": "_one"})
+    return ranked.join(top, kind, "left").withColumn("ordinal", F.coalesce("top", F.lit(0)) + F.col("rank")).drop("rank", "top", "_one")
 
 
 def counts_with_zeros(df: DataFrame, column: str, values: list[str]) -> DataFrame:
