@@ -75,3 +75,15 @@ def test_command_line(spark, world, tmp_path, capsys):
     assert [json.loads(x)["node"] for x in capsys.readouterr().out.splitlines()] == ["A-0001", "D-0002", "D-0001"]
     main(["calibrate", world.folder], spark)
     assert json.loads(capsys.readouterr().out)["verdict"] == "insufficient_sample"
+
+
+def test_estimate_detail(spark, world, capsys):
+    from tidemark.__main__ import main
+
+    world.add("finding", rows(spark, ("F-1", {"subject_id": "EST-0001", "severity": "high"}), ("F-2", {"subject_id": "A-0001", "severity": "low"})), "t")
+    seen = [(r.section, r.item, r.place) for r in world.estimate_detail("EST-0001").orderBy("section", "place", "item").collect()]
+    assert seen == [("assumption", "A-0001", 1), ("finding", "F-1", 2), ("impacted", "A-0001", 1), ("impacted", "D-0002", 1), ("impacted", "D-0001", 2), ("outcome", "OUT-0001", 1)]
+    world.retract("assumption", spark.createDataFrame([("A-0001",)], "id string"), "t")
+    main(["estimate-detail", world.folder, "EST-0001"], spark)
+    assert {json.loads(x)["section"] for x in capsys.readouterr().out.splitlines()} == {"finding", "impacted", "outcome"}
+    assert world.estimate_detail("EST-9").count() == 0

@@ -49,6 +49,7 @@ def _parser() -> argparse.ArgumentParser:
     command("list", "store", "kind")
     command("get", "store", "kind", "id")
     command("impacted-by", "store", "id")
+    command("estimate-detail", "store", "id")
     command("depends-on", "store", "id")
     command("monitor", "store", "facts")
     for name in ("fuse", "govern", "retire"):
@@ -144,6 +145,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         "doctor": lambda: passes.doctor(store).orderBy("id", "problem"),
         "list": lambda: store.list_all(a.kind),
         "get": lambda: store.get(a.kind, a.id),
+        "estimate-detail": lambda: store.estimate_detail(a.id).orderBy("section", "place", "item"),
         "impacted-by": lambda: store.impacted_by(a.id),
         "depends-on": lambda: store.depends_on(a.id),
         "monitor": lambda: _monitor(spark, store, a.facts),

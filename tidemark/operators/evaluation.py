@@ -108,9 +108,9 @@ def governance_grade(findings: DataFrame, wrong: Column, merged: DataFrame, expe
 
 
 def claims_view(records: DataFrame, spans: DataFrame, docs: DataFrame) -> DataFrame:
-    """(record_id, kind, content_hash, start_byte, end_byte) of every record that cites a span."""
+    """(record_id, kind, content_hash, start_byte, end_byte) of every record that cites a span, and the values of its ``fields`` (a map), if it has any."""
     placed = records.join(spans, "span_id").join(docs.select("doc_id", "content_hash"), "doc_id")
-    return placed.select("record_id", "kind", "content_hash", "start_byte", "end_byte")
+    return placed.select("record_id", "kind", "content_hash", "start_byte", "end_byte", *(["fields"] if "fields" in records.columns else []))
 
 
 def resolutions(expected: DataFrame, reached: DataFrame, names: DataFrame) -> DataFrame:

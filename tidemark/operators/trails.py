@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators import graph
+
 from tidemark.operators import versioned
 
 PAGE, MOST = 50, 500
@@ -125,3 +127,22 @@ def markdown(df: DataFrame, columns: list[str]) -> Column:
 def decided_at(date: Column, ingested_at: Column) -> Column:
     """Midnight UTC of a stated date, else when the record came in."""
     return F.coalesce(date.try_cast("date").cast("timestamp"), ingested_at)
+
+
+def estimate_details(estimates: DataFrame, outcomes: DataFrame, edges: DataFrame, live: DataFrame, findings: DataFrame) -> DataFrame:
+    """(estimate, section, item, place): what there is to see of each estimate, a row for each thing, whatever hangs on it.
+
+    Its first outcome by id; the standing assumptions that turned out to be it; the standing records that rest on it, by how many edges away; the
+    findings that name it, most severe first (place 1 to 4). ``estimates``: id; ``outcomes``: id, estimate_id; ``edges``: src, dst, link_type, current ones; ``live``: id,
+    kind, standing records; ``findings``: id, subject_id, severity.
+    """
+    roots = estimates.select(F.col("id").alias("root")).distinct()
+    row = lambda df, section, item, place: df.select(F.col("root").alias("estimate"), F.lit(section).alias("section"), F.col(item).alias("item"), place.cast("int").alias("place"))
+    first = outcomes.join(roots, F.col("estimate_id") == F.col("root")).groupBy("root").agg(F.min("id").alias("id"))
+    meant = edges.where("link_type = 'estimated_as'").join(roots, F.col("dst") == F.col("root")).join(live.where("kind = 'assumption'").select(F.col("id").alias("src")), "src").select("root", "src").distinct()
+    rests = edges.where(F.col("link_type").isin("assumes", "justified_by", "estimated_as"))
+    reached = graph.walk(rests, roots).join(live.select(F.col("id").alias("node")), "node")
+    told = findings.join(roots, F.col("subject_id") == F.col("root"))
+    rank = F.when(F.col("severity") == "critical", 1).when(F.col("severity") == "high", 2).when(F.col("severity") == "medium", 3).otherwise(4)
+    parts = [row(first, "outcome", "id", F.lit(1)), row(meant, "assumption", "src", F.lit(1)), row(reached, "impacted", "node", F.col("depth")), row(told, "finding", "id", rank)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])

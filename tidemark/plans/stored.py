@@ -11,11 +11,11 @@ from tidemark import passes
 from tidemark.commits import Log
 from tidemark.index import Index
 from tidemark.migrations import Migrated, Step
-from tidemark.operators import calibration, segments
+from tidemark.operators import calibration, segments, trails
 from tidemark.operators.rounds import shared_folder
 from tidemark.plans.catalog import _bm25_sql
-from tidemark.plans.registry import EST, FACT, HIST, OUT, query
-from tidemark.plans.testviews import estimates, outcomes, table
+from tidemark.plans.registry import EST, FACT, HIST, LINK, OUT, query
+from tidemark.plans.testviews import estimates, links, outcomes, table
 from tidemark.sources.documents import decision_tables, documents_of, read_jsonl, rendered_json, request_digest
 from tidemark.store import Refused, Store
 
@@ -240,3 +240,20 @@ def _(s, d):
         at.migrate()
         at.write("lines", rows)
     return Migrated(log, steps).read("lines")
+
+
+@query("estimate_details", f"""WITH RECURSIVE {LINK}, w(root, node, depth) AS (SELECT 'R-' || r_regionkey, 'R-' || r_regionkey, 0 FROM region UNION SELECT root, l.src, depth + 1 FROM w JOIN link l ON l.dst = w.node WHERE depth < 16)
+    SELECT 'R-' || n_regionkey AS estimate, 'outcome' AS section, min('OUT-' || n_nationkey) AS item, 1 AS place FROM nation GROUP BY 1
+    UNION ALL SELECT 'R-' || n_regionkey, 'assumption', 'N-' || n_nationkey, 1 FROM nation WHERE n_nationkey % 4 <> 0
+    UNION ALL SELECT root, 'impacted', node, CAST(min(depth) AS INTEGER) FROM w WHERE depth > 0 AND node NOT LIKE 'S-%' AND NOT (node LIKE 'N-%' AND CAST(substr(node, 3) AS INTEGER) % 4 = 0) GROUP BY 1, 3
+    UNION ALL SELECT 'R-' || p_partkey % 7, 'finding', 'F-' || p_partkey, CASE p_size % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 4 END FROM part WHERE p_partkey % 7 < (SELECT count(*) FROM region)""")
+def _(s, d):
+    """Regions as estimates: nations were estimated as them (those divisible by four are withdrawn), customers and orders rest on them, suppliers do not stand."""
+    nation, part = table(s, d, "nation"), table(s, d, "part")
+    live = nation.where("n_nationkey % 4 <> 0").select(_named("N-", "n_nationkey").alias("id"), F.lit("assumption").alias("kind")).unionByName(
+        table(s, d, "customer").select(_named("C-", "c_custkey").alias("id"), F.lit("assumption").alias("kind")).unionByName(table(s, d, "orders").select(_named("O-", "o_orderkey").alias("id"), F.lit("decision").alias("kind")))
+    )
+    outs = nation.select(_named("OUT-", "n_nationkey").alias("id"), _named("R-", "n_regionkey").alias("estimate_id"))
+    severity = F.element_at(F.array(*map(F.lit, ["critical", "high", "medium", "low"])), (F.col("p_size") % 4 + 1).cast("int"))
+    found = part.select(_named("F-", "p_partkey").alias("id"), F.concat(F.lit("R-"), (F.col("p_partkey") % 7).cast("string")).alias("subject_id"), severity.alias("severity"))
+    return trails.estimate_details(table(s, d, "region").select(_named("R-", "r_regionkey").alias("id")), outs, links(s, d), live, found)

@@ -561,13 +561,16 @@ def _(s, d):
     return evaluation.governance_grade(found, F.col("user_id") % 2 == 0, pairs.where("older % 3 = 0"), pairs)
 
 
-@query("claims_view", "SELECT conv_id || ':' || turn AS record_id, role AS kind, sha256(d.text) AS content_hash, CAST(0 AS INTEGER) AS start_byte, CAST(octet_length(encode(c.text)) AS INTEGER) AS end_byte FROM conversations c JOIN documents d ON d.doc_id = c.conv_id")
+@query("claims_view", """SELECT conv_id || ':' || turn AS record_id, role AS kind, sha256(d.text) AS content_hash, CAST(0 AS INTEGER) AS start_byte, CAST(octet_length(encode(c.text)) AS INTEGER) AS end_byte,
+    'turn=' || turn || ';words=' || len(string_split(c.text, ' ')) AS fields FROM conversations c JOIN documents d ON d.doc_id = c.conv_id""")
 def _(s, d):
     rec = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
     conv = table(s, d, "conversations").withColumn("record_id", rec)
     spans = conv.select(F.col("record_id").alias("span_id"), F.col("conv_id").alias("doc_id"), F.lit(0).alias("start_byte"), F.octet_length("text").alias("end_byte"))
     docs = table(s, d, "documents").select("doc_id", scalars.content_hash(F.col("text")).alias("content_hash"))
-    return evaluation.claims_view(conv.select("record_id", F.col("role").alias("kind"), F.col("record_id").alias("span_id")), spans, docs)
+    fields = F.create_map(F.lit("turn"), F.col("turn").cast("string"), F.lit("words"), F.size(F.split("text", " ", -1)).cast("string"))
+    seen = evaluation.claims_view(conv.select("record_id", F.col("role").alias("kind"), F.col("record_id").alias("span_id"), fields.alias("fields")), spans, docs)
+    return seen.withColumn("fields", F.array_join(F.transform(F.array_sort(F.map_entries("fields")), lambda e: F.concat_ws("=", e["key"], e["value"])), ";"))
 
 
 @query("resolution_score", """SELECT count(*) FILTER (o_orderkey % 2 = 0 AND o_orderkey % 3 = 0) AS tp, count(*) FILTER (o_orderkey % 2 <> 0 AND o_orderkey % 3 = 0) AS fp, count(*) FILTER (o_orderkey % 2 = 0 AND o_orderkey % 3 <> 0) AS fn,

@@ -333,6 +333,14 @@ class Store:
         o = self.list_all("outcome", schema="estimate_id string, active double").select("estimate_id", F.col("active").alias("actual"))
         return calibration.history(e, o).orderBy("owner", "work_class", "estimate_id")
 
+    def estimate_detail(self, id_: str) -> DataFrame:
+        """(estimate, section, item, place): the outcome of an estimate, assumptions that it was, what rests on it and what was found against it."""
+        estimate = self.list_all("estimate").where(F.col("id") == id_)
+        outcomes = self.list_all("outcome", schema="estimate_id string").select("id", "estimate_id")
+        findings = self.list_all("finding", schema="subject_id string, severity string").select("id", "subject_id", "severity")
+        live = self.heads().where("not retracted").select("id", "kind")
+        return trails.estimate_details(estimate, outcomes, self.standing_edges(), live, findings)
+
     def stats(self) -> DataFrame:
         """(what, name, n): current records by kind, edges by type, and all versions."""
         records = self.heads().groupBy("kind").agg(F.count("*").alias("n"))
