@@ -11,9 +11,41 @@ from tidemark.plans.testviews import table
 _INK = r"[\s\p{Z}\x{85}]+"
 
 
-@query("block_grid")
+#: A document with a heading, lists, fenced code, a table and a quote around and inside of its text.
+_MARKED_SQL = r"""'# Doc ' || doc_id || chr(10) || replace(coalesce(text, ''), '. ', '.' || chr(10) || chr(10) || '- ') || chr(10) || '```py' || chr(10) || coalesce(text, '') || chr(10) || chr(10) || '~~~' || chr(10) || '```'
+    || chr(10) || '| a |' || chr(10) || '  | ü |' || chr(10) || '> q' || chr(10) || '  after'"""
+
+
+def _marked(s, d):
+    text = F.coalesce("text", F.lit(""))
+    lists = F.replace(text, F.lit(". "), F.lit(".\n\n- "))
+    return table(s, d, "documents").withColumn(
+        "text", F.concat(F.lit("# Doc "), F.col("doc_id").cast("string"), F.lit("\n"), lists, F.lit("\n```py\n"), text, F.lit("\n\n~~~\n```\n| a |\n  | ü |\n> q\n  after"))
+    )
+
+
+def _grid_sql() -> str:
+    """Lines with their kinds, gone through one by one for what each opens or continues; then groups of lines, cut from the text and trimmed."""
+    ink = r"[\s\p{Z}\x{85}]"
+    kind = rf"""CASE WHEN regexp_replace(line, '{ink}+', '', 'g') = '' THEN '' WHEN regexp_matches(line, '^ {{0,3}}(`{{3,}}|~{{3,}})') THEN 'code' WHEN regexp_matches(line, '^ {{0,3}}#{{1,6}}{ink}+[^\s]') THEN 'heading'
+        WHEN regexp_matches(line, '^{ink}*\|') THEN 'table' WHEN regexp_matches(line, '^{ink}*>') THEN 'quote' WHEN regexp_matches(line, '^ {{0,3}}([-*+]|\d{{1,9}}[.)]){ink}+[^\s]') THEN 'list_item' ELSE 'paragraph' END"""
+    joins = "((l.kind = s.open AND l.kind IN ('table', 'quote')) OR (l.kind = 'paragraph' AND s.open IN ('paragraph', 'list_item')))"
+    return rf"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, {_MARKED_SQL} AS text FROM documents),
+        r AS (SELECT rid, text, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM d),
+        l AS (SELECT rid, i, line, {kind} AS kind, ltrim(line)[1] AS mark, sum(length(line) + 1) OVER (PARTITION BY rid ORDER BY i) - length(line) - 1 AS a FROM r),
+        s(rid, i, open, fence, g, held) AS (SELECT rid, 0::BIGINT, '', '', 0, false FROM d
+            UNION ALL SELECT s.rid, l.i, CASE WHEN s.open = 'code' THEN CASE WHEN l.kind = 'code' AND l.mark = s.fence THEN '' ELSE 'code' END WHEN {joins} THEN s.open ELSE l.kind END,
+                CASE WHEN s.open = 'code' OR {joins} THEN s.fence ELSE l.mark END, CASE WHEN s.open = 'code' OR {joins} OR l.kind = '' THEN s.g ELSE s.g + 1 END, s.open = 'code' OR l.kind <> ''
+                FROM s JOIN l ON l.rid = s.rid AND l.i = s.i + 1),
+        b AS (SELECT rid, g, arg_min(l.kind, l.i) AS kind, min(a) AS a, max(a + length(line)) AS z FROM s JOIN l USING (rid, i) WHERE held GROUP BY 1, 2),
+        c AS (SELECT rid, doc_id, g, kind, a, substr(text, CAST(a AS BIGINT) + 1, CAST(z - a AS BIGINT)) AS raw, text FROM b JOIN d USING (rid)),
+        t AS (SELECT *, regexp_replace(regexp_replace(raw, '^{ink}+', ''), '{ink}+$', '') AS body, length(raw) - length(regexp_replace(raw, '^{ink}+', '')) AS lead FROM c),
+        grid AS (SELECT rid, doc_id, CAST(g - 1 AS INTEGER) AS index, kind, CAST(strlen(substr(text, 1, CAST(a + lead AS BIGINT))) AS INTEGER) AS start_byte, CAST(strlen(substr(text, 1, CAST(a + lead AS BIGINT))) + strlen(body) AS INTEGER) AS end_byte, body FROM t)"""
+
+
+@query("block_grid", _grid_sql() + " SELECT doc_id, index, kind, start_byte, end_byte, sha256(body) AS text_sha256 FROM grid")
 def _(s, d):
-    return segments.blocks(table(s, d, "documents")).select("doc_id", "index", "kind", "start_byte", "end_byte", F.sha2("text", 256).alias("text_sha256"))
+    return segments.blocks(_marked(s, d)).select("doc_id", "index", "kind", "start_byte", "end_byte", F.sha2("text", 256).alias("text_sha256"))
 
 
 @query("block_coverage", r"SELECT doc_id, CAST(length(regexp_replace(text, '[\s\p{Z}\x{85}]+', '', 'g')) AS BIGINT) AS ink FROM documents WHERE regexp_replace(text, '[\s\p{Z}\x{85}]+', '', 'g') <> ''")
@@ -23,9 +55,16 @@ def _(s, d):
     return segments.blocks(table(s, d, "documents")).groupBy("doc_id").agg(F.sum(ink).alias("ink"))
 
 
-@query("block_spans")
+@query("block_spans", _grid_sql() + f""", k AS (SELECT rid, index // {segments.WINDOW} AS w, min(index) AS lo, max(index) AS hi FROM grid GROUP BY 1, 2),
+    h(rid, w, i, hi, last, taken) AS (SELECT rid, w, lo - 1, hi, -1, false FROM k
+        UNION ALL SELECT rid, w, i + 1, hi, CASE WHEN i + 1 > last AND i + 1 + (i + 1) % 3 <= hi THEN i + 1 + (i + 1) % 3 ELSE last END, i + 1 > last AND i + 1 + (i + 1) % 3 <= hi FROM h WHERE i < hi),
+    t2 AS (SELECT rid, i AS first_block, i + i % 3 AS last_block FROM h WHERE taken),
+    free AS (SELECT g.rid, g.index AS first_block, g.index AS last_block FROM grid g WHERE NOT EXISTS (SELECT 1 FROM t2 WHERE t2.rid = g.rid AND g.index BETWEEN t2.first_block AND t2.last_block))
+    SELECT x.doc_id, CAST(first_block AS INTEGER) AS first_block, CAST(last_block AS INTEGER) AS last_block, x.start_byte, y.end_byte
+    FROM (SELECT * FROM t2 UNION ALL SELECT * FROM free) p JOIN grid x ON x.rid = p.rid AND x.index = first_block JOIN grid y ON y.rid = p.rid AND y.index = last_block""")
 def _(s, d):
-    docs = table(s, d, "documents")
+    """Proposed from every block on: one to three blocks, inside its window of forty."""
+    docs = _marked(s, d)
     grid = segments.blocks(docs)
     window = F.floor(F.col("index") / segments.WINDOW).cast("int")
     pairs = grid.select("doc_id", window.alias("window"), F.col("index").alias("first_block"), (F.col("index") + F.pmod("index", F.lit(3))).alias("last_block"))
