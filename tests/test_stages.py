@@ -160,3 +160,25 @@ def test_portions_and_two_runners(spark, store):
     with pytest.raises(ValueError):
         ordered([Stage("a", units, work, ("b",)), Stage("b", units, work, ("a",))])
     assert module.run(store, []) == {}
+
+
+def test_commands_read_and_grade(spark, store, tmp_path, capsys):
+    from tidemark.__main__ import main
+
+    main(["extract", store.folder, "--ask", "test_stages:ask"], spark)
+    main(["estimate", store.folder, "--ask", "test_stages:ask"], spark)
+    main(["refresh-index", store.folder], spark)
+    main(["compact", store.folder], spark)
+    told = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+    assert told[0] == {"scout": 3, "assumptions": 1, "formalise": 1} and told[1] == {"estimates": 3, "classify": 2, "match": 2} and told[2] == {"indexed": 9}
+    doc = next(json.loads(r.payload) for r in store.heads("document").collect() if "Plan" in r.payload)
+    text = doc["content"]
+    item = lambda name, kind, quote: {"item_id": name, "kind": kind, "is_distractor": False, "start_byte": text.index(quote), "end_byte": text.index(quote) + len(quote), "quote": quote, "fields": [], "links": []}
+    key = {
+        "documents": [{"path": "plan.md", "source_kind": "markdown", "content_sha256": doc["content_hash"], "byte_length": len(text), "items": [item("d1", "decision", "one ledger"), item("a1", "assumption", "nine million")]}],
+        "monitoring": {"facts": {"rows": "10000000"}, "events": [], "verdicts": [{"item_id": "a1", "status": "breached", "note": ""}]},
+    }
+    (tmp_path / "key.json").write_text(json.dumps(key))
+    main(["eval", store.folder, str(tmp_path / "in"), str(tmp_path / "key.json"), "--ask", "test_stages:ask"], spark)
+    graded = {x["measure"]: x["value"] for x in map(json.loads, capsys.readouterr().out.splitlines())}
+    assert (graded["decision.f1"], graded["assumption.f1"], graded["estimate.precision"], graded["monitoring.accuracy"]) == (1.0, 1.0, 0.0, 1.0)
