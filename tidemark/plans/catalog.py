@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars
-from tidemark.operators import blocking, calibration, citation, graph, metrics, monitoring, predicates, textops, versioned
+from tidemark.operators import blocking, calibration, citation, graph, metrics, monitoring, predicates, textops, trails, versioned
 from tidemark.plans.registry import EST, FACT, FINE, HEAD, HIST, LINK, OUT, TR, VER, query
 from tidemark.plans.testviews import estimates, links, outcomes, table, traces, versions
 
@@ -397,9 +397,14 @@ def _(s, d):
     return table(s, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(pairs, lambda p: p["l_partkey"].cast("string")), ",").alias("parts"))
 
 
-@query("orphan_edges", "SELECT l_orderkey, count(*) AS n FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey) GROUP BY 1")
+@query("orphan_edges", "SELECT l_orderkey, count(*) AS n FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderstatus <> 'P') GROUP BY 1")
 def _(s, d):
-    return table(s, d, "lineitem").join(table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"), "left_anti").groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    """Lines as edges to orders, of which pending ones are not stored."""
+    edges = table(s, d, "lineitem").select(F.col("l_orderkey").alias("dst"), F.lit("order").alias("dst_kind"), F.col("l_orderkey").alias("src"), F.lit("line").alias("src_kind"), F.lit("x").alias("link_type"))
+    nodes = table(s, d, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("id"), F.lit("order").alias("kind"))
+    lines = table(s, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.lit("line").alias("kind")).distinct()
+    lost = trails.endpoints_missing(edges.withColumn("link_id", F.col("dst")), nodes.unionByName(lines)).where("end = 'dst'")
+    return lost.groupBy(F.col("link_id").alias("l_orderkey")).agg(F.count("*").alias("n"))
 
 
 @query("citation_gate_all", f"""WITH {_FLAT}, p AS (SELECT item_id, coalesce(lang, '') <> 'de' AS offered, coalesce(d.flat, '') <> '' AS resolvable,

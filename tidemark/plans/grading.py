@@ -123,10 +123,10 @@ def _(s, d):
     return _graded(s, d).groupBy("lang").agg(F.count("*").alias("classified"), F.count_if(F.col("quality") == 1).alias("agreed"), F.countDistinct("source").alias("classes"))
 
 
-@query("proposed_vocabulary", "SELECT DISTINCT p_type FROM part WHERE p_size > 40 AND p_type NOT IN (SELECT p_type FROM part WHERE p_size < 3)")
+@query("proposed_vocabulary", "SELECT DISTINCT p_brand || ' ' || p_type AS label FROM part WHERE p_size > 40 AND p_brand || ' ' || p_type NOT IN (SELECT p_brand || ' ' || p_type FROM part WHERE p_size < 15)")
 def _(s, d):
-    p = table(s, d, "part")
-    return metrics.vocabulary(p.where("p_size > 40"), p.where("p_size < 3"), "p_type")
+    p = table(s, d, "part").withColumn("label", F.concat_ws(" ", "p_brand", "p_type"))
+    return metrics.vocabulary(p.where("p_size > 40"), p.where("p_size < 15"), "label")
 
 
 @query("match_losses", """SELECT CASE WHEN actual IS NULL THEN 'no_outcome' WHEN actual < estimated THEN 'less' ELSE 'more' END AS reason, count(*) AS n

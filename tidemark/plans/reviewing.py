@@ -79,10 +79,14 @@ def _(s, d):
     return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", reviews.endpoints_valid(kind, source, target).alias("valid"))
 
 
-@query("record_ids", """SELECT s_suppkey, printf('EST-%04d', s_suppkey) AS id, true AS canonical, 'EST' AS prefix FROM supplier""")
-def _(s, d):
-    made = table(s, d, "supplier").select("s_suppkey", scalars.sequential_id("EST", F.col("s_suppkey")).alias("id"))
-    return made.select("s_suppkey", "id", scalars.canonical_id(F.col("id")).alias("canonical"), scalars.id_prefix(F.col("id")).alias("prefix"))
+@query("record_ids", """SELECT p_partkey, id, CASE p_partkey % 6 WHEN 0 THEN true WHEN 1 THEN p_partkey >= 1000 ELSE false END AS canonical, split_part(id, '-', 1) AS prefix FROM (SELECT p_partkey,
+    CASE p_partkey % 6 WHEN 0 THEN printf('EST-%04d', p_partkey) WHEN 1 THEN 'D-' || p_partkey WHEN 2 THEN printf('A-%06d', p_partkey % 90000) WHEN 3 THEN printf('est-%04d', p_partkey) WHEN 4 THEN 'EST-' || p_partkey || 'x' ELSE 'EST' END AS id FROM part)""")
+def _(s, d):
+    """Ids as they are made, without their zeros, with too many, in small letters, with something behind, and bare."""
+    k = F.col("p_partkey")
+    ids = [scalars.sequential_id("EST", k), F.concat(F.lit("D-"), k.cast("string")), F.format_string("A-%06d", k % 90000), F.format_string("est-%04d", k), F.concat(F.lit("EST-"), k.cast("string"), F.lit("x")), F.lit("EST")]
+    made = table(s, d, "part").select("p_partkey", F.element_at(F.array(*ids), (k % 6 + 1).cast("int")).alias("id"))
+    return made.select("p_partkey", "id", scalars.canonical_id(F.col("id")).alias("canonical"), scalars.id_prefix(F.col("id")).alias("prefix"))
 
 
 @query("retractions", f"WITH {HEAD} SELECT id, CAST(version + 1 AS INTEGER) AS version, true AS retracted, event_id, payload FROM head WHERE NOT retracted AND payload < 50")
