@@ -151,3 +151,26 @@ def test_traces_append(spark, tmp_path):
     for k in range(2):
         trails.append_traces(spark.createDataFrame([(k, "x")], "seq int, agent string"), path)
     assert spark.read.parquet(path).count() == 2
+
+
+def test_shared_words_equal_all_pairs(spark):
+    """One word is everywhere and makes no pair of itself; repeats count once, an estimate's own passage comes without any."""
+    import random
+
+    from tidemark.operators import reviews
+
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(30)]
+    bag = lambda: ["the"] * rng.randrange(1, 3) + rng.choices(words, k=rng.randrange(0, 6))
+    wanted, texts = [(k, bag()) for k in range(40)] + [(90, []), (91, None)], [(k, bag()) for k in range(60)] + [(95, None)]
+    a, b = spark.createDataFrame(wanted, "id int, words array<string>"), spark.createDataFrame(texts, "id int, words array<string>")
+    for shared in (1, 2, 3):
+        got = {(r.wanted, r.text): r.words for r in reviews.sharing(a, b, shared).collect()}
+        want = {(i, j): len(set(x) & set(y)) for i, x in wanted for j, y in texts if x and y and len(set(x) & set(y)) >= shared}
+        assert got == want
+    own = a.select(F.col("id").alias("estimate"), (59 - F.col("id")).alias("own"), "words")
+    top = reviews.candidates(own, b.withColumnRenamed("id", "passage"), 3, 2).collect()
+    for i, x in wanted:
+        score = {j: len(set(x or []) & set(y or [])) for j, y in texts}
+        order = sorted((j != 59 - i, -n, j) for j, n in score.items() if n >= 2 or j == 59 - i)[:3]
+        assert [r.passage for r in sorted(top, key=lambda r: r["rank"]) if r.estimate == i] == [j for _, _, j in order]

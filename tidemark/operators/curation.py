@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import digest_id
-from tidemark.operators import predicates
+from tidemark.operators import predicates, reviews
 from tidemark.operators.rounds import settled
 from tidemark.operators.running import running
 from tidemark.operators.metrics import rate
@@ -43,16 +43,10 @@ def contradictions(pairs: DataFrame, constraints: DataFrame, most: int = MOST_PA
 def candidate_documents(wanted: DataFrame, documents: DataFrame, limit: int = 3, shared: int = 2) -> DataFrame:
     """(estimate, document, overlap, rank): an estimate's own document first, then those with ``shared`` words or more in common, most first.
 
-    ``wanted``: estimate, home, words; ``documents``: document, words. They meet on single words.
+    ``wanted``: estimate, home, words; ``documents``: document, words.
     """
-    a, b = wanted.select("estimate", "home", F.explode("words").alias("word")), documents.select("document", F.explode("words").alias("word"))
-    met = a.join(b, "word").groupBy("estimate", "home", "document").agg(F.count("*").alias("overlap"))
-    own = wanted.join(documents.select("document"), F.col("home") == F.col("document")).select("estimate", "home", "document", F.lit(0).cast("long").alias("overlap"))
-    rows = met.unionByName(own).groupBy("estimate", "home", "document").agg(F.max("overlap").alias("overlap"))
-    home = F.coalesce(F.col("home") == F.col("document"), F.lit(False))
-    order = Window.partitionBy("estimate").orderBy(F.desc("_home"), F.desc("overlap"), "document")
-    rows = rows.withColumn("_home", home).where(F.col("_home") | (F.col("overlap") >= shared)).withColumn("rank", F.row_number().over(order))
-    return rows.where(F.col("rank") <= limit).select("estimate", "document", "overlap", "rank")
+    near = reviews.candidates(wanted.withColumnRenamed("home", "own"), documents.withColumnRenamed("document", "passage"), limit, shared)
+    return near.select("estimate", F.col("passage").alias("document"), F.col("words").alias("overlap"), "rank")
 
 
 def merges(shapes: DataFrame, contradicting: DataFrame, superseded: DataFrame) -> DataFrame:

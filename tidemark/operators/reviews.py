@@ -110,18 +110,38 @@ def measured_facts(assumptions: DataFrame, edges: DataFrame, outcomes: DataFrame
     )
 
 
+def sharing(wanted: DataFrame, texts: DataFrame, shared: int) -> DataFrame:
+    """(wanted, text, words): pairs with ``shared`` distinct words or more in common, and how many.
+
+    Both sides have id and words. A pair that shares so many shares one even if the ``shared - 1`` commonest of the
+    wanted side's words are left aside, so pairs meet on the other ones only: a word that all texts hold makes no pairs of itself.
+    """
+    from pyspark.sql import Window
+
+    a = wanted.select(F.col("id").alias("wanted"), F.array_distinct("words").alias("_words"))
+    b = texts.select(F.col("id").alias("text"), F.array_distinct("words").alias("_held"))
+    held = b.select("text", F.explode("_held").alias("word"))
+    common = held.groupBy("word").agg(F.count("*").alias("_texts"))
+    rare = F.row_number().over(Window.partitionBy("wanted").orderBy("_texts", "word"))
+    asked = a.select("wanted", F.size("_words").alias("_n"), F.explode("_words").alias("word")).join(common, "word", "left")
+    leads = asked.withColumn("_texts", F.coalesce("_texts", F.lit(0))).withColumn("_rank", rare).where(F.col("_rank") <= F.col("_n") - (shared - 1)).select("wanted", "word")
+    met = leads.join(held, "word").select("wanted", "text").distinct()
+    both = met.join(a, "wanted").join(b, "text").select("wanted", "text", F.size(F.array_intersect("_words", "_held")).cast("bigint").alias("words"))
+    return both.where(F.col("words") >= shared)
+
+
 def candidates(wanted: DataFrame, passages: DataFrame, limit: int, shared: int) -> DataFrame:
     """(estimate, passage, words): passages that share words with an estimate; its own one always, first ``limit`` in order.
 
-    ``wanted``: estimate, own, words; ``passages``: passage, words. They meet on single words.
+    ``wanted``: estimate, own, words; ``passages``: passage, words.
     """
     from pyspark.sql import Window
 
-    a = wanted.select("estimate", "own", F.explode("words").alias("word"))
-    b = passages.select("passage", F.explode("words").alias("word"))
-    met = a.join(b, "word").groupBy("estimate", "own", "passage").agg(F.count("*").alias("words")).where((F.col("words") >= shared) | (F.col("own") == F.col("passage")))
-    home = wanted.join(passages.select("passage"), F.col("own") == F.col("passage")).select("estimate", "own", "passage", F.lit(0).cast("bigint").alias("words"))
-    rows = met.unionByName(home).groupBy("estimate", "own", "passage").agg(F.max("words").alias("words"))
+    met = sharing(wanted.select(F.col("estimate").alias("id"), "words"), passages.select(F.col("passage").alias("id"), "words"), shared)
+    near = met.select(F.col("wanted").alias("estimate"), F.col("text").alias("passage"), "words").join(wanted.select("estimate", "own"), "estimate")
+    home = wanted.withColumnRenamed("words", "_w").join(passages.withColumnRenamed("words", "_p"), F.col("own") == F.col("passage"))
+    home = home.select("estimate", "own", "passage", F.size(F.array_intersect("_w", "_p")).cast("bigint").alias("words"))
+    rows = near.select("estimate", "own", "passage", "words").unionByName(home).groupBy("estimate", "own", "passage").agg(F.max("words").alias("words"))
     order = Window.partitionBy("estimate").orderBy((F.col("own") == F.col("passage")).desc_nulls_last(), F.desc("words"), "passage")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("estimate", "passage", "words", "rank")
 
