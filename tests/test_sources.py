@@ -52,3 +52,19 @@ def test_heads_in_a_stream(spark, tmp_path):
     q = stream.writeStream.outputMode("complete").format("memory").queryName("heads").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert {(r["id"], r["version"], r["retracted"]) for r in spark.table("heads").collect()} == {(1, 2, True), (2, 1, False)}
+
+
+def test_report_files(spark, tmp_path):
+    import pytest
+
+    from tidemark.sources import reports
+
+    df = spark.createDataFrame([("b", 2.0), ("a|c", None)], "measure string, value double")
+    sections = {"Grades": (df, ["measure", "value"]), "Again": (df.limit(0), ["measure"])}
+    reports.write_markdown(str(tmp_path / "r.md"), "Run", sections)
+    (text,) = [f.read_text() for f in (tmp_path / "r.md").glob("part-*")]
+    assert text == "# Run\n\n## Grades\n\n| measure | value |\n| --- | --- |\n| a\\|c |  |\n| b | 2.0 |\n\n## Again\n\n| measure |\n| --- |\n"
+    reports.write_json(str(tmp_path / "r.json"), sections)
+    assert sorted(map(tuple, spark.read.json(str(tmp_path / "r.json")).select("section", "measure", "value").collect()), key=str) == [("Grades", "a|c", None), ("Grades", "b", 2.0)]
+    with pytest.raises(ValueError):
+        reports.report_lines("x", {"Long": (spark.range(reports.MOST + 1), ["id"])})

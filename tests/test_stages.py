@@ -179,6 +179,7 @@ def test_commands_read_and_grade(spark, store, tmp_path, capsys):
         "monitoring": {"facts": {"rows": "10000000"}, "events": [], "verdicts": [{"item_id": "a1", "status": "breached", "note": ""}]},
     }
     (tmp_path / "key.json").write_text(json.dumps(key))
-    main(["eval", store.folder, str(tmp_path / "in"), str(tmp_path / "key.json"), "--ask", "test_stages:ask"], spark)
+    main(["eval", store.folder, str(tmp_path / "in"), str(tmp_path / "key.json"), "--ask", "test_stages:ask", "--out", str(tmp_path / "out")], spark)
+    assert any("| decision.f1 | 1.0 |" in f.read_text() for f in (tmp_path / "out" / "report.md").glob("part-*")) and (tmp_path / "out" / "report.json").exists()
     graded = {x["measure"]: x["value"] for x in map(json.loads, capsys.readouterr().out.splitlines())}
     assert (graded["decision.f1"], graded["assumption.f1"], graded["estimate.precision"], graded["monitoring.accuracy"]) == (1.0, 1.0, 0.0, 1.0)

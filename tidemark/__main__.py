@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark import passes
 from tidemark.operators import calibration
+from tidemark.sources.reports import write_json, write_markdown
 from tidemark.store import Store
 
 MOST = 500
@@ -44,6 +45,7 @@ def _parser() -> argparse.ArgumentParser:
         command(name, "store").add_argument("--ask", required=True, metavar="MODULE:FUNCTION", help="what answers in place of a model")
     grade = command("eval", "store", "folder", "key")
     grade.add_argument("--ask", required=True, metavar="MODULE:FUNCTION")
+    grade.add_argument("--out", metavar="FOLDER", help="where to put report.md and report.json")
     command("compact", "store")
     command("refresh-index", "store")
     command("list", "store", "kind")
@@ -91,7 +93,12 @@ def _graded(store: Store, a: argparse.Namespace) -> DataFrame:
     facts = {k: json.loads(v) if v in ("true", "false") else _number(v) for k, v in (world.facts or {}).items()} if world else {}
     verdicts = key.select(F.inline("monitoring.verdicts")).select("item_id", "status")
     now = F.lit(world.as_of) if world and world.as_of else None
-    return evaluate(store, a.folder, evaluation.key_items(key), _function(a.ask), facts, list(world.events or []) if world else [], now, verdicts)
+    graded = evaluate(store, a.folder, evaluation.key_items(key), _function(a.ask), facts, list(world.events or []) if world else [], now, verdicts)
+    if a.out:
+        sections = {"Grades": (graded, ["measure", "value"]), "Store": (store.stats(), ["what", "name", "n"])}
+        write_markdown(f"{a.out}/report.md", "Evaluation", sections)
+        write_json(f"{a.out}/report.json", sections)
+    return graded
 
 
 def _number(v: str) -> Decimal | str:

@@ -17,6 +17,7 @@ from tidemark.plans.catalog import _bm25_sql
 from tidemark.plans.registry import EST, FACT, HIST, LINK, OUT, query
 from tidemark.plans.testviews import estimates, links, outcomes, table
 from tidemark.sources.documents import decision_tables, documents_of, read_jsonl, rendered_json, request_digest
+from tidemark.sources.reports import report_lines
 from tidemark.store import Refused, Store
 
 
@@ -257,3 +258,12 @@ def _(s, d):
     severity = F.element_at(F.array(*map(F.lit, ["critical", "high", "medium", "low"])), (F.col("p_size") % 4 + 1).cast("int"))
     found = part.select(_named("F-", "p_partkey").alias("id"), F.concat(F.lit("R-"), (F.col("p_partkey") % 7).cast("string")).alias("subject_id"), severity.alias("severity"))
     return trails.estimate_details(table(s, d, "region").select(_named("R-", "r_regionkey").alias("id")), outs, links(s, d), live, found)
+
+
+@query("report_lines", """WITH n AS (SELECT row_number() OVER (ORDER BY n_regionkey, n_name) AS i, '| ' || n_regionkey || ' | ' || n_name || ' |' AS line FROM nation), r AS (SELECT row_number() OVER (ORDER BY r_name) AS i, '| ' || r_name || chr(92) || '| |' AS line FROM region)
+    SELECT 0 AS part, 1 AS n, '# Places' AS line UNION ALL SELECT 1, unnest([1, 2, 3, 4]), unnest(['## Nations', '', '| n_regionkey | n_name |', '| --- | --- |']) UNION ALL SELECT 1, CAST(i + 4 AS INTEGER), line FROM n
+    UNION ALL SELECT 2, unnest([1, 2, 3, 4]), unnest(['## Regions', '', '| name |', '| --- |']) UNION ALL SELECT 2, CAST(i + 4 AS INTEGER), line FROM r""")
+def _(s, d):
+    """Two tables as a report, bars in cells escaped."""
+    regions = table(s, d, "region").select(F.concat("r_name", F.lit("|")).alias("name"))
+    return report_lines("Places", {"Nations": (table(s, d, "nation"), ["n_regionkey", "n_name"]), "Regions": (regions, ["name"])})
