@@ -89,3 +89,50 @@ def test_retire(store):
     assert passes.retire(store).where("refused = 'too_recent'").count() == 4
     assert {(r.id, r.refused) for r in passes.retire(store, at).collect()} == {("A-0001", "still_in_use"), ("A-0002", None), ("A-0003", None), ("A-0004", None)}
     assert [(r.id, r.refused) for r in passes.retire(store, at).collect()] == [("A-0001", "still_in_use")]
+
+
+def test_contradiction_counts(spark, store, capsys):
+    from tidemark.__main__ import main
+
+    store.add("assumption", spark.createDataFrame([("A-0005", '{"predicate": "weeks > 6"}'), ("A-0006", '{"predicate": "weeks == 7 and size >= 3"}')], "id string, payload string"), "t")
+    main(["contradiction-counts", store.folder], spark)
+    told = {(x["id"], x["name"]): (x["links"], x["witness"]) for x in map(json.loads, capsys.readouterr().out.splitlines())}
+    assert told == {
+        ("A-0001", "weeks"): (2, "A-0006"), ("A-0003", "weeks"): (2, "A-0006"), ("A-0005", "weeks"): (2, "A-0001"), ("A-0006", "weeks"): (2, "A-0001"),
+        ("A-0002", "size"): (1, "A-0006"), ("A-0006", "size"): (1, "A-0002"),
+    }
+
+
+def test_govern_is_one_pass(spark, store):
+    """Challenge, merge, retire and route in one commit; what was said once is not written again."""
+    store.add("finding", spark.createDataFrame([("F-1", json.dumps({"finding_kind": "k", "subject_id": "A-0001", "prosecution": "p", "confidence": 0.9})), ("F-2", json.dumps({"finding_kind": "k", "subject_id": "A-0004", "prosecution": "p", "confidence": 0.2}))], "id string, payload string"), "t")
+    asked = []
+
+    def judge(findings):
+        rows = findings.collect()
+        asked.extend(r.id for r in rows)
+        return spark.createDataFrame([(r.id, "overturned", "no case") for r in rows], "id string, verdict string, rebuttal string")
+
+    before = store.version()
+    at = F.current_timestamp() + F.make_dt_interval(F.lit(90))
+    told = passes.governed(store, judge, at)
+    assert store.version() == before + 1 and asked == ["F-1"]
+    assert [(r.id, r.verdict, r.action) for r in told.challenged.collect()] == [("F-1", "overturned", "revised")]
+    assert [(r.older, r.newer, r.outcome) for r in told.merges.collect()] == [("A-0001", "A-0003", "duplicate")]
+    assert {r.id for r in told.retired.where("refused is null").collect()} == {"A-0002", "A-0003", "A-0004"}
+    assert {r.id: (r.route, r.reasons) for r in told.routes.collect()} == {"F-1": ("dropped", ""), "F-2": ("needs_human", "undecided,unsure,subject_withdrawn")}
+    assert json.loads(store.get("finding", "F-1").first().payload)["challenge"] == "no case"
+    again = passes.governed(store, judge, at)
+    assert store.version() == before + 1 and asked == ["F-1"] and again.challenged.count() == 0 and again.merges.count() == 0
+
+
+def test_curation_refuses_one_time_and_one_document(spark, store):
+    put = lambda i, span: store.add("assumption", spark.createDataFrame([(i, json.dumps({"predicate": f"x == {int(i[-1])}", "span_id": span}))], "id string, payload string"), "t")
+    for i, span in (("A-0011", "S-1"), ("A-0012", "S-2"), ("A-0013", "S-3")):
+        put(i, span)
+    store._write("spans", spark.createDataFrame([("S-1", "D1", 0, 1, "a"), ("S-2", "D1", 1, 2, "b"), ("S-3", "D2", 0, 1, "c")], "id string, doc_id string, start_byte int, end_byte int, text string"))
+    assert passes.contradictions(store, dry=False).count() == 3
+    outcome = {(r.older, r.newer): r.outcome for r in passes.curate(store).where("older like 'A-001%'").collect()}
+    assert outcome == {("A-0011", "A-0012"): "same_document", ("A-0011", "A-0013"): "revision", ("A-0012", "A-0013"): "revision"}
+    assert set(map(tuple, passes.govern(store).collect())) == {("A-0001", "A-0003"), ("A-0011", "A-0013"), ("A-0012", "A-0013")}
+    assert store.get("assumption", "A-0011").first().retracted is False

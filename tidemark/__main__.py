@@ -37,7 +37,7 @@ def _parser() -> argparse.ArgumentParser:
 
     command("queries")
     command("run", "query", "tables").add_argument("--out")
-    for name in ("stats", "calibrate", "backtest", "timeline", "routes", "estimates", "contradictions", "doctor"):
+    for name in ("stats", "calibrate", "backtest", "timeline", "routes", "estimates", "contradictions", "contradiction-counts", "doctor"):
         command(name, "store")
     command("ingest", "store", "folder").add_argument("--stream", metavar="CHECKPOINT")
     command("seed", "store", "records", "estimates", "outcomes")
@@ -149,6 +149,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         "routes": lambda: passes.routes(store).orderBy("id"),
         "estimates": lambda: store.calibration_history(),
         "contradictions": lambda: passes.contradictions(store).orderBy("a_id", "b_id"),
+        "contradiction-counts": lambda: passes.contradiction_counts(store).orderBy(F.desc("links"), "id", "name"),
         "doctor": lambda: passes.doctor(store).orderBy("id", "problem"),
         "list": lambda: store.list_all(a.kind),
         "get": lambda: store.get(a.kind, a.id),

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from tidemark.functions.scalars import digest_id
-from tidemark.operators import calibration, curation, expiry, graph, monitoring, predicates, reviews, trails, versioned
+from tidemark.operators import calibration, conflicting, curation, expiry, graph, monitoring, predicates, reviews, trails, versioned
 from tidemark.operators.rounds import settled
 from tidemark.store import Store
 
@@ -192,6 +192,15 @@ def contradictions(store: Store, dry: bool = True) -> DataFrame:
     return fresh.select("a_id", "b_id", "name")
 
 
+def contradiction_counts(store: Store) -> DataFrame:
+    """(id, name, links, witness): for each constraint of a current assumption with any, how many others cannot hold with it, and one that cannot.
+
+    Where a name is constrained by very many assumptions this says what ``contradictions`` would take all pairs to say.
+    """
+    told = predicates.described(_assumptions(store).select("id", "predicate"), "predicate").select("id", "ranges")
+    return conflicting.conflict_links(told).where("links > 0").select("id", "name", "links", "witness")
+
+
 def doctor(store: Store) -> DataFrame:
     """(id, problem): versions out of step, edges to what is not stored, records without an audit row."""
     records = store.records().withColumn("id", F.concat_ws(":", "kind", "id"))
