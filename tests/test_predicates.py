@@ -135,3 +135,14 @@ def test_one_hot_name_runs_in_linear_work(spark):
     df = spark.sql(f"SELECT id, array(if(id % 2 = 0, {half('id', none)}, {half(none, 'id')})) AS ranges FROM range({n})")
     told = conflicting.conflict_links(df).selectExpr("count(*)", "sum(links)", "min(witness)", "max(witness)").first()
     assert tuple(told) == (n, (n // 2) * (n // 2 - 1), 1, n - 2)
+
+
+def test_described_moves_no_texts(spark):
+    df = spark.createDataFrame([(1, "a < 1"), (2, None), (3, "a <"), (4, "a < 1"), (5, "(" * 3000 + "a")], "id int, t string")
+    told = predicates.described(df, "t")
+    plan = told._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    rows = {r.id: r for r in told.collect()}
+    assert [rows[k].parses for k in range(1, 6)] == [True, False, False, True, False] and rows[2].names is None and rows[3].names == [] and rows[4].ranges == rows[1].ranges
+    with pytest.raises(predicates.PredicateError, match="nested too deeply"):
+        predicates.tokens("(" * 300 + "what cannot be read: ; ; ;")
