@@ -77,6 +77,19 @@ def memory_grade(expected: DataFrame, found: DataFrame, names: DataFrame, settle
     return out.withColumn("unnamed", named.where("_left is null or _right is null").agg(F.count("*")).scalar())
 
 
+def memory_grade_of_kinds(kinds: DataFrame) -> DataFrame:
+    """The grade of ``memory_grade`` over distinct pairs that are counted by kind and not listed.
+
+    ``kinds``: n, how many pairs are of that kind; expected, how (proven, asked or null), settled, named (both ends), of which all but how are not null.
+    """
+    n = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    want = F.col("expected") & F.col("named")
+    return kinds.agg(
+        n(want).alias("pairs"), n(want & (F.col("how") == "proven")).alias("found"), n(want & (F.col("how") == "asked")).alias("proposed"), n(want & F.col("settled")).alias("settled"),
+        n(F.col("how").isNotNull() & ~F.col("named")).alias("unnamed"),
+    )
+
+
 def calibration_grade(factors: DataFrame, calibrated: DataFrame, threshold: int = 5) -> DataFrame:
     """(threshold_holds, untouched_hold): a factor exactly where enough was measured, and quantities unchanged exactly where none applies."""
     enough = (F.col("n") >= threshold) & (F.col("work_class") != "unclassified")
