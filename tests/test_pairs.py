@@ -6,7 +6,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import blocking, curation, evaluation
+from tidemark.operators import blocking, conflicting, curation, evaluation, predicates
 
 
 @pytest.fixture(scope="module")
@@ -72,3 +72,18 @@ def test_members(spark, records):
     wanted = {frozenset(p) for p in [("a0",), ("b1", "b0"), ("a1", "b1")]}
     name = lambda r: f"{r[1]}{r[0] % 2}"
     assert got == [(x[0], y[0]) for x, y in combinations(sorted(rows), 2) if frozenset((name(x), name(y))) in wanted]
+
+
+def test_all_conflicts_are_listed(spark):
+    """Each pair with the name that the pairwise proof gives; equal predicates that rule themselves out conflict too."""
+    texts = ["a < 1", "a > 2", "a < 1", 'b == "x"', 'b != "x" and a < 0', 'a > 5 and b == "x"', "a < 1 and a > 2", "a < 1 and a > 2", "a <", None]
+    told = predicates.described(spark.createDataFrame([(k, t) for k, t in enumerate(texts * 2)], "id int, t string"), "t").select("id", "ranges")
+    want = sorted(map(tuple, predicates.conflicts(told, told).where("a_id < b_id").collect()))
+    assert sorted(map(tuple, conflicting.conflict_pairs(told).select("a_id", "b_id", "name").collect())) == want and len(want) > 60
+
+
+def test_exclusion_conflicts_lists_pairs_over_all_parts(spark):
+    from tidemark.plans import QUERIES
+
+    got = QUERIES["exclusion_conflicts"](spark, "/root/testdata/sf0.001")
+    assert got.columns == ["a_id", "b_id", "name"] and got.where("a_id % 20 >= 5").count() > 0
