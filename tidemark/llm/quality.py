@@ -2,13 +2,13 @@
 
 Every whitespace-separated word and every run of 3 to 5 characters inside a word (with its borders)
 hashes to a learned vector; a document is the mean of its features' vectors, and a softmax over two
-classes gives the score. Training is stochastic gradient descent in numpy on at most
-``MAX_LABELLED`` labelled documents (chosen by a hash of the id, whole texts); scoring covers every
+classes gives the score. Training is stochastic gradient descent in numpy, in one task, on at most
+``MAX_LABELLED`` labelled documents (chosen by a hash of the id, whole texts); the driver gets the model only. Scoring covers every
 row. The model is linear in the mean vector, so for scoring it folds into one number a bucket.
 
 Defined cases: a null or empty text has only the end-of-text feature; labels that disagree on a
 document, or are null, are left out; a labelled doc_id that several rows hold is trained on once, with the text of
-the smallest hash, so the driver gets ``MAX_LABELLED`` rows at most, each of one pair of numbers a bucket at most;
+the smallest hash, so the training task gets ``MAX_LABELLED`` rows at most, each of one pair of numbers a bucket at most;
 without labels of both classes every score is 0.5; rows may repeat, and each is scored; an input column named
 ``score`` gives way to the score; other input columns are never read.
 """
@@ -135,9 +135,15 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", max_labelle
                 names=["doc_id", "y", "ids", "shares"],
             )
 
-    got = texts.mapInArrow(run, "doc_id string, y int, ids binary, shares binary").collect()
-    got.sort(key=lambda r: r["doc_id"])
-    return train([(np.frombuffer(r["ids"], np.uint32), np.frombuffer(r["shares"], np.float32), r["y"]) for r in got])
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns))]
+        got.sort(key=lambda r: r[0])
+        model = train([(np.frombuffer(ids, np.uint32), np.frombuffer(shares, np.float32), y) for _, y, ids, shares in got])
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary())], names=["weights"])
+
+    counted = texts.mapInArrow(run, "doc_id string, y int, ids binary, shares binary")
+    learned = counted.repartition(1).mapInArrow(learn, "weights binary").collect()
+    return Model(np.frombuffer(learned[0]["weights"], np.float32) if learned else np.zeros(1 << BITS, dtype=np.float32))
 
 
 def score_documents(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
