@@ -87,3 +87,12 @@ def test_exclusion_conflicts_lists_pairs_over_all_parts(spark):
 
     got = QUERIES["exclusion_conflicts"](spark, "/root/testdata/sf0.001")
     assert got.columns == ["a_id", "b_id", "name"] and got.where("a_id % 20 >= 5").count() > 0
+
+
+def test_pairs_of_single_constraints_are_not_gathered(spark):
+    """Only pairs with a predicate of several constraints are grouped; the first conflict in order names them."""
+    texts = {1: "a < 1", 2: "a > 2", 3: "a > 3 and b > 9", 4: "b < 1 and a < 1", 5: 'c == "x"'}
+    told = predicates.described(spark.createDataFrame(list(texts.items()), "id int, t string"), "t").select("id", "ranges")
+    found = predicates.conflicts(told, told).where("a_id < b_id")
+    assert "Union" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.a_id, r.b_id): r.name for r in found.collect()} == {(1, 2): "a", (1, 3): "a", (2, 4): "a", (3, 4): "a"}
