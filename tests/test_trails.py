@@ -174,3 +174,29 @@ def test_shared_words_equal_all_pairs(spark):
         score = {j: len(set(x or []) & set(y or [])) for j, y in texts}
         order = sorted((j != 59 - i, -n, j) for j, n in score.items() if n >= 2 or j == 59 - i)[:3]
         assert [r.passage for r in sorted(top, key=lambda r: r["rank"]) if r.estimate == i] == [j for _, _, j in order]
+
+
+def test_the_best_meet_on_few_words(spark):
+    """Many words that nearly all texts hold make no pairs where only the best are wanted; repeated ids on both sides and ties stay."""
+    import random
+
+    from tidemark.operators import reviews
+
+    rng = random.Random(11)
+    common, rare = [f"the{k}" for k in range(12)], [f"r{k}" for k in range(60)]
+    wanted = [(k % 25, common + rng.sample(rare, 5)) for k in range(28)]
+    texts = [(k % 290, rng.sample(common, rng.randrange(5, 10)) + rng.sample(rare, 2)) for k in range(300)] + [(1000 + i, x + ["more"]) for i, x in wanted for _ in range(2)] + [(None, common + rare)]
+    a, b = spark.createDataFrame(wanted, "id int, words array<string>"), spark.createDataFrame(texts, "id int, words array<string>")
+    found = reviews.sharing(a, b, 2, 2).collect()
+    every = {}
+    for i, x in wanted:
+        for j, y in texts:
+            if j is not None and len(set(x) & set(y)) >= 2:
+                every[i, j] = max(every.get((i, j), 0), len(set(x) & set(y)))
+    got = {}
+    for r in found:
+        got[r.wanted, r.text] = max(got.get((r.wanted, r.text), 0), r.words)
+    assert len(got) < len(every) / 4 and got.items() <= every.items()
+    for i in {i for i, _ in wanted}:
+        least = sorted((n for (w, _), n in every.items() if w == i), reverse=True)[1]
+        assert {k for k, n in every.items() if k[0] == i and n >= least} <= set(got)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import folded
 from tidemark.operators import graph
 from tidemark.operators.calibration import reported
+from tidemark.operators.rounds import small, stored
 
 #: Which kinds may stand at the ends of each type of edge.
 CLAIMS = ["decision", "assumption", "estimate", "outcome", "finding"]
@@ -110,24 +111,44 @@ def measured_facts(assumptions: DataFrame, edges: DataFrame, outcomes: DataFrame
     )
 
 
-def sharing(wanted: DataFrame, texts: DataFrame, shared: int) -> DataFrame:
-    """(wanted, text, words): pairs with ``shared`` distinct words or more in common, and how many.
+#: Rarest words of a wanted text, and texts of the most words, that tell how many words its best texts share with it at least.
+FIRST, LONG = 4, 32
+
+
+def sharing(wanted: DataFrame, texts: DataFrame, shared: int, best: int | None = None) -> DataFrame:
+    """(wanted, text, words): pairs with ``shared`` distinct words or more in common, and how many; with ``best``, all
+    that are among the ``best`` of their wanted one by words, ties too, and maybe others.
 
     Both sides have id and words. A pair that shares so many shares one even if the ``shared - 1`` commonest of the
     wanted side's words are left aside, so pairs meet on the other ones only: a word that all texts hold makes no pairs of itself.
+    Where the best are wanted, the texts that hold its rarest words and those of the most words are counted first; what the last of
+    their best shares takes the place of ``shared``.
     """
     from pyspark.sql import Window
 
-    a = wanted.select(F.col("id").alias("wanted"), F.array_distinct("words").alias("_words"))
+    a = stored(wanted.select(F.monotonically_increasing_id().alias("_a"), F.col("id").alias("wanted"), F.array_distinct("words").alias("_words")))
     b = texts.select(F.col("id").alias("text"), F.array_distinct("words").alias("_held"))
     held = b.select("text", F.explode("_held").alias("word"))
     common = held.groupBy("word").agg(F.count("*").alias("_texts"))
-    rare = F.row_number().over(Window.partitionBy("wanted").orderBy("_texts", "word"))
-    asked = a.select("wanted", F.size("_words").alias("_n"), F.explode("_words").alias("word")).join(common, "word", "left")
-    leads = asked.withColumn("_texts", F.coalesce("_texts", F.lit(0))).withColumn("_rank", rare).where(F.col("_rank") <= F.col("_n") - (shared - 1)).select("wanted", "word")
-    met = leads.join(held, "word").select("wanted", "text").distinct()
-    both = met.join(a, "wanted").join(b, "text").select("wanted", "text", F.size(F.array_intersect("_words", "_held")).cast("bigint").alias("words"))
-    return both.where(F.col("words") >= shared)
+    asked = a.select("_a", F.explode("_words").alias("word")).join(common, "word")
+    rare = F.row_number().over(Window.partitionBy("_a").orderBy("_texts", "word"))
+    leads = stored(asked.select("_a", "word", rare.alias("_rank"), F.count("*").over(Window.partitionBy("_a")).alias("_n")))
+
+    def met(some: DataFrame) -> DataFrame:
+        pairs = stored(held.join(small(stored(some.select("_a", "word"))), "word").select("_a", "text").distinct())
+        both = b.join(small(pairs), "text").join(a, "_a")
+        return both.select("_a", "wanted", "text", F.size(F.array_intersect("_words", "_held")).cast("bigint").alias("words")).where(F.col("words") >= shared)
+
+    least = F.lit(shared)
+    if best is not None:
+        long = stored(b.where("text is not null").orderBy(F.size("_held").desc_nulls_last()).limit(LONG)).withColumn("_row", F.monotonically_increasing_id())
+        far = long.select("text", "_row", F.explode("_held").alias("word")).join(leads, "word").groupBy("_a", "text", "_row").agg(F.count("*").alias("words"))
+        known = met(leads.where(F.col("_rank") <= FIRST)).select("_a", "text", "words").unionByName(far.where(F.col("words") >= shared).drop("_row"))
+        known = known.groupBy("_a", "text").agg(F.max("words").alias("words"))
+        place = F.row_number().over(Window.partitionBy("_a").orderBy(F.desc("words")))
+        last = known.withColumn("_place", place).where(F.col("_place") == best).select("_a", F.col("words").alias("_least"))
+        leads, least = leads.join(last, "_a", "left"), F.coalesce("_least", F.lit(shared))
+    return met(leads.where(F.col("_rank") <= F.col("_n") - (least - 1))).drop("_a")
 
 
 def candidates(wanted: DataFrame, passages: DataFrame, limit: int, shared: int) -> DataFrame:
@@ -137,7 +158,8 @@ def candidates(wanted: DataFrame, passages: DataFrame, limit: int, shared: int)
     """
     from pyspark.sql import Window
 
-    met = sharing(wanted.select(F.col("estimate").alias("id"), "words"), passages.select(F.col("passage").alias("id"), "words"), shared)
+    passages = stored(passages.select("passage", F.array_distinct("words").alias("words")))
+    met = sharing(wanted.select(F.col("estimate").alias("id"), "words"), passages.select(F.col("passage").alias("id"), "words"), shared, limit)
     near = met.select(F.col("wanted").alias("estimate"), F.col("text").alias("passage"), "words").join(wanted.select("estimate", "own"), "estimate")
     home = wanted.withColumnRenamed("words", "_w").join(passages.withColumnRenamed("words", "_p"), F.col("own") == F.col("passage"))
     home = home.select("estimate", "own", "passage", F.size(F.array_intersect("_w", "_p")).cast("bigint").alias("words"))
