@@ -38,6 +38,20 @@ def test_matching_equals_the_rule(spark, island):
     assert overlaps.greedy_pairs(a.where("false"), b, ["g"]).count() == 0 and overlaps.greedy_pairs(a, b.where("false"), ["g"]).count() == 0
 
 
+def test_small_groups_take_neither_ladder_nor_islands(spark, monkeypatch):
+    """Many groups of few ranges, with ties, repeated ids, null ends and null ids of claims, equal the rule."""
+    monkeypatch.setattr(overlaps, "_of_many", None)
+    rng = random.Random(4)
+    spans = lambda n: [(f"g{rng.randrange(40)}", rng.randrange(6), *(lambda a: (a, a + rng.choice([0, 2, 5, 5, 9, -2])))(rng.randrange(20))) for _ in range(n)]
+    items, claims = spans(300), spans(280)
+    items += [("g1", 7, None, 5), ("g1", 8, 0, None)]
+    a, b = frames(spark, items, claims)
+    assert sorted(tuple(r) for r in overlaps.greedy_pairs(a, b, ["g"]).collect()) == plain(items, claims)
+    assert overlaps.greedy_pairs(a.where("false"), b, ["g"]).count() == 0
+    a, b = frames(spark, [("x", None, 0, 9), (None, 1, 0, 9)], [("x", 1, 0, 9), (None, 1, 0, 9)])
+    assert overlaps.greedy_pairs(a, b, ["g"]).count() == 0
+
+
 def test_a_long_chain_takes_no_rounds(spark, monkeypatch):
     """Each neighbour overlaps more than the last, so mutual best pairs settle one at a time: 10,000 of them."""
     monkeypatch.setattr(overlaps, "_in_rounds", None)

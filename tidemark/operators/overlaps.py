@@ -4,7 +4,7 @@ Overlaps are found on a ladder of grids: a range lies in one or two cells of the
 a power of two, and a shorter range looks for it in the one or two cells that it lies in there. So ranges meet those near them,
 not all of their document.
 
-Matching works on islands, stretches that no range crosses the end of: what is taken in one never bears on another. Islands fall out of a
+Matching goes through groups of few ranges as they are joined. In larger ones it works on islands, stretches that no range crosses the end of: what is taken in one never bears on another. Islands fall out of a
 sweep by start with a running maximum of ends, and each is gone through once in the order of the rule.
 """
 
@@ -16,11 +16,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.rounds import settled
+from tidemark.operators.rounds import settled, small, stored
 from tidemark.operators.running import running
 
 #: Overlapping pairs of an island that one task goes through; a larger island is matched in rounds.
 ISLAND = 5_000_000
+#: Ranges of a group that is matched as one row, without ladder and islands.
+FEW = 64
 
 
 def _level(start: str, end: str) -> Column:
@@ -96,10 +98,30 @@ def _in_rounds(pairs: DataFrame, by: list[str]) -> DataFrame:
     return matched
 
 
+def _of_few(items: DataFrame, claims: DataFrame, by: list[str]) -> DataFrame:
+    """The matching of groups of at most ``FEW`` ranges: all pairs of a group that overlap, gone through in the order of the rule."""
+    overlap = F.least("i_end", "c_end") - F.greatest("i_start", "c_start")
+    met = items.where("item_id is not null and i_start < i_end").join(claims.where("c_start < c_end"), by).withColumn("overlap", overlap).where("overlap > 0")
+    pairs = met.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct((-F.col("overlap")).alias("minus"), "item_id", "record_id", "overlap"))).alias("p"))
+    used = lambda x: lambda y: y["item_id"].eqNullSafe(x["item_id"]) | y["record_id"].eqNullSafe(x["record_id"])
+    taken = F.aggregate("p", F.slice("p", 1, 0), lambda acc, x: F.when(F.exists(acc, used(x)), acc).otherwise(F.concat(acc, F.array(x))))
+    return pairs.select(*by, F.inline(taken)).select(*by, "item_id", "record_id", "overlap")
+
+
 def greedy_pairs(items: DataFrame, claims: DataFrame, by: list[str], island: int = ISLAND) -> DataFrame:
     """(by, item_id, record_id, overlap): one-to-one matching, largest overlap first, ties by ids. Ranges of one id within ``by`` are matched once."""
+    items, claims = items.select(*by, "item_id", "i_start", "i_end"), claims.select(*by, "record_id", "c_start", "c_end")
+    many = stored(items.select(*by).unionByName(claims.select(*by)).groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > FEW).select(*by))
+    if many.isEmpty():
+        return stored(_of_few(items, claims, by))
+    held = small(many)
+    taken = stored(_of_few(items.join(held, by, "left_anti"), claims.join(held, by, "left_anti"), by))
+    return taken.unionByName(_of_many(items.join(held, by, "left_semi"), claims.join(held, by, "left_semi"), by, island))
+
+
+def _of_many(items: DataFrame, claims: DataFrame, by: list[str], island: int) -> DataFrame:
     of = [*by, "island"]
-    found = overlapping(islands(items.select(*by, "item_id", "i_start", "i_end"), claims, by), claims.select(*by, "record_id", "c_start", "c_end"), by)
+    found = overlapping(islands(items, claims, by), claims, by)
     pairs = settled(found.select(*of, "item_id", "record_id", "overlap"))
     large = settled(pairs.groupBy(*of).agg(F.count("*").alias("_n")).where(F.col("_n") > island).select(*of))
     few = pairs if large.isEmpty() else pairs.join(large, of, "left_anti")
