@@ -36,3 +36,14 @@ def test_groups_are_honoured_in_order(spark):
     got = {(r.doc_id, r.first_block, r.last_block): r.reason for r in judged.collect()}
     assert got == {(1, 0, 1): None, (1, 1, 2): "overlaps", (1, 2, 9): "not_offered", (1, 3, 2): "backwards", (1, 2, 3): None, (2, 0, 0): "not_offered"}
     assert sorted((r.first_block, r.text) for r in segments.spans(docs, grid, judged).collect()) == [(0, "a\n\nb"), (2, "c\n\nd")]
+
+
+def test_blocks_are_handed_on_in_pieces():
+    """A batch of many texts does not become one batch of all their blocks; each block comes once, in order."""
+    import pyarrow as pa
+
+    texts = [None, "", *(f"# a{k}\n\nb ü\n\n- c{k}" for k in range(500)), None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], ["doc_id", "_text"])
+    out = list(segments.grid_batches([batch], 100))
+    assert len(out) > 30 and max(b.num_rows for b in out) < 40
+    assert [tuple(r.values()) for b in out for r in b.to_pylist()] == [(n, *x) for n, t in enumerate(texts) for x in segments.scan(t or "")]

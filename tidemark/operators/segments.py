@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructType
+from pyspark.sql.types import StructType
 
 WINDOW = 40
 LONGEST = 12
+#: Characters of blocks that a worker holds before it hands them on.
+PIECE = 500_000
 
 _START = re.compile(r" {0,3}(?:(?P<code>`{3,}|~{3,})|(?P<heading>#{1,6}\s+\S)|(?P<list_item>(?:[-*+]|\d{1,9}[.)])\s+\S))")
-_BLOCK = ArrayType(
-    StructType().add("index", "integer").add("kind", "string").add("start_byte", "integer").add("end_byte", "integer").add("text", "string")
-)
+_BLOCK = StructType().add("index", "integer").add("kind", "string").add("start_byte", "integer").add("end_byte", "integer").add("text", "string")
 
 
 def _line_kind(line: str) -> tuple[str, str]:
@@ -65,14 +66,27 @@ def scan(text: str) -> list[tuple[int, str, int, int, str]]:
     return out
 
 
-@F.pandas_udf(_BLOCK)
-def block_grid(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: scan(t or ""))
+def grid_batches(batches: Iterator[pa.RecordBatch], piece: int = PIECE) -> Iterator[pa.RecordBatch]:
+    """The blocks of (id, text) rows, about ``piece`` characters of them at a time, however many rows a batch has."""
+    types = [pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string()]
+    for b in batches:
+        ids, texts = b.columns
+        at, found, size = [], [], 0
+        for n in range(b.num_rows):
+            new = scan(texts[n].as_py() or "")
+            at += [n] * len(new)
+            found += new
+            size += sum(len(x[4]) for x in new)
+            if found and (size >= piece or n == b.num_rows - 1):
+                columns = (pa.array(c, k) for c, k in zip(zip(*found), types))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), *columns], [b.schema.names[0], *_BLOCK.names])
+                at, found, size = [], [], 0
 
 
 def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, index, kind, start_byte, end_byte, text); a null or blank text has no blocks."""
-    return docs.select(id_col, F.inline(block_grid(F.col(text_col))))
+    rows = docs.select(id_col, F.col(text_col).alias("_text"))
+    return rows.mapInArrow(grid_batches, StructType([rows.schema[id_col], *_BLOCK]))
 
 
 def accepted(groups: DataFrame, grid: DataFrame, id_col: str = "doc_id", window: int = WINDOW, longest: int = LONGEST) -> DataFrame:
