@@ -68,3 +68,18 @@ def test_report_files(spark, tmp_path):
     assert sorted(map(tuple, spark.read.json(str(tmp_path / "r.json")).select("section", "measure", "value").collect()), key=str) == [("Grades", "a|c", None), ("Grades", "b", 2.0)]
     with pytest.raises(ValueError):
         reports.report_lines("x", {"Long": (spark.range(reports.MOST + 1), ["id"])})
+
+
+def test_only_texts_that_need_it_go_to_workers(spark):
+    """Plain and JSON texts are told apart before a worker sees them; the text is what NFC of all of it gives."""
+    import unicodedata
+
+    from tidemark.sources import documents
+
+    texts = ["plain", "été", "e\u0301te\u0301", "\u1100\u1161", "\u212b", "", None, "\u02ff\u0300", "\U0001d15e"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    got = [r.t for r in df.select("k", "t").transform(lambda x: documents.composed(x, "t")).orderBy("k").collect()]
+    assert got == [None if t is None else unicodedata.normalize("NFC", t) for t in texts]
+    seen = []
+    documents.documents_of(spark.createDataFrame([("/a.txt", bytearray(b"x"))], "path string, content binary"), lambda c: seen.append(str(c)) or documents.rendered_json(c))
+    assert "CASE WHEN" in seen[0]

@@ -32,10 +32,16 @@ def nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
+def composed(df: DataFrame, column: str) -> DataFrame:
+    """``column`` in NFC; a text whose characters all lie below U+0300 is that already, and no worker gets it."""
+    apart = df.withColumn("_other", F.when(F.col(column).rlike(r"[^\x{0}-\x{2FF}]"), F.col(column)))
+    return apart.withColumn(column, F.coalesce(nfc("_other"), column)).drop("_other")
+
+
 def normalised(raw: Column) -> Column:
-    """UTF-8 text without a byte order mark, with line feeds, composed; null for other bytes."""
+    """UTF-8 text without a byte order mark, with line feeds, not composed yet; null for other bytes."""
     text = F.when(F.is_valid_utf8(raw), raw.cast("string"))
-    return nfc(F.regexp_replace(F.regexp_replace(text, "^﻿", ""), "\r\n?", "\n"))
+    return F.regexp_replace(F.regexp_replace(text, "^﻿", ""), "\r\n?", "\n")
 
 
 def json_leaves(value, path: str = "", place: str = "[{}]") -> Iterator[tuple[str, str]]:
@@ -104,8 +110,9 @@ FILES = "path string, modificationTime timestamp, length bigint, content binary"
 def documents_of(files: DataFrame, rendering=compact_json) -> tuple[DataFrame, DataFrame]:
     """(documents, refused) of whole files (path, content), JSON as ``rendering`` puts it; refused ones with the reason."""
     read = files.select(F.col("path").alias("source_uri"), source_kind(F.col("path")).alias("source_kind"), normalised(F.col("content")).alias("raw"))
+    read = composed(read, "raw")
     kind, raw = F.col("source_kind"), F.col("raw")
-    content = F.when(kind == "json", rendering(raw)).otherwise(raw)
+    content = F.when(kind == "json", rendering(F.when(kind == "json", raw))).otherwise(raw)  # other texts go to no worker
     read = read.select("*", title(kind, raw).alias("title"), content.alias("content"))
     reason = (
         F.when(kind.isNull(), "unknown_suffix").when(raw.isNull(), "not_utf8").when(F.col("content").isNull(), "not_json")
