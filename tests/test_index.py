@@ -92,3 +92,46 @@ def test_the_store_keeps_its_index(spark, tmp_path):
     assert store.refresh_index() == 2 and store.refresh_index() == 0
     assert store.search(["migration"]).count() == 0 and [r.id for r in store.search(["cutover"]).collect()] == ["D-2"]
     assert module.plain_terms(["Élan", "elan"]) == ["elan"]
+
+
+def test_postings_are_packed_before_they_are_shuffled(spark):
+    """Postings move once, packed, and no range of them is looked for by doing the work twice."""
+    rows = spark.createDataFrame([("a", 1, 2, ["x", "y"])], "id string, block int, len int, w array<string>")
+    plan = module._posted(rows, 1)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "rangepartitioning" not in plan and "Aggregate" not in plan
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 10_000])
+def test_chunks_lose_nothing(monkeypatch, chunk):
+    """However finely blocks and segments are cut, each document has each of its words once with its newest text."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(module, "CHUNK", chunk)
+    rng = random.Random(5)
+    docs = [(f"d{k:02d}", k % 3, rng.choices([f"w{j}" for j in range(12)] + ["ß"], k=rng.randrange(0, 9))) for k in range(30)]
+    newer = [(i, b, ["w1", "new"]) for i, b, _ in docs[::4]]
+    batch = lambda rows: pa.RecordBatch.from_pydict({
+        "id": pa.array([r[0] for r in rows]), "block": pa.array([r[1] for r in rows], pa.int32()), "len": pa.array([len(r[2]) for r in rows], pa.int32()), "w": pa.array([r[2] for r in rows], pa.list_(pa.string())),
+    })
+    told = lambda packed: sorted(tuple(r[c] for c in ("term", "block", "id", "tf", "len")) for b in module._opened(packed) for r in b.to_pylist())
+    want = lambda rows: sorted({(w, b, i, ws.count(w), len(ws)) for i, b, ws in rows for w in ws})
+    at = lambda b, n: b.append_column("segment", pa.array([n] * b.num_rows, pa.int64()))
+    old, new = ([at(b, n) for b in module._counted([batch(rows)])] for n, rows in ((1, docs), (2, newer)))
+    assert told(old) == want(docs)
+    names = ["block", "term", "segment", "n", "ids", "sizes", "tfs", "lens"]
+    stream = [r for b in old + new for r in b.select(names).to_pylist()]
+    stream += [dict.fromkeys(names) | {"block": b, "segment": 1, "ids": i.encode()} for i, b, _ in newer]
+    stream.sort(key=lambda r: (r["block"], r["term"] or "", r["segment"]))
+    schema = pa.schema([(n, old[0].select(names).schema.field(n).type) for n in names])
+    batches = [pa.RecordBatch.from_pylist(stream[k : k + 5], schema) for k in range(0, len(stream), 5)]
+    merged = [at(b, 2) for b in module._merged(batches)]
+    now = {i: (i, b, ws) for i, b, ws in docs} | {i: (i, b, ws) for i, b, ws in newer}
+    assert told(merged) == want(now.values())
+    assert chunk < 10_000 or sum(b.num_rows for b in merged) == len({(t, b) for t, b, *_ in want(now.values())})
+
+
+def test_an_index_of_another_layout_is_refused(spark, tmp_path):
+    ix = Index(spark, str(tmp_path / "ix"))
+    assert ix.log.put(1, {"added": {}, "stats": {"docs": 1, "words": 1, "stale": 0, "segment": 1}})
+    with pytest.raises(RuntimeError, match="older layout"):
+        ix.search(["a"])

@@ -122,8 +122,10 @@ def unaccented(text: Column) -> Column:
 
 
 def search_words(text: Column) -> Column:
-    """Runs of letters and digits, lower-cased, without marks."""
-    return F.filter(F.split(unaccented(F.lower(text)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    """Runs of letters and digits, lower-cased, without marks; a text of ASCII has none, and is cut by a plainer pattern."""
+    ascii = F.octet_length(text) == F.char_length(text)
+    parts = F.when(ascii, F.split(F.lower(text), "[^a-z0-9]+")).otherwise(F.split(unaccented(F.lower(text)), r"[^\p{L}\p{N}]+"))
+    return F.filter(parts, lambda w: w != "")
 
 
 def bm25(docs: DataFrame, id_col: str, text_col: str, terms: list[str], k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:

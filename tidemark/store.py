@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tidemark.commits import Log, State
 from tidemark.functions.scalars import digest_id
-from tidemark.index import Index
+from tidemark.index import LAYOUT, Index
 from tidemark.operators import calibration, graph, reviews, segments, textops, trails, versioned
 from tidemark.operators.rounds import settled
 
@@ -295,7 +295,7 @@ class Store:
         return self.heads().where("not retracted").select("id", "version", body.alias("body"))
 
     def index(self) -> Index:
-        return Index(self.spark, f"{self.folder}/index")
+        return Index(self.spark, f"{self.folder}/index{LAYOUT}")
 
     def refresh_index(self) -> int:
         """Bring the index to the present version: only records that are new, changed or gone since are read. How many these were."""
