@@ -248,7 +248,12 @@ class Store:
         """Current records, oldest first; with ``schema`` the payload's fields as columns."""
         rows = self.heads(kind)
         rows = (rows if retracted else rows.where("not retracted")).orderBy("created_at", "id")
-        return rows if schema is None else rows.withColumn("r", F.from_json("payload", schema)).select("id", "version", "r.*")
+        return rows if schema is None else _with_fields(rows, schema)
+
+    def standing(self, kind: str, schema: str | None = None) -> DataFrame:
+        """``list_all`` in no order, for what joins or groups them: no sort of the whole kind, nor the pass that finds its ranges."""
+        rows = self.heads(kind).where("not retracted")
+        return rows if schema is None else _with_fields(rows, schema)
 
     def next_id(self, kind: str, prefix: str) -> str:
         """One more than the largest number in use, four digits or more."""
@@ -329,9 +334,13 @@ class Store:
         return direct.unionByName(led).groupBy("decision").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "decision").limit(limit)
 
     def calibration_history(self) -> DataFrame:
-        e = self.list_all("estimate", schema="owner string, work_class string, active double").select(F.col("id").alias("estimate_id"), "owner", "work_class", F.col("active").alias("estimated"))
-        o = self.list_all("outcome", schema="estimate_id string, active double").select("estimate_id", F.col("active").alias("actual"))
-        return calibration.history(e, o).orderBy("owner", "work_class", "estimate_id")
+        return self.calibration_rows().orderBy("owner", "work_class", "estimate_id")
+
+    def calibration_rows(self) -> DataFrame:
+        """``calibration_history`` in no order."""
+        e = self.standing("estimate", schema="owner string, work_class string, active double").select(F.col("id").alias("estimate_id"), "owner", "work_class", F.col("active").alias("estimated"))
+        o = self.standing("outcome", schema="estimate_id string, active double").select("estimate_id", F.col("active").alias("actual"))
+        return calibration.history(e, o)
 
     def estimate_detail(self, id_: str) -> DataFrame:
         """(estimate, section, item, place): the outcome of an estimate, assumptions that it was, what rests on it and what was found against it."""
@@ -374,6 +383,10 @@ class Store:
         return n, refused
 
 
+def _with_fields(rows: DataFrame, schema: str) -> DataFrame:
+    return rows.withColumn("r", F.from_json("payload", schema)).select("id", "version", "r.*")
+
+
 def _sound_spans(docs: DataFrame) -> DataFrame:
     """Each block of (doc_id, text) that verifies, as a span."""
     grid = segments.blocks(docs).select("doc_id", "start_byte", "end_byte", "text")
