@@ -12,7 +12,7 @@ from tidemark.commits import Log
 from tidemark.index import Index
 from tidemark.migrations import Migrated, Step
 from tidemark.operators import calibration, segments, trails
-from tidemark.operators.rounds import shared_folder
+from tidemark.operators.rounds import shared_folder, stored
 from tidemark.plans.catalog import _bm25_sql
 from tidemark.plans.registry import EST, FACT, HIST, LINK, OUT, query
 from tidemark.plans.testviews import estimates, links, outcomes, table
@@ -208,7 +208,7 @@ def _(s, d):
 def _(s, d):
     """Orders as estimates and outcomes; each tenth has an assumption and a decision on it. What calibration turns over is stale, what was missed badly is damage."""
     store = _new(s)
-    rows = calibration.history(estimates(s, d), outcomes(s, d)).select("estimate_id", "owner", "work_class", "estimated", "actual")
+    rows = stored(calibration.history(estimates(s, d), outcomes(s, d)).select("estimate_id", "owner", "work_class", "estimated", "actual"))  # five batches come from it
     told = lambda prefix, *fields: rows.select(_named(prefix, "estimate_id").alias("id"), F.to_json(F.struct(*fields)).alias("payload"))
     tenth = rows.where("estimate_id % 10 = 0")
     with store.transaction():
