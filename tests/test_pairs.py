@@ -96,3 +96,20 @@ def test_pairs_of_single_constraints_are_not_gathered(spark):
     found = predicates.conflicts(told, told).where("a_id < b_id")
     assert "Union" in found._jdf.queryExecution().optimizedPlan().toString()
     assert {(r.a_id, r.b_id): r.name for r in found.collect()} == {(1, 2): "a", (1, 3): "a", (2, 4): "a", (3, 4): "a"}
+
+
+def _shuffled(spark, made):
+    """Bytes written for shuffles while a table is made and gone through."""
+    told = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = told()
+    made().write.format("noop").mode("overwrite").save()
+    return told() - before
+
+
+def test_conflicts_send_a_record_once_for_like_predicates(spark):
+    """200 predicates of 20 colours, 20 records each: a predicate conflicts with 190 others, which are alike by colour."""
+    df = spark.sql("""SELECT id, array(named_struct('name', 'size', 'low', id % 10, 'low_closed', true, 'high', CAST(NULL AS bigint), 'high_closed', true, 'kind', 'range', 'value', CAST(NULL AS string)),
+        named_struct('name', 'colour', 'low', CAST(NULL AS bigint), 'low_closed', false, 'high', CAST(NULL AS bigint), 'high_closed', false, 'kind', 'exact', 'value', CAST(id div 10 % 20 AS string))) AS ranges FROM range(4000)""")
+    told = conflicting.conflict_pairs(df).agg(F.count("*"), F.count_if(F.expr("a_id < b_id AND a_id div 10 % 20 <> b_id div 10 % 20 AND name = 'colour'"))).first()
+    assert tuple(told) == (7_600_000,) * 2
+    assert _shuffled(spark, lambda: conflicting.conflict_pairs(df)) < 3_000_000
