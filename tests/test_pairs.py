@@ -113,3 +113,11 @@ def test_conflicts_send_a_record_once_for_like_predicates(spark):
     told = conflicting.conflict_pairs(df).agg(F.count("*"), F.count_if(F.expr("a_id < b_id AND a_id div 10 % 20 <> b_id div 10 % 20 AND name = 'colour'"))).first()
     assert tuple(told) == (7_600_000,) * 2
     assert _shuffled(spark, lambda: conflicting.conflict_pairs(df)) < 3_000_000
+
+
+def test_members_move_arrays_of_ids(spark):
+    """Two classes of 10,000 and one by itself; ids are sent in arrays, so that the bytes are few for each of them."""
+    records = spark.range(30_000).select("id", (F.col("id") % 3).cast("string").alias("class"))
+    classes = spark.createDataFrame([("0", "1"), ("2", "2")], "left string, right string")
+    assert tuple(blocking.members(records, classes).agg(F.count("*"), F.count_if(F.col("left") < F.col("right"))).first()) == (149_995_000,) * 2
+    assert _shuffled(spark, lambda: blocking.members(records, classes)) < 2_100_000
